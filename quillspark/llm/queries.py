@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import documents
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.language_id import identify_language, train_language_model
+from quillspark.llm.repetition_quality import repetition_quality
+
+
+def op1_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_quality(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +33,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repetition_quality": op1_repetition_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_language_id": op5_language_id,
 }

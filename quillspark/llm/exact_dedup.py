@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("text_sha256", digest if hash_all else F.when(F.col("_open"), digest))
     settled = cut(rows.select("_id", "n_bytes", "_open", "text_sha256"))
     groups = settled.filter("_open").groupBy("n_bytes", "text_sha256").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    groups = groups.select(F.col("n_bytes").alias("_gb"), F.col("text_sha256").alias("_gh"), "_keep", "_size")
+    groups = cut(groups).select(F.col("n_bytes").alias("_gb"), F.col("text_sha256").alias("_gh"), "_keep", "_size")
     # a settled document can meet no group: the join key of its own spreads them evenly over the partitions
     settled = settled.withColumn("_key", F.when(F.col("_open"), F.col("text_sha256")).otherwise(F.concat(F.lit("#"), F.xxhash64("_id", "n_bytes"))))
     out = settled.join(groups, (F.col("_key") == F.col("_gh")) & (F.col("n_bytes") == F.col("_gb")), "left")

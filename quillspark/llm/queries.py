@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.bpe import bpe_decode, bpe_encode
 from quillspark.llm.common import documents
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.language_id import identify_language, train_language_model
@@ -22,6 +23,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_encode(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path()).drop("text")
+    decoded = bpe_decode(encoded, vocabulary_path())
+    return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
@@ -35,6 +48,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_quality": op1_repetition_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
 }
 

@@ -11,7 +11,10 @@ from quillspark.llm.bpe import bpe_decode, bpe_encode
 from quillspark.llm.common import documents
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.language_id import identify_language, train_language_model
+from quillspark.llm.license_scan import license_scan
+from quillspark.llm.mixing import labelled_domains, mix_to_targets
 from quillspark.llm.repetition_quality import repetition_quality
+from quillspark.llm.sanitise import KINDS, personal_data
 
 
 def op1_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths; a document counts as file <source>/<doc_id div 1000>/<doc_id div 100>/<doc_id>."""
+    block = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100"), "doc_id")
+    return license_scan(documents(spark, sf_dir, "doc_id", "text", "source").withColumn("path", block))
+
+
+#: Shares of the mixture's tokens by domain of the table of labels.
+TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    labelled = labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = mix_to_targets(docs, labelled, TARGETS, keep=["source"])
+    return out.withColumn("posterior", F.transform("posterior", lambda p: F.round(p, 6)))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -45,11 +65,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir, "doc_id", "text"))
+
+    def listed(keep):
+        return F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(lambda s: s["kind"].isin(*KINDS)), 256).alias("base_sha256"), listed(lambda s: F.lit(True)).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_quality": op1_repetition_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
+    "op7_mixing": op7_mixing,
+    "op10_personal_data": op10_personal_data,
 }
 
 #: DuckDB text with the letters A-Z of a column lower-cased.

@@ -11,6 +11,7 @@ from quillspark.llm.bpe import bpe_decode, bpe_encode
 from quillspark.llm.common import documents
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.html_extract import extract_main_text
+from quillspark.llm.jaccard_join import jaccard_components
 from quillspark.llm.language_id import identify_language, train_language_model
 from quillspark.llm.license_scan import license_scan
 from quillspark.llm.mixing import labelled_domains, mix_to_targets
@@ -66,6 +67,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_personal_data": op10_personal_data,
 }

@@ -17,6 +17,7 @@ from quillspark.llm.license_scan import license_scan
 from quillspark.llm.mixing import labelled_domains, mix_to_targets
 from quillspark.llm.repetition_quality import repetition_quality
 from quillspark.llm.sanitise import KINDS, personal_data
+from quillspark.llm.suffix_dedup import suffix_dedup
 
 
 def op1_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir, "doc_id", "text", "source").withColumn("path", block))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Shares of the mixture's tokens by domain of the table of labels.
 TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,

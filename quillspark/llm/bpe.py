@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import codecs
 import json
+import sys
 import unicodedata
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,7 @@ from quillspark.llm.common import short_batches
 
 # White space as the normaliser understands it, and the word pattern of the vocabulary's file.
 _BLANK = "\\t-\\r " + "".join(f"\\u{c:04x}" for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_NOT_BLANK = regex.compile("[\x1c-\x1f]")
 _WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_BLANK}\p{{L}}\p{{N}}]+"
 
 
@@ -81,65 +84,77 @@ class Vocabulary:
         return most
 
     def join(self, ids: list[int]) -> list[int]:
-        """Apply the merges to a short list of ids, lowest rank first and left to right."""
-        merges = self.merges
-        while len(ids) > 1:
-            best, to = 1 << 60, 0
-            for pair in zip(ids, ids[1:], strict=False):
-                found = merges.get(pair)
-                if found is not None and found[0] < best:
-                    best, to = found
-                    left, right = pair
-            if best == 1 << 60:
+        """Apply the merges to a short list of ids: always the lowest rank, of equals the leftmost."""
+        get, none = self.merges.get, (1 << 60, 0)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best is none:
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == left and ids[i + 1] == right:
-                    out.append(to)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
 
 class Encoder:
     """Turns a stream of text pieces into ids. Memory: one piece, one window of symbols and a bounded cache of words."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_size: int = 200_000, window: int = 0):
+    def __init__(self, vocabulary: Vocabulary, cache_size: int = 300_000):
         self.v = vocabulary
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        self.inner = [vocabulary.ids.get(c) for c in symbols]
+        self.final = [vocabulary.ids.get(c + vocabulary.end) for c in symbols]
         self.words = regex.compile(_WORDS)
         self.blank = regex.compile(rf"[{_BLANK}]+")
         self.split = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.window = max(window, 2 * (vocabulary.lookahead + max(vocabulary.length, default=1)) + 64)
+        self.window = 2 * (vocabulary.lookahead + max(vocabulary.length, default=1)) + 64
         encoder, most = self, cache_size
 
         class Cache(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= most:
-                    self.clear()
-                out = np.fromiter(encoder.word(word), "<u4").tobytes()
-                if len(word) <= 64:
-                    self[word] = out
+            """Ids by text, as bytes; emptied when full, and long texts stay out."""
+
+            def __init__(self, make: Callable[[str], bytes]):
+                self.make = make
+
+            def __missing__(self, text: str) -> bytes:
+                out = self.make(text)
+                if len(text) <= 64:
+                    if len(self) >= most:
+                        self.clear()
+                    self[text] = out
                 return out
 
-        self.cache = Cache()
+        def packed(word: str) -> bytes:
+            out = array("I", encoder.word(word))
+            if sys.byteorder == "big":
+                out.byteswap()
+            return out.tobytes()
+
+        of_word = Cache(packed).__getitem__
+        self.cache = Cache(lambda chunk: b"".join(map(of_word, encoder.words.findall(chunk))))  # between blanks
 
-    def word(self, word: str) -> Iterator[int]:
+    def word(self, word: str) -> Iterable[int]:
         """Ids of one word: symbols enter a window, and a token leaves once the lookahead behind it has arrived."""
-        v, raw = self.v, word.encode("utf-8", "surrogatepass")
-        known = v.ids
-        singles = [known.get(self.symbols[b]) for b in raw[:-1]] + [known.get(self.symbols[raw[-1]] + v.end)]
-        singles = [i for i in singles if i is not None]
-        pos, pending = 0, []
+        raw = word.encode("utf-8", "surrogatepass")
+        singles = list(map(self.inner.__getitem__, raw))
+        singles[-1] = self.final[raw[-1]]
+        if None in singles:  # a vocabulary without this symbol drops it
+            singles = [i for i in singles if i is not None]
+        return self.v.join(singles) if len(singles) <= self.window else self._windows(singles)
+
+    def _windows(self, singles: list[int]) -> Iterator[int]:
+        v, pos, pending = self.v, 0, []
         while True:
             take = self.window - len(pending)
             pending += singles[pos : pos + take]
             pos += take
             last, used = pos >= len(singles), 0
-            for token in v.join(pending):
+            for token in v.join(list(pending)):
                 reach = used + v.length[token]
                 if not last and reach + v.lookahead > len(pending):
                     break
@@ -150,9 +165,11 @@ class Encoder:
             pending = pending[used:]
 
     def _segment(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
-        text = self.blank.sub(" ", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.cache.__getitem__, self.words.findall(text)))
+        """NFC and lower case; the normaliser's third step, one blank for white space, changes no word and is left out."""
+        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        # str.split also parts at these four controls, which the vocabulary takes for symbols
+        chunks = self.blank.split(text) if _NOT_BLANK.search(text) else text.split()
+        return b"".join(map(self.cache.__getitem__, chunks))
 
     def encode(self, pieces: Iterable[str]) -> Iterator[bytes]:
         """Ids of the concatenated pieces as little-endian unsigned 32-bit integers, chunk by chunk.

@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks_of, cut, mixed, packed, short_batches, span_hashes, word_bounds
+from quillspark.llm.common import blocks_of, cut, hash_filter, maybe_in, mixed, packed, short_batches, span_hashes, word_bounds
 from quillspark.llm.components import connected_components
 
-_SKETCH = 1 << 20
+_SKETCH = 1 << 22  # buckets of a task's sketch of frequent shingles
+_BITS = 1 << 24  # of the bitmap of shared shingles
+
+
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -63,17 +67,32 @@ def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return np.where(common <= np.minimum(n[:, None], m[None, :]), total - 2 * common, -1)
 
 
-def _plausible(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
-    """True for members of a region that have a partner whose size and parity map allow a link. Exact: none is lost."""
+def _earlier(region: int, regions: list[np.ndarray]) -> np.ndarray:
+    """A column per region with a smaller number, and 1 for the members that it has too: such pairs are settled there."""
+    lower: dict[int, list[int]] = {}
+    for k, own in enumerate(regions):
+        for r in own:
+            if r < region:
+                lower.setdefault(int(r), []).append(k)
+    flags = np.zeros((len(regions), max(1, len(lower))), np.float32)
+    for c, at in enumerate(lower.values()):
+        flags[at, c] = 1
+    return flags
+
+
+def _plausible(n: np.ndarray, maps: list[bytes], percent: int, earlier: np.ndarray) -> np.ndarray:
+    """True for members that have a partner here whose size and parity map allow a link. Exact: no link is lost."""
     size = min(map(len, maps))
     rows, found = _folded(maps, size), np.zeros(len(n), bool)
-    ones = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-    step = max(1, (1 << 24) // max(1, size * len(n)))
+    step = max(1, (1 << 23) // max(1, size * len(n)))
     for a in range(0, len(n), step):
-        differ = ones[rows[a : a + step, None, :] ^ rows[None, :, :]].sum(2, dtype=np.int64)
-        fits = differ <= _near(n[a : a + step], n, percent)
+        fits = earlier[a : a + step] @ earlier.T == 0
         fits[np.arange(fits.shape[0]), np.arange(a, a + fits.shape[0])] = False
-        found[a : a + step] |= fits.any(1)
+        near = _near(n[a : a + step], n, percent)
+        fits &= near >= 0
+        if fits.any():
+            fits &= _ONES[rows[a : a + step, None, :] ^ rows[None, :, :]].sum(2, dtype=np.int64) <= near
+            found[a : a + step] |= fits.any(1)
     return found
 
 
@@ -161,7 +180,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     """Set size and 128-bit fingerprint per document, and per task the sketch buckets that are locally frequent."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch, seen = np.zeros(_SKETCH, np.int64), 0
+        sketch, seen = np.zeros(_SKETCH, np.int32), 0
         for batch in batches:
             sets = shingle_sets(list(batch["text"]), words)
             digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) if len(s) else (0, 0) for s in sets]
@@ -169,10 +188,10 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
                 seen += len(s)
             if sets:
                 flat = np.concatenate(sets) % np.uint64(_SKETCH)
-                sketch += np.bincount(flat.astype(np.int64), minlength=_SKETCH)
+                np.add.at(sketch, flat.astype(np.int64), 1)
             yield pd.DataFrame({"heavy": False, "id": batch["id"], "n": [len(s) for s in sets], "fa": [d[0] for d in digest], "fb": [d[1] for d in digest]})
         hot = np.flatnonzero(sketch >= max(4, 8 * seen / _SKETCH))
-        hot = hot[np.argsort(-sketch[hot], kind="stable")[:4096]]
+        hot = hot[np.argsort(-sketch[hot], kind="stable")[: 1 << 14]]
         yield pd.DataFrame({"heavy": True, "id": hot, "n": sketch[hot], "fa": 0, "fb": 0})
 
     return docs.mapInPandas(scan, "heavy boolean, id long, n long, fa long, fb long")
@@ -227,18 +246,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = rows.mapInPandas(prefixes, "id long, n long, map binary, tokens array<long>").join(reps, "id", "left_semi").dropDuplicates(["id"])
     heads = cut(heads)
     posted = heads.select("id", F.explode("tokens").alias("token"))
-    tokens = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"))
-    shared = cut(tokens.filter("m > 1"))
-    regions = cut(shared.groupBy("m", "x", "first").agg(F.min("token").alias("token")).select("token", "m"))
-    members = cut(posted.join(regions, "token").select(F.col("token").alias("region"), "m", "id"))
-
-    # small regions: send home whoever has no plausible partner, looking at sizes and parity maps alone
+    # shingles of two documents or more; a bitmap of fixed size keeps most of the others from a second shuffle
+    shared = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"))
+    open_ = maybe_in(posted, F.col("token"), hash_filter(shared, F.col("token"), _BITS), "_open", _BITS).filter("_open").select("token", "id")
+    tokens = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"), F.max("id").alias("last"))
+    regions = cut(tokens.filter("m > 1").groupBy("m", "x", "first", "last").agg(F.min("token").alias("token")))
+    members = cut(open_.join(regions.filter("m > 2").select("token", "m"), "token").select(F.col("token").alias("region"), "m", "id"))
+    wide = cut(members.groupBy("id").agg(F.array_sort(F.collect_set("region")).alias("regions")))
+
+    # send home whoever has no plausible partner, looking at sizes and parity maps alone
     def sift(region: pd.DataFrame) -> pd.DataFrame:
-        keep = _plausible(region["n"].to_numpy(np.int64), list(region["map"]), percent)
-        return region.loc[keep, ["region", "m", "id"]]
+        earlier = _earlier(int(region["region"].iloc[0]), list(region["regions"]))
+        keep = _plausible(region["n"].to_numpy(np.int64), list(region["map"]), percent, earlier)
+        return region.loc[keep, ["region", "id"]]
 
-    likely = members.filter(F.col("m") <= small).join(heads.select("id", "n", "map"), "id").groupBy("region").applyInPandas(sift, "region long, m long, id long")
-    likely = cut(likely.unionByName(members.filter(F.col("m") > small)))
+    def sift_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n, m = batch["n"].to_numpy(np.int64), batch["n2"].to_numpy(np.int64)
+            common = (percent * (n + m) + 99 + percent) // (100 + percent)
+            ok = common <= np.minimum(n, m)
+            for k in np.flatnonzero(ok).tolist():
+                one, two = batch["map"].iloc[k], batch["map2"].iloc[k]
+                both = _folded([one, two], min(len(one), len(two)))
+                ok[k] = _ONES[both[0] ^ both[1]].sum() <= n[k] + m[k] - 2 * common[k]
+            yield batch.loc[ok, ["first", "last"]]
+
+    short = heads.select("id", "n", "map")
+    pairs = regions.filter("m = 2").select("first", "last").distinct()
+    pairs = pairs.join(short.select(F.col("id").alias("first"), "n", "map"), "first").join(short.select(F.col("id").alias("last"), F.col("n").alias("n2"), F.col("map").alias("map2")), "last")
+    pairs = cut(pairs.select("first", "last", "n", "map", "n2", "map2").mapInPandas(sift_pairs, "first long, last long"))
+    pairs = pairs.select(F.xxhash64("first", "last").alias("region"), F.explode(F.array("first", "last")).alias("id"), F.lit(False).alias("crowd"))
+    likely = members.filter(F.col("m") <= small).select("region", "id").join(short, "id").join(wide, "id").groupBy("region").applyInPandas(sift, "region long, id long")
+    likely = likely.withColumn("crowd", F.lit(False)).unionByName(members.filter(F.col("m") > small).select("region", "id", F.lit(True).alias("crowd")))
+    likely = cut(likely.unionByName(pairs))
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -246,20 +286,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = shingle_sets(list(batch["text"]), words)
             yield pd.DataFrame({"id": batch["id"].astype("int64"), "shingles": [s.view(np.int64) for s in sets]})
 
-    wanted = likely.groupBy("id").agg(F.array_sort(F.collect_set("region")).alias("regions"))
-    # the texts meet the ids wanted in one shuffle; sets are made behind it, so only those of wanted documents exist
-    sets = rows.join(wanted.withColumnRenamed("regions", "_r"), "id", "left_semi").mapInPandas(full, "id long, shingles array<long>")
-    sets = cut(sets.dropDuplicates(["id"]).join(wanted, "id"))
+    wanted = cut(likely.select("id").distinct())
+    # of the texts, only those wanted are shuffled, and made into sets behind the join
+    near = maybe_in(rows, F.col("id"), hash_filter(wanted, F.col("id")), "_near").filter("_near").select("id", "text")
+    sets = cut(near.join(wanted, "id", "left_semi").mapInPandas(full, "id long, shingles array<long>").dropDuplicates(["id"]))
 
     def settle(region: pd.DataFrame) -> pd.DataFrame:
         own = [np.asarray(s, np.int64).view(np.uint64) for s in region["shingles"]]
         return _stars(region["id"].to_numpy(np.int64), region_join(own, np.ones(len(own), bool), percent))
 
-    near = likely.filter(F.col("m") <= small).select("region", "id").join(sets.select("id", "shingles"), "id")
-    links = near.groupBy("region").applyInPandas(settle, "a long, b long")
-    crowd = likely.filter(F.col("m") > small).select("region", "id")
+    links = likely.filter("not crowd").select("region", "id").join(sets, "id").groupBy("region").applyInPandas(settle, "a long, b long")
+    crowd = likely.filter("crowd").select("region", "id")
     if not crowd.isEmpty():
-        links = links.unionByName(_crowds(crowd, sets, percent, block))
+        links = links.unionByName(_crowds(crowd, sets.join(wide, "id"), percent, block))
     comps = connected_components(links)
     named = classes.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = cut(named.select("fa", "fb", F.coalesce("component", "rep").alias("component_id")))
@@ -321,15 +360,7 @@ def _crowds(crowd: DataFrame, sets: DataFrame, percent: int, block: int) -> Data
         asks = part["asks"].to_numpy(bool)
         own = [np.asarray(s, np.int64).view(np.uint64) for s in part["shingles"]]
         away = np.stack([np.asarray(x, float) for x in part["away"]])
-        # a pair that shares a region with a smaller number is settled there
-        lower: dict[int, list[int]] = {}
-        for k, own_regions in enumerate(part["regions"]):
-            for r in own_regions:
-                if r < g:
-                    lower.setdefault(int(r), []).append(k)
-        flags = np.zeros((m, max(1, len(lower))), np.float32)
-        for c, at in enumerate(lower.values()):
-            flags[at, c] = 1
+        flags = _earlier(g, list(part["regions"]))
         sizes, radius = np.array([len(s) for s in own]), 1 - percent / 100 + 1e-9
         forest = _Forest(m)
         for q in np.flatnonzero(asks).tolist():

@@ -7,7 +7,7 @@ import numpy as np
 
 def dense_ranks(keys: np.ndarray) -> np.ndarray:
     """For each key the number of smaller keys: equal keys share a rank, which is their first place in sorted order."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     ranks = np.empty(len(keys), np.int64)
@@ -30,7 +30,7 @@ def suffix_array(first: np.ndarray, room: np.ndarray, width: int = 1, cap: int =
         ahead = np.zeros(len(active), np.int64)
         inside = room[active] > w
         ahead[inside] = now[active[inside] + w] + 1
-        order = np.lexsort((ahead, now[active]))
+        order = np.argsort(now[active] << 31 | ahead)
         at, old, nxt = active[order], now[active][order], ahead[order]
         group = np.concatenate(([True], old[1:] != old[:-1]))
         sub = group | np.concatenate(([True], nxt[1:] != nxt[:-1]))
@@ -43,7 +43,7 @@ def suffix_array(first: np.ndarray, room: np.ndarray, width: int = 1, cap: int =
         active = at[np.repeat(size, size) > 1]
         w *= 2
         levels.append((w, now))
-    order = np.argsort(now, kind="stable")
+    order = np.argsort(now)
     lcp = np.zeros(n, np.int64)
     a, b, k = order[:-1].copy(), order[1:].copy(), np.arange(1, n)
     for w, ranks in reversed(levels):

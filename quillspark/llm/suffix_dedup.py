@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,17 +71,17 @@ def repeated_starts(groups: np.ndarray, texts: list[bytes], more: np.ndarray, le
     and for each interval whose occurrences are preceded by different bytes (or begin a segment) the group, the common
     length in whole symbols and all occurrences as (segment, start).
     """
-    block = math.gcd(length, 8)  # bytes that the array takes as one symbol to begin with
+    block = length // 4 if length % 4 == 0 else 1  # bytes that the array takes as one symbol to begin with
     sizes = np.array([len(t) for t in texts])
     base = np.concatenate(([0], np.cumsum(sizes + block)))
     data = np.frombuffer(b"".join([t + b"\0" * block for t in texts]), np.uint8)
     of = np.repeat(np.arange(len(texts)), sizes + block)
     n = len(data)
     room = np.maximum(base[of] + sizes[of] - np.arange(n), 0)
-    symbol = np.zeros(n, np.uint64)
-    for b in range(block):
-        symbol[: n - b] = symbol[: n - b] * np.uint64(256) + data[b:]
-    symbol = mixed(mixed(symbol) ^ groups[of].view(np.uint64))
+    total, down = _totals(data)
+    at = np.arange(n)
+    symbol = _hashes(total, down, at, np.minimum(at + block, n))
+    symbol = mixed(symbol ^ groups[of].view(np.uint64))
     symbol[room < block] = np.arange((room < block).sum(), dtype=np.uint64)  # no suffix goes on past its segment
     order, lcp = suffix_array(dense_ranks(symbol), room, block, length)
     found = np.zeros(n + 1, bool)

@@ -159,7 +159,7 @@ def main_text(html: str | None, template: frozenset[int]) -> str:
         return "\n".join(b[0] for b in inside)
     weight: Counter[tuple[int, int]] = Counter()
     for text, _, paths, _, _ in left:
-        for depth, path in enumerate(paths):
+        for depth, path in enumerate(paths[:-1]):  # not the element of the text itself: all paragraphs share a path
             weight[depth, path] += len(text)
     total = sum(len(b[0]) for b in left)
     enough = [k for k, w in weight.items() if w >= 0.6 * total]
@@ -179,11 +179,11 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     """
     host = F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     known = cut(deduce_templates(pages.select(host.alias("_host"), html_col), "_host", html_col, min_pages, min_share, min_tokens))
-    rows = pages.drop("text").withColumn("_host", host).join(known.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
+    kept = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "text"])
+    rows = pages.select(kept.alias("row"), F.col(html_col).alias("html"), host.alias("host")).join(known, "host", "left")
 
     @F.pandas_udf("string")
     def extract(htmls: pd.Series, templates: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, frozenset(() if t is None else (int(x) for x in t))) for h, t in zip(htmls, templates, strict=True)], dtype=object)
 
-    kept = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
-    return rows.select(*kept, extract(F.col(html_col), F.col("_template")).alias("text"))
+    return rows.select("row.*", extract("html", "template").alias("text"))

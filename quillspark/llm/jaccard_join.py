@@ -240,7 +240,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 else:
                     first = s[:n]
                 ids.append(int(i)), tokens.append(first.view(np.int64)), sizes.append(len(s)), maps.append(_parity(s))
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "map": maps, "tokens": tokens})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "map": pd.Series(maps, dtype=object), "tokens": pd.Series(tokens, dtype=object)})
 
     reps = classes.select(F.col("rep").alias("id"))
     heads = rows.mapInPandas(prefixes, "id long, n long, map binary, tokens array<long>").join(reps, "id", "left_semi").dropDuplicates(["id"])
@@ -284,7 +284,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             batch = batch[batch["id"].notna()]
             sets = shingle_sets(list(batch["text"]), words)
-            yield pd.DataFrame({"id": batch["id"].astype("int64"), "shingles": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"id": batch["id"].to_numpy("int64"), "shingles": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
 
     wanted = cut(likely.select("id").distinct())
     # of the texts, only those wanted are shuffled, and made into sets behind the join

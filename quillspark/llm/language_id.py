@@ -116,4 +116,4 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     clean = docs.drop("lang_pred", "score")
-    return clean.withColumn("_p", predict(F.col(text_col))).select(*[F.col(f"`{c}`") for c in clean.columns], "_p.lang_pred", "_p.score")
+    return clean.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("found")).select("row.*", "found.*")

@@ -47,9 +47,9 @@ def domain_posteriors(docs: DataFrame, model: tuple[list[str], list[float], Data
     head = ["_id", "_row", *keep]
     hashed = rows.select(*head, F.size("_w").cast("long").alias("n_tokens"), F.explode_outer("_w").alias("_x")).withColumn("bucket", F.pmod(F.xxhash64("_x"), F.lit(buckets)))
     joined = hashed.join(F.broadcast(table), "bucket", "left")
-    sums = joined.groupBy(*head, "n_tokens").agg(*[F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.get("logs", F.lit(i)))), F.lit(0.0)).alias(f"s{i}") for i in range(k)])
+    sums = joined.groupBy(*head, "n_tokens").agg(*[F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.get("logs", F.lit(i)))), F.lit(0.0)).alias(f"s{i}") for i in range(k)] or [F.lit(0).alias("s")])
     weight = F.least(F.lit(1.0), F.lit(64.0) / F.greatest("n_tokens", F.lit(1)))
-    scores = F.array(*[F.col(f"s{i}") * weight + F.lit(priors[i]) for i in range(k)])
+    scores = F.array(*[F.col(f"s{i}") * weight + F.lit(priors[i]) for i in range(k)]).cast("array<double>")
     raised = sums.withColumn("_s", scores).withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.array_max("_s"))))
     share = F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
     return raised.select("_id", *keep, "n_tokens", share.alias("posterior"))

@@ -9,6 +9,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import WORD, cut
+
 # The standard notice or opening sentence of each licence, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -46,6 +48,22 @@ def template_weights(templates: dict[str, str]) -> tuple[list[tuple[str, str, fl
     return rows, idf, 1 + math.log(1 + n)
 
 
+def anchor_terms(weights: list[tuple[str, str, float]], threshold: float) -> list[str]:
+    """Terms of which a line must hold one to reach threshold with any template.
+
+    By Cauchy and Schwarz the squared cosine is at most the squared weight of the template's terms that the line has; the
+    lightest terms of a template, as long as their squares stay below threshold**2, cannot reach it alone.
+    """
+    anchors = set()
+    for name in {n for _, n, _ in weights}:
+        mass = 0.0
+        for w, t in sorted((w, t) for t, n, w in weights if n == name):
+            mass += w * w
+            if mass >= (threshold - 1e-5) ** 2:
+                anchors.add(t)
+    return sorted(anchors)
+
+
 def license_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -64,39 +82,43 @@ def license_scan(
     license, score 0, origin `none`). A directory with several licence files takes the best score, then the first name.
     Null or empty texts and paths have no licence lines and no directory (""). Repeated rows with one id and path are one
     document for inheritance and stay separate rows. Extra columns are ignored; no rows give no rows. Idf comes from the
-    templates alone, a list of fixed size, which is also all that is broadcast. Only lines that share two different
-    terms with a template are scored: a single common term cannot reach the threshold unless the line is that term.
+    templates alone, a list of fixed size, which is also all that is broadcast. Only lines with an anchor term (see
+    anchor_terms) and enough mass in the templates' terms leave the scan; no other line can reach the threshold. A row with a null id has no licence of its own.
     """
     spark = docs.sparkSession
     weights, idf, other = template_weights(templates or TEMPLATES)
     table = F.broadcast(spark.createDataFrame(weights, "term string, license string, weight double"))
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    vocabulary = F.array(*[F.lit(t) for t in sorted(idf)])
-    path = F.coalesce(F.col(path_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), path.alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    lines = rows.select("_id", "_path", F.posexplode(F.split("_text", "\n")).alias("_line", "_s"))
-    lines = lines.select("_id", "_path", "_line", F.regexp_extract_all(F.lower("_s"), F.lit(_TOKEN), F.lit(0)).alias("_t"))
-    lines = lines.filter(F.size(F.array_intersect("_t", vocabulary)) >= F.least(F.lit(2), F.size(F.array_distinct("_t")))).filter(F.size("_t") > 0)
+    anchors = F.array(*[F.lit(t) for t in anchor_terms(weights, threshold)])
+    folder = F.regexp_replace("_path", "/?[^/]*$", "")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(path_col), F.lit("")).alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    light = cut(rows.select("_id", "_path", folder.alias("_folder"), F.regexp_count("_text", F.lit(WORD)).cast("long").alias("_n")))
+    # the terms leave the generator as a column: in a projection, each of the filters would extract them again
+    terms = F.transform(F.split("_text", "\n"), lambda s: F.regexp_extract_all(F.lower(s), F.lit(_TOKEN), F.lit(0)))
+    lines = rows.select("_id", "_path", F.posexplode(terms).alias("_line", "_t")).filter(F.arrays_overlap("_t", anchors))
+    # what a line holds besides the templates' terms only lengthens it: the mass inside must allow the threshold
+    vocabulary, idfs = F.array(*[F.lit(t) for t in sorted(idf)]), F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
+    inside = F.aggregate(F.array_intersect("_t", vocabulary), F.lit(0.0), lambda m, t: m + F.pow((F.size("_t") - F.size(F.array_remove("_t", t))) * F.element_at(idfs, t), F.lit(2.0)))
+    outside = F.size(F.array_except("_t", vocabulary)) * F.lit(other**2)
+    least = (threshold - 1e-5) ** 2
+    lines = lines.filter(inside * F.lit(1 - least) >= outside * F.lit(least))
     tf = lines.select("_id", "_path", "_line", F.size("_t").alias("_words"), F.explode("_t").alias("term")).groupBy("_id", "_path", "_line", "_words", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    tf = tf.join(known, "term", "left").withColumn("_w", F.col("_tf") * F.coalesce("idf", F.lit(other)))
+    tf = cut(tf.join(known, "term", "left").withColumn("_w", F.col("_tf") * F.coalesce("idf", F.lit(other))))
     line = ["_id", "_path", "_line"]
     norms = tf.groupBy(*line).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"), F.max("_words").alias("_words"))
     dots = tf.join(table, "term").groupBy(*line, "license").agg(F.sum(F.col("_w") * F.col("weight")).alias("_dot"))
     scored = dots.join(norms, line).select(*line, "_words", "license", F.round(F.col("_dot") / F.col("_norm"), 6).alias("score")).filter(F.col("score") >= threshold)
     best = scored.groupBy(*line).agg(F.max("_words").alias("_words"), F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("_b"))
-    own = best.groupBy("_id", "_path").agg(F.min("_b").alias("_b"), F.count(F.lit(1)).alias("n_license_lines"), F.sum("_words").alias("_words"))
-    total = F.size(F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    light = rows.select("_id", "_path", total.cast("long").alias("_n"))
-    found = light.join(own, ["_id", "_path"], "left").withColumn("license_share", F.coalesce(F.col("_words") / F.greatest("_n", F.lit(1)), F.lit(0.0)))
-    folder = F.regexp_replace("_path", "/?[^/]*$", "")
-    declared = own.join(light, ["_id", "_path"], "left_semi").join(light.dropDuplicates(["_id", "_path"]), ["_id", "_path"])
-    declared = declared.filter(F.col("_words") >= F.lit(file_share) * F.greatest("_n", F.lit(1))).groupBy(folder.alias("_dir")).agg(F.min("_b").alias("_d"))
-    # from the document's own directory up to the root: one row per ancestor, joined by path
-    parts = F.split(folder, "/")
+    own = cut(best.groupBy("_id", "_path").agg(F.min("_b").alias("_b"), F.count(F.lit(1)).alias("n_license_lines"), F.sum("_words").alias("_words")))
+    found = cut(light.join(own, ["_id", "_path"], "left").withColumn("license_share", F.coalesce(F.col("_words") / F.greatest("_n", F.lit(1)), F.lit(0.0))))
+    files = found.filter(F.col("_words") >= F.lit(file_share) * F.greatest("_n", F.lit(1)))
+    declared = files.groupBy(F.col("_folder").alias("_dir")).agg(F.min("_b").alias("_d"))
+    # from each directory up to the root: one row per ancestor, joined by path
+    parts = F.split("_folder", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    homes = light.select("_path").distinct().select("_path", F.posexplode(F.array_distinct(F.concat(F.array(F.lit("")), up))).alias("_depth", "_dir"))
-    nearest = homes.join(declared, "_dir").groupBy("_path").agg(F.max_by(F.struct("_dir", "_d"), "_depth").alias("_near"))
-    out = found.join(nearest, "_path", "left")
+    homes = found.select("_folder").distinct().select("_folder", F.posexplode(F.array_distinct(F.concat(F.array(F.lit("")), up))).alias("_depth", "_dir"))
+    nearest = cut(homes.join(declared, "_dir").groupBy("_folder").agg(F.max_by(F.struct("_dir", "_d"), "_depth").alias("_near")))
+    out = found.join(nearest, "_folder", "left")
     mine = F.col("_b").isNotNull()
     origin = F.when(mine, "own").when(F.col("_near").isNotNull(), "inherited").otherwise("none")
     return out.select(

@@ -33,8 +33,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    gone = jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
+    gone = jaccard_components(docs, words=5, percent=80).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

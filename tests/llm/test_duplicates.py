@@ -119,13 +119,13 @@ def test_repetition_quality_matches_brute_force(spark):
         assert got[i]["kept"] == (not want[8] and want[7] <= 0.3 * want[0] and want[6] <= 100)
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = WORD.findall((text or "").translate(LOWER))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def components_by_force(ids, texts):
-    sets, up = list(map(shingles, texts)), list(range(len(texts)))
+def components_by_force(ids, texts, words=4, percent=85):
+    sets, up = [shingles(t, words) for t in texts], list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
@@ -134,7 +134,7 @@ def components_by_force(ids, texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
     least = {}
     for i in range(len(texts)):

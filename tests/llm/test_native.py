@@ -146,7 +146,7 @@ def test_pipeline(spark):
     assert not any(any(map(str.isalpha, t or "")) and len(t.split()) > 50 for t in rejected["text"])
     want = lang.assign(key=lang["text"].str.translate(LOWER)).groupby("key")["doc_id"].max()
     assert set(exact["doc_id"]) == set(want)
-    parts = components_by_force(list(exact["doc_id"]), list(exact["text"]))
+    parts = components_by_force(list(exact["doc_id"]), list(exact["text"]), 5, 80)
     assert set(near["doc_id"]) == {c for _, c in parts.values()}
     again = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, again.select("doc_id", "n_tokens").collect())) == sorted(zip(last["doc_id"], last["n_tokens"], strict=True))

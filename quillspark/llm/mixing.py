@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,37 +56,66 @@ def domain_posteriors(docs: DataFrame, model: tuple[list[str], list[float], Data
     return raised.select("_id", *keep, "n_tokens", share.alias("posterior"))
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """The rate after these steps from rate 1: r <- max(0, r - posterior . step), one after the other."""
-    if not steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.aggregate(F.zip_with("posterior", F.array(*map(F.lit, s)), lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b) for s in steps])
-    return F.aggregate(moves, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - m))
+def _rate(pull: list[float]) -> Column:
+    """max(_floor, 1 - posterior . pull): the rate at the multipliers `pull`, one number per domain."""
+    return F.greatest(F.col("_floor"), F.lit(1.0) - _dot(pull))
 
 
-def fit_rates(weighted: DataFrame, shares: list[float], iterations: int, tolerance: float, total_tokens: float | None = None) -> tuple[list[list[float]], list[float]]:
-    """Projected gradient for min || sum_i r_i n_i p_i - T ||^2 over r >= 0; the steps taken and the final domain totals.
+def _dot(pull: list[float]) -> Column:
+    return sum((F.get("posterior", F.lit(i)) * F.lit(float(x)) for i, x in enumerate(pull)), F.lit(0.0))
 
-    weighted: n_tokens, posterior. Each step is one aggregation over all documents: the residual of the totals, scaled
-    by the domain's mass under the rates now above zero. The scaling is diagonal, so the projection stays coordinate-wise.
-    """
-    k = len(shares)
 
-    def totals(steps: list[list[float]]) -> tuple[list[float], list[float]]:
-        part = weighted.select("posterior", (F.col("n_tokens") * _rate(steps)).alias("m"), F.when(_rate(steps) > 0, F.col("n_tokens")).otherwise(0).alias("open"))
-        got = part.agg(*[F.sum(F.col("m") * F.get("posterior", F.lit(i))).alias(f"t{i}") for i in range(k)], *[F.sum(F.col("open") * F.get("posterior", F.lit(i))).alias(f"o{i}") for i in range(k)]).first()
-        return [got[f"t{i}"] or 0.0 for i in range(k)], [got[f"o{i}"] or 0.0 for i in range(k)]
+def fit_rates(weighted: DataFrame, target: list[float], goal: float, iterations: int, tolerance: float) -> tuple[list[float], float]:
+    """Multipliers of the rates (see _rate) whose totals come nearest to target, and the largest gap left, as a share of goal.
 
-    steps: list[list[float]] = []
-    now, mass = totals(steps)
-    goal = total_tokens if total_tokens is not None else sum(now)
-    target = [s * goal for s in shares]
-    for _ in range(iterations):
-        if goal <= 0 or max((abs(a - b) for a, b in zip(now, target, strict=True)), default=0.0) <= tolerance * goal:
+    weighted: n_tokens, posterior, _floor. Minimises |t - T|^2 / 2 + mu sum_i n_i (r_i - 1)^2 / 2 over r >= _floor, where t
+    and T are totals and targets as shares of goal: of all rates that come as near, those nearest to 1. Its dual has one
+    unknown per domain and is piecewise quadratic; each Newton round is one aggregation. mu starts at tolerance and falls
+    tenfold until the gap is within tolerance or hardly shrinks, five times at most: a gap that then remains is one no rates
+    can close, or only by extreme ones. Raises if `iterations` rounds do not reach the optimum.
+    """
+    k = len(target)
+    wanted = np.array(target) / goal
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, Hessian over the rates above their floors, and the value of the dual without its linear terms."""
+        x = F.lit(1.0) - _dot(list(pull))
+        low, free = F.col("_floor"), x > F.col("_floor")
+        rows = weighted.select("posterior", (F.col("n_tokens") * F.greatest(low, x)).alias("m"), F.when(free, F.col("n_tokens")).otherwise(0).alias("o"), (F.col("n_tokens") * F.when(free, x * x / 2).otherwise(low * x - low * low / 2)).alias("v"))
+        p = [F.get("posterior", F.lit(i)) for i in range(k)]
+        got = rows.agg(*[F.sum(F.col("m") * p[i]) for i in range(k)], *[F.sum(F.col("o") * p[i] * p[j]) for i, j in pairs], F.sum("v")).first()
+        found = np.array([x or 0.0 for x in got]) / goal
+        hess = np.zeros((k, k))
+        for (i, j), h in zip(pairs, found[k:-1], strict=True):
+            hess[i, j] = hess[j, i] = h
+        return found[:k], hess, float(found[-1])
+
+    pull, rounds, last = np.zeros(k), 1, math.inf
+    now, hess, value = at(pull)
+    for level in range(6):
+        mu = tolerance / 10**level
+        slope = wanted + mu * pull - now
+        while np.abs(slope).max() > tolerance / 100:
+            step = np.linalg.solve(hess + mu * np.eye(k), -slope)
+            before = value + wanted @ pull + mu / 2 * pull @ pull
+            for _ in range(40):
+                if rounds >= iterations:
+                    raise RuntimeError(f"the rates have not converged in {iterations} rounds: slope {np.abs(slope).max():.3g} of the goal")
+                rounds += 1
+                near = pull + step
+                now, hess, value = at(near)
+                slope = wanted + mu * near - now
+                # the dual is convex: still falling along the step, or lower than before, is progress
+                if slope @ step <= 0 or value + wanted @ near + mu / 2 * near @ near < before:
+                    break
+                step = step / 2
+            pull = near
+        gap = float(np.abs(now - wanted).max())
+        if gap <= tolerance or last - gap < tolerance / 10:
             break
-        steps.append([(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, target, mass, strict=True)])
-        now, mass = totals(steps)
-    return steps, now
+        last = gap
+    return [float(x) for x in pull], gap
 
 
 def mix_to_targets(
@@ -100,15 +130,21 @@ def mix_to_targets(
     buckets: int = 1 << 14,
     max_documents: int = 20_000,
     smoothing: float = 1.0,
-    iterations: int = 24,
+    iterations: int = 200,
     tolerance: float = 1e-4,
+    known: DataFrame | None = None,
+    protect: bool = False,
 ) -> DataFrame:
-    """One row per row of docs: id, columns `keep`, n_tokens, posterior (in order of domain name), rate and copies.
+    """One row per row of docs: id, columns `keep`, n_tokens, posterior (in order of domain name), rate, copies and gap.
 
     targets: share of the tokens that each domain of the labelled table shall have (domains not named: 0; shares are
     scaled to 1). total_tokens: what the mixture shall hold, by default what docs hold. rate: expected copies of a
     document; copies: rate rounded up or down by a hash of the id, so that its expectation is the rate and equal inputs
-    give equal results. Null or blank texts have no tokens and the prior as posterior; they take the rate it implies.
+    give equal results. gap: the largest difference between a domain's expected total and its target, as a share of the
+    goal; above tolerance where the targets cannot be met by rates of 0 or more (see fit_rates). known: id and domain of documents whose domain need not be predicted (null domains are ignored, of
+    several the first by name counts); their posterior is 1 there. protect: documents that lie mainly in a domain whose
+    target is no less than what docs hold of it get a rate of 1 or more, so only documents of the other domains are dropped
+    or thinned; targets that this puts out of reach show in gap. Null or blank texts have no tokens and the prior as posterior; they take the rate it implies.
     A labelled table without rows leaves all rates at 1 and posteriors empty. Repeated rows are treated alike; extra
     columns are dropped unless in keep. Only hashed word weights (buckets x domains) are broadcast.
     """
@@ -116,11 +152,22 @@ def mix_to_targets(
     soft = cut(domain_posteriors(docs, model, buckets, id_col, text_col, list(keep or [])))
     asked = [max(0.0, targets.get(d, 0.0)) for d in model[0]]
     shares = [a / sum(asked) for a in asked] if sum(asked) > 0 else []
-    steps, _ = fit_rates(soft, shares, iterations, tolerance, total_tokens) if shares else ([], [])
-    rate = F.round(_rate(steps), 6)
+    if known is not None and shares:
+        place = F.array_position(F.array(*map(F.lit, model[0])), F.col("_known"))
+        sure = F.array(*[F.when(place == i + 1, 1.0).otherwise(0.0) for i in range(len(shares))])
+        truth = known.filter(F.col(domain_col).isin(model[0])).groupBy(F.col(id_col).alias("_id")).agg(F.min(domain_col).alias("_known"))
+        soft = cut(soft.join(truth, "_id", "left").withColumn("posterior", F.when(F.col("_known").isNull(), F.col("posterior")).otherwise(sure)).drop("_known"))
+    held = soft.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))) for i in range(len(shares))]).first()
+    goal = total_tokens if total_tokens is not None else float(held[0] or 0)
+    target = [s * goal for s in shares]
+    wanted = [float(protect and t > 0 and t >= (h or 0)) for t, h in zip(target, held[1:], strict=True)]
+    mainly = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
+    soft = soft.withColumn("_floor", F.coalesce(F.get(F.array(*map(F.lit, wanted)), mainly), F.lit(0.0)) if any(wanted) else F.lit(0.0))
+    pull, gap = fit_rates(soft, target, goal, iterations, tolerance) if shares and goal > 0 else ([0.0] * len(shares), 0.0)
+    rate = F.round(_rate(pull), 6)
     lot = F.pmod(F.xxhash64(F.lit("copies"), F.col("_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = soft.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + lot).cast("long"))
-    return out.withColumnRenamed("_id", id_col)
+    out = soft.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + lot).cast("long")).withColumn("gap", F.lit(gap))
+    return out.drop("_floor").withColumnRenamed("_id", id_col)
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

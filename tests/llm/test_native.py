@@ -132,6 +132,18 @@ def test_mixing_reaches_targets_it_can_reach(spark):
     assert {r["rate"] for r in mix_to_targets(docs, labelled.filter("false"), {"a": 1.0}).collect()} == {1.0}
 
 
+def test_mixing_fit_converges_or_says_so(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labelled = labelled_domains(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = mix_to_targets(docs, labelled, queries.TARGETS).collect()
+    goal = sum(r["n_tokens"] for r in rows)
+    got = [sum(r["rate"] * r["n_tokens"] * r["posterior"][i] for r in rows) / goal for i in range(3)]
+    gap = max(abs(a - b) for a, b in zip(got, (0.9, 0.1, 0.0), strict=True))
+    assert gap <= 1.2e-4 and all(abs(r["gap"] - gap) < 1e-5 for r in rows)
+    with pytest.raises(RuntimeError, match="not converged"):
+        mix_to_targets(docs, labelled, queries.TARGETS, iterations=2)
+
+
 def test_pipeline(spark):
     kept = [spark.read.parquet(f"{SF}/documents.parquet")]
     for _, stage in corpus_pipeline.STAGES:

@@ -38,11 +38,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose rate gives them a copy. Rates above 1 keep one copy: repeats have just been removed."""
+def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates of docs by their labels or, where there is none, their posteriors; clean documents have at least 1."""
     labelled = labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = mix_to_targets(docs, labelled, TARGETS).filter(F.col("copies") < 1).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return mix_to_targets(docs, labelled, TARGETS, known=labelled, protect=True)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: each document as many times as its rate gives it copies."""
+    copies = mixing_rates(spark, docs, sf_dir).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.join(copies, "doc_id", "left").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("copies", F.lit(1)))))
+    return rows.select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,6 +144,22 @@ def test_mixing_fit_converges_or_says_so(spark):
         mix_to_targets(docs, labelled, queries.TARGETS, iterations=2)
 
 
+def test_pipeline_mixture_keeps_clean_documents_and_meets_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    written = Counter(r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, SF).select("doc_id").collect())
+    assert all(written[r["doc_id"]] >= 1 for r in labels if r["quality"] == 1 and not r["toxic"])
+    assert not any(written[r["doc_id"]] for r in labels if r["toxic"])
+    rows = corpus_pipeline.mixing_rates(spark, docs, SF).collect()
+    assert {r["doc_id"]: r["copies"] for r in rows if r["copies"]} == dict(written)
+    # whoever goes lies mainly in toxic; poor text is short of its target too
+    assert all(r["copies"] >= 1 or np.argmax(r["posterior"]) == 2 for r in rows)
+    total = sum(r["n_tokens"] for r in rows)
+    for i, share in enumerate((0.9, 0.1, 0.0)):
+        fitted, real = (sum(r[c] * r["n_tokens"] * r["posterior"][i] for r in rows) / total for c in ("rate", "copies"))
+        assert abs(fitted - share) <= rows[0]["gap"] + 1e-5 < 0.01 and abs(real - share) < 0.03
+
+
 def test_pipeline(spark):
     kept = [spark.read.parquet(f"{SF}/documents.parquet")]
     for _, stage in corpus_pipeline.STAGES:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,12 +86,16 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 text = text or ""
                 found, near = base_spans(text), []
-                taken = sorted(s for own in found.values() for s in own)
+                blank = _blanked(text, sorted(s for own in found.values() for s in own)) if any(found.values()) else ""
+                places = list(_TERM.finditer(blank))
+                starts, ends = [m.start() for m in places], [m.end() for m in places]
                 for kind in KINDS:
                     for a, b in found[kind]:
-                        # enough characters for the terms of the window; what is itself protected is no term
-                        left = [m.group().lower() for m in _TERM.finditer(_blanked(text, max(0, a - 24 * window), a, taken))][-window:]
-                        right = [m.group().lower() for m in _TERM.finditer(_blanked(text, b, b + 24 * window, taken))][:window]
+                        # the nearest whole words however far off; what is itself protected is no term
+                        low, high = _word_edges(text, blank, a, b)
+                        k, n = bisect_right(ends, low), bisect_left(starts, high)
+                        left = [m.group().lower() for m in places[max(0, k - window) : k]]
+                        right = [m.group().lower() for m in places[n : n + window]]
                         if left or right:
                             entity = kind + ":" + re.sub(r"[ ().-]", "", text[a:b].lower()) if kind in ("card", "phone") else kind + ":" + text[a:b].lower()
                             near.append({"entity": _term_hash(entity), "context": _term_hash(" ".join([*left, "|", *right])), "terms": sorted({*left, *right})})
@@ -104,24 +109,33 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
     return rows.mapInPandas(scan, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>, mentions array<struct<entity:long,context:long,terms:array<string>>>")
 
 
-def _blanked(text: str, a: int, b: int, taken: list[tuple[int, int]]) -> str:
-    """text[a:b] with protected spans blanked out and without the words that a or b cuts in two."""
-    part = text[a:b]
+def _blanked(text: str, taken: list[tuple[int, int]]) -> str:
+    """text, at its length, with protected spans (in order) blanked out."""
+    out, at = [], 0
     for s, e in taken:
-        if s < b and e > a:
-            s, e = max(s, a) - a, min(e, b) - a
-            part = part[:s] + " " * (e - s) + part[e:]
-    if a and part and text[a - 1].isalnum():
-        part = re.sub(r"^\w+", lambda m: " " * len(m.group()), part)
-    if b < len(text) and part and text[b].isalnum():
-        part = re.sub(r"\w+$", "", part)
-    return part
+        if e > at:
+            s = max(s, at)
+            out += [text[at:s], " " * (e - s)]
+            at = e
+    return "".join([*out, text[at:]])
+
+
+def _word_edges(text: str, blank: str, a: int, b: int) -> tuple[int, int]:
+    """a and b moved outwards over the rest of a word that the span cuts in two."""
+    if text[a].isalnum():
+        while a and (blank[a - 1].isalnum() or blank[a - 1] == "_"):
+            a -= 1
+    if text[b - 1].isalnum():
+        while b < len(blank) and (blank[b].isalnum() or blank[b] == "_"):
+            b += 1
+    return a, b
 
 
 def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, min_contexts: int, disclosure: float, bits: int = 1 << 22) -> DataFrame:
     """Terms (hash and text) that reveal an entity: PMI(term; entity) >= disclosure * IC(entity).
 
-    mentions: entity, context, terms. Probabilities are shares of all documents. A term counts for an entity once per
+    mentions: entity, context, terms. Probabilities are shares of all different texts, so copies of
+    a document count once. A term counts for an entity once per
     different context, so copies of one passage are one piece of evidence, and min_contexts pieces are needed.
     """
     spark = docs.sparkSession
@@ -132,17 +146,15 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, min_co
     # document frequencies of the candidate terms alone, by way of a bitmap of fixed size
     candidates = cut(pairs.select("term").distinct().withColumn("hash", F.xxhash64("term")))
     rows = candidates.select(F.pmod("hash", F.lit(bits)).alias("s")).groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect()
+    if not rows:
+        return candidates.select("hash", "term")
     shared = spark.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in rows})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, known = shared.value, {}
-        if not bitmap:
-            for batch in batches:
-                yield pd.DataFrame({"n_docs": [len(batch)], "hash": [0], "total": [True]})
-            return
         for batch in batches:
-            tally: dict[int, int] = {}
-            for text in batch["text"]:
+            texts, hashes = [], []
+            for key, text in zip(batch["key"], batch["text"], strict=True):
                 for term in {t.lower() for t in _TERM.findall(text or "")}:
                     h = known.get(term)
                     if h is None:
@@ -154,12 +166,12 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, min_co
                             known.clear()
                         known[term] = h
                     if h:
-                        tally[h] = tally.get(h, 0) + 1
-            yield pd.DataFrame({"n_docs": [len(batch), *tally.values()], "hash": [0, *tally], "total": [True] + [False] * len(tally)})
+                        texts.append(key), hashes.append(h)
+            yield pd.DataFrame({"key": texts, "hash": hashes})
 
-    counts = cut(docs.select(F.col(text_col).alias("text")).mapInPandas(count, "n_docs long, hash long, total boolean").groupBy("hash", "total").agg(F.sum("n_docs").alias("n_docs")))
-    total = counts.filter("total").agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()["n"]
-    df = counts.filter("not total").select("hash", F.col("n_docs").alias("n_term"))
+    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    total = keyed.select("key").distinct().count()
+    df = cut(keyed.mapInPandas(count, "key long, hash long").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_term")))
     scored = pairs.join(candidates, "term").join(df, "hash")
     pmi = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))

@@ -11,7 +11,7 @@ from quillspark.llm import queries
 from quillspark.llm.bpe import Decoder, Encoder, Vocabulary, bpe_decode, bpe_encode
 from quillspark.llm.html_extract import extract_main_text
 from quillspark.llm.language_id import identify_language, train_language_model
-from quillspark.llm.sanitise import KINDS, base_spans, personal_data, redacted
+from quillspark.llm.sanitise import KINDS, base_spans, find_base, personal_data, redacted
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -148,6 +148,19 @@ def test_terms_that_disclose_are_marked(spark):
     assert personal_data(copies).select(F.explode("spans").alias("s")).filter("s.kind = 'term'").isEmpty()
 
 
+def test_copied_documents_do_not_hide_a_disclosing_term(spark):
+    rare = [f"case{chr(97 + k)} xanthippe wrote via x@secret.org today nr {k}" for k in range(6)]
+    texts = rare + [f"the weather was fine and today we walked far, part {k}" for k in range(60)] + [rare[0]] * 200
+    rows = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    marked = {texts[r["doc_id"]][s["start"] : s["end"]] for r in rows for s in r["spans"] if s["kind"] == "term"}
+    assert "xanthippe" in marked and "today" not in marked
+
+
+def test_context_reaches_the_window_over_any_distance(spark):
+    docs = spark.createDataFrame([(1, "alpha " + "- " * 150 + "x@secret.org" + " 7" * 150 + " omega")], "doc_id long, text string")
+    assert find_base(docs, "doc_id", "text", 8).first()["mentions"][0]["terms"] == ["alpha", "omega"]
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([("ask Ann at a@b.cd now", [("email", 11, 17), ("term", 4, 7)]), (None, None)], "text string, spans array<struct<kind:string,start:long,end:long>>")
     assert [r["sanitised"] for r in redacted(rows).collect()] == ["ask  at [EMAIL] now", ""]

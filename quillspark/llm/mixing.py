@@ -17,13 +17,22 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _SPLIT), lambda w: w != "")
 
 
-def train_domain_model(labelled: DataFrame, text_col: str, domain_col: str, buckets: int, max_documents: int, smoothing: float) -> tuple[list[str], list[float], DataFrame]:
-    """Multinomial naive Bayes over hashed words, from at most max_documents labelled rows (the least by hash of text).
+def labelled_sample(labelled: DataFrame, key_col: str, domain_col: str, max_documents: int) -> DataFrame:
+    """At most max_documents labelled rows, those whose keys hash least; of the rest, only a margin reaches the last sort."""
+    rows = labelled.filter(F.col(key_col).isNotNull() & F.col(domain_col).isNotNull()).withColumn("_lot", F.pmod(F.xxhash64(F.lit("sample"), F.col(key_col)), F.lit(1 << 30)))
+    n = rows.count()
+    if n > max_documents:
+        rows = rows.filter(F.col("_lot") < int((1 << 30) * min(1.0, (max_documents + 8 * math.sqrt(max_documents)) / n)))
+        rows = rows.orderBy("_lot", key_col, domain_col).limit(max_documents)
+    return rows.drop("_lot")
+
+
+def train_domain_model(labelled: DataFrame, text_col: str, domain_col: str, buckets: int, smoothing: float) -> tuple[list[str], list[float], DataFrame]:
+    """Multinomial naive Bayes over hashed words of the labelled texts.
 
     Returns the domains in order, their log priors, and bucket -> log probabilities: a table of `buckets` rows at most.
     """
     rows = labelled.select(F.col(domain_col).alias("_domain"), F.col(text_col).alias("_text")).dropna()
-    rows = cut(rows.orderBy(F.xxhash64("_text"), "_domain").limit(max_documents))
     sizes = {r["_domain"]: r["n"] for r in rows.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(sizes)
     words = rows.select("_domain", F.explode(_words(F.col("_text"))).alias("w")).select("_domain", F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("bucket"))
@@ -137,7 +146,8 @@ def mix_to_targets(
 ) -> DataFrame:
     """One row per row of docs: id, columns `keep`, n_tokens, posterior (in order of domain name), rate, copies and gap.
 
-    targets: share of the tokens that each domain of the labelled table shall have (domains not named: 0; shares are
+    labelled: domain and text, or domain and id, whose texts are then those of docs; the classifier is fitted on at most
+    max_documents of its rows. targets: share of the tokens that each domain of the labelled table shall have (domains not named: 0; shares are
     scaled to 1). total_tokens: what the mixture shall hold, by default what docs hold. rate: expected copies of a
     document; copies: rate rounded up or down by a hash of the id, so that its expectation is the rate and equal inputs
     give equal results. gap: the largest difference between a domain's expected total and its target, as a share of the
@@ -148,7 +158,12 @@ def mix_to_targets(
     A labelled table without rows leaves all rates at 1 and posteriors empty. Repeated rows are treated alike; extra
     columns are dropped unless in keep. Only hashed word weights (buckets x domains) are broadcast.
     """
-    model = train_domain_model(labelled, text_col, domain_col, buckets, max_documents, smoothing)
+    if text_col in labelled.columns:
+        sample = labelled_sample(labelled.select(domain_col, text_col), text_col, domain_col, max_documents)
+    else:
+        chosen = cut(labelled_sample(labelled.select(id_col, domain_col), id_col, domain_col, max_documents))
+        sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    model = train_domain_model(sample, text_col, domain_col, buckets, smoothing)
     soft = cut(domain_posteriors(docs, model, buckets, id_col, text_col, list(keep or [])))
     asked = [max(0.0, targets.get(d, 0.0)) for d in model[0]]
     shares = [a / sum(asked) for a in asked] if sum(asked) > 0 else []
@@ -171,6 +186,6 @@ def mix_to_targets(
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Texts with the domain that the table of labels gives them: toxic, poor (quality 0) or good."""
+    """Ids of docs with the domain that the table of labels gives them: toxic, poor (quality 0) or good."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
-    return docs.select(id_col, "text").join(labels.select(id_col, domain.alias("domain")), id_col)
+    return labels.select(id_col, domain.alias("domain")).join(docs.select(id_col), id_col, "left_semi")

@@ -43,21 +43,22 @@ def ascii_lower(text: Column) -> Column:
 
 
 def hash_filter(keys: DataFrame, key: Column, bits: int = 1 << 22) -> DataFrame:
-    """A bitmap of fixed size over hashed keys: at most bits / 32768 rows of 4 KB, whatever the number of keys.
+    """A bitmap of fixed size over hashed keys: at most bits / 32768 rows of 1024 words of 32 bits, for any number of keys.
 
     It lets no key through unseen but may let others pass, so it only saves work ahead of an exact step.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    return keys.select(slot.alias("_slot")).groupBy(F.expr("_slot div 32768").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_slot") % 32768).alias("_bitmap"))
+    maps = keys.select(slot.alias("_slot")).groupBy(F.expr("_slot div 32768").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_slot") % 32768).alias("_bitmap"))
+    return maps.select("_bucket", F.expr("transform(sequence(0, 1023), k -> cast(conv(hex(substring(_bitmap, k * 4 + 1, 4)), 16, 10) as bigint))").alias("_words"))
 
 
 def maybe_in(rows: DataFrame, key: Column, bitmap: DataFrame, flag: str, bits: int = 1 << 22) -> DataFrame:
     """rows with a boolean column flag: false where key is certainly not among the keys of bitmap."""
     rows = rows.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_bucket", F.expr("_slot div 32768"))
     rows = rows.join(F.broadcast(bitmap), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast((_slot % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("1") == F.getbit(byte, (F.col("_slot") % 8).cast("int"))
-    return rows.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_slot", "_bucket", "_bitmap")
+    # bit p of the map is bit p % 8 of byte p div 8, and words hold their bytes from the left
+    hit = F.expr("(shiftright(get(_words, cast((_slot % 32768) div 32 as int)), cast((3 - _slot % 32 div 8) * 8 + _slot % 8 as int)) & 1) = 1")
+    return rows.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_slot", "_bucket", "_words")
 
 
 # --- numpy over the bytes of many texts at once -------------------------------------------------------------------

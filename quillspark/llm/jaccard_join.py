@@ -1,4 +1,11 @@
-"""Exact Jaccard join of word n-gram sets as a metric-space join: regions, pivots and triangle-inequality windows."""
+"""Exact Jaccard join of word n-gram sets as a metric-space join: pivots, Voronoi regions and triangle-inequality windows.
+
+A sample of documents gives a tree of pivots (PivotTree). It splits the whole table into Voronoi regions by Jaccard
+distance, level by level; documents near a boundary are replicated into every region that the triangle inequality does
+not rule out, so that two documents that link meet in one region at least. Documents that link with a pivot are settled
+at once. What remains of a region meets by shared shingles (the first few of each document, rare ones first, which linked
+documents cannot all miss), is sifted by parity maps, and compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -14,10 +21,7 @@ from quillspark.llm.common import blocks_of, cut, hash_filter, maybe_in, mixed,
 from quillspark.llm.components import connected_components
 
 _SKETCH = 1 << 22  # buckets of a task's sketch of frequent shingles
-_BITS = 1 << 24  # of the bitmap of shared shingles
-
-
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+_FAR = -1  # the region of documents that are near no pivot
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -46,65 +50,17 @@ def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _bits(n: int) -> int:
+    return max(64, 1 << max(n - 1, 1).bit_length())
+
+
 def _parity(members: np.ndarray) -> bytes:
     """One bit per residue of the members' hashes: their parity. Two such maps differ in no more bits than the sets do."""
-    bits = max(64, 1 << int(max(len(members) - 1, 1)).bit_length())
+    bits = _bits(len(members))
     counts = np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _folded(maps: list[bytes], size: int) -> np.ndarray:
-    out = np.zeros((len(maps), size), np.uint8)
-    for k, m in enumerate(maps):
-        out[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0)
-    return out
-
-
-def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Largest symmetric difference with which sets of these sizes still link: common >= p/(100+p) * (n + m)."""
-    total = n[:, None] + m[None, :]
-    common = (percent * total + 99 + percent) // (100 + percent)
-    return np.where(common <= np.minimum(n[:, None], m[None, :]), total - 2 * common, -1)
-
-
-def _earlier(region: int, regions: list[np.ndarray]) -> np.ndarray:
-    """A column per region with a smaller number, and 1 for the members that it has too: such pairs are settled there."""
-    lower: dict[int, list[int]] = {}
-    for k, own in enumerate(regions):
-        for r in own:
-            if r < region:
-                lower.setdefault(int(r), []).append(k)
-    flags = np.zeros((len(regions), max(1, len(lower))), np.float32)
-    for c, at in enumerate(lower.values()):
-        flags[at, c] = 1
-    return flags
-
-
-def _plausible(n: np.ndarray, maps: list[bytes], percent: int, earlier: np.ndarray) -> np.ndarray:
-    """True for members that have a partner here whose size and parity map allow a link. Exact: no link is lost."""
-    size = min(map(len, maps))
-    rows, found = _folded(maps, size), np.zeros(len(n), bool)
-    step = max(1, (1 << 23) // max(1, size * len(n)))
-    for a in range(0, len(n), step):
-        fits = earlier[a : a + step] @ earlier.T == 0
-        fits[np.arange(fits.shape[0]), np.arange(a, a + fits.shape[0])] = False
-        near = _near(n[a : a + step], n, percent)
-        fits &= near >= 0
-        if fits.any():
-            fits &= _ONES[rows[a : a + step, None, :] ^ rows[None, :, :]].sum(2, dtype=np.int64) <= near
-            found[a : a + step] |= fits.any(1)
-    return found
-
-
-def _links(sets: list[np.ndarray], one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of `many` link with set `one`."""
-    lengths = np.array([len(sets[k]) for k in many])
-    flat = np.concatenate([sets[k] for k in many])
-    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-    common = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
-    return 100 * common >= percent * (lengths + len(one) - common), common
-
-
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -121,61 +77,6 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def region_join(sets: list[np.ndarray], asked: np.ndarray, percent: int, leaf: int = 24, pivots: int = 8, hubs: np.ndarray | None = None) -> _Forest:
-    """Links between the asked sets and all sets of a region, joined into a forest.
-
-    Pivots divide the members into Voronoi cells by Jaccard distance; a member is also a guest of every cell whose pivot
-    is at most twice the link distance farther than its own, which the triangle inequality makes sufficient. Cells join
-    recursively; a cell that no longer shrinks, or a small one, compares its asked members with the members whose
-    distances to the pivots lie in the window of the link distance. Pairs that are connected already are not compared.
-    """
-    radius = 1 - percent / 100 + 1e-9
-    sizes = np.array([len(s) for s in sets])
-    forest = _Forest(len(sets))
-    work = [(np.flatnonzero(asked), np.arange(len(sets)), hubs)]
-    while work:
-        queries, members, known = work.pop()
-        if not len(queries) or len(members) < 2:
-            continue
-        if len(members) > leaf and known is None:
-            step = max(1, len(members) // pivots)
-            chosen = members[::step][:pivots]
-            known = np.empty((len(members), len(chosen)))
-            for k, p in enumerate(chosen):
-                linked, common = _links(sets, sets[p], members, percent)
-                known[:, k] = 1 - common / (sizes[members] + sizes[p] - common)
-                for x in members[linked].tolist():
-                    forest.join(p, x)
-            own = known.argmin(1)
-            guest = known <= known.min(1, keepdims=True) + 2 * radius
-            place = {m: k for k, m in enumerate(members.tolist())}
-            at = np.array([place[q] for q in queries.tolist()])
-            if guest.sum() < 0.7 * guest.size:
-                for c in range(len(chosen)):
-                    inner = members[guest[:, c]]
-                    mine = queries[own[at] == c]
-                    work.append((mine, inner, known[guest[:, c]] if len(inner) >= 0.9 * len(members) else None))
-                continue
-        place = {m: k for k, m in enumerate(members.tolist())}
-        for q in queries.tolist():
-            fits = (100 * sizes[members] >= percent * sizes[q]) & (percent * sizes[members] <= 100 * sizes[q])
-            if known is not None:
-                fits &= (np.abs(known - known[place[q]]) <= radius).all(1)
-            mine = forest.root(q)
-            left = np.array([m for m in members[fits].tolist() if forest.root(m) != mine], np.int64)
-            if len(left):
-                linked, _ = _links(sets, sets[q], left, percent)
-                for x in left[linked].tolist():
-                    forest.join(q, x)
-    return forest
-
-
-def _stars(ids: np.ndarray, forest: _Forest) -> pd.DataFrame:
-    roots = [forest.root(k) for k in range(len(ids))]
-    pairs = [(ids[k], ids[r]) for k, r in enumerate(roots) if k != r]
-    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-
 def _scan(docs: DataFrame, words: int) -> DataFrame:
     """Set size and 128-bit fingerprint per document, and per task the sketch buckets that are locally frequent."""
 
@@ -197,7 +98,190 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(scan, "heavy boolean, id long, n long, fa long, fb long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, small: int = 256, block: int = 1 << 20) -> DataFrame:
+def _need(n: int, m: int, percent: int) -> int:
+    """Least common size with which sets of sizes n and m link: common >= percent / (100 + percent) * (n + m)."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _plausible(n: int, one: int, m: int, two: int, percent: int) -> bool:
+    """Whether sizes and parity maps allow a link. Exact: no link is lost."""
+    common = _need(n, m, percent)
+    if common > min(n, m):
+        return False
+    a, b = _bits(n), _bits(m)
+    while a > b:
+        a //= 2
+        one = (one ^ one >> a) & ((1 << a) - 1)
+    while b > a:
+        b //= 2
+        two = (two ^ two >> b) & ((1 << b) - 1)
+    return (one ^ two).bit_count() <= n + m - 2 * common
+
+
+class PivotTree:
+    """A tree of pivots for sets of shingles under the Jaccard distance, and the way of a set through it.
+
+    Pivots of one level are more than `far` apart; a sampled set closer than that to one of them becomes a pivot below
+    it, recursively, but for sets that link with it. At each level a set whose nearest pivot is at most `far` away lives in that pivot's
+    cell and is a guest in every cell whose pivot is at most twice the link distance farther; others live in the level's
+    far cell, where sets come as guests whose nearest pivot is more than far - link distance away. Two sets that link
+    meet: if both live in cells, the triangle inequality makes one a guest of the other's; if one lives in the far cell,
+    the other's nearest pivot cannot be closer than far - link distance.
+    """
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int, depth: int = 4):
+        self.percent, self.radius = percent, 1 - percent / 100 + 1e-9
+        self.far = 0.95 - 2 * self.radius
+        self.ids, self.sizes = ids, np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.sketch = np.zeros(1 << 22, bool)
+        self.sketch[(flat % np.uint64(1 << 22)).astype(np.int64)] = True
+        away = [self.distances(s)[0] for s in sets]
+        self.levels: list[tuple[int, list[int], dict[int, int]]] = []  # region of the far cell, pivots, level below each
+        self.root = self._level(list(range(len(sets))), away, depth)
+
+    def _level(self, members: list[int], away: list[np.ndarray], depth: int) -> int:
+        chosen: list[int] = []
+        below: dict[int, list[int]] = {}
+        for k in members:
+            near = min(chosen, key=lambda p: away[k][p], default=None)
+            if near is None or away[k][near] > self.far:
+                chosen.append(k)
+            elif away[k][near] > self.radius:
+                below.setdefault(near, []).append(k)
+        mine = len(self.levels)
+        self.levels.append((-1 - mine, chosen, {}))
+        if depth > 1:
+            for p, own in below.items():
+                self.levels[mine][2][p] = self._level(own, away, depth - 1)
+        return mine
+
+    def distances(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of a set to every pivot, and which pivots it links with."""
+        away, linked = np.ones(len(self.ids)), np.zeros(len(self.ids), bool)
+        hits = s[self.sketch[(s % np.uint64(1 << 22)).astype(np.int64)]]
+        if len(hits):
+            left, right = np.searchsorted(self.flat, hits, "left"), np.searchsorted(self.flat, hits, "right")
+            n = right - left
+            at = np.repeat(left - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            common = np.bincount(self.owner[at], minlength=len(self.ids))
+            union = len(s) + self.sizes - common
+            away, linked = 1 - common / union, 100 * common >= self.percent * union
+        return away, linked
+
+    def regions(self, away: np.ndarray) -> list[int]:
+        """Leaf regions of a set: a pivot's place, or a level's far cell (below 0; -1 is that of the first level)."""
+        out, open_ = [], [self.root]
+        while open_:
+            name, pivots, below = self.levels[open_.pop()]
+            d = away[pivots] if pivots else np.ones(1)
+            least = d.min()
+            if least > self.far - self.radius:
+                out.append(name)
+            if least <= self.far:
+                for k in np.flatnonzero(d <= least + 2 * self.radius).tolist():
+                    p = pivots[k]
+                    if p in below:
+                        open_.append(below[p])
+                    else:
+                        out.append(p)
+        return out
+
+
+def _pivot_sets(rows: DataFrame, light: DataFrame, words: int, pivots: int, most: int) -> tuple[list[int], list[np.ndarray]]:
+    """Ids and sets of at most `pivots` documents with at most `most` shingles, chosen by a hash of the id."""
+    lot = F.pmod(F.xxhash64(F.lit("pivot"), F.col("id")), F.lit(1 << 30))
+    able = light.filter((F.col("n") > 0) & (F.col("n") <= most) & F.col("id").isNotNull())
+    n = able.count()
+    chosen = able.filter(lot < int((1 << 30) * min(1.0, 2 * pivots / max(1, n)))) if n > 2 * pivots else able
+    ids = cut(chosen.select("id", lot.alias("lot")).distinct().orderBy("lot", "id").limit(pivots).select("id"))
+    texts = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
+    return [r["id"] for r in texts], shingle_sets([r["text"] for r in texts], words)
+
+
+def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The rows of one group (first column) after another, from batches sorted by group."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _frames(found: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    for row in found:
+        out.append(row)
+        if len(out) >= 1 << 14:
+            yield pd.DataFrame(out, columns=columns, dtype="int64")
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns, dtype="int64")
+
+
+def _forest_of(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, int]]:
+    """Plausible pairs (group, a, b) that connect whatever is connected by plausible pairs in a group.
+
+    rows: group, id, n, map, core. Members with one core (the pivot that they link with) are connected already.
+    """
+    ids, sizes = [r[1] for r in rows], [r[2] for r in rows]
+    maps = [int.from_bytes(r[3], "little") for r in rows]
+    forest, first = _Forest(len(rows)), {}
+    for k, r in enumerate(rows):
+        if r[4] >= 0:
+            forest.join(k, first.setdefault(r[4], k))
+    for k in range(1, len(rows)):
+        for j in range(k):
+            if forest.root(j) != forest.root(k) and _plausible(sizes[j], maps[j], sizes[k], maps[k], percent):
+                forest.join(j, k)
+                yield rows[k][0], min(ids[j], ids[k]), max(ids[j], ids[k])
+
+
+def _rest_of(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """All plausible pairs of a group (or of a block of one) whose ends are in different components.
+
+    rows: group, id, n, map, component, asks. At least one end of a pair asks.
+    """
+    maps = [int.from_bytes(r[3], "little") for r in rows]
+    for k, (_, i, n, _, c, asks) in enumerate(rows):
+        for j in range(k):
+            _, i2, m, _, c2, asks2 = rows[j]
+            if c != c2 and (asks or asks2) and _plausible(n, maps[k], m, maps[j], percent):
+                yield min(i, i2), max(i, i2)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Texts travel, once for each end of a pair; sets are made where both meet."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    near = maybe_in(texts, F.col("id"), hash_filter(wanted, F.col("id")), "_near").filter("_near").select("id", "text")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: tuple[int, np.ndarray] = (0, np.zeros(0, np.uint64))
+        for batch in batches:
+            ok = np.zeros(len(batch), bool)
+            for k, (one, (b, two)) in enumerate(zip(shingle_sets(list(batch["text"]), words), zip(batch["b"].tolist(), batch["text2"], strict=True), strict=True)):
+                if known[0] != b or not len(known[1]):
+                    known = (b, shingle_sets([two], words)[0])
+                other = known[1]
+                at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+                common = int((other[at] == one).sum())
+                ok[k] = 100 * common >= percent * (len(one) + len(other) - common)
+            yield batch.loc[ok, ["a", "b"]]
+
+    both = pairs.select("a", "b").join(near.withColumnRenamed("id", "a"), "a").join(near.select(F.col("id").alias("b"), F.col("text").alias("text2")), "b")
+    return cut(both.select("a", "b", "text", "text2").mapInPandas(check, "a long, b long"))
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, small: int = 256, block: int = 2048, pivots: int = 512, pivot_shingles: int = 4096
+) -> DataFrame:
     """One row per row of docs: id (long), n_shingles, component_id.
 
     Two documents link if 100 * |common| >= percent * |union| of their sets of `words`-word shingles, A-Z lower-cased;
@@ -205,13 +289,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null id stays a row of its own. Equal sets form one class, represented by its least id; repeated rows are such a
     class. Extra columns are ignored; no rows give no rows.
 
-    Regions: every shingle is the pivot of a region. All documents order shingles alike, frequent ones (from a sketch of
-    fixed size) last, and join the regions of the first few of their own: linked sets miss so few of each other's
-    members that they meet in one of these. Regions with the same members are one. Inside a region, pivots, Voronoi
-    cells and triangle-inequality windows find the links (region_join), after an exact parity filter has sent home all
-    members without a plausible partner. A region with more than `small` members is not gathered: its members first meet
-    8 hubs; those that link with the main group of hubs are connected already, and only the others meet all members, in
-    blocks of about `block` shingles. Comparisons are exact on 64-bit hashed shingles.
+    Regions: PivotTree over at most `pivots` sampled documents of at most pivot_shingles shingles; only these are broadcast. Inside a
+    region all documents order shingles alike, frequent ones (from a sketch of fixed size) last, and each meets others
+    by the first few of its own: linked sets miss so few of each other's members that they share one of these. Such
+    groups with the same members are one, and groups of documents that link with the same pivot are settled. Plausible
+    pairs (by size and parity map) that connect a group are compared exactly; where a comparison fails, all other
+    plausible pairs of its groups that are not connected by then follow. A group with more than `small` members is not
+    gathered: its members are compared with up to 8 hubs, and those outside its largest component with all others, in
+    blocks of `block`. Comparisons are exact on 64-bit hashed shingles.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -219,17 +304,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scanned = cut(_scan(rows, words))
     light = scanned.filter("not heavy").select("id", "n", "fa", "fb")
     heavy = scanned.filter("heavy").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(1 << 16).toPandas()
-    classes = cut(light.filter("n > 0 and id is not null").groupBy("fa", "fb").agg(F.min("id").alias("rep")))
-
+    able = light.filter("n > 0 and id is not null")
+    classes = cut(able.groupBy("fa", "fb").agg(F.min("id").alias("rep")))
     order = np.argsort(heavy["id"].to_numpy(np.int64))
-    weights = spark.sparkContext.broadcast((heavy["id"].to_numpy(np.int64)[order], heavy["n"].to_numpy(np.int64)[order]))
+    tree = PivotTree(*_pivot_sets(rows, classes.join(light, ["fa", "fb"]).filter("id = rep").select("id", "n"), words, pivots, pivot_shingles), percent)
+    shared_values = spark.sparkContext.broadcast((heavy["id"].to_numpy(np.int64)[order], heavy["n"].to_numpy(np.int64)[order], tree))
+
+    # one row per class: a row that is certainly its class's only candidate needs no join
+    odd = able.join(classes, ["fa", "fb"]).filter("id <> rep").select("id").unionByName(able.groupBy("id").count().filter("count > 1").select("id"))
+    told = maybe_in(rows.filter("id is not null"), F.col("id"), hash_filter(odd, F.col("id")), "_odd")
+    texts = told.filter("not _odd").select("id", "text").unionByName(told.filter("_odd").select("id", "text").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets, counts = weights.value
+    def heads_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets, counts, router = shared_values.value
         for batch in batches:
-            batch = batch[batch["id"].notna()]
-            tokens, sizes, maps, ids = [], [], [], []
-            for i, s in zip(batch["id"], shingle_sets(list(batch["text"]), words), strict=True):
+            out = []
+            for i, s in zip(batch["id"].tolist(), shingle_sets(list(batch["text"]), words), strict=True):
                 if not len(s):
                     continue
                 n = _prefix(len(s), percent)
@@ -239,67 +329,70 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     first = s[np.lexsort((s, np.where(buckets[at] == b, counts[at], 0)))[:n]]
                 else:
                     first = s[:n]
-                ids.append(int(i)), tokens.append(first.view(np.int64)), sizes.append(len(s)), maps.append(_parity(s))
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "map": pd.Series(maps, dtype=object), "tokens": pd.Series(tokens, dtype=object)})
-
-    reps = classes.select(F.col("rep").alias("id"))
-    heads = rows.mapInPandas(prefixes, "id long, n long, map binary, tokens array<long>").join(reps, "id", "left_semi").dropDuplicates(["id"])
-    heads = cut(heads)
-    posted = heads.select("id", F.explode("tokens").alias("token"))
-    # shingles of two documents or more; a bitmap of fixed size keeps most of the others from a second shuffle
+                away, linked = router.distances(s)
+                core = int(linked.argmax()) if linked.any() else -1
+                links = [router.ids[k] for k in np.flatnonzero(linked).tolist()]
+                out.append((i, len(s), _parity(s), core, links, router.regions(away), first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "n", "map", "core", "links", "regions", "tokens"])
+
+    heads = cut(texts.mapInPandas(heads_of, "id long, n long, map binary, core int, links array<long>, regions array<int>, tokens array<long>"))
+    short = heads.select("id", "n", "map", "core")
+    links = heads.select(F.col("id").alias("a"), F.explode("links").alias("b")).filter("a <> b")
+    posted = heads.select("id", "core", F.explode("regions").alias("region"), "tokens").select("id", "core", "region", F.explode("tokens").alias("token"))
+    posted = posted.select("id", "core", F.when(F.col("region") == _FAR, F.col("token")).otherwise(F.xxhash64("region", "token")).alias("token"))
+    # shingles of two documents of a region or more; a bitmap keeps most of the others from a second shuffle
+    bits = 1 << min(26, max(22, int(light.agg(F.sum("n")).first()[0] or 0).bit_length()))
     shared = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"))
-    open_ = maybe_in(posted, F.col("token"), hash_filter(shared, F.col("token"), _BITS), "_open", _BITS).filter("_open").select("token", "id")
-    tokens = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"), F.max("id").alias("last"))
-    regions = cut(tokens.filter("m > 1").groupBy("m", "x", "first", "last").agg(F.min("token").alias("token")))
-    members = cut(open_.join(regions.filter("m > 2").select("token", "m"), "token").select(F.col("token").alias("region"), "m", "id"))
-    wide = cut(members.groupBy("id").agg(F.array_sort(F.collect_set("region")).alias("regions")))
-
-    # send home whoever has no plausible partner, looking at sizes and parity maps alone
-    def sift(region: pd.DataFrame) -> pd.DataFrame:
-        earlier = _earlier(int(region["region"].iloc[0]), list(region["regions"]))
-        keep = _plausible(region["n"].to_numpy(np.int64), list(region["map"]), percent, earlier)
-        return region.loc[keep, ["region", "id"]]
+    open_ = maybe_in(posted, F.col("token"), hash_filter(shared, F.col("token"), bits), "_open", bits).filter("_open").select("token", "id", "core")
+    tokens = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"), F.max("id").alias("last"), F.min("core").alias("low"), F.max("core").alias("high"))
+    open_tokens = tokens.filter("m > 1 and not (low >= 0 and low = high)")
+    groups = cut(open_tokens.groupBy("m", "x", "first", "last").agg(F.min("token").alias("group")))
+    members = cut(open_.join(groups.filter("m > 2").select(F.col("group").alias("token"), "m"), "token").select(F.col("token").alias("group"), "m", "id"))
 
     def sift_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, m = batch["n"].to_numpy(np.int64), batch["n2"].to_numpy(np.int64)
-            common = (percent * (n + m) + 99 + percent) // (100 + percent)
-            ok = common <= np.minimum(n, m)
-            for k in np.flatnonzero(ok).tolist():
-                one, two = batch["map"].iloc[k], batch["map2"].iloc[k]
-                both = _folded([one, two], min(len(one), len(two)))
-                ok[k] = _ONES[both[0] ^ both[1]].sum() <= n[k] + m[k] - 2 * common[k]
-            yield batch.loc[ok, ["first", "last"]]
-
-    short = heads.select("id", "n", "map")
-    pairs = regions.filter("m = 2").select("first", "last").distinct()
-    pairs = pairs.join(short.select(F.col("id").alias("first"), "n", "map"), "first").join(short.select(F.col("id").alias("last"), F.col("n").alias("n2"), F.col("map").alias("map2")), "last")
-    pairs = cut(pairs.select("first", "last", "n", "map", "n2", "map2").mapInPandas(sift_pairs, "first long, last long"))
-    pairs = pairs.select(F.xxhash64("first", "last").alias("region"), F.explode(F.array("first", "last")).alias("id"), F.lit(False).alias("crowd"))
-    likely = members.filter(F.col("m") <= small).select("region", "id").join(short, "id").join(wide, "id").groupBy("region").applyInPandas(sift, "region long, id long")
-    likely = likely.withColumn("crowd", F.lit(False)).unionByName(members.filter(F.col("m") > small).select("region", "id", F.lit(True).alias("crowd")))
-    likely = cut(likely.unionByName(pairs))
-
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[batch["id"].notna()]
-            sets = shingle_sets(list(batch["text"]), words)
-            yield pd.DataFrame({"id": batch["id"].to_numpy("int64"), "shingles": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
-
-    wanted = cut(likely.select("id").distinct())
-    # of the texts, only those wanted are shuffled, and made into sets behind the join
-    near = maybe_in(rows, F.col("id"), hash_filter(wanted, F.col("id")), "_near").filter("_near").select("id", "text")
-    sets = cut(near.join(wanted, "id", "left_semi").mapInPandas(full, "id long, shingles array<long>").dropDuplicates(["id"]))
-
-    def settle(region: pd.DataFrame) -> pd.DataFrame:
-        own = [np.asarray(s, np.int64).view(np.uint64) for s in region["shingles"]]
-        return _stars(region["id"].to_numpy(np.int64), region_join(own, np.ones(len(own), bool), percent))
-
-    links = likely.filter("not crowd").select("region", "id").join(sets, "id").groupBy("region").applyInPandas(settle, "a long, b long")
-    crowd = likely.filter("crowd").select("region", "id")
-    if not crowd.isEmpty():
-        links = links.unionByName(_crowds(crowd, sets.join(wide, "id"), percent, block))
+            ok = [_plausible(n, int.from_bytes(x, "little"), m, int.from_bytes(y, "little"), percent) for n, x, m, y in zip(*(batch[c].tolist() for c in ("n", "map", "n2", "map2")), strict=True)]
+            yield batch.loc[np.array(ok, bool), ["a", "b"]]
+
+    two = groups.filter("m = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).distinct()
+    two = two.join(short.select(F.col("id").alias("a"), "n", "map"), "a").join(short.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("map").alias("map2")), "b")
+    pairs = two.select("a", "b", "n", "map", "n2", "map2").mapInPandas(sift_pairs, "a long, b long")
+
+    few = members.filter(F.col("m") <= small).select("group", "id").join(short, "id").select("group", "id", "n", "map", "core")
+
+    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames((e for own in _by_group(batches) for e in _forest_of(own, percent)), ["group", "a", "b"])
+
+    edges = few.repartition("group").sortWithinPartitions("group").mapInPandas(forest, "group long, a long, b long")
+    many = members.filter(F.col("m") > small).select("group", "id")
+    crowds = not many.isEmpty()
+    if crowds:
+        edges = edges.unionByName(_to_hubs(many.join(short, "id"), percent))
+    edges = cut(edges)
+    pairs = cut(pairs.unionByName(edges.select("a", "b")).distinct())
+    links = links.unionByName(_verified(pairs, texts, words, percent))
     comps = connected_components(links)
+
+    # groups with a comparison that failed, and members of crowds outside the largest component
+    comp = short.select("id", "n", "map").join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    ends = edges.join(comp.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+    failed = ends.filter("ca <> cb").select("group").distinct()
+    again = members.filter(F.col("m") <= small).join(failed, "group", "left_semi").select("group", "id").join(comp, "id").select("group", "id", "n", "map", "c", F.lit(True).alias("asks"))
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames((e for own in _by_group(batches) for e in _rest_of(own, percent)), ["a", "b"])
+
+    more = again.repartition("group").sortWithinPartitions("group").mapInPandas(rest, "a long, b long")
+    if crowds:
+        blocks = _blocks(many.join(comp, "id"), block)
+        more = more.unionByName(blocks.repartition("group").sortWithinPartitions("group").mapInPandas(rest, "a long, b long"))
+    more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        late = _verified(more, texts, words, percent)
+        late = late.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        over = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).withColumnRenamed("component", "top")
+        joined = comps.join(over.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        comps = cut(joined.unionByName(over.select("id", F.col("top").alias("component")).join(comps.select("id"), "id", "left_anti")))
     named = classes.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = cut(named.select("fa", "fb", F.coalesce("component", "rep").alias("component_id")))
     own = light.withColumn("_lone", (F.col("n") == 0) | F.col("id").isNull())
@@ -307,72 +400,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_lone"), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _crowds(crowd: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links in regions with many members: hubs first, then the members that hubs did not connect against all, in blocks."""
+def _to_hubs(many: DataFrame, percent: int) -> DataFrame:
+    """group, a, b: each member of a crowd with the first of the group's 8 hubs with which a link is plausible."""
     lot = F.xxhash64(F.lit("hub"), F.col("id"))
-    hubs = crowd.groupBy("region", F.pmod(lot, F.lit(8)).alias("k")).agg(F.min(F.struct(lot.alias("h"), "id")).alias("h")).select("region", "k", F.col("h.id").alias("hub"))
-    hubs = hubs.join(sets.select(F.col("id").alias("hub"), "shingles"), "hub").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("k", "hub", "shingles"))).alias("hubs"))
-    hubs = cut(hubs)
-    rows = crowd.join(sets, "id").join(hubs, "region")
-    n = F.size("shingles")
-
-    def away(h):
-        common = F.size(F.array_intersect("shingles", h["shingles"]))
-        return F.struct(h["hub"].alias("hub"), (1 - common / (n + F.size(h["shingles"]) - common)).alias("d"), (100 * common >= percent * (n + F.size(h["shingles"]) - common)).alias("linked"))
-
-    met = cut(rows.select("region", "id", n.cast("long").alias("n"), F.transform("hubs", away).alias("met")))
-    bits = F.aggregate(F.transform("met", lambda x, k: F.when(x["linked"], F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), k).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-    met = met.withColumn("mask", bits)
-    masks = met.groupBy("region", "mask").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"))
-
-    @F.pandas_udf("long")
-    def main_group(lists: pd.Series) -> pd.Series:
-        out = []
-        for own in lists:
-            groups: list[list[int]] = []
-            for row in own:
-                if row["mask"]:
-                    inside = [g for g in groups if g[0] & row["mask"]]
-                    groups = [g for g in groups if not g[0] & row["mask"]]
-                    mask, count = row["mask"], row["c"]
-                    for g in inside:
-                        mask, count = mask | g[0], count + g[1]
-                    groups.append([mask, count])
-            out.append(max(groups, key=lambda g: g[1])[0] if groups else 0)
-        return pd.Series(out)
-
-    plans = masks.groupBy("region").agg(F.collect_list(F.struct("mask", "c")).alias("l"), F.sum("size").alias("size"))
-    plans = plans.select("region", main_group("l").alias("main"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    met = cut(met.join(plans, "region"))
-    first = met.select("id", F.explode("met").alias("x")).filter("x.linked").select(F.col("id").alias("a"), F.col("x.hub").alias("b"))
-    asked = (F.col("mask").bitwiseAND(F.col("main"))) == 0
-    spot = F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.col("blocks"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
-    head = ["region", "id", F.transform("met", lambda x: x["d"]).alias("away")]
-    ask = met.filter(asked).select(*head, F.lit(True).alias("asks"), spot.cast("long").alias("i"), F.explode(every).alias("j"))
-    busy = ask.select("region", "i").distinct()
-    rest = met.select(*head, F.lit(False).alias("asks"), spot.cast("long").alias("j")).join(busy, "region")
-    both = ask.select("region", "id", "away", "asks", "i", "j").unionByName(rest.select("region", "id", "away", "asks", "i", "j"))
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["asks", "id"], ascending=[False, True]).drop_duplicates("id").reset_index(drop=True)
-        g, m = int(part["region"].iloc[0]), len(part)
-        asks = part["asks"].to_numpy(bool)
-        own = [np.asarray(s, np.int64).view(np.uint64) for s in part["shingles"]]
-        away = np.stack([np.asarray(x, float) for x in part["away"]])
-        flags = _earlier(g, list(part["regions"]))
-        sizes, radius = np.array([len(s) for s in own]), 1 - percent / 100 + 1e-9
-        forest = _Forest(m)
-        for q in np.flatnonzero(asks).tolist():
-            fits = (flags @ flags[q] == 0) & (100 * sizes >= percent * sizes[q]) & (percent * sizes <= 100 * sizes[q])
-            fits &= (np.abs(away - away[q]) <= radius).all(1)
-            mine = forest.root(q)
-            left = np.array([x for x in np.flatnonzero(fits).tolist() if forest.root(x) != mine], np.int64)
-            if len(left):
-                linked, _ = _links(own, own[q], left, percent)
-                for x in left[linked].tolist():
-                    forest.join(q, x)
-        return _stars(part["id"].to_numpy(np.int64), forest)
-
-    held = both.join(sets, "id")
-    return first.unionByName(held.groupBy("region", "i", "j").applyInPandas(meet, "a long, b long"))
+    hubs = many.groupBy("group", F.pmod(lot, F.lit(8)).alias("k")).agg(F.min(F.struct(lot.alias("h"), "id", "n", "map", "core")).alias("hub"))
+    hubs = cut(hubs.groupBy("group").agg(F.array_sort(F.collect_list("hub")).alias("hubs")))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, known = [], (None, [])
+            for group, i, n, own, core, hubs in zip(*(batch[c] for c in ("group", "id", "n", "map", "core", "hubs")), strict=True):
+                if known[0] != group:
+                    known = (group, [(h["id"], h["n"], int.from_bytes(h["map"], "little"), h["core"]) for h in hubs])
+                mine = int.from_bytes(own, "little")
+                for hub, m, other, c in known[1]:
+                    if hub == i or core >= 0 and core == c:
+                        break
+                    if _plausible(n, mine, m, other, percent):
+                        out.append((group, min(i, hub), max(i, hub)))
+                        break
+            yield pd.DataFrame(out, columns=["group", "a", "b"], dtype="int64")
+
+    return many.join(hubs, "group").select("group", "id", "n", "map", "core", "hubs").mapInPandas(nearest, "group long, a long, b long")
+
+
+def _blocks(many: DataFrame, block: int) -> DataFrame:
+    """Members of crowds dealt into blocks, in which those outside the largest component meet all others once.
+
+    many: group, id, n, map, c. A member that asks goes to the blocks (own place, every place), all others to the blocks
+    (place of an asking member, own place). Crowds in one component need none.
+    """
+    counts = many.groupBy("group", "c").agg(F.count(F.lit(1)).alias("k"))
+    sizes = cut(counts.groupBy("group").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top")))
+    open_ = sizes.filter("m > top.k").select("group", F.col("top.c").alias("main"), F.ceil(F.col("m") / block).alias("blocks"))
+    rows = many.join(open_, "group").withColumn("spot", F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.col("blocks")))
+    ask = rows.filter("c <> main")
+    busy = ask.select("group", "spot").distinct().groupBy("group").agg(F.collect_set("spot").alias("spots"))
+    asks = ask.select("group", "id", "n", "map", "c", F.lit(True).alias("asks"), F.col("spot").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"))
+    rest = rows.join(busy, "group").select("group", "id", "n", "map", "c", F.lit(False).alias("asks"), F.explode("spots").alias("i"), F.col("spot").alias("j"))
+    both = asks.unionByName(rest).groupBy(F.xxhash64("group", "i", "j").alias("group"), "id", "c").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.max("asks").alias("asks"))
+    return both.select("group", "id", "n", "map", "c", "asks")

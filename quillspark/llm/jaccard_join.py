@@ -21,6 +21,7 @@ from quillspark.llm.common import blocks_of, cut, hash_filter, maybe_in, mixed,
 from quillspark.llm.components import connected_components
 
 _SKETCH = 1 << 22  # buckets of a task's sketch of frequent shingles
+_SHARED = 1 << 25  # bits of the map of shared shingles
 _FAR = -1  # the region of documents that are near no pivot
 
 
@@ -260,7 +261,7 @@ def _rest_of(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Texts travel, once for each end of a pair; sets are made where both meet."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    near = maybe_in(texts, F.col("id"), hash_filter(wanted, F.col("id")), "_near").filter("_near").select("id", "text")
+    near = maybe_in(texts, F.col("id"), cut(hash_filter(wanted, F.col("id"))), "_near").filter("_near").select("id", "text")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: tuple[int, np.ndarray] = (0, np.zeros(0, np.uint64))
@@ -312,8 +313,9 @@ def jaccard_components(
 
     # one row per class: a row that is certainly its class's only candidate needs no join
     odd = able.join(classes, ["fa", "fb"]).filter("id <> rep").select("id").unionByName(able.groupBy("id").count().filter("count > 1").select("id"))
-    told = maybe_in(rows.filter("id is not null"), F.col("id"), hash_filter(odd, F.col("id")), "_odd")
-    texts = told.filter("not _odd").select("id", "text").unionByName(told.filter("_odd").select("id", "text").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    told = maybe_in(rows.filter("id is not null"), F.col("id"), cut(hash_filter(odd, F.col("id"))), "_odd")
+    reps = classes.select(F.col("rep").alias("id"))
+    texts = told.filter("not _odd").select("id", "text").unionByName(cut(told.filter("_odd").select("id", "text").join(reps, "id", "left_semi").dropDuplicates(["id"])))
 
     def heads_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets, counts, router = shared_values.value
@@ -341,9 +343,8 @@ def jaccard_components(
     posted = heads.select("id", "core", F.explode("regions").alias("region"), "tokens").select("id", "core", "region", F.explode("tokens").alias("token"))
     posted = posted.select("id", "core", F.when(F.col("region") == _FAR, F.col("token")).otherwise(F.xxhash64("region", "token")).alias("token"))
     # shingles of two documents of a region or more; a bitmap keeps most of the others from a second shuffle
-    bits = 1 << min(26, max(22, int(light.agg(F.sum("n")).first()[0] or 0).bit_length()))
     shared = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"))
-    open_ = maybe_in(posted, F.col("token"), hash_filter(shared, F.col("token"), bits), "_open", bits).filter("_open").select("token", "id", "core")
+    open_ = maybe_in(posted, F.col("token"), hash_filter(shared, F.col("token"), _SHARED), "_open", _SHARED).filter("_open").select("token", "id", "core")
     tokens = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"), F.max("id").alias("last"), F.min("core").alias("low"), F.max("core").alias("high"))
     open_tokens = tokens.filter("m > 1 and not (low >= 0 and low = high)")
     groups = cut(open_tokens.groupBy("m", "x", "first", "last").agg(F.min("token").alias("group")))
@@ -375,8 +376,8 @@ def jaccard_components(
 
     # groups with a comparison that failed, and members of crowds outside the largest component
     comp = short.select("id", "n", "map").join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    ends = edges.join(comp.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
-    failed = ends.filter("ca <> cb").select("group").distinct()
+    ends = edges.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    failed = cut(ends.filter("coalesce(ca, a) <> coalesce(cb, b)").select("group").distinct())
     again = members.filter(F.col("m") <= small).join(failed, "group", "left_semi").select("group", "id").join(comp, "id").select("group", "id", "n", "map", "c", F.lit(True).alias("asks"))
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

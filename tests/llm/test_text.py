@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import queries
 from quillspark.llm.bpe import Decoder, Encoder, Vocabulary, bpe_decode, bpe_encode
-from quillspark.llm.html_extract import extract_main_text
+from quillspark.llm.html_extract import TAG, TEXT, deduce_templates, extract_main_text, main_text, packed_page, page_tokens
 from quillspark.llm.language_id import identify_language, train_language_model
 from quillspark.llm.sanitise import KINDS, base_spans, find_base, personal_data, redacted
 
@@ -186,3 +186,61 @@ def test_pages_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").count()
     assert len(rows) == pages and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert sum(r["n_chars"] > 0 for r in rows) > 0.5 * pages
+
+
+def test_template_alone_finds_the_article(spark):
+    """Without any tag or name as a hint, slots of the deduced template are the article, and furniture without names goes."""
+    rows = [(k, "http://h.example/%d" % k, f"<html><body><div><p>Welcome to us</p><p>All the news</p><ul><li><a>Home</a><li><a>About</a></ul></div><div><h1>Story {k}</h1><p>Part {k * k}</p></div><div><p>Made with care</p></div></body></html>") for k in range(1, 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in extract_main_text(pages, hints=False).collect():
+        assert r["text"] == f"Story {r['page_id']}\nPart {r['page_id'] ** 2}"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<body><div class='layout has-sidebar'><h1>A</h1><p>b</p></div></body>", "A\nb"),
+        ("<body><div class='article-header'><h1>Headline</h1></div><article><p>one</p></article></body>", "Headline\none"),
+        ("<body><article><p>teaser</p></article><div class='story'><p>the story</p></div></body>", "teaser\nthe story"),
+        ("<body><div class='intro'><p>short</p></div><div class='body'><p>much longer text of the page</p></div></body>", "short\nmuch longer text of the page"),
+        ("<body><article><p>x</p></article><div class='post-comments'><p>me first</p></div><nav>n</nav><div class='site-header'>s</div></body>", "x"),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_single_pages(html, want):
+    assert main_text(packed_page(html)) == want
+
+
+def test_form_around_the_page_is_no_furniture(spark):
+    rows = [(k, "http://f.example/%d" % k, f"<body><form><nav><a>Home</a></nav><h1>Title {k}</h1><p>{'text ' * k}</p><div class='comments'><p>{'reply ' * 40}{k}</p></div></form></body>") for k in range(5, 9)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"Title {r['page_id']}\n" + ("text " * r["page_id"]).strip() for r in got)
+
+
+def templates_by_force(pages, min_pages, min_share, min_tokens):
+    """host -> template texts, straight from the definition of classes over occurrence vectors."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        own = {fp: toks for fp, toks in (page_tokens(html) for h, html in pages if h == host)}
+        counts = {}
+        for fp, toks in own.items():
+            for t, kind, n, place in toks:
+                if kind in (TAG, TEXT):
+                    counts.setdefault((t, kind), {})[fp] = (n, place)
+        classes = {}
+        for key, seen in counts.items():
+            if len(seen) >= max(min_pages, min_share * len(own)):
+                classes.setdefault(tuple(sorted((fp, n) for fp, (n, _) in seen.items())), []).append((key, seen))
+        for group in classes.values():
+            tags = sorted((min(p for _, p in seen.values()), max(p for _, p in seen.values())) for (_, kind), seen in group if kind == TAG)
+            if len(group) >= min_tokens and [t[1] for t in tags] == sorted(t[1] for t in tags):
+                out.setdefault(host, set()).update(t for (t, kind), _ in group if kind == TEXT)
+    return {h: v for h, v in out.items() if v}
+
+
+def test_templates_match_brute_force(spark):
+    pages = [(f"h{k % 3}", page(f"<div class='story'><h1>S {k}</h1><p>{'w ' * (k % 5)}{k}</p>{'<p>Now and then</p>' * (k % 2)}</div>", k % 4)) for k in range(30)]
+    table = spark.createDataFrame(pages, "host string, html string")
+    got = {r["host"]: set(r["template"]) for r in deduce_templates(table, "host", "html", 4, 0.6, 3).collect()}
+    assert {h: v for h, v in got.items() if v} == templates_by_force(pages, 4, 0.6, 3) and got

@@ -91,7 +91,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(lambda s: s["kind"].isin(*KINDS)), 256).alias("base_sha256"), listed(lambda s: F.lit(True)).alias("spans"))
+    base = F.sha2(listed(lambda s: s["kind"].isin(*KINDS)), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, KINDS), base, listed(lambda s: F.lit(True)).alias("spans"), F.size("spans").cast("long").alias("n_spans"), count("term"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

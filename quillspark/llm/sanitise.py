@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, short_batches
+from quillspark.llm.common import cut, hash_filter, maybe_in, short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,8 +77,17 @@ def _term_hash(term: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _owner(kind: str, literal: str) -> str:
+    """What mentions of one owner share: the domain of an address, a network of 256, a card's issuer, a number's area."""
+    return {"email": literal.rpartition("@")[2], "ip": literal.rpartition(".")[0], "card": literal[:6], "phone": literal[:6]}[kind]
+
+
 def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Per document the base spans, and for each mention of an entity its context: the terms around it."""
+    """Per document the base spans, and for each mention of a protected entity its context: the terms around it.
+
+    Each mention stands for three entities: the literal, its owner and its kind. A further one, with all terms of the
+    text as its context, is the document that holds personal data.
+    """
     short_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,8 +107,12 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
                         left = [m.group().lower() for m in places[max(0, k - window) : k]]
                         right = [m.group().lower() for m in places[n : n + window]]
                         if left or right:
-                            entity = kind + ":" + re.sub(r"[ ().-]", "", text[a:b].lower()) if kind in ("card", "phone") else kind + ":" + text[a:b].lower()
-                            near.append({"entity": _term_hash(entity), "context": _term_hash(" ".join([*left, "|", *right])), "terms": sorted({*left, *right})})
+                            literal = re.sub(r"[ ().-]", "", text[a:b].lower()) if kind in ("card", "phone") else text[a:b].lower()
+                            context, terms = _term_hash(" ".join([*left, "|", *right])), sorted({*left, *right})
+                            for entity in (f"{kind}:{literal}", f"owner:{kind}:{_owner(kind, literal)}", f"kind:{kind}"):
+                                near.append({"entity": _term_hash(entity), "context": context, "terms": terms})
+                if places:
+                    near.append({"entity": _term_hash("document"), "context": _term_hash(text), "terms": sorted({m.group().lower() for m in places})})
                 ids.append(i)
                 spans.append([{"kind": k, "start": a, "end": b} for k in KINDS for a, b in found[k]])
                 mentions.append(near)
@@ -131,105 +145,132 @@ def _word_edges(text: str, blank: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, min_contexts: int, disclosure: float, bits: int = 1 << 22) -> DataFrame:
+def _bitmap(keys: DataFrame, bits: int) -> dict[int, bytes]:
+    rows = keys.select(F.pmod("hash", F.lit(bits)).alias("s")).groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect()
+    return {r["bucket"]: bytes(r["bits"]) for r in rows}
+
+
+def _candidates(texts: pd.Series, bitmap: dict[int, bytes], bits: int, known: dict[str, int]) -> Iterator[list[tuple[int, int, int]]]:
+    """For each text (hash, start, end) of its terms that the bitmap may hold; known: hashes (0: not in it) so far."""
+    for text in texts:
+        out = []
+        for m in _TERM.finditer(text or ""):
+            term = m.group().lower()
+            h = known.get(term)
+            if h is None:
+                h = _term_hash(term)
+                s = h % bits
+                hit = bitmap.get(s // 32768)
+                h = h if hit is not None and hit[s % 32768 // 8] >> (s % 8) & 1 else 0
+                if len(known) > 200_000:
+                    known.clear()
+                known[term] = h
+            if h:
+                out.append((h, m.start(), m.end()))
+        yield out
+
+
+def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """text: each different text once. Only texts that may occur again are shuffled, combined where they lie."""
+    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    again = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    told = maybe_in(keyed, F.col("key"), cut(hash_filter(again, F.col("key"))), "_again")
+    return told.filter("not _again").select("text").unionByName(told.filter("_again").groupBy("key").agg(F.first("text").alias("text")).select("text"))
+
+
+def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, disclosure: float, bits: int = 1 << 22) -> DataFrame:
     """Terms (hash and text) that reveal an entity: PMI(term; entity) >= disclosure * IC(entity).
 
-    mentions: entity, context, terms. Probabilities are shares of all different texts, so copies of
-    a document count once. A term counts for an entity once per
-    different context, so copies of one passage are one piece of evidence, and min_contexts pieces are needed.
+    mentions: entity, context, terms. Probabilities are shares of all different texts, so copies of a document count
+    once. A term counts for an entity once per different context, so copies of one passage are one piece of evidence. Of
+    the common contexts one is left out: a single context of an entity proves nothing, and
+    evidence is pooled in its owner, its kind and the documents with personal data.
     """
     spark = docs.sparkSession
-    seen = mentions.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    often = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= min_contexts)
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    pairs = cut(pairs.filter(F.col("n_both") >= min_contexts).join(often, "entity"))
-    # document frequencies of the candidate terms alone, by way of a bitmap of fixed size
-    candidates = cut(pairs.select("term").distinct().withColumn("hash", F.xxhash64("term")))
-    rows = candidates.select(F.pmod("hash", F.lit(bits)).alias("s")).groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect()
-    if not rows:
-        return candidates.select("hash", "term")
-    shared = spark.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in rows})
+    texts = different_texts(docs, text_col)
+    total = F.lit(float(max(1, docs.select(F.xxhash64(text_col).alias("key")).distinct().count())))
+    seen = cut(mentions.groupBy("entity", "context").agg(F.first("terms").alias("terms")))
+    often = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).join(often, "entity")
+
+    def reveals(n_term):
+        content = F.log2(total / F.col("n_entity"))
+        return (content > 0) & (F.col("n_both") > 1) & (F.log2((F.col("n_both") - 1) * total / (F.col("n_entity") * n_term)) >= disclosure * content)
+
+    # no term is in fewer texts than in contexts, so most are settled before any text is counted
+    pairs = cut(pairs.filter(reveals(F.greatest(F.lit(1), F.col("n_both")))).withColumn("hash", F.xxhash64("term")))
+    bitmap = _bitmap(pairs, bits)
+    if not bitmap:
+        return pairs.select("hash", "term")
+    shared = spark.sparkContext.broadcast(bitmap)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap, known = shared.value, {}
+        known: dict[str, int] = {}
+        counts: Counter[int] = Counter()
         for batch in batches:
-            texts, hashes = [], []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                for term in {t.lower() for t in _TERM.findall(text or "")}:
-                    h = known.get(term)
-                    if h is None:
-                        h = _term_hash(term)
-                        s = h % bits
-                        hit = bitmap.get(s // 32768)
-                        h = h if hit is not None and hit[s % 32768 // 8] >> (s % 8) & 1 else 0
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[term] = h
-                    if h:
-                        texts.append(key), hashes.append(h)
-            yield pd.DataFrame({"key": texts, "hash": hashes})
+            for own in _candidates(batch["text"], shared.value, bits, known):
+                counts.update({h for h, _, _ in own})
+            if len(counts) > 200_000:
+                yield pd.DataFrame({"hash": list(counts), "n": list(counts.values())}, dtype="int64")
+                counts = Counter()
+        yield pd.DataFrame({"hash": list(counts), "n": list(counts.values())}, dtype="int64")
 
-    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    total = keyed.select("key").distinct().count()
-    df = cut(keyed.mapInPandas(count, "key long, hash long").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_term")))
-    scored = pairs.join(candidates, "term").join(df, "hash")
-    pmi = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    return scored.filter((content > 0) & (pmi >= disclosure * content)).groupBy("hash").agg(F.first("term").alias("term"))
+    df = texts.mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_term"))
+    scored = pairs.join(df, "hash").filter(reveals(F.greatest("n_term", "n_both")))
+    return scored.groupBy("hash").agg(F.min("term").alias("term"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, min_contexts: int = 4, disclosure: float = 0.8) -> DataFrame:
-    """One row per row of docs: id and spans, an array of (kind, start, end) in code points, by kind and then start.
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, disclosure: float = 0.8) -> DataFrame:
+    """One row per row of docs: id, spans (an array of (kind, start, end) in code points, by kind and then start), sanitised.
 
     Base kinds (email, ip, card, phone) come from patterns. Kind `term` comes from the corpus: the terms within `window`
     words of an entity are counted over all documents, copies of a passage once, and a term whose pointwise mutual
-    information with an entity reaches `disclosure` times the entity's information content gives it away; it is marked
-    in every document. Null or empty texts have no spans; repeated rows each get theirs (ids should identify texts: rows
-    that share an id share the union of their terms); extra columns are ignored; no rows give no rows.
+    information with a protected entity (see find_base) reaches `disclosure` times the entity's information content gives it away; it is marked
+    in every document. sanitised: the text with base spans generalised to their kind and terms removed (see redacted).
+    Null or empty texts have no spans and "" as sanitised; repeated rows each get theirs (ids should identify texts: rows
+    that share an id share their terms, those past a text's end count for nothing); rows with a null id have base spans only; extra columns are ignored; no rows give no rows.
     """
     base = cut(find_base(docs, id_col, text_col, window))
     mentions = base.select(F.explode("mentions").alias("m")).select("m.*")
-    flagged = cut(disclosing_terms(mentions, docs, text_col, min_contexts, disclosure))
-    if flagged.isEmpty():
-        extra = None
-    else:
-        extra = _marked(docs, id_col, text_col, flagged)
-    out = base.select("id", "spans")
-    if extra is not None:
-        out = out.join(extra, "id", "left").select("id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
-    return out.withColumnRenamed("id", id_col)
+    flagged = cut(disclosing_terms(mentions, docs, text_col, disclosure))
+    marks = cut(_marked(docs, id_col, text_col, flagged))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    wanted = base.filter(F.size("spans") > 0).select("id").unionByName(marks.select("id"))
+    told = maybe_in(rows, F.col("id"), cut(hash_filter(wanted, F.col("id"))), "_hit")
+    kinds = "array<struct<kind:string,start:bigint,end:bigint>>"
+
+    @F.pandas_udf(kinds)
+    def all_spans(texts: pd.Series, more: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, more, strict=True):
+            found = base_spans(text)
+            spans = [{"kind": k, "start": a, "end": b} for k in KINDS for a, b in found[k]]
+            out.append(spans + [{"kind": "term", "start": x["start"], "end": x["end"]} for x in (() if own is None else own) if x["end"] <= len(text)])
+        return pd.Series(out, dtype=object)
+
+    hit = told.filter("_hit").select("id", "text").join(marks, "id", "left").select("id", "text", all_spans("text", "more").alias("spans"))
+    hit = redacted(hit).select("id", "spans", "sanitised")
+    rest = told.filter("not _hit").select("id", F.array().cast(kinds).alias("spans"), F.col("text").alias("sanitised"))
+    return hit.unionByName(rest).withColumnRenamed("id", id_col)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, flagged: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """id and the places of flagged terms: candidates pass a bitmap of fixed size, a join on the hash settles them."""
-    spark = docs.sparkSession
-    rows = flagged.select(F.pmod("hash", F.lit(bits)).alias("s")).groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect()
-    shared = spark.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in rows})
+    """id and more, the places of flagged terms: candidates pass a bitmap of fixed size, a join on the hash settles them."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bitmap = _bitmap(flagged, bits)
+    if not bitmap:
+        return docs.sparkSession.createDataFrame([], f"id {kind}, more array<struct<start:bigint,end:bigint>>")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap, known = shared.value, {}
+        known: dict[str, int] = {}
         for batch in batches:
-            ids, hashes, starts, ends = [], [], [], []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                for m in _TERM.finditer(text or ""):
-                    term = m.group().lower()
-                    h = known.get(term)
-                    if h is None:
-                        h = _term_hash(term)
-                        s = h % bits
-                        hit = bitmap.get(s // 32768)
-                        h = h if hit is not None and hit[s % 32768 // 8] >> (s % 8) & 1 else 0
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[term] = h
-                    if h:
-                        ids.append(i), hashes.append(h), starts.append(m.start()), ends.append(m.end())
-            yield pd.DataFrame({"id": ids, "hash": hashes, "start": starts, "end": ends})
-
-    places = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(find, f"id {kind}, hash long, start long, end long")
+            found = [(i, *x) for i, own in zip(batch["id"], _candidates(batch["text"], shared.value, bits, known), strict=True) for x in own]
+            yield pd.DataFrame(found, columns=["id", "hash", "start", "end"])
+
+    places = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null").mapInPandas(find, f"id {kind}, hash long, start long, end long")
     hits = places.join(flagged.select("hash"), "hash", "left_semi")
-    return hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(F.struct("start", "end"))), lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("more"))
+    return hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
 
 
 def redacted(rows: DataFrame, text_col: str = "text", spans_col: str = "spans", out_col: str = "sanitised") -> DataFrame:

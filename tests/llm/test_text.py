@@ -1,8 +1,10 @@
 """BPE against the tokenizers library, language ID by held-out accuracy, personal data and pages by hand and brute force."""
 
 import hashlib
+import random
 import re
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from quillspark.llm import queries
 from quillspark.llm.bpe import Decoder, Encoder, Vocabulary, bpe_decode, bpe_encode
 from quillspark.llm.html_extract import TAG, TEXT, deduce_templates, extract_main_text, main_text, packed_page, page_tokens
 from quillspark.llm.language_id import identify_language, train_language_model
-from quillspark.llm.sanitise import KINDS, base_spans, find_base, personal_data, redacted
+from quillspark.llm.sanitise import KINDS, base_spans, disclosing_terms, find_base, personal_data, redacted
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -161,6 +163,54 @@ def test_context_reaches_the_window_over_any_distance(spark):
     assert find_base(docs, "doc_id", "text", 8).first()["mentions"][0]["terms"] == ["alpha", "omega"]
 
 
+def disclosing_by_force(texts, window, disclosure):
+    """Terms that reveal an entity, from contexts and counts of the whole corpus held in memory."""
+    from math import log2
+
+    different, contexts = set(texts), {}
+    for text in different:
+        found = base_spans(text)
+        flat = list(text)
+        for own in found.values():
+            for a, b in own:
+                flat[a:b] = " " * (b - a)
+        places = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{2,}", "".join(flat))]
+        for kind, own in found.items():
+            for a, b in own:
+                left, right = [w for _, e, w in places if e <= a][-window:], [w for s, _, w in places if s >= b][:window]
+                literal = text[a:b].lower()
+                if kind in ("card", "phone"):
+                    literal = re.sub(r"[ ().-]", "", literal)
+                owner = {"email": literal.split("@")[-1], "ip": literal[: literal.rfind(".")]}.get(kind, literal[:6])
+                for entity in ((kind, literal), ("owner", kind, owner), ("kind", kind)):
+                    contexts.setdefault(entity, set()).add((tuple(left), tuple(right)))
+        if any(found.values()) and places:
+            contexts.setdefault("document", set()).add((text, tuple(sorted({w for _, _, w in places}))))
+    n, out = len(different), set()
+    df = Counter(w for text in different for w in {m.lower() for m in re.findall(r"[^\W\d_]{2,}", text)})
+    for entity, own in contexts.items():
+        both = Counter(w for c in own for w in ({*c[0], *c[1]} if entity != "document" else c[1]))
+        content = log2(n / len(own))
+        for w, k in both.items():
+            if content > 0 and k > 1 and log2((k - 1) * n / (len(own) * max(df[w], k))) >= disclosure * content:
+                out.add(w)
+    return out
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(120)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 40))) for _ in range(400)]
+    for k in range(40):
+        kind = rng.choice([f"u{k}@corp.example", "10.0.0.%d" % k, "+1 (555) 010-%04d" % k])
+        texts[k] = f"{texts[k]} ledger {kind} {rng.choice(['xylo', 'quince'])} {texts[-k - 1]}"
+    texts += texts[:30] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mentions = find_base(docs, "doc_id", "text", 8).select(F.explode("mentions").alias("m")).select("m.*")
+    got = {r["term"] for r in disclosing_terms(mentions, docs, "text", 0.8).collect()}
+    assert got == disclosing_by_force(texts, 8, 0.8) and "ledger" in got
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([("ask Ann at a@b.cd now", [("email", 11, 17), ("term", 4, 7)]), (None, None)], "text string, spans array<struct<kind:string,start:long,end:long>>")
     assert [r["sanitised"] for r in redacted(rows).collect()] == ["ask  at [EMAIL] now", ""]

@@ -110,9 +110,9 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
                             literal = re.sub(r"[ ().-]", "", text[a:b].lower()) if kind in ("card", "phone") else text[a:b].lower()
                             context, terms = _term_hash(" ".join([*left, "|", *right])), sorted({*left, *right})
                             for entity in (f"{kind}:{literal}", f"owner:{kind}:{_owner(kind, literal)}", f"kind:{kind}"):
-                                near.append({"entity": _term_hash(entity), "context": context, "terms": terms})
+                                near.append({"entity": _term_hash(entity), "pooled": not entity.startswith(kind), "context": context, "terms": terms})
                 if places:
-                    near.append({"entity": _term_hash("document"), "context": _term_hash(text), "terms": sorted({m.group().lower() for m in places})})
+                    near.append({"entity": _term_hash("document"), "pooled": True, "context": _term_hash(text), "terms": sorted({m.group().lower() for m in places})})
                 ids.append(i)
                 spans.append([{"kind": k, "start": a, "end": b} for k in KINDS for a, b in found[k]])
                 mentions.append(near)
@@ -120,7 +120,7 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(scan, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>, mentions array<struct<entity:long,context:long,terms:array<string>>>")
+    return rows.mapInPandas(scan, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>, mentions array<struct<entity:long,pooled:boolean,context:long,terms:array<string>>>")
 
 
 def _blanked(text: str, taken: list[tuple[int, int]]) -> str:
@@ -145,6 +145,11 @@ def _word_edges(text: str, blank: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _at_least(n):
+    """Lower 95 % bound of a count's expectation, by the cube-root approximation of the Poisson law."""
+    return n * F.pow(1 - 1 / (9 * n) - 1.645 / (3 * F.sqrt(n)), F.lit(3.0))
+
+
 def _bitmap(keys: DataFrame, bits: int) -> dict[int, bytes]:
     rows = keys.select(F.pmod("hash", F.lit(bits)).alias("s")).groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect()
     return {r["bucket"]: bytes(r["bits"]) for r in rows}
@@ -181,21 +186,22 @@ def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
 def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, disclosure: float, bits: int = 1 << 22) -> DataFrame:
     """Terms (hash and text) that reveal an entity: PMI(term; entity) >= disclosure * IC(entity).
 
-    mentions: entity, context, terms. Probabilities are shares of all different texts, so copies of a document count
+    mentions: entity, pooled, context, terms. Probabilities are shares of all different texts, so copies of a document count
     once. A term counts for an entity once per different context, so copies of one passage are one piece of evidence. Of
     the common contexts one is left out: a single context of an entity proves nothing, and
-    evidence is pooled in its owner, its kind and the documents with personal data.
+    evidence is pooled in its owner, its kind and the documents with personal data. Pooled entities meet so many terms
+    by chance that of their common contexts the lower 95 % bound is taken.
     """
     spark = docs.sparkSession
     texts = different_texts(docs, text_col)
     total = F.lit(float(max(1, docs.select(F.xxhash64(text_col).alias("key")).distinct().count())))
-    seen = cut(mentions.groupBy("entity", "context").agg(F.first("terms").alias("terms")))
+    seen = cut(mentions.groupBy("entity", "pooled", "context").agg(F.first("terms").alias("terms")))
     often = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).join(often, "entity")
+    pairs = seen.select("entity", "pooled", F.explode("terms").alias("term")).groupBy("entity", "pooled", "term").agg(F.count(F.lit(1)).alias("n_both")).join(often, "entity")
 
     def reveals(n_term):
         content = F.log2(total / F.col("n_entity"))
-        return (content > 0) & (F.col("n_both") > 1) & (F.log2((F.col("n_both") - 1) * total / (F.col("n_entity") * n_term)) >= disclosure * content)
+        return (content > 0) & (F.col("n_both") > 1) & (F.log2(F.when(F.col("pooled"), _at_least(F.col("n_both"))).otherwise(F.col("n_both") - 1) * total / (F.col("n_entity") * n_term)) >= disclosure * content)
 
     # no term is in fewer texts than in contexts, so most are settled before any text is counted
     pairs = cut(pairs.filter(reveals(F.greatest(F.lit(1), F.col("n_both")))).withColumn("hash", F.xxhash64("term")))

@@ -165,7 +165,7 @@ def test_context_reaches_the_window_over_any_distance(spark):
 
 def disclosing_by_force(texts, window, disclosure):
     """Terms that reveal an entity, from contexts and counts of the whole corpus held in memory."""
-    from math import log2
+    from math import log2, sqrt
 
     different, contexts = set(texts), {}
     for text in different:
@@ -192,7 +192,8 @@ def disclosing_by_force(texts, window, disclosure):
         both = Counter(w for c in own for w in ({*c[0], *c[1]} if entity != "document" else c[1]))
         content = log2(n / len(own))
         for w, k in both.items():
-            if content > 0 and k > 1 and log2((k - 1) * n / (len(own) * max(df[w], k))) >= disclosure * content:
+            low = k * (1 - 1 / (9 * k) - 1.645 / (3 * sqrt(k))) ** 3 if entity == "document" or entity[0] in ("owner", "kind") else k - 1
+            if content > 0 and k > 1 and log2(low * n / (len(own) * max(df[w], k))) >= disclosure * content:
                 out.add(w)
     return out
 

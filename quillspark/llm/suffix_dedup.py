@@ -13,6 +13,7 @@ from quillspark.llm.common import _MIX, blocks_of, cut, hash_filter, maybe_in, m
 from quillspark.llm.suffix import dense_ranks, lcp_intervals, suffix_array
 
 _PLACE = 30  # low bits of a minimiser's key hold its place
+_OPEN = 1 << 25  # bits of the map of anchors that occur again
 _ROWS = "key long, seg long, doc long, start long, anchor int, more int"
 
 
@@ -196,6 +197,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pd.DataFrame({"key": got["key"], "seg": got["seg"], "doc": ids[a:b][got["of"]], "start": got["start"], "anchor": got["anchor"].astype(np.int32), "more": got["more"].astype(np.int32)})
 
     found = cut(rows.mapInPandas(scan, _ROWS))
+    # an anchor of one place only repeats nothing: a bitmap keeps most of these from all later shuffles
+    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = maybe_in(found, F.col("key"), cut(hash_filter(twice, F.col("key"), _OPEN)), "_open", _OPEN).filter("_open").drop("_open")
     kinds, keys = _classified(found, crowd)
     spans = _whole(found, kinds, length)
 
@@ -232,21 +236,49 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.unionByName(_in_groups(groups, length))
 
 
+def shared_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 240, anchor_bytes: int = 48) -> DataFrame:
+    """doc and n_shared: bytes under anchors that are anchors of another document too; documents without any are left out.
+
+    Every string of `least` bytes has an anchor (the least hash of its anchor_bytes-byte strings), so no passage of that
+    length that two documents share goes unseen; what is counted is at least one anchor for each such passage.
+    """
+    short_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, ids = list(batch["text"]), batch["doc"].to_numpy(np.int64)
+            for a, b in blocks_of(texts, 1 << 20):
+                got = segments(texts[a:b], least, anchor_bytes)
+                yield pd.DataFrame({"key": got["key"], "doc": ids[a:b][got["of"]], "at": (got["start"] + got["anchor"]).astype(np.int32)})
+
+    anchors = cut(rows.mapInPandas(scan, "key long, doc long, at int"))
+    shared = anchors.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
+    near = maybe_in(anchors, F.col("key"), cut(hash_filter(shared, F.col("key"), _OPEN)), "_open", _OPEN).filter("_open").select("key", "doc", "at")
+    # what the bitmap let pass in error is told by the documents of its own key
+    sure = near.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
+    places = near.join(sure, "key").groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    gaps = F.transform(F.slice("at", 2, F.size("at")), lambda x, k: F.least(F.lit(anchor_bytes), x - F.get("at", k)))
+    return places.select("doc", F.aggregate(gaps, F.lit(anchor_bytes).cast("long"), lambda total, x: total + x).alias("n_shared"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor_bytes: int = 32, crowd: int = 64) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (the remaining bytes, binary).
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (the remaining bytes, binary), n_shared.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a `length`-byte string over it also starts anywhere else, in
     the same text or another; matches overlap freely, stay inside one text and are judged on the input. n_spans counts
     maximal removed runs. Repeated rows are copies of each other; ids should name texts (rows with one id and different
     texts share their spans, cut to their length); rows with a null id lose nothing. Extra columns are ignored; no rows
-    give no rows. Texts without a span do not take part in the last shuffle.
+    give no rows. n_shared (see shared_bytes) tells of shorter passages that other documents have too; nothing is removed for
+    them. Texts without a span or a shared passage do not take part in the last shuffle.
     """
     spans = cut(repeated_spans(docs, id_col, text_col, length, anchor_bytes, crowd))
-    merged = cut(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")))
+    merged = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    merged = cut(merged.join(shared_bytes(docs, id_col, text_col), "doc", "full"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("_doc", F.col("id").cast("long"))
-    rows = maybe_in(rows, F.col("_doc"), hash_filter(merged, F.col("doc")), "_hit")
-    hit = rows.filter("_hit").join(merged, F.col("_doc") == F.col("doc"), "left").select("id", "text", "spans")
-    rest = rows.filter("not _hit").select("id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"))
+    rows = maybe_in(rows, F.col("_doc"), cut(hash_filter(merged, F.col("doc"))), "_hit")
+    hit = rows.filter("_hit").join(merged, F.col("_doc") == F.col("doc"), "left").select("id", "text", "spans", "n_shared")
+    rest = rows.filter("not _hit").select("id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.lit(None).cast("long").alias("n_shared"))
 
     @F.pandas_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
     def removed(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -267,5 +299,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((len(raw), len(raw) - len(kept), runs, kept))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = hit.unionByName(rest).select("id", removed("text", "spans").alias("r"))
-    return done.select(F.col("id").alias(id_col), "r.*")
+    done = hit.unionByName(rest).select("id", removed("text", "spans").alias("r"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return done.select(F.col("id").alias(id_col), "r.*", "n_shared")

@@ -13,7 +13,7 @@ from quillspark.llm.components import connected_components
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.jaccard_join import jaccard_components
 from quillspark.llm.repetition_quality import repetition_quality
-from quillspark.llm.suffix_dedup import suffix_dedup
+from quillspark.llm.suffix_dedup import shared_bytes, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,6 +82,19 @@ def test_suffix_dedup_query_matches_brute_force(spark):
         assert (rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) == (n, gone, runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_shared_passages_are_seen(spark):
+    """Passages of just over 50 words in several documents, none of them long enough to be removed; other texts share nothing."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passage = [prose(52) for _ in range(5)]
+    assert all(240 <= len(p) < 400 for p in passage)
+    texts = [f"{prose(rng.randint(5, 90))} {passage[k % 5]} {prose(rng.randint(5, 90))}" for k in range(30)] + [prose(120) for _ in range(30)] + ["", None]
+    got = {r["doc"]: r["n_shared"] for r in shared_bytes(table(spark, texts)).collect()}
+    assert sorted(got) == list(range(30)) and all(48 <= n <= 400 for n in got.values())
+    rows = suffix_dedup(table(spark, texts)).collect()
+    assert {r["doc_id"]: r["n_shared"] for r in rows if r["n_shared"]} == got and not any(r["n_removed"] for r in rows)
+
+
 def quality_by_force(text, least):
     text = text or ""
     w = WORD.findall(text)

@@ -19,9 +19,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    """The session's spark.checkpoint.dir, which all executors share; a temporary folder only on a single machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 

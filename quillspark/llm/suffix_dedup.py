@@ -257,7 +257,10 @@ def shared_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = maybe_in(anchors, F.col("key"), cut(hash_filter(shared, F.col("key"), _OPEN)), "_open", _OPEN).filter("_open").select("key", "doc", "at")
     # what the bitmap let pass in error is told by the documents of its own key
     sure = near.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    places = near.join(sure, "key").groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # a key may hold a third of all rows: documents are dealt over 16 places for each, with a copy of the key's one row
+    salt = F.pmod(F.xxhash64("doc"), F.lit(16))
+    sure = sure.withColumn("salt", F.explode(F.expr("sequence(0L, 15L)")))
+    places = near.withColumn("salt", salt).join(sure, ["key", "salt"]).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
     gaps = F.transform(F.slice("at", 2, F.size("at")), lambda x, k: F.least(F.lit(anchor_bytes), x - F.get("at", k)))
     return places.select("doc", F.aggregate(gaps, F.lit(anchor_bytes).cast("long"), lambda total, x: total + x).alias("n_shared"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.operators.stages import materialised
+
 LINK = r"\[\[([^\]|#]+)(?:[#|][^\]]+)?\]\]"
 
 
@@ -66,13 +68,13 @@ def layered_search(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_n
 
     roots: root, note. Inside a layer the parents go in order of their visit and each one's neighbours in `order`
     (columns of degrees and note; by default hubs, then indexes, then names); the first parent claims a note. Each root
-    stops at max_nodes notes, itself included. A layer is a few joins; nothing is collected.
+    stops at max_nodes notes, itself included. A layer is a few joins, computed once; nothing is collected.
     """
     info = degrees(edges)
     down = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     up = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     near = {"both": down.unionByName(up), "down": down, "up": up}[direction].filter("a <> b").distinct()
-    near = near.join(info.withColumnRenamed("note", "b"), "b", "left").withColumnRenamed("b", "note")
+    near = materialised(near.join(info.withColumnRenamed("note", "b"), "b", "left").withColumnRenamed("b", "note"))
     order = order or [F.desc(F.col("note_type") == "hub"), F.desc(F.col("note_type") == "index"), F.col("note")]
     seen = roots.select("root", "note", F.lit(0).alias("depth"), F.lit(1).alias("visit"))
     layer = seen
@@ -83,8 +85,8 @@ def layered_search(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_n
         found = found.withColumn("_rn", F.row_number().over(W.partitionBy("root", "note").orderBy("parent_visit"))).filter("_rn = 1")
         count = seen.groupBy("root").agg(F.max("visit").alias("_base"))
         place = F.row_number().over(W.partitionBy("root").orderBy("parent_visit", *order))
-        layer = found.withColumn("_place", place).join(count, "root").withColumn("visit", F.col("_base") + F.col("_place")).filter(F.col("visit") <= max_nodes)
-        layer = layer.select("root", "note", F.lit(depth).alias("depth"), F.col("visit").cast("int").alias("visit"))
+        layer = found.withColumn("_place", place).filter(F.col("_place") <= max_nodes).join(count, "root").withColumn("visit", F.col("_base") + F.col("_place")).filter(F.col("visit") <= max_nodes)
+        layer = materialised(layer.select("root", "note", F.lit(depth).alias("depth"), F.col("visit").cast("int").alias("visit")))
         seen = seen.unionByName(layer)
     return seen
 

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import contains_any, keywords, tokenize
+from quillspark.operators.stages import numbered
 
 RRF_K, BM25_K1, BM25_B, IDF_FLOOR = 60, 1.5, 0.75, 0.25
+# Rewordings for every query, and more for those that ask who, what, how or where.
+_REWORDINGS = (("{} del documento", "{} del archivo", "{} en el documento", "{} en el archivo", "qué es {}", "qué significa {}", "qué contiene {}", "qué incluye {}"), (
+    (("quien", "quién"), ("quién es {}", "quién creó {}", "quién preparó {}", "quién hizo {}", "quién escribió {}")),
+    (("qué", "que"), ("qué es {}", "qué significa {}", "qué contiene {}", "qué incluye {}", "qué representa {}")),
+    (("cómo", "como"), ("cómo es {}", "cómo funciona {}", "cómo se hace {}", "cómo se utiliza {}", "cómo se implementa {}")),
+    (("dónde", "donde"), ("dónde está {}", "dónde se encuentra {}", "dónde se ubica {}", "dónde aparece {}")),
+))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -47,18 +55,30 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words = docs.select(F.col(id_col).alias("id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     postings = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     size = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     stats = raw.agg(F.max("n_docs").alias("n_docs"), F.max("avgdl").alias("avgdl"), F.count(F.lit(1)).alias("n_terms"), F.avg("raw").alias("avg_idf"))
     terms = raw.select("term", "df", "raw").crossJoin(F.broadcast(stats.select("avg_idf")))
     return postings, terms.select("term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf")), stats
 
 
+def save_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Write an index as three tables below path; postings lie sorted by term, so that a search reads few row groups."""
+    for name, part in zip(("postings", "terms", "stats"), index, strict=True):
+        (part.repartitionByRange("term").sortWithinPartitions("term") if name != "stats" else part).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats"))
+
+
 def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], query: str, k: int = 5, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """id, bm25_score and lexical_rank of the best k documents with a positive score; repeated query words count again."""
     postings, terms, stats = index
     spark = postings.sparkSession
     asked = spark.range(1).select(F.explode(tokenize(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qf"))
+    words = [r["term"] for r in asked.collect()]  # of the query: a filter on them reaches below the shuffle, or the saved index
+    postings, terms = postings.filter(F.col("term").isin(words)), terms.filter(F.col("term").isin(words))
     hits = postings.join(F.broadcast(asked), "term").join(terms.join(F.broadcast(asked.select("term")), "term", "left_semi"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     top = hits.groupBy("id").agg(F.round(F.sum(part), 6).alias("bm25_score")).orderBy(F.desc("bm25_score"), "id").limit(k)
@@ -82,22 +102,26 @@ def hybrid_search(points: DataFrame, index: tuple[DataFrame, DataFrame, DataFram
 
 
 def expand_query(query: str) -> list[str]:
-    """The query and its rewordings, each once, in order."""
-    # Rewordings for every query, and more for those that ask who, what, how or where.
-    general = ("{} del documento", "{} del archivo", "{} en el documento", "{} en el archivo", "qué es {}", "qué significa {}", "qué contiene {}", "qué incluye {}")
-    asked = (
-        (("quien", "quién"), ("quién es {}", "quién creó {}", "quién preparó {}", "quién hizo {}", "quién escribió {}")),
-        (("qué", "que"), ("qué es {}", "qué significa {}", "qué contiene {}", "qué incluye {}", "qué representa {}")),
-        (("cómo", "como"), ("cómo es {}", "cómo funciona {}", "cómo se hace {}", "cómo se utiliza {}", "cómo se implementa {}")),
-        (("dónde", "donde"), ("dónde está {}", "dónde se encuentra {}", "dónde se ubica {}", "dónde aparece {}")),
-    )
-    found = [query, *(g.format(query) for g in general)]
+    """Rewordings of the query, each once, in order."""
+    general, asked = _REWORDINGS
+    found = [g.format(query) for g in general]
     for signs, forms in asked:
         if any(s in query.lower() for s in signs):
             found += [f.format(query) for f in forms]
     return list(dict.fromkeys(found))
 
 
+def expansions(query: Column) -> Column:
+    """expand_query for a column of queries."""
+
+    def worded(forms: Sequence[str]) -> Column:
+        return F.array(*[F.concat(*[F.lit(x) for x in f.partition("{}")[:1]], query, *[F.lit(x) for x in f.partition("{}")[2:]]) for f in forms])
+
+    general, asked = _REWORDINGS
+    more = [F.when(F.lower(query).rlike("|".join(signs)), worded(forms)).otherwise(F.array().cast("array<string>")) for signs, forms in asked]
+    return F.array_distinct(F.concat(worded(general), *more))
+
+
 def ladder(threshold: float, floor: float = 0.3, step: float = 0.1) -> list[float]:
     """Thresholds to fall back to, one step after the other down to the floor."""
     n = round((threshold - floor) / step)
@@ -126,6 +150,57 @@ def search_ladder(points: DataFrame, query: Sequence[float], collections: Sequen
     return hits.drop("best", "f", "place", "r").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def search_expanded(points: DataFrame, vectors: Sequence[Sequence[float]], collections: Sequence[str], collection_col: str, k: int = 5, threshold: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The rung of rewordings: of their vectors, in order, the first that finds anything in a collection answers.
+
+    Its first collection with hits gives its best k, with rung (the place of the rewording) and score. Every point is
+    scored once for all rewordings; only the k best rows are sorted.
+    """
+    order = F.create_map(*[F.lit(x) for pair in ((c, i) for i, c in enumerate(collections)) for x in pair])
+    scores = F.array(*[F.round(cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in v])), 6) for v in vectors])
+    scored = points.filter(F.col(collection_col).isin(*collections)).withColumn("_scores", scores).drop(vector_col)
+    first = F.array_position(F.transform("_scores", lambda s: F.coalesce(s >= threshold, F.lit(False))), True)
+    hits = scored.withColumn("_place", order[F.col(collection_col)]).withColumn("_first", first)
+    best = hits.filter("_first > 0").agg(F.min(F.struct("_first", "_place")).alias("_best"))
+    hits = hits.join(F.broadcast(best), F.col("_place") == F.col("_best._place")).withColumn("score", F.get("_scores", (F.col("_best._first") - 1).cast("int")))
+    hits = hits.withColumn("rung", (F.col("_best._first") - 1).cast("int")).filter(F.col("score") >= threshold)
+    return hits.drop("_scores", "_place", "_first", "_best").orderBy(F.desc("score"), id_col).limit(k)
+
+
+#: The column that each search mode ranks by.
+SCORE_KEYS = {"semantic": "score", "lexical": "bm25_score", "hybrid": "rrf_score"}
+
+
+def search_collection(mode: str, points: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], query: str, vector: Sequence[float], k: int = 5, threshold: float | None = None, alpha: float = 0.5, id_col: str = "vec_id") -> DataFrame:
+    """key and the mode's score (SCORE_KEYS) of the k best hits by meaning, by words, or by both; an unknown mode is semantic."""
+    if mode == "lexical":
+        hits = bm25_search(index, query, k).withColumnRenamed("id", "key")
+    elif mode == "hybrid":
+        hits = hybrid_search(points, index, query, vector, k, alpha, threshold, id_col)
+    else:
+        mode, hits = "semantic", vector_search(points, vector, k, threshold, id_col=id_col).withColumnRenamed(id_col, "key")
+    return hits.select("key", SCORE_KEYS[mode])
+
+
+def search(
+    points: DataFrame, contents: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], query: str, vector: Sequence[float], mode: str = "semantic", k: int = 5, threshold: float | None = None, alpha: float = 0.5, scorer: Callable[[Column], Column] | None = None, top: int | None = None, parents: DataFrame | None = None, id_col: str = "vec_id"
+) -> DataFrame:
+    """The whole search: hits in the mode, reranked by scorer (the best `top`) or cut to k, and expanded to their parents.
+
+    contents: key, content, parent_id. Returns id, parent_id, content, score (of the reranker or the mode), child_count
+    and avg_score, the mean over what is returned.
+    """
+    hits = search_collection(mode, points, index, query, vector, k, threshold, alpha, id_col)
+    hits = hits.withColumnRenamed(SCORE_KEYS.get(mode, "score"), "score").withColumnRenamed("key", "id")
+    hits = contents.withColumnRenamed("key", "id").join(F.broadcast(hits), "id")  # k rows
+    hits = rerank(hits, scorer, top or k)
+    hits = hits.withColumn("score", F.col("rerank_score")) if scorer is not None else hits
+    hits = hits.withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), *([F.desc("original_score")] if scorer is not None else []), "id")))
+    found = expand_parents(hits, parents) if parents is not None else hits.withColumn("child_count", F.lit(1).cast("long"))
+    mean = F.round(F.avg(F.coalesce("score", F.lit(0.0))).over(W.partitionBy()), 6)
+    return found.select("id", "parent_id", "content", "score", "child_count", mean.alias("avg_score"))
+
+
 def keyword_search(points: DataFrame, text_col: str, query_text: str, query: Sequence[float], k: int = 5, threshold: float = 0.3, id_col: str = "vec_id") -> DataFrame:
     """3k vector hits at the ladder's floor, of these the ones that hold a keyword of the query, the best k."""
     hits = vector_search(points, query, 3 * k, threshold, id_col=id_col)
@@ -174,4 +249,4 @@ def rerank(hits: DataFrame, scorer: Callable[[Column], Column] | None, k: int, c
 def merge_by_quality(rows: DataFrame, good: Column, enriched: Column, id_col: str = "id") -> DataFrame:
     """Good rows first, then enriched, then the rest; each row once, in its own order inside."""
     priority = F.when(good, 0).when(enriched, 1).otherwise(2)
-    return rows.withColumn("priority", priority).withColumn("rank", F.row_number().over(W.orderBy("priority", "pos", id_col)))
+    return numbered(rows.withColumn("priority", priority), [F.col("priority"), F.col("pos"), F.col(id_col)], "rank")

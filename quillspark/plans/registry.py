@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import inspect
 import re
-import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -148,11 +147,14 @@ def check_select(sql: str) -> str:
 
 def run_sql(spark: SparkSession, sql: str, values: Mapping[str, Any] | None = None, tables: Mapping[str, DataFrame] | None = None, fetch_size: int = 100) -> DataFrame:
     """A SELECT with named values over the session's tables and those given; fetch_size 0 or less returns all rows."""
-    names = {}
-    for name, df in (tables or {}).items():
-        names[name] = f"{name}_{uuid.uuid4().hex[:8]}"
-        df.createOrReplaceTempView(names[name])
-    for name, view in names.items():
-        sql = re.sub(rf"\b{re.escape(name)}\b(?=\s|$|\))", view, sql)
-    out = spark.sql(check_select(sql), args=dict(values or {}))
+    statement = check_select(sql)
+    before: dict[str, DataFrame | None] = {}
+    try:
+        for name, df in (tables or {}).items():
+            before[name] = spark.table(name) if any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables()) else None
+            df.createOrReplaceTempView(name)
+        out = spark.sql(statement, args=dict(values or {}))  # names are resolved here; the views can go
+    finally:
+        for name, df in before.items():
+            spark.catalog.dropTempView(name) if df is None else df.createOrReplaceTempView(name)
     return out.limit(fetch_size) if fetch_size > 0 else out

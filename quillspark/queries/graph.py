@@ -22,12 +22,12 @@ def _notes(spark):
 
 
 def _edges(spark, sf_dir):
-    """Suppliers and parts that a line with quantity 1 to 3 ties together."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity <= 3")
+    """Suppliers and parts that a line ties together."""
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
 
 
-_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity <= 3)"
+_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 _DEGREES = """i AS (SELECT dst AS note, count(*) AS n_in FROM e GROUP BY 1), o AS (SELECT src AS note, count(*) AS n_out FROM e GROUP BY 1),
  d AS (SELECT note, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, CASE WHEN coalesce(n_in, 0) > 5 THEN 'hub' WHEN coalesce(n_out, 0) > 10 THEN 'index'
    WHEN coalesce(n_in, 0) + coalesce(n_out, 0) < 3 THEN 'atomic' ELSE 'bridge' END AS note_type FROM i FULL JOIN o USING (note))"""

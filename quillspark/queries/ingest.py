@@ -196,4 +196,4 @@ def event_windows(spark, sf_dir):
 @query()
 def json_tolerant(spark, sf_dir):
     rows = spark.createDataFrame([(1, '{"ciudad": "Barcelona"}'), (2, 'Here:\n```json\n{"ciudad": "Madrid"}\n```'), (3, "ciudad: Lima\npersona: Juan")], "id long, t string")
-    return rows.select("id", F.udf(P.parse_tolerant, "map<string,string>")("t").alias("found"))
+    return rows.select("id", P.tolerant_map(F.col("t")).alias("found"))

@@ -69,9 +69,9 @@ def registry_semi(spark, sf_dir):
     return table(spark, sf_dir, "supplier").join(nation, "s_nationkey", "left_semi").select("s_suppkey", "s_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000)")
 def deleted_files(spark, sf_dir):
-    return R.delete_by(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
+    return R.delete_by(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_totalprice > 100000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'new' ELSE p_name END AS p_name FROM part UNION ALL SELECT 1000000000 + p_partkey, 'new' FROM part WHERE p_partkey % 500 = 0")

@@ -86,10 +86,61 @@ def search_ladder(spark, sf_dir):
     return hits.select("vec_id", "collection", "score", "rung")
 
 
-@query()
+@query(
+    """WITH q AS (SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN '¿Quién es ' WHEN 1 THEN '¿qué hay en ' WHEN 2 THEN '¿Cómo va ' WHEN 3 THEN '¿dónde cae ' ELSE '' END || n_name AS q FROM nation),
+       x AS (SELECT id, [q || ' del documento', q || ' del archivo', q || ' en el documento', q || ' en el archivo', 'qué es ' || q, 'qué significa ' || q, 'qué contiene ' || q, 'qué incluye ' || q]
+         || CASE WHEN regexp_matches(lower(q), 'quien|quién') THEN ['quién es ' || q, 'quién creó ' || q, 'quién preparó ' || q, 'quién hizo ' || q, 'quién escribió ' || q] ELSE [] END
+         || CASE WHEN regexp_matches(lower(q), 'qué|que') THEN ['qué es ' || q, 'qué significa ' || q, 'qué contiene ' || q, 'qué incluye ' || q, 'qué representa ' || q] ELSE [] END
+         || CASE WHEN regexp_matches(lower(q), 'cómo|como') THEN ['cómo es ' || q, 'cómo funciona ' || q, 'cómo se hace ' || q, 'cómo se utiliza ' || q, 'cómo se implementa ' || q] ELSE [] END
+         || CASE WHEN regexp_matches(lower(q), 'dónde|donde') THEN ['dónde está ' || q, 'dónde se encuentra ' || q, 'dónde se ubica ' || q, 'dónde aparece ' || q] ELSE [] END AS l FROM q),
+       u AS (SELECT id, unnest(l) AS expansion, generate_subscripts(l, 1) AS i FROM x) SELECT id, expansion, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS place FROM u GROUP BY id, expansion"""
+)
 def query_expansion(spark, sf_dir):
-    found = [(i, x) for i, x in enumerate(R.expand_query("¿quién creó el índice?"))]
-    return spark.createDataFrame(found, "place int, expansion string")
+    opening = F.element_at(F.array(*map(F.lit, ("¿Quién es ", "¿qué hay en ", "¿Cómo va ", "¿dónde cae ", ""))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), R.expansions(F.concat(opening, "n_name")).alias("l"))
+    return rows.select("id", F.posexplode("l").alias("place", "expansion")).withColumn("place", F.col("place") + 1)
+
+
+@query(
+    f"""WITH {_BM25}, {_COS}, {_FUSED.replace("LIMIT 20", "LIMIT 24")}, b AS (SELECT doc_id, bm25_score FROM s WHERE bm25_score > 0 ORDER BY bm25_score DESC, doc_id LIMIT 12)
+        SELECT 'semantic' AS mode, * FROM (SELECT vec_id AS key, score FROM v ORDER BY score DESC, vec_id LIMIT 12) UNION ALL SELECT 'lexical', doc_id, bm25_score FROM b
+        UNION ALL SELECT 'hybrid', * FROM (SELECT key, rrf_score FROM f ORDER BY rrf_score DESC, semantic_rank NULLS LAST, lexical_rank, key LIMIT 12)"""
+)
+def search_modes(spark, sf_dir):
+    points, v = table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir)
+    index = R.bm25_index(table(spark, sf_dir, "documents"))
+    found = [R.search_collection(m, points, index, ASKED, v, 12).withColumnRenamed(k, "score").withColumn("mode", F.lit(m)) for m, k in R.SCORE_KEYS.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, 'c' || label % 3 AS collection, label % 3 AS place, embedding::DOUBLE[] AS x FROM embeddings),
+        q AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rung, x AS y FROM e WHERE vec_id IN (1, 2, 3)),
+        h AS (SELECT vec_id, collection, place, rung, round(list_cosine_similarity(x, y), 6) AS score FROM e, q WHERE vec_id > 3),
+        g AS (SELECT * FROM h WHERE score >= 0.25), b AS (SELECT rung, place FROM g ORDER BY rung, place LIMIT 1)
+        SELECT vec_id, collection, rung, score FROM g JOIN b USING (rung, place) ORDER BY score DESC, vec_id LIMIT 5"""
+)
+def search_rewordings(spark, sf_dir):
+    """Vectors 1 to 3 stand for those of three rewordings."""
+    points = table(spark, sf_dir, "embeddings").withColumn("collection", F.concat(F.lit("c"), F.col("label") % 3))
+    asked = points.filter("vec_id in (1, 2, 3)").select("vec_id", "embedding").orderBy("vec_id").collect()
+    hits = R.search_expanded(points.filter("vec_id > 3"), [r["embedding"] for r in asked], ["c0", "c1", "c2"], "collection", 5, 0.25)
+    return hits.select("vec_id", "collection", F.col("rung").cast("long").alias("rung"), "score")
+
+
+@query(
+    f"""WITH {_BM25}, {_COS}, {_FUSED.replace("LIMIT 20", "LIMIT 40")}, h AS (SELECT * FROM f ORDER BY rrf_score DESC, semantic_rank NULLS LAST, lexical_rank, key LIMIT 20),
+        c AS (SELECT key AS id, source, rrf_score, round(len(list_intersect(['the', 'ing', 'of', 'andre', 'thing'], list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([\\p{{L}}\\p{{N}}_]+)', 1)))) / 5.0, 6) AS rr FROM h JOIN documents ON key = doc_id),
+        best AS (SELECT *, row_number() OVER (ORDER BY rr DESC, rrf_score DESC, id) AS pos FROM c ORDER BY pos LIMIT 8),
+        by_source AS (SELECT source AS parent_id, arg_max(id, (rr, -pos)) AS id, max(rr) AS score, count(*) AS child_count FROM best GROUP BY source)
+        SELECT id, parent_id, 'all of ' || parent_id AS content, score, child_count, round(avg(score) OVER (), 6) AS avg_score FROM by_source"""
+)
+def search_end_to_end(spark, sf_dir):
+    """Hybrid search, reranking by shared words, and the sources of the documents as parents."""
+    docs = table(spark, sf_dir, "documents")
+    contents = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("parent_id"))
+    parents = docs.select(F.col("source").alias("parent_id")).distinct().withColumn("parent_content", F.concat(F.lit("all of "), "parent_id"))
+    return R.search(table(spark, sf_dir, "embeddings"), contents, R.bm25_index(docs), ASKED, first_vector(spark, sf_dir), "hybrid", 20, scorer=R.overlap_score(ASKED), top=8, parents=parents)
 
 
 @query(
@@ -111,24 +162,23 @@ def _chunks(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_CHUNKS}, h AS (SELECT doc_id AS parent_id, chunk_index, doc_id * 1000 + chunk_index AS id, (length(content) % 7) / 10.0 AS score FROM ch WHERE chunk_index < 4)
+    f"""WITH {_CHUNKS}, h AS (SELECT doc_id AS parent_id, chunk_index, doc_id * 1000000 + chunk_index AS id, (length(content) % 7) / 10.0 AS score FROM ch)
         SELECT parent_id, arg_max(id, (score, -chunk_index)) AS id, max(score) AS score, count(*) AS child_count, list(score ORDER BY chunk_index) AS child_scores,
         md5(max((SELECT text FROM documents d WHERE d.doc_id = parent_id))) AS content_md5 FROM h GROUP BY parent_id"""
 )
 def parent_expand(spark, sf_dir):
-    hits = _chunks(spark, sf_dir).filter("chunk_index < 4").select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("id"), F.col("doc_id").alias("parent_id"), "content", (F.length("content") % 7 / 10).alias("score"), F.col("chunk_index").alias("pos"))
+    hits = _chunks(spark, sf_dir).select((F.col("doc_id") * 1000000 + F.col("chunk_index")).alias("id"), F.col("doc_id").alias("parent_id"), "content", (F.length("content") % 7 / 10).alias("score"), F.col("chunk_index").alias("pos"))
     parents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_content"))
     return R.expand_parents(hits, parents).select("parent_id", "id", "score", "child_count", "child_scores", F.md5("content").alias("content_md5"))
 
 
 @query(
     f"""WITH {_CHUNKS}, w AS (SELECT doc_id AS parent_id, chunk_index, md5(array_to_string(list(content) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10))) AS window_md5 FROM ch)
-        SELECT * FROM w WHERE chunk_index = 1"""
+        SELECT * FROM w"""
 )
 def windowed_parents(spark, sf_dir):
     chunks = _chunks(spark, sf_dir).withColumnRenamed("doc_id", "parent_id")
-    hits = chunks.filter("chunk_index = 1").select("parent_id", "chunk_index")
-    return R.windowed_parents(chunks, hits).select("parent_id", "chunk_index", F.md5("window_content").alias("window_md5"))
+    return R.windowed_parents(chunks, chunks.select("parent_id", "chunk_index")).select("parent_id", "chunk_index", F.md5("window_content").alias("window_md5"))
 
 
 @query(
@@ -178,5 +228,5 @@ def message_keyword_filter(spark, sf_dir):
 
 
 def flagship(spark, sf_dir):
-    """BM25 over the documents: the smallest end-to-end search."""
-    return bm25_topk(spark, sf_dir)
+    """The whole search over the documents: both ways of finding, fused, reranked, and expanded to sources."""
+    return search_end_to_end(spark, sf_dir)

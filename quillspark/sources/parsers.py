@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SECTION = "array<struct<title:string,content:string,level:int>>"
@@ -148,6 +148,18 @@ def parse_tolerant(text: str) -> dict[str, str]:
     return {k.strip().strip("\"'-* "): v.strip().strip("\"',") for k, v in (line.split(":", 1) for line in text.splitlines() if ":" in line) if k.strip()}
 
 
+def tolerant_map(text: Column) -> Column:
+    """parse_tolerant over a column: JSON itself and the first {...} by from_json, `key: value` lines by splitting."""
+    whole = F.from_json(text, "map<string,string>")
+    inner = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), "map<string,string>")
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.contains(x, F.lit(":")))
+    key = lambda x: F.regexp_replace(F.trim(F.substring_index(x, ":", 1)), r"^[\"'\-* ]+|[\"'\-* ]+$", "")
+    value = lambda x: F.regexp_replace(F.trim(F.substr(x, F.instr(x, ":") + 1)), r"^[\"',]+|[\"',]+$", "")
+    pairs = F.filter(F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value"))), lambda p: p["key"] != "")
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.coalesce(whole, inner, F.map_from_entries(last))
+
+
 def _tag(e: ElementTree.Element) -> str:
     return e.tag.rpartition("}")[2]
 

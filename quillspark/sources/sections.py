@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import extension, strip
+from quillspark.operators.stages import numbered
 
 # Which loader takes which extension, in order of preference.
 LOADERS = {
@@ -105,12 +106,12 @@ def pdf_sections(pages: DataFrame, key: str = "path", text: str = "content") ->
 
 def table_sections(rows: DataFrame, columns: list[str], order: list[str], size: int = 100) -> DataFrame:
     """Any table as text sections of `size` rows: header, dashes, and one line of values per row, bars between."""
-    n = F.row_number().over(W.orderBy(*order)) - 1
     line = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    numbered = rows.select(n.alias("n"), line.alias("line")).withColumn("place", F.floor(F.col("n") / size).cast("int"))
+    rows = numbered(rows.select(*{*order, *columns}), [F.col(c) for c in order], "_number")
+    placed = rows.select((F.col("_number") - 1).alias("n"), line.alias("line")).withColumn("place", F.floor(F.col("n") / size).cast("int"))
     head = " | ".join(columns) + "\n" + "-" * (sum(map(len, columns)) + 3 * len(columns)) + "\n"
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    out = numbered.groupBy("place").agg(F.min("n").alias("_a"), F.max("n").alias("_b"), body.alias("_body"))
+    out = placed.groupBy("place").agg(F.min("n").alias("_a"), F.max("n").alias("_b"), body.alias("_body"))
     return out.select("place", F.concat(F.lit("Rows "), F.col("_a") + 1, F.lit("-"), F.col("_b") + 1).alias("title"), F.concat(F.lit(head), F.col("_body")).alias("content"), F.lit(1).alias("level"))
 
 

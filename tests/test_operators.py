@@ -14,6 +14,7 @@ from quillspark.operators import graph as G
 from quillspark.operators import retrieval as R
 from quillspark.operators import sync as S
 from quillspark.operators.chunking import boundary_chunks, split_at_boundaries
+from quillspark.operators.stages import numbered
 from quillspark.plans import registry as P
 from quillspark.sources import parsers as X
 from quillspark.sources.sections import decoded, front_matter, read_files, supported_extensions
@@ -203,3 +204,30 @@ def test_parent_expansion_keeps_orphans(spark):
 def test_json_round_trip(spark):
     rows = spark.createDataFrame([(1, json.dumps({"k": 1}))], "id long, j string")
     assert rows.select(F.get_json_object("j", "$.k")).first()[0] == "1"
+
+
+def test_sql_over_named_tables(spark):
+    """Names of tables stay names: in comma joins, as aliases and in literals; what the session had before is back."""
+    nation = spark.createDataFrame([(1, "x"), (2, "y")], "k int, n string")
+    region = spark.createDataFrame([(1, "r")], "k int, r string")
+    spark.createDataFrame([("old",)], "o string").createOrReplaceTempView("region")
+    tables = {"nation": nation, "region": region}
+    assert P.run_sql(spark, "SELECT count(*) AS c FROM nation, region", {}, tables).first()["c"] == 2
+    row = P.run_sql(spark, "SELECT n AS nation, 'the nation here' AS t FROM nation WHERE k = 2", {}, tables).first()
+    assert row["nation"] == "y" and row["t"] == "the nation here"
+    assert spark.table("region").columns == ["o"] and not any(t.name == "nation" for t in spark.catalog.listTables())
+    spark.catalog.dropTempView("region")
+
+
+def test_index_survives_writing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "green apple tree"), (3, "blue sky"), (4, None)], "doc_id long, text string")
+    index = R.bm25_index(docs)
+    R.save_index(index, str(tmp_path))
+    want = [tuple(r) for r in R.bm25_search(index, "apple tree sky", 3).collect()]
+    assert [tuple(r) for r in R.bm25_search(R.load_index(spark, str(tmp_path)), "apple tree sky", 3).collect()] == want and len(want) == 3
+
+
+def test_numbering_needs_no_single_task(spark):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("id * 37 % 1000 as x")
+    got = {r["x"]: r["n"] for r in numbered(rows, [F.col("x")], "n").collect()}
+    assert got == {x: x + 1 for x in range(1000)}

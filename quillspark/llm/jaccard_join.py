@@ -52,7 +52,7 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _bits(n: int) -> int:
-    return max(64, 1 << max(n - 1, 1).bit_length())
+    return max(64, 2 << max(n - 1, 1).bit_length())
 
 
 def _parity(members: np.ndarray) -> bytes:
@@ -332,14 +332,20 @@ def jaccard_components(
                 else:
                     first = s[:n]
                 away, linked = router.distances(s)
-                core = int(linked.argmax()) if linked.any() else -1
-                links = [router.ids[k] for k in np.flatnonzero(linked).tolist()]
-                out.append((i, len(s), _parity(s), core, links, router.regions(away), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "n", "map", "core", "links", "regions", "tokens"])
-
-    heads = cut(texts.mapInPandas(heads_of, "id long, n long, map binary, core int, links array<long>, regions array<int>, tokens array<long>"))
+                out.append((i, len(s), _parity(s), np.flatnonzero(linked), router.regions(away), first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "n", "map", "links", "regions", "tokens"])
+
+    heads = cut(texts.mapInPandas(heads_of, "id long, n long, map binary, links array<int>, regions array<int>, tokens array<long>"))
+    # pivots that some document links with are connected: at most pivots ** 2 pairs, and so a label for every pivot
+    ties = _Forest(len(tree.ids))
+    for a, b in heads.filter("size(links) > 1").select(F.get("links", F.lit(0)).alias("a"), F.explode("links").alias("b")).filter("a <> b").distinct().collect():
+        ties.join(a, b)
+    labels = [ties.root(k) for k in range(len(tree.ids))]
+    core = F.get(F.array(*map(F.lit, labels)), F.get("links", F.lit(0))) if labels else F.lit(None)
+    heads = heads.withColumn("core", F.coalesce(core.cast("int"), F.lit(-1))).drop("links")
     short = heads.select("id", "n", "map", "core")
-    links = heads.select(F.col("id").alias("a"), F.explode("links").alias("b")).filter("a <> b")
+    pivot_ids = F.array(*map(F.lit, tree.ids)).cast("array<bigint>")
+    links = heads.filter("core >= 0").select(F.col("id").alias("a"), F.get(pivot_ids, F.col("core")).alias("b")).filter("a <> b")
     posted = heads.select("id", "core", F.explode("regions").alias("region"), "tokens").select("id", "core", "region", F.explode("tokens").alias("token"))
     posted = posted.select("id", "core", F.when(F.col("region") == _FAR, F.col("token")).otherwise(F.xxhash64("region", "token")).alias("token"))
     # shingles of two documents of a region or more; a bitmap keeps most of the others from a second shuffle
@@ -376,6 +382,7 @@ def jaccard_components(
 
     # groups with a comparison that failed, and members of crowds outside the largest component
     comp = short.select("id", "n", "map").join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    comp = cut(comp)
     ends = edges.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     failed = cut(ends.filter("coalesce(ca, a) <> coalesce(cb, b)").select("group").distinct())
     again = members.filter(F.col("m") <= small).join(failed, "group", "left_semi").select("group", "id").join(comp, "id").select("group", "id", "n", "map", "c", F.lit(True).alias("asks"))
@@ -428,16 +435,20 @@ def _to_hubs(many: DataFrame, percent: int) -> DataFrame:
 def _blocks(many: DataFrame, block: int) -> DataFrame:
     """Members of crowds dealt into blocks, in which those outside the largest component meet all others once.
 
-    many: group, id, n, map, c. A member that asks goes to the blocks (own place, every place), all others to the blocks
-    (place of an asking member, own place). Crowds in one component need none.
+    many: group, id, n, map, c. Crowds with the same largest component are one: each member and each that asks stands there once.
+    A member that asks goes to the blocks (own place, every place), all others to the blocks (place of an asking member,
+    own place). Crowds in one component need none.
     """
     counts = many.groupBy("group", "c").agg(F.count(F.lit(1)).alias("k"))
-    sizes = cut(counts.groupBy("group").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top")))
-    open_ = sizes.filter("m > top.k").select("group", F.col("top.c").alias("main"), F.ceil(F.col("m") / block).alias("blocks"))
-    rows = many.join(open_, "group").withColumn("spot", F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.col("blocks")))
+    sizes = counts.groupBy("group").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
+    open_ = cut(sizes.filter("m > top.k").select("group", F.col("top.c").alias("main")))
+    rows = cut(many.join(open_, "group").groupBy("main", "id").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.first("c").alias("c")))
+    dealt = rows.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    rows = rows.join(dealt, "main").withColumn("spot", F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.col("blocks")))
     ask = rows.filter("c <> main")
-    busy = ask.select("group", "spot").distinct().groupBy("group").agg(F.collect_set("spot").alias("spots"))
-    asks = ask.select("group", "id", "n", "map", "c", F.lit(True).alias("asks"), F.col("spot").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"))
-    rest = rows.join(busy, "group").select("group", "id", "n", "map", "c", F.lit(False).alias("asks"), F.explode("spots").alias("i"), F.col("spot").alias("j"))
-    both = asks.unionByName(rest).groupBy(F.xxhash64("group", "i", "j").alias("group"), "id", "c").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.max("asks").alias("asks"))
+    busy = ask.select("main", "spot").distinct().groupBy("main").agg(F.collect_set("spot").alias("spots"))
+    head = ["main", "id", "n", "map", "c"]
+    asks = ask.select(*head, F.lit(True).alias("asks"), F.col("spot").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"))
+    rest = rows.join(busy, "main").select(*head, F.lit(False).alias("asks"), F.explode("spots").alias("i"), F.col("spot").alias("j"))
+    both = asks.unionByName(rest).groupBy(F.xxhash64("main", "i", "j").alias("group"), "id", "c").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.max("asks").alias("asks"))
     return both.select("group", "id", "n", "map", "c", "asks")

@@ -140,7 +140,7 @@ class PivotTree:
         self.flat, self.owner = flat[order], owner[order]
         self.sketch = np.zeros(1 << 22, bool)
         self.sketch[(flat % np.uint64(1 << 22)).astype(np.int64)] = True
-        away = [self.distances(s)[0] for s in sets]
+        away = [self.distances(s)[0].astype(np.float32) for s in sets]
         self.levels: list[tuple[int, list[int], dict[int, int]]] = []  # region of the far cell, pivots, level below each
         self.root = self._level(list(range(len(sets))), away, depth)
 
@@ -151,7 +151,7 @@ class PivotTree:
             near = min(chosen, key=lambda p: away[k][p], default=None)
             if near is None or away[k][near] > self.far:
                 chosen.append(k)
-            elif away[k][near] > self.radius:
+            elif away[k][near] > self.radius - 1e-6:
                 below.setdefault(near, []).append(k)
         mine = len(self.levels)
         self.levels.append((-1 - mine, chosen, {}))
@@ -199,8 +199,9 @@ def _pivot_sets(rows: DataFrame, light: DataFrame, words: int, pivots: int, most
     n = able.count()
     chosen = able.filter(lot < int((1 << 30) * min(1.0, 2 * pivots / max(1, n)))) if n > 2 * pivots else able
     ids = cut(chosen.select("id", lot.alias("lot")).distinct().orderBy("lot", "id").limit(pivots).select("id"))
-    texts = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
-    return [r["id"] for r in texts], shingle_sets([r["text"] for r in texts], words)
+    texts = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).orderBy("id")
+    found = [(r["id"], shingle_sets([r["text"]], words)[0]) for r in texts.toLocalIterator()]  # one text at a time
+    return [i for i, _ in found], [s for _, s in found]
 
 
 def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:

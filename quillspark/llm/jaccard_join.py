@@ -372,10 +372,10 @@ def jaccard_components(
         return _frames((e for own in _by_group(batches) for e in _forest_of(own, percent)), ["group", "a", "b"])
 
     edges = few.repartition("group").sortWithinPartitions("group").mapInPandas(forest, "group long, a long, b long")
-    many = members.filter(F.col("m") > small).select("group", "id")
+    many = cut(members.filter(F.col("m") > small).select("group", "id").join(short, "id").select("group", "id", "n", "map", "core"))
     crowds = not many.isEmpty()
     if crowds:
-        edges = edges.unionByName(_to_hubs(many.join(short, "id"), percent))
+        edges = edges.unionByName(_to_hubs(many, percent))
     edges = cut(edges)
     pairs = cut(pairs.unionByName(edges.select("a", "b")).distinct())
     links = links.unionByName(_verified(pairs, texts, words, percent))
@@ -393,7 +393,7 @@ def jaccard_components(
 
     more = again.repartition("group").sortWithinPartitions("group").mapInPandas(rest, "a long, b long")
     if crowds:
-        blocks = _blocks(many.join(comp, "id"), block)
+        blocks = _blocks(cut(many.drop("core").join(comp.select("id", "c"), "id")), block)
         more = more.unionByName(blocks.repartition("group").sortWithinPartitions("group").mapInPandas(rest, "a long, b long"))
     more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():

@@ -183,7 +183,7 @@ def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
     return told.filter("not _again").select("text").unionByName(told.filter("_again").groupBy("key").agg(F.first("text").alias("text")).select("text"))
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, disclosure: float, bits: int = 1 << 22) -> DataFrame:
+def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, disclosure: float) -> DataFrame:
     """Terms (hash and text) that reveal an entity: PMI(term; entity) >= disclosure * IC(entity).
 
     mentions: entity, pooled, context, terms. Probabilities are shares of all different texts, so copies of a document count
@@ -203,23 +203,25 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, disclo
         content = F.log2(total / F.col("n_entity"))
         return (content > 0) & (F.col("n_both") > 1) & (F.log2(F.when(F.col("pooled"), _at_least(F.col("n_both"))).otherwise(F.col("n_both") - 1) * total / (F.col("n_entity") * n_term)) >= disclosure * content)
 
-    # no term is in fewer texts than in contexts, so most are settled before any text is counted
+    # no term is in fewer texts than in contexts, so most are settled before the texts are counted; all terms are counted,
+    # once per task, so that the rows counted grow with the texts and not with the candidates as well
     pairs = cut(pairs.filter(reveals(F.greatest(F.lit(1), F.col("n_both")))).withColumn("hash", F.xxhash64("term")))
-    bitmap = _bitmap(pairs, bits)
-    if not bitmap:
+    if pairs.isEmpty():
         return pairs.select("hash", "term")
-    shared = spark.sparkContext.broadcast(bitmap)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        counts: Counter[int] = Counter()
+        counts: Counter[str] = Counter()
+
+        def put() -> pd.DataFrame:
+            return pd.DataFrame({"hash": [_term_hash(t) for t in counts], "n": list(counts.values())}, dtype="int64")
+
         for batch in batches:
-            for own in _candidates(batch["text"], shared.value, bits, known):
-                counts.update({h for h, _, _ in own})
+            for text in batch["text"]:
+                counts.update(set(map(str.lower, _TERM.findall(text or ""))))
             if len(counts) > 200_000:
-                yield pd.DataFrame({"hash": list(counts), "n": list(counts.values())}, dtype="int64")
-                counts = Counter()
-        yield pd.DataFrame({"hash": list(counts), "n": list(counts.values())}, dtype="int64")
+                yield put()
+                counts.clear()
+        yield put()
 
     df = texts.mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_term"))
     scored = pairs.join(df, "hash").filter(reveals(F.greatest("n_term", "n_both")))

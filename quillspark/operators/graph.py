@@ -91,6 +91,93 @@ def layered_search(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_n
     return seen
 
 
+def upward_search(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_nodes: int = 8) -> DataFrame:
+    """root, note, depth, visit: from each root towards the notes that point at it, those most pointed at first.
+
+    A parent that meets one of the three biggest hubs, not yet visited, takes this one alone. Parents go in order of
+    their visit and the first claims a note; a root has at most max_nodes of them, so its hubs are dealt out in one array.
+    """
+    info = degrees(edges)
+    big = info.filter("note_type = 'hub'").orderBy(F.desc("n_in"), "note").limit(3).select("note", F.lit(True).alias("big"))
+    near = edges.filter("src <> dst").select(F.col("dst").alias("a"), F.col("src").alias("note")).distinct()
+    near = materialised(near.join(info.select("note", "n_in"), "note").join(F.broadcast(big), "note", "left"))
+    none = F.array().cast("array<struct<parent:int,note:string>>")
+
+    def deal(taken: Column, one: Column) -> Column:
+        free = F.filter(one["hubs"], lambda h: ~F.exists(taken, lambda t: t["note"] == h["note"]))
+        mine = F.array(F.struct(one["parent"].alias("parent"), F.get(free, 0)["note"].alias("note")))
+        return F.when(F.size(free) > 0, F.concat(taken, mine)).otherwise(taken)
+
+    seen = layer = roots.select("root", "note", F.lit(0).alias("depth"), F.lit(1).alias("visit"))
+    for depth in range(1, max_depth + 1):
+        found = layer.select("root", F.col("note").alias("a"), F.col("visit").alias("parent")).join(near, "a").join(seen.select("root", "note"), ["root", "note"], "left_anti")
+        met = found.filter("big").groupBy("root", "parent").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_in")).alias("o"), "note"))).alias("hubs"))
+        dealt = met.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("parent", "hubs"))).alias("all")).select("root", F.explode(F.aggregate("all", none, deal)).alias("t"))
+        found = found.join(dealt.select("root", F.col("t.parent").alias("parent"), F.col("t.note").alias("hub")), ["root", "parent"], "left").filter("hub is null or hub = note")
+        found = found.withColumn("_rn", F.row_number().over(W.partitionBy("root", "note").orderBy("parent"))).filter("_rn = 1")
+        place = F.row_number().over(W.partitionBy("root").orderBy("parent", F.desc("n_in"), "note"))
+        base = seen.groupBy("root").agg(F.max("visit").alias("_base"))
+        layer = found.withColumn("_place", place).filter(F.col("_place") <= max_nodes).join(base, "root").withColumn("visit", (F.col("_base") + F.col("_place")).cast("int")).filter(F.col("visit") <= max_nodes)
+        layer = materialised(layer.select("root", "note", F.lit(depth).alias("depth"), "visit"))
+        seen = seen.unionByName(layer)
+    return seen
+
+
+def downward_search(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_nodes: int = 12) -> DataFrame:
+    """root, note, depth, visit: along the links, notes with about five links first."""
+    return layered_search(edges, roots, max_depth, max_nodes, "down", [F.desc(priority_score("exhaustive", F.col("n_in"), F.col("n_out"))), F.col("note")])
+
+
+def walk(edges: DataFrame, roots: DataFrame, direction: str, max_depth: int, max_nodes: int) -> DataFrame:
+    """The search of a direction that query_intent gives; any other is bidirectional."""
+    if direction == "up":
+        return upward_search(edges, roots, max_depth, max_nodes)
+    if direction == "down":
+        return downward_search(edges, roots, max_depth, max_nodes)
+    return layered_search(edges, roots, max_depth, max_nodes)
+
+
+def nearest_hubs(edges: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFrame:
+    """root, hub: the nearest hub upwards (itself included), else the biggest of the graph; no row without any hub."""
+    hubs = degrees(edges).filter("note_type = 'hub'").select("note", "n_in")
+    above = layered_search(edges, roots, max_depth, 2_000_000_000, "up", [F.col("note")]).join(hubs.select("note"), "note", "left_semi")
+    nearest = above.groupBy("root").agg(F.min_by("note", F.struct("depth", "visit")).alias("_near"))
+    biggest = hubs.agg(F.max_by("note", F.struct("n_in", (-F.xxhash64("note")).alias("h"))).alias("_big"))  # one row
+    return roots.select("root").join(nearest, "root", "left").crossJoin(F.broadcast(biggest)).select("root", F.coalesce("_near", "_big").alias("hub")).filter("hub is not null")
+
+
+def hub_first_search(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_nodes: int = 15) -> DataFrame:
+    """root, note, depth, visit: the root, then its nearest hub one layer down and what lies around that."""
+    hubs = materialised(nearest_hubs(edges, roots))
+    around = layered_search(edges, hubs.select("root", F.col("hub").alias("note")), max_depth - 1, max_nodes)
+    own = roots.select("root", "note", F.lit(0).alias("depth"), F.lit(1).alias("visit"))
+    return own.unionByName(around.join(own.select("root", "note"), ["root", "note"], "left_anti").select("root", "note", (F.col("depth") + 1).alias("depth"), (F.col("visit") + 1).alias("visit")))
+
+
+def best_per_layer(layers: DataFrame, per_layer: int = 5, total: int = 8, deepest_first: bool = False) -> DataFrame:
+    """The first notes of each layer but the root's, up to a total per root, near layers first unless told otherwise."""
+    rows = layers.filter("depth > 0").withColumn("_n", F.row_number().over(W.partitionBy("root", "depth").orderBy("visit"))).filter(F.col("_n") <= per_layer)
+    order = F.desc("depth") if deepest_first else F.asc("depth")
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("root").orderBy(order, "visit"))).filter(F.col("place") <= total)
+    return rows.drop("_n")
+
+
+def context_summary(layers: DataFrame, names: int = 10) -> DataFrame:
+    """root, summary: how many notes, and per layer the first names and how many more there are."""
+    of = layers.groupBy("root", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("visit", "note"))), lambda x: x["note"]).alias("notes"))
+    more = F.when(F.size("notes") > names, F.concat(F.lit(" (+"), (F.size("notes") - names).cast("string"), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("Level "), F.col("depth").cast("string"), F.lit(": "), F.array_join(F.slice("notes", 1, names), ", "), more)
+    of = of.select("root", "depth", F.size("notes").alias("_n"), line.alias("line"))
+    whole = of.groupBy("root").agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("depth", "line"))).alias("lines"))
+    return whole.select("root", F.concat(F.lit("From "), "root", F.lit(", notes: "), F.col("n").cast("string"), F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("summary"))
+
+
+def note_closure(chosen: DataFrame, edges: DataFrame, vault: DataFrame) -> DataFrame:
+    """note: the chosen notes and those of the vault that they link to."""
+    linked = edges.join(chosen.select(F.col("note").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("note")).distinct()
+    return chosen.select("note").unionByName(linked.join(vault.select("note"), "note", "left_semi")).distinct()
+
+
 # What a query must hold to ask for context, details or everything, and how specific it is.
 CONTEXT = (r"\b(qu[eé] es|define|explica|contexto de)\b", r"\b(para qu[eé] sirve|cu[aá]l es el prop[oó]sito)\b", r"\b(arquitectura|overview|visi[oó]n general)\b", r"\b(relacionado con|parte de)\b", r"\b(qu[eé] contiene|qu[eé] incluye)\b")
 DETAIL = (r"\b(qu[eé] aplicaciones|qu[eé] servicios|qu[eé] programas)\b", r"\b(lista|enumerate|muestra)\b", r"\b(cu[aá]les son|cu[aá]ntos|nombres de)\b", r"\b(especificaciones|detalles|configuraci[oó]n de)\b", r"\b(usa|utiliza|depende de|consume)\b")

@@ -109,13 +109,13 @@ def collection_search(spark, sf_dir):
 
 @query(
     """WITH l AS (SELECT p_partkey, p_size::varchar AS cap FROM part WHERE p_size > 25), g AS (SELECT p_brand, max(p_type) AS cap FROM part WHERE p_retailprice < 1100 AND p_brand < 'Brand#3' GROUP BY 1)
-       SELECT p_partkey, coalesce(l.cap, g.cap, p_mfgr) AS cap FROM part LEFT JOIN l USING (p_partkey) LEFT JOIN g USING (p_brand)"""
+       SELECT p_partkey, coalesce(l.cap, g.cap, p_name) AS cap FROM part LEFT JOIN l USING (p_partkey) LEFT JOIN g USING (p_brand)"""
 )
 def capability_lookup(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     local = part.filter("p_size > 25").select("p_partkey", F.col("p_size").cast("string").alias("cap"))
     general = part.filter("p_retailprice < 1100 and p_brand < 'Brand#3'").select("p_brand", F.col("p_type").alias("cap"))
-    return C.first_known(part, [(local, "p_partkey"), (general, "p_brand")], "cap", F.col("p_mfgr")).select("p_partkey", "cap")
+    return C.first_known(part, [(local, "p_partkey"), (general, "p_brand")], "cap", F.col("p_name")).select("p_partkey", "cap")
 
 
 @query("SELECT p_type, p_brand, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1")

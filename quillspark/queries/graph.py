@@ -82,6 +82,54 @@ def bfs_smart(spark, sf_dir):
     return G.layered_search(_edges(spark, sf_dir), roots, 2, 15).select("note", "depth", "visit")
 
 
+_BFS = f"""{_EDGES}, {_DEGREES}, n AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+ l1 AS (SELECT b AS note, 1 AS depth, 1 + row_number() OVER (ORDER BY (note_type = 'hub') DESC, (note_type = 'index') DESC, b) AS visit FROM n JOIN d ON note = b WHERE a = 's1'),
+ k1 AS (SELECT * FROM l1 WHERE visit <= 15), w AS (SELECT 's1' AS note, 0 AS depth, 1 AS visit UNION ALL SELECT * FROM k1)"""
+
+
+@query(f"WITH {_BFS} SELECT note, visit AS visit, row_number() OVER (ORDER BY visit) AS place FROM k1 QUALIFY place <= 5")
+def layer_picks(spark, sf_dir):
+    roots = spark.createDataFrame([("r", "s1")], "root string, note string")
+    return G.best_per_layer(G.layered_search(_edges(spark, sf_dir), roots, 1, 15)).select("note", "visit", "place")
+
+
+@query(f"""WITH {_BFS} SELECT 'r' AS root, 'From r, notes: ' || (SELECT count(*) FROM w) || chr(10) || 'Level 0: s1' || chr(10) || 'Level 1: ' || (SELECT string_agg(note, ', ' ORDER BY visit) FROM k1 WHERE visit <= 11)
+   || (SELECT CASE WHEN count(*) > 10 THEN ' (+' || (count(*) - 10) || ')' ELSE '' END FROM k1) AS summary""")
+def walk_summary(spark, sf_dir):
+    roots = spark.createDataFrame([("r", "s1")], "root string, note string")
+    return G.context_summary(G.walk(_edges(spark, sf_dir), roots, "bidirectional", 1, 15))
+
+
+@query(f"WITH {_EDGES} SELECT note FROM (SELECT 's' || s_suppkey AS note FROM supplier WHERE s_suppkey % 5 = 0 UNION SELECT dst FROM e JOIN supplier ON src = 's' || s_suppkey JOIN part ON dst = 'p' || p_partkey WHERE s_suppkey % 5 = 0 AND p_size > 10)")
+def note_closure(spark, sf_dir):
+    chosen = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("note"))
+    vault = table(spark, sf_dir, "part").filter("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("note"))
+    return G.note_closure(chosen, _edges(spark, sf_dir), vault)
+
+
+def _sizes(spark, sf_dir):
+    """Numbers that point at numbers: parts at their sizes and at a remainder, so that walks have several layers and hubs."""
+    part = table(spark, sf_dir, "part")
+    one = part.select(F.concat(F.lit("n"), "p_partkey").alias("src"), F.concat(F.lit("n"), "p_size").alias("dst"))
+    two = part.select(F.concat(F.lit("n"), "p_partkey").alias("src"), F.concat(F.lit("n"), F.col("p_partkey") % 17 + 1).alias("dst"))
+    return one.unionByName(two).filter("src <> dst").distinct()
+
+
+@query()
+def walk_up(spark, sf_dir):
+    return G.walk(_sizes(spark, sf_dir), spark.createDataFrame([("a", "n18"), ("b", "n40")], "root string, note string"), "up", 3, 8)
+
+
+@query()
+def walk_down(spark, sf_dir):
+    return G.walk(_sizes(spark, sf_dir), spark.createDataFrame([("a", "n18"), ("b", "n140")], "root string, note string"), "down", 3, 12)
+
+
+@query()
+def walk_hub_first(spark, sf_dir):
+    return G.hub_first_search(_sizes(spark, sf_dir), spark.createDataFrame([("a", "n140"), ("b", "n3")], "root string, note string"))
+
+
 INTENTS = [
     ("¿Qué es ServerGroups?", False, False, "bridge"), ("¿Qué aplicaciones usan JBoss?", False, False, "atomic"), ("Explica la arquitectura completa", True, False, "hub"),
     ("nothing to see", False, False, "bridge"), ("muestra el diagrama y las dependencias", False, True, "index"), ("detalles de la clase Foo", False, False, "bridge"),

@@ -36,10 +36,10 @@ def contextual_references(spark, sf_dir):
     return _asked(spark, sf_dir).select("p_partkey", C.points_at_document(F.col("q")).alias("pointing"))
 
 
-@query("SELECT 'attached' AS by, doc_id FROM documents WHERE source IN ('web', 'code') UNION ALL SELECT 'mentioned', doc_id FROM documents WHERE contains(lower(source), 'we') UNION ALL SELECT 'all', doc_id FROM documents")
+@query("SELECT 'attached' AS by, doc_id FROM documents WHERE source IN ('src3', 'src12') UNION ALL SELECT 'mentioned', doc_id FROM documents WHERE contains(lower(source), 'rc1') UNION ALL SELECT 'all', doc_id FROM documents")
 def mentioned_file_filter(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("source").alias("file_id"))
-    cases = {"attached": (["web", "code"], "we"), "mentioned": (["web"], "WE"), "all": (["web"], None)}
+    cases = {"attached": (["src3", "src12"], "rc1"), "mentioned": (["src3"], "RC1"), "all": (["src3"], None)}
     found = [C.kept_for_files(hits, a, m).select(F.lit(n).alias("by"), "doc_id") for n, (a, m) in cases.items()]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

@@ -101,16 +101,71 @@ class Vocabulary:
         return ids
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class OpenWord:
+    """A word that arrives in parts: symbols enter a window, and a token leaves once the lookahead behind it is there.
+
+    pattern matches what may follow inside the same word. The last byte waits, as it has another symbol at a word's end.
+    """
+
+    def __init__(self, encoder: Encoder, pattern: regex.Pattern):
+        self.encoder, self.pattern = encoder, pattern
+        self.held, self.pending = b"", []
+
+    def feed(self, text: str) -> list[int]:
+        raw = self.held + text.encode("utf-8", "surrogatepass")
+        self.held = raw[-1:]
+        return self._push(list(map(self.encoder.inner.__getitem__, raw[:-1])), False)
+
+    def close(self) -> list[int]:
+        return self._push([self.encoder.final[self.held[0]]], True)
+
+    def _push(self, singles: list[int | None], last: bool) -> list[int]:
+        if None in singles:  # a vocabulary without this symbol drops it
+            singles = [i for i in singles if i is not None]
+        v, window, out, pos = self.encoder.v, self.encoder.window, [], 0
+        while last or len(self.pending) + len(singles) - pos >= window:
+            take = window - len(self.pending)
+            pending = self.pending + singles[pos : pos + take]
+            pos += take
+            ended, used = last and pos >= len(singles), 0
+            for token in v.join(list(pending)):
+                reach = used + v.length[token]
+                if not ended and reach + v.lookahead > len(pending):
+                    break
+                out.append(token)
+                used = reach
+            self.pending = pending[used:]
+            if ended:
+                return out
+        self.pending += singles[pos:]
+        return out
+
+
 class Encoder:
-    """Turns a stream of text pieces into ids. Memory: one piece, one window of symbols and a bounded cache of words."""
+    """Turns a stream of text pieces into ids.
+
+    Memory: one piece and what is held back, one window of symbols and a bounded cache of words. `hold` characters
+    without a blank are the most that is held back; then words go on from piece to piece as an OpenWord. Only a run of
+    combining marks is held whole, as NFC has to sort it.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, cache_size: int = 300_000):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, cache_size: int = 300_000, hold: int = 1 << 17):
+        self.v, self.hold = vocabulary, hold
         symbols = byte_symbols()
         self.inner = [vocabulary.ids.get(c) for c in symbols]
         self.final = [vocabulary.ids.get(c + vocabulary.end) for c in symbols]
         self.words = regex.compile(_WORDS)
         self.blank = regex.compile(rf"[{_BLANK}]+")
+        self.last_blank = regex.compile(rf"(?r)[{_BLANK}]")
+        self.letters, self.others = regex.compile(r"\p{L}+"), regex.compile(rf"[^{_BLANK}\p{{L}}\p{{N}}]+")
+        self.longest_special = max(map(len, vocabulary.special), default=0)
         self.split = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.window = 2 * (vocabulary.lookahead + max(vocabulary.length, default=1)) + 64
         encoder, most = self, cache_size
@@ -129,44 +184,27 @@ class Encoder:
                     self[text] = out
                 return out
 
-        def packed(word: str) -> bytes:
-            out = array("I", encoder.word(word))
-            if sys.byteorder == "big":
-                out.byteswap()
-            return out.tobytes()
-
-        of_word = Cache(packed).__getitem__
+        of_word = self.of_word = Cache(lambda word: _bytes_of(encoder.word(word))).__getitem__
         self.cache = Cache(lambda chunk: b"".join(map(of_word, encoder.words.findall(chunk))))  # between blanks
 
-    def word(self, word: str) -> Iterable[int]:
-        """Ids of one word: symbols enter a window, and a token leaves once the lookahead behind it has arrived."""
+    def word(self, word: str) -> list[int]:
+        """Ids of one word, which goes through a window if it is long."""
+        if len(word) > self.window:
+            whole = OpenWord(self, self.words)
+            return whole.feed(word) + whole.close()
         raw = word.encode("utf-8", "surrogatepass")
         singles = list(map(self.inner.__getitem__, raw))
         singles[-1] = self.final[raw[-1]]
-        if None in singles:  # a vocabulary without this symbol drops it
+        if None in singles:
             singles = [i for i in singles if i is not None]
-        return self.v.join(singles) if len(singles) <= self.window else self._windows(singles)
+        return self.v.join(singles)
 
-    def _windows(self, singles: list[int]) -> Iterator[int]:
-        v, pos, pending = self.v, 0, []
-        while True:
-            take = self.window - len(pending)
-            pending += singles[pos : pos + take]
-            pos += take
-            last, used = pos >= len(singles), 0
-            for token in v.join(list(pending)):
-                reach = used + v.length[token]
-                if not last and reach + v.lookahead > len(pending):
-                    break
-                yield token
-                used = reach
-            if last:
-                return
-            pending = pending[used:]
+    def _normal(self, text: str) -> str:
+        """NFC and lower case; the normaliser's third step, one blank for white space, changes no word and is left out."""
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
     def _segment(self, text: str) -> bytes:
-        """NFC and lower case; the normaliser's third step, one blank for white space, changes no word and is left out."""
-        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        """Ids of normalised text."""
         # str.split also parts at these four controls, which the vocabulary takes for symbols
         chunks = self.blank.split(text) if _NOT_BLANK.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, chunks))
@@ -177,23 +215,64 @@ class Encoder:
         A piece is held back from its last blank on, as the word there may go on in the next piece; special tokens hold
         no blank and are found before anything is normalised.
         """
-        rest = ""
+        rest, word = "", None
         for piece in pieces:
             rest += piece
-            cut = max(rest.rfind(" "), rest.rfind("\n"))
-            if cut > 0:
-                yield self._whole(rest[:cut])
-                rest = rest[cut:]
-        yield self._whole(rest)
-
-    def _whole(self, text: str) -> bytes:
-        if self.split is None or not self.split.search(text):
-            return self._segment(text)
+            blank = self.last_blank.search(rest)
+            if blank and blank.start() > 0:
+                out, word = self._part(rest[: blank.start()], word, False)
+                yield out
+                rest = rest[blank.start() :]
+            if len(rest) > self.hold and (at := self._safe_cut(rest)) > 0:
+                out, word = self._part(rest[:at], word, True)
+                yield out
+                rest = rest[at:]
+        yield self._part(rest, word, False)[0]
+
+    def _safe_cut(self, text: str) -> int:
+        """The last place before which nothing depends on what follows but how the word there goes on; 0 for none.
+
+        What follows must not compose with what precedes, no special token may lie across, and no elision (an apostrophe
+        and up to two letters) may be open, unless the apostrophe is inside a run of symbols.
+        """
+        for at in range(len(text) - max(self.longest_special, 1), 4, -1):
+            if unicodedata.category(text[at])[0] == "M" or "\u1160" <= text[at] <= "\u11ff":
+                continue
+            if "'" in text[at - 3 : at] and not self.others.fullmatch(text, at - 4, at):
+                continue
+            near = max(at - self.longest_special + 1, 0)
+            if self.split is None or not any(m.start() < at < m.end() for m in self.split.finditer(text, near, at + self.longest_special)):
+                return at
+        return 0
+
+    def _part(self, text: str, word: OpenWord | None, more: bool) -> tuple[bytes, OpenWord | None]:
+        """Ids of text after an open word; with `more`, its last word may go on and is returned open."""
         out, at = [], 0
-        for m in self.split.finditer(text):
-            out += [self._segment(text[at : m.start()]), np.array([self.v.special[m.group()]], "<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, self._segment(text[at:])])
+        specials = [] if self.split is None else [(m.start(), m.end(), self.v.special[m.group()]) for m in self.split.finditer(text)]
+        for start, end, special in [*specials, (len(text), len(text), None)]:
+            segment, goes_on = self._normal(text[at:start]), more and special is None
+            at = end
+            if word is not None:
+                if m := word.pattern.match(segment):
+                    out.append(_bytes_of(word.feed(m.group())))
+                    segment = segment[m.end() :]
+                if segment or not goes_on:
+                    out.append(_bytes_of(word.close()))
+                    word = None
+            if goes_on and segment:
+                *whole, tail = self.words.findall(segment)
+                out += map(self.of_word, whole)
+                pattern = next((p for p in (self.letters, self.others) if p.match(tail)), None)
+                if pattern is None:  # a number is a word by itself
+                    out.append(self.of_word(tail))
+                else:
+                    word = OpenWord(self, pattern)
+                    out.append(_bytes_of(word.feed(tail)))
+            else:
+                out.append(self._segment(segment))
+            if special is not None:
+                out.append(_bytes_of([special]))
+        return b"".join(out), word
 
 
 class Decoder:
@@ -236,8 +315,8 @@ def _pieces(text: str, size: int = 1 << 16) -> Iterator[str]:
 def bpe_encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with ids_col: the ids of each whole text as little-endian unsigned 32-bit integers (binary).
 
-    Null texts count as empty and give no ids. A text is fed in pieces of 64 K characters, so memory does not grow with
-    it; a word without end goes through a window of fixed size. An existing ids_col is replaced, other columns stay.
+    Null texts count as empty and give no ids. A text is fed in pieces of 64 K characters, so what the encoder holds does
+    not grow with it; a word without end goes through a window of fixed size (see Encoder). An existing ids_col is replaced, other columns stay.
     Every row is encoded by itself: copies, ties and hot keys need no care, and no rows give no rows.
     """
     spark = docs.sparkSession

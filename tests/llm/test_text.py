@@ -63,6 +63,29 @@ def test_bpe_streams_like_whole_texts(library):
             assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want
 
 
+def test_bpe_holds_little_of_words_without_end(library):
+    v, rng = Vocabulary.read(queries.vocabulary_path()), random.Random(5)
+    parts = [*"abcSTLlre!!-19éÉ́ñΣ漢각", "'", "'", "'s", "'LL", "<|endoftext|>", "<|", " "]
+    for _ in range(400):
+        some = rng.sample(parts, rng.randint(1, 12))
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 300)))
+        size = rng.randint(1, 50)
+        got = b"".join(Encoder(v, hold=rng.choice([8, 30])).encode(text[k : k + size] for k in range(0, len(text), size)))
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode(text, add_special_tokens=False).ids, text
+    for unit in "a!'":
+        held = []
+        encoder = Encoder(v, hold=1000)
+
+        def watched(text):
+            held.append(len(text))
+            return text
+
+        encoder._normal = lambda text, make=encoder._normal: make(watched(text))
+        for _ in encoder.encode(unit * 500 for _ in range(100)):
+            pass
+        assert max(held) <= 1500
+
+
 def test_bpe_decodes_bytes_back():
     v = Vocabulary.read(queries.vocabulary_path())
     text = "plain words and 日本 and ñ"

@@ -31,6 +31,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 _MAIN = frozenset(("article", "main"))
 _CLOSES_P = BLOCK - frozenset(("html", "head", "body", "option"))
 _NAME = re.compile(r"[A-Za-z]+")
+_OPEN = re.compile(r"<(?:[A-Za-z!?]|/[A-Za-z])")  # of a tag or a comment that the page does not end
 
 
 def _hash(*parts: str) -> int:
@@ -41,33 +42,45 @@ def _hash(*parts: str) -> int:
 class PageReader(HTMLParser):
     """Reads one page into tags by path and text blocks; unclosed and stray tags are taken as browsers do, roughly.
 
-    blocks: (text, path hash of its element, path hashes of the furniture around it, inside article or main?, link characters).
+    blocks: (text, path hash of its element, ring, inside article or main?, link characters). A ring is the place in rings
+    of the innermost furniture around it, 0 for none; rings: (ring outside, path hash), outer ones first.
     tags: path hashes of opened elements, in order. foreign: path hashes of comments and adverts. hints off: only what can
-    hold no text of a page (HIDDEN) is told by its tag, and all else is left to the template.
+    hold no text of a page (HIDDEN) is told by its tag, and all else is left to the template. Broken declarations are comments
+    up to the next `>`, open tags and comments at the end of the page are none of its text.
     """
 
     def __init__(self, hints: bool = True) -> None:
         super().__init__(convert_charrefs=True)
         self.hints = hints
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool, int]] = []
+        self.blocks: list[tuple[str, int, int, bool, int]] = []
+        self.rings: list[tuple[int, int]] = [(0, 0)]
         self.tags: list[int] = []
         self.foreign: set[int] = set()
-        # tag, path hash, furniture around, inside main, hidden
-        self.stack: list[tuple[str, int, tuple[int, ...], bool, bool]] = [("", 0, (), False, False)]
+        # tag, path hash, ring, inside main, hidden
+        self.stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+        self.opened: Counter[str] = Counter()  # elements on the stack by tag
         self.parts: list[str] = []
         self.links = self.anchors = 0
 
     def read(self, html: str) -> PageReader:
         self.feed(html)
+        if _OPEN.match(self.rawdata):
+            self.rawdata = ""
         self.close()
         self._flush()
         return self
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # a keyword that no standard has
+            return self.parse_bogus_comment(i)
+
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        _, path, around, main, hidden = self.stack[-1]
+        _, path, ring, main, hidden = self.stack[-1]
         if text and not hidden:
-            self.blocks.append((text, path, around, main, min(self.links, len(text))))
+            self.blocks.append((text, path, ring, main, min(self.links, len(text))))
         self.parts, self.links, self.anchors = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -84,7 +97,7 @@ class PageReader(HTMLParser):
                 self._end(tag, ("ul", "ol", "dl", "table", "select"))
         if tag in VOID or tag not in BLOCK and tag not in HIDDEN:
             return
-        _, path, around, main, hidden = self.stack[-1]
+        _, path, ring, main, hidden = self.stack[-1]
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "itemprop", "hidden", "aria-hidden")}
         words = {w.lower() for w in _NAME.findall(f"{named.get('class', '')} {named.get('id', '')}")}
         path = _hash(str(path), tag, *sorted(words))
@@ -94,15 +107,18 @@ class PageReader(HTMLParser):
                 self.foreign.add(path)
             odd = bool(words & FOREIGN) or bool(words & FURNITURE) and not words & CONTENT and not (main and words & FURNITURE <= {"header"})
             if odd or tag in ASIDE or tag == "header" and not main or named.get("role") in ROLES:
-                around = (*around, path)
+                self.rings.append((ring, path))
+                ring = len(self.rings) - 1
         hidden = hidden or tag in HIDDEN or "hidden" in named or named.get("aria-hidden") == "true"
         self.tags.append(path)
-        self.stack.append((tag, path, around, main, hidden))
+        self.stack.append((tag, path, ring, main, hidden))
+        self.opened[tag] += 1
 
     def _end(self, tag: str, bounds: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
+        for k in range(len(self.stack) - 1, 0, -1) if self.opened[tag] else ():
             if self.stack[k][0] == tag:
                 self._flush()
+                self.opened.subtract(x[0] for x in self.stack[k:])
                 del self.stack[k:]
                 return
             if self.stack[k][0] in bounds:
@@ -134,11 +150,23 @@ def page_tokens(html: str | None, hints: bool = True) -> tuple[int, list[tuple[i
     tags, texts = Counter(page.tags), Counter(_hash(str(b[1]), b[0]) for b in page.blocks)
     first = {t: k for k, t in reversed(list(enumerate(page.tags)))}
     around: dict[tuple[int, int], list[int]] = {}
-    for text, path, own, main, links in page.blocks:
-        for key in [(0, AROUND), *[(x, AROUND) for x in own if x not in page.foreign], *([(path, LINKED)] if links and not main else [])]:
-            held = around.setdefault(key, [0, 0])
-            held[0] += len(text)
-            held[1] += links
+
+    def add(key: tuple[int, int], chars: int, links: int) -> None:
+        held = around.setdefault(key, [0, 0])
+        held[0] += chars
+        held[1] += links
+
+    inside = [[0, 0, 0] for _ in page.rings]  # blocks, characters, characters of links
+    for text, path, ring, main, links in page.blocks:
+        inside[ring] = [x + y for x, y in zip(inside[ring], (1, len(text), links), strict=True)]
+        if links and not main:
+            add((path, LINKED), len(text), links)
+    for ring in range(len(page.rings) - 1, -1, -1):  # what is in a ring is in the one outside it
+        outside, path = page.rings[ring]
+        if inside[ring][0] and (not ring or path not in page.foreign):
+            add((path, AROUND), *inside[ring][1:])
+        if ring:
+            inside[outside] = [x + y for x, y in zip(inside[outside], inside[ring], strict=True)]
     out = [(t, TAG, n, first[t]) for t, n in tags.items()] + [(t, TEXT, n, 0) for t, n in texts.items()]
     return _hash(*[b[0] for b in page.blocks]), out + [(t, kind, n, links) for (t, kind), (n, links) in around.items()]
 
@@ -189,9 +217,10 @@ def deduce_templates(pages: DataFrame, host_col: str, html_col: str, min_pages:
 def packed_page(html: str | None, hints: bool = True) -> bytes:
     """The page's text blocks, packed: what is left of it to travel to its host's template."""
     page = PageReader(hints).read(html or "")
-    names = {p: k for k, p in enumerate(dict.fromkeys(x for b in page.blocks for x in (b[1], *b[2])))}
-    rows = [(text, names[path], [names[x] for x in around], main) for text, path, around, main, _ in page.blocks]
-    return zstandard.compress(json.dumps([list(names), [names[x] for x in page.foreign if x in names], rows], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
+    names = {p: k for k, p in enumerate(dict.fromkeys([*(path for _, path in page.rings[1:]), *(b[1] for b in page.blocks)]))}
+    rings = [(outside, names[path]) for outside, path in page.rings[1:]]
+    rows = [(text, names[path], ring, main) for text, path, ring, main, _ in page.blocks]
+    return zstandard.compress(json.dumps([list(names), [names[x] for x in page.foreign if x in names], rings, rows], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
 
 
 def main_text(packed: bytes, template: frozenset[int] = frozenset(), wide: frozenset[int] = frozenset(), menus: frozenset[int] = frozenset()) -> str:
@@ -199,10 +228,12 @@ def main_text(packed: bytes, template: frozenset[int] = frozenset(), wide: froze
 
     Furniture in `wide` counts as none, but for comments and adverts.
     """
-    names, foreign, rows = json.loads(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
-    out = []
-    for text, path, around, main in rows:
-        if any(names[x] not in wide or x in foreign for x in around):
+    names, foreign, rings, rows = json.loads(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
+    closed, foreign, out = [False], set(foreign), []
+    for outside, x in rings:
+        closed.append(closed[outside] or names[x] not in wide or x in foreign)
+    for text, path, ring, main in rows:
+        if closed[ring]:
             continue
         if names[path] in menus and not main or template and _hash(str(names[path]), text) in template:
             continue

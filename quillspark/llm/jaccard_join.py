@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -310,7 +311,8 @@ def jaccard_components(
     classes = cut(able.groupBy("fa", "fb").agg(F.min("id").alias("rep")))
     order = np.argsort(heavy["id"].to_numpy(np.int64))
     tree = PivotTree(*_pivot_sets(rows, classes.join(light, ["fa", "fb"]).filter("id = rep").select("id", "n"), words, pivots, pivot_shingles), percent)
-    shared_values = spark.sparkContext.broadcast((heavy["id"].to_numpy(np.int64)[order], heavy["n"].to_numpy(np.int64)[order], tree))
+    # a broadcast pickles classes by name, and executors need not have this package: the tree travels as bytes
+    shared_values = spark.sparkContext.broadcast((heavy["id"].to_numpy(np.int64)[order], heavy["n"].to_numpy(np.int64)[order], cloudpickle.dumps(tree)))
 
     # one row per class: a row that is certainly its class's only candidate needs no join
     odd = able.join(classes, ["fa", "fb"]).filter("id <> rep").select("id").unionByName(able.groupBy("id").count().filter("count > 1").select("id"))
@@ -320,6 +322,7 @@ def jaccard_components(
 
     def heads_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets, counts, router = shared_values.value
+        router = cloudpickle.loads(router)
         for batch in batches:
             out = []
             for i, s in zip(batch["id"].tolist(), shingle_sets(list(batch["text"]), words), strict=True):

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from compare import assert_same, connection
@@ -191,3 +194,20 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (8, 7), (7, 9), *[(k, k + 1) for k in range(100, 140)]]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **dict.fromkeys(range(100, 141), 100)}
+
+
+AWAY = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from quillspark.llm.jaccard_join import jaccard_components
+docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x")], "doc_id long, text string")
+print(sorted(tuple(r) for r in jaccard_components(docs).collect()))
+"""
+
+
+def test_jaccard_join_where_workers_cannot_import_the_package(tmp_path):
+    script = AWAY.format(repo=str(Path(__file__).resolve().parents[2]))
+    ran = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "[(1, 3, 1), (2, 3, 1), (3, 1, 3)]" in ran.stdout, ran.stderr[-2000:]

@@ -280,6 +280,15 @@ def test_template_alone_finds_the_article(spark):
         ("<body><article><p>x</p></article><div class='post-comments'><p>me first</p></div><nav>n</nav><div class='site-header'>s</div></body>", "x"),
         ("", ""),
         (None, ""),
+        ("<![x<p>q</p>", "q"),
+        ("<p>a</p><!", "a"),
+        ("<p>a</p><![", "a"),
+        ("<p>a</p><![CDATA[x<p>b", "a"),
+        ("<![if !IE]><p>w</p><![endif]>", "w"),
+        ("<p>k<!-- open <p>x", "k"),
+        ("<p>a<b class='", "a"),
+        ("<?x <p>z</p>", "z"),
+        ("a < b</", "a < b</"),
     ],
 )
 def test_single_pages(html, want):
@@ -292,6 +301,12 @@ def test_form_around_the_page_is_no_furniture(spark):
     assert all(r["text"] == f"Title {r['page_id']}\n" + ("text " * r["page_id"]).strip() for r in got)
 
 
+def test_deep_and_broken_pages_in_a_table(spark):
+    rows = [(1, "http://d.example/", "<nav>" * 8000 + "menu" + "</nav>" * 8000 + "<p>text"), (2, "http://d.example/b", "<![x<p>q</p>"), (3, "http://d.example/c", "<!")]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "text", 2: "q", 3: ""}
+
+
 def templates_by_force(pages, min_pages, min_share, min_tokens):
     """host -> template texts, straight from the definition of classes over occurrence vectors."""
     out = {}

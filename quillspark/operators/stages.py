@@ -20,10 +20,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with a column of numbers from 1 in the given order: sorted by range, counted by part, and shifted."""
+def numbered(rows: DataFrame, order: list[Column], name: str, within: list[Column] | None = None) -> DataFrame:
+    """rows with a column of numbers from 1 in the given order: sorted by range, counted by part, and shifted.
+
+    within orders rows that are equal in order; such rows lie in one part, and ranges are drawn from order alone.
+    """
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    parts = materialised(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
+    parts = materialised(rows.repartitionByRange(*order).sortWithinPartitions(*order, *(within or [])).withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a part
     shifts = sizes.select("_part", before.alias("_before"))

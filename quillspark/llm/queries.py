@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import bpe_decode, bpe_encode
 from quillspark.llm.common import documents
+from quillspark.llm.conversation_repair import repair_conversations, repaired_hashes
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.html_extract import extract_main_text
 from quillspark.llm.jaccard_join import jaccard_components
@@ -95,6 +96,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), base, listed(lambda s: F.lit(True)).alias("spans"), F.size("spans").cast("long").alias("n_spans"), count("term"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations damaged by crc32 of `conv_id:turn` modulo 20: 0 drops a row, 1 empties its text, 2 takes its `.!?`, 3 repeats it, 4 makes it a user's."""
+    blank = F.lit(" ")
+    lot = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))) % 20
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), lot.alias("_lot")).filter("_lot <> 0")
+    rows = rows.withColumn("text", F.when(F.col("_lot") == 1, "").when(F.col("_lot") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    rows = rows.withColumn("role", F.when(F.col("_lot") == 4, "user").otherwise(F.col("role")))
+    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.when(F.col("_lot") == 3, 2).otherwise(1)))).drop("_n", "_lot")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    report, repaired = repair_conversations(damaged(table))
+    every = table.select("conv_id").distinct().withColumn("c", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")))
+    out = every.join(report.drop("conv_id"), "c", "left").join(repaired_hashes(repaired), "c", "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_quality": op1_repetition_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -106,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_personal_data": op10_personal_data,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB text with the letters A-Z of a column lower-cased.

@@ -19,6 +19,7 @@ from quillspark.llm.mixing import labelled_domains, mix_to_targets
 from quillspark.llm.repetition_quality import repetition_quality
 from quillspark.llm.sanitise import KINDS, personal_data
 from quillspark.llm.suffix_dedup import suffix_dedup
+from quillspark.llm.vector_codes import codebooks_digest, encode_vectors, with_totals
 
 
 def op1_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), base, listed(lambda s: F.lit(True)).alias("spans"), F.size("spans").cast("long").alias("n_spans"), count("term"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    rows, books = encode_vectors(vectors, keep=("label",))
+    out = with_totals(rows, "label", "error", "label_error")
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations damaged by crc32 of `conv_id:turn` modulo 20: 0 drops a row, 1 empties its text, 2 takes its `.!?`, 3 repeats it, 4 makes it a user's."""
     blank = F.lit(" ")
@@ -127,16 +135,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_personal_data": op10_personal_data,
+    "op11_vector_codes": op11_vector_codes,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB text with the letters A-Z of a column lower-cased.
 _LOWERED = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """The rounds of op11 one after another: cross joins with the few entries are what DuckDB does with a small table."""
+    ctes = ["""
+        k AS (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        n AS (SELECT k.*, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM k),
+        p AS (SELECT r, vec_id, label, part, v[1 + part * (len(v) // 4) : (1 + part) * (len(v) // 4)] AS x FROM n, (SELECT unnest([0, 1, 2, 3]) AS part)),
+        b0 AS (SELECT part, r AS e, x AS y FROM p WHERE r < 256)"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""
+        a{k} AS MATERIALIZED (SELECT p.r, p.part, min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.x, b.y)])::BIGINT * 256 + b.e) AS best
+               FROM p JOIN b{k} b ON b.part = p.part GROUP BY p.r, p.part)""")
+        if k < rounds:
+            ctes.append(f"""
+        s{k} AS (SELECT p.part, best % 256 AS e, i, sum(x[i])::BIGINT AS s, count(*) AS m
+                 FROM p JOIN a{k} USING (r, part), (SELECT unnest(generate_series(1, (SELECT max(len(x)) FROM p))) AS i) GROUP BY ALL),
+        b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.y, b.y) AS y FROM b{k} b LEFT JOIN
+               (SELECT part, e, list((s - ((s % m) + m) % m) // m ORDER BY i) AS y FROM s{k} GROUP BY part, e) m ON m.part = b.part AND m.e = b.e)""")
+    return f"""
+        WITH {",".join(ctes)},
+        c AS (SELECT vec_id, label, string_agg(format('{{:02x}}', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error
+              FROM a{rounds} JOIN p USING (r, part) GROUP BY r, vec_id, label)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWERED.format("text")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_vector_codes": _vector_codes_sql(),
 }

@@ -18,6 +18,7 @@ from quillspark.llm.license_scan import license_scan
 from quillspark.llm.mixing import labelled_domains, mix_to_targets
 from quillspark.llm.repetition_quality import repetition_quality
 from quillspark.llm.sanitise import KINDS, personal_data
+from quillspark.llm.sentence_pieces import listed, piece_decode, piece_encode
 from quillspark.llm.suffix_dedup import suffix_dedup
 from quillspark.llm.vector_codes import codebooks_digest, encode_vectors, with_totals
 
@@ -104,6 +105,20 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """borders_sha256 is of the source bytes where pieces begin and end, as little-endian signed 64-bit integers."""
+    encoded = piece_encode(documents(spark, sf_dir, "doc_id", "text"), piece_model_path()).drop("text")
+    decoded = piece_decode(encoded, piece_model_path())
+    n = F.expr("octet_length(ids) div 4").alias("n_tokens")
+    return decoded.select("doc_id", n, F.sha2(listed(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("borders", 256).alias("borders_sha256"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations damaged by crc32 of `conv_id:turn` modulo 20: 0 drops a row, 1 empties its text, 2 takes its `.!?`, 3 repeats it, 4 makes it a user's."""
     blank = F.lit(" ")
@@ -136,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_personal_data": op10_personal_data,
     "op11_vector_codes": op11_vector_codes,
+    "op12_sentence_pieces": op12_sentence_pieces,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

@@ -18,7 +18,7 @@ from quillspark.llm.license_scan import license_scan
 from quillspark.llm.mixing import labelled_domains, mix_to_targets
 from quillspark.llm.repetition_quality import repetition_quality
 from quillspark.llm.sanitise import KINDS, personal_data
-from quillspark.llm.sentence_pieces import listed, piece_decode, piece_encode
+from quillspark.llm.sentence_pieces import piece_decode, piece_encode
 from quillspark.llm.suffix_dedup import suffix_dedup
 from quillspark.llm.vector_codes import codebooks_digest, encode_vectors, with_totals
 
@@ -114,9 +114,9 @@ def piece_model_path() -> str:
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """borders_sha256 is of the source bytes where pieces begin and end, as little-endian signed 64-bit integers."""
     encoded = piece_encode(documents(spark, sf_dir, "doc_id", "text"), piece_model_path()).drop("text")
-    decoded = piece_decode(encoded, piece_model_path())
+    decoded = piece_decode(encoded, piece_model_path(), listed_col="listed")
     n = F.expr("octet_length(ids) div 4").alias("n_tokens")
-    return decoded.select("doc_id", n, F.sha2(listed(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("borders", 256).alias("borders_sha256"))
+    return decoded.select("doc_id", n, F.sha2("listed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("borders", 256).alias("borders_sha256"))
 
 
 def damaged(rows: DataFrame) -> DataFrame:

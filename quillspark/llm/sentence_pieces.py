@@ -8,13 +8,15 @@ a span of source bytes. Pieces are made by merges between places that no piece o
 from __future__ import annotations
 
 import heapq
+import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import short_batches
@@ -107,12 +109,14 @@ def _widths(text: str) -> np.ndarray:
 
 
 class Normaliser:
-    """Text to normalised text with, for each of its characters, the source byte where it begins, and one entry for the end."""
+    """Text to normalised text with, for each of its characters, the source byte where it begins, and one entry for the end.
 
-    def __init__(self, blob: bytes, dummy_prefix: bool, squeeze: bool, escape: bool, suffix: bool):
+    Blanks and the sign that stands for them are one character from here on, `space`.
+    """
+
+    def __init__(self, blob: bytes, dummy_prefix: bool, squeeze: bool, suffix: bool, space: str = SPACE):
         self.map = CharacterMap(blob)
-        self.dummy_prefix, self.squeeze, self.suffix = dummy_prefix, squeeze, suffix
-        self.space = SPACE if escape else " "
+        self.dummy_prefix, self.squeeze, self.suffix, self.space = dummy_prefix, squeeze, suffix, space
 
     def _runs(self, text: str, most: int) -> Iterator[tuple[str, np.ndarray, int]]:
         """Replaced text in runs: characters, source bytes where they begin (from the text's start), and the end."""
@@ -145,7 +149,7 @@ class Normaliser:
         for part, places, stop in self._runs(text, most):
             if self.squeeze:
                 part, places, blank_before = self._squeezed(part, places, blank_before, waits)
-            part = part.replace(" ", space) if space != " " else part
+            part = part.replace(" ", space).replace(SPACE, space)
             if not part:
                 continue
             end = stop
@@ -185,7 +189,7 @@ class Normaliser:
             if c == " " and blank_before:
                 continue
             blank_before = c == " "
-            if c == " " or c == self.space:
+            if c == " " or c == SPACE:
                 waits.append((c, p))
                 continue
             for w, q in waits:
@@ -211,9 +215,9 @@ class PieceModel:
             if number == 1:
                 own = dict(_fields(value))
                 piece, kind = own[1].decode("utf-8"), own.get(3, _NORMAL)
-                self.ids[piece] = len(self.pieces)
-                if kind in (_NORMAL, _USER, _UNUSED):
-                    self.scores[piece] = struct.unpack("<f", own[2])[0] if 2 in own else 0.0
+                self.ids[piece.replace(SPACE, " ")] = len(self.pieces)
+                if kind == _NORMAL:
+                    self.scores[piece.replace(SPACE, " ")] = struct.unpack("<f", own[2])[0] if 2 in own else 0.0
                 self.pieces.append(piece)
                 self.kinds.append(kind)
             elif number == 2:
@@ -233,7 +237,10 @@ class PieceModel:
         self.texts = [spoken.get(k, p.replace(SPACE, " ")) for p, k in zip(self.pieces, self.kinds, strict=True)]  # None: a byte
         self.prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
         self.suffix = bool(trainer.get(24, 0))
-        self.normaliser = Normaliser(bytes(norm.get(2, b"")), self.prefix, self.squeeze, bool(norm.get(5, 1)), self.suffix)
+        if not norm.get(5, 1):
+            raise ValueError("models that tell blanks from their sign are not supported")
+        # inside, a blank stands for its sign: texts of one byte a character stay that
+        self.normaliser = Normaliser(bytes(norm.get(2, b"")), self.prefix, self.squeeze, self.suffix, " ")
 
     @classmethod
     def read(cls, path: str) -> PieceModel:
@@ -241,46 +248,106 @@ class PieceModel:
             return cls(f.read())
 
 
-class PieceEncoder:
-    """Turns texts into ids and the borders of their pieces in source bytes; a bounded cache holds words."""
-
-    def __init__(self, model: PieceModel, cache_size: int = 300_000):
-        self.model = model
-        joined = sorted({c for p in model.scores if len(p) > 1 for c in p} - {SPACE})
-        inside = f"[{''.join(map(regex.escape, joined))}]" if joined else r"(?!)"
-        # no piece crosses from these on: characters that only stand alone, and a blank after anything but blanks
-        crossed = any(SPACE in p.lstrip(SPACE) for p in model.scores)
-        self.words = regex.compile(f"(?:{inside}|{SPACE})+|." if crossed else f"{SPACE}+{inside}*|{inside}+|.", regex.DOTALL)
-        encoder, most = self, cache_size
-
-        class Cache(dict):
-            """Ids and characters of each piece by text; emptied when full, and long texts stay out."""
-
-            def __missing__(self, text: str) -> tuple[bytes, bytes]:
-                out = encoder._word(text)
-                if len(text) <= 64:
-                    if len(self) >= most:
-                        self.clear()
-                    self[text] = out
-                return out
-
-        self.cache = Cache()
+class Merges:
+    """The vocabulary's merges as arrays, for the pieces of many words at once: a step makes the best merge of every word."""
+
+    def __init__(self, model: PieceModel, longest: int = 48):
+        self.model, self.longest = model, longest
+        scores = model.scores
+        symbols = list(dict.fromkeys([*scores, *(c for p in scores for c in p)]))
+        number = {p: k for k, p in enumerate(symbols)}
+        rank = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        found = sorted((number[p[:k]] * len(symbols) + number[p[k:]], rank[x], number[p]) for p, x in scores.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        pairs = np.array(found, np.int64).reshape(-1, 3)
+        self.n, self.keys = len(symbols), pairs[:, 0]
+        self.rank, self.to = np.append(pairs[:, 1], 1 << 30).astype(np.int32), np.append(pairs[:, 2], -1).astype(np.int32)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for c, k in number.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = k
+        # of a symbol: its id and, in the upper half, its characters; 0 if the vocabulary has it only inside of pieces
+        self.value = np.array([model.ids[p] | len(p) << 32 if p in model.ids else 0 for p in symbols], np.uint64)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place of the merge of symbols a and b, the last place for none; no symbol is -1."""
+        if not len(self.keys):
+            return np.zeros(a.shape, np.int64)
+        key = a.astype(np.int64) * self.n + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), at, len(self.keys))
+
+    def _merged(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of symbols, -1 behind the last, with all merges made: of equal ones the leftmost goes first."""
+        out, left = symbols, np.arange(len(symbols))
+        width = symbols.shape[1]
+        pairs = self._pair(symbols[:, :-1], symbols[:, 1:])
+        columns = np.arange(width)
+        while len(left) and width > 1:
+            rank = self.rank[pairs]
+            at = rank.argmin(1)
+            rows = np.arange(len(left))
+            open_ = rank[rows, at] < 1 << 30
+            if not open_.all():
+                out[left[~open_]] = symbols[~open_]
+                left, symbols, pairs, at = left[open_], symbols[open_], pairs[open_], at[open_]
+                rows = rows[: len(left)]
+            if not len(left):
+                break
+            new = self.to[pairs[rows, at]]
+            symbols = np.take_along_axis(symbols, np.minimum(columns + (columns > at[:, None]), width - 1), 1)
+            symbols[:, -1] = -1
+            symbols[rows, at] = new
+            pairs = np.take_along_axis(pairs, np.minimum(columns[:-1] + (columns[:-1] >= at[:, None]), width - 2), 1)
+            pairs[:, -1] = len(self.keys)
+            after = np.where(at + 1 < width, symbols[rows, np.minimum(at + 1, width - 1)], -1)
+            inner = at < width - 1
+            pairs[rows[inner], at[inner]] = self._pair(new[inner], after[inner])
+            behind = at > 0
+            pairs[rows[behind], at[behind] - 1] = self._pair(symbols[rows[behind], at[behind] - 1], new[behind])
+        return out
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """Of each word its pieces: 64 bits each, the id and, in the upper half, how many characters it takes."""
+        out: list[bytes | None] = [None] * len(words)
+        lengths = np.array(list(map(len, words)), np.int64)
+        low = 0
+        for high in (4, 8, 16, self.longest):
+            which = np.flatnonzero((lengths > low) & (lengths <= high))
+            for k in range(0, len(which), 1 << 14):
+                own = which[k : k + (1 << 14)]
+                points = np.frombuffer("".join([words[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
+                inside = np.arange(high) < lengths[own][:, None]
+                symbols = np.full((len(own), high), -1, np.int32)
+                symbols[inside] = self.of_char[points]
+                plain = (symbols >= 0).sum(1) == lengths[own]
+                done = self._merged(symbols[plain])
+                used = done >= 0
+                values = np.where(used, self.value[done], 0)
+                odd = ((values == 0) & used).any(1)
+                ends = 8 * np.cumsum(used.sum(1))
+                flat, start = values[used].tobytes(), 0
+                for i, end, rare in zip(own[plain].tolist(), ends.tolist(), odd.tolist(), strict=True):
+                    if not rare:
+                        out[i] = flat[start:end]
+                    start = end
+            low = high
+        return [self._single(w) if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def _single(self, word: str) -> bytes:
+        """pieces() of one word that is long, or has characters that are no piece."""
+        model, out = self.model, []
+        for piece in self._long(word):
+            i = model.ids.get(piece, model.unknown)
+            if i == model.unknown and model.fallback:
+                out += [model.bytes[b] for b in piece.replace(" ", SPACE).encode("utf-8", "surrogatepass")]
+                out[-1] |= len(piece) << 32  # the last byte stands for the character
+            else:
+                out.append(i | len(piece) << 32)
+        return array("Q", out).tobytes()
 
-    def _merged(self, word: str) -> list[str]:
-        """Pieces of a word: always the pair with the best score, of equals the leftmost."""
+    def _long(self, word: str) -> list[str]:
+        """Pieces of a word of any length: merges wait in a heap."""
         scores, parts = self.model.scores, list(word)
-        if len(parts) <= 48:
-            none = float("-inf")
-            pairs = [scores.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-            while pairs and (best := max(pairs)) != none:
-                i = pairs.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del pairs[i]
-                if i:
-                    pairs[i - 1] = scores.get(parts[i - 1] + parts[i], none)
-                if i < len(pairs):
-                    pairs[i] = scores.get(parts[i] + parts[i + 1], none)
-            return parts
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap = [(-scores[a + b], i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores]
         heapq.heapify(heap)
@@ -298,35 +365,63 @@ class PieceEncoder:
                     heapq.heappush(heap, (-scores[new], a, new))
         return [p for p in parts if p]
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and how many characters each piece takes, likewise."""
-        model, ids, chars = self.model, [], []
-        for piece in self._merged(word):
-            i = model.ids.get(piece, model.unknown)
-            if i == model.unknown and model.fallback:
-                raw = piece.encode("utf-8", "surrogatepass")
-                ids += [model.bytes[b] for b in raw]
-                chars += [0] * (len(raw) - 1) + [len(piece)]  # the last byte stands for the character
-            else:
-                ids.append(i)
-                chars.append(len(piece))
-        return struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(ids)}I", *chars)
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids, and borders: source bytes where the pieces begin and, last, where they end (64 bits each; none without pieces)."""
-        ids, borders = [], []
-        for part, places in self.model.normaliser.pieces(text):
-            found = list(map(self.cache.__getitem__, self.words.findall(part)))
-            own = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-            ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), "<u4"), dtype=np.int64)
+
+class PieceEncoder:
+    """Turns texts into ids and the borders of their pieces in source bytes; a bounded cache holds what stands between blanks."""
+
+    def __init__(self, model: PieceModel, cache_size: int = 200_000):
+        self.model, self.merges = model, Merges(model)
+        joined = sorted({c for p in model.scores if len(p) > 1 for c in p} - {" "})
+        inside = f"[{''.join(map(regex.escape, joined))}]" if joined else r"(?!)"
+        # no piece crosses from these on: characters that only stand alone, and a blank after anything but blanks
+        crossed = any(" " in p.lstrip(" ") for p in model.scores)
+        self.words = regex.compile(f"(?:{inside}| )+|." if crossed else f" +{inside}*|{inside}+|.", regex.DOTALL)
+        self.chunks = self.words if crossed else re.compile(" *[^ ]+| +")
+        self.cache: dict[str, bytes] = {}
+        self.cache_size = cache_size
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Pieces of chunks that the cache lacks; their words are merged all at once."""
+        split = [self.words.findall(c) for c in chunks]
+        known = dict.fromkeys(w for own in split for w in own)
+        known.update(zip(known, self.merges.pieces(list(known)), strict=True))
+        for chunk, own in zip(chunks, split, strict=True):
+            self.cache[chunk] = known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own])
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each text its ids, and borders: source bytes where the pieces begin and, last, where they end (64 bits each; none without pieces)."""
+        out: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in texts]
+        held: list[tuple[int, list[str], np.ndarray]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part, places in self.model.normaliser.pieces(text):
+                held.append((k, self.chunks.findall(part), places))
+                size += len(part)
+                if size >= 1 << 20:
+                    self._flush(held, out)
+                    held, size = [], 0
+        self._flush(held, out)
+        return [(b"".join(ids), b"".join(borders)) for ids, borders in out]
+
+    def _flush(self, held: list[tuple[int, list[str], np.ndarray]], out: list[tuple[list[bytes], list[bytes]]]) -> None:
+        new = {c for _, chunks, _ in held for c in chunks if c not in self.cache}
+        if len(self.cache) + len(new) > self.cache_size and self.cache:
+            self.cache.clear()
+            new = {c for _, chunks, _ in held for c in chunks}
+        self._learn(list(new))
+        for k, chunks, places in held:
+            found = np.frombuffer(b"".join([self.cache[c] for c in chunks]), np.uint64)
+            own, ends = (found & np.uint64(0xFFFFFFFF)).astype("<u4"), np.cumsum((found >> np.uint64(32)).astype(np.int64))
+            ids, borders = out[k]
             if not self.model.fallback:
                 alone = np.concatenate(([True], (own[1:] != self.model.unknown) | (own[:-1] != self.model.unknown)))  # unknown pieces in a row are one
                 own, ends = own[alone], ends[np.concatenate((alone[1:], [True]))]
             if not borders:
-                borders.append(places[:1])
+                borders.append(places[:1].astype("<i8").tobytes())
             ids.append(own.tobytes())
-            borders.append(places[ends])
-        return b"".join(ids), b"".join(b.astype("<i8").tobytes() for b in borders)
+            borders.append(places[ends].astype("<i8").tobytes())
+        for chunk in [c for c in new if len(c) > 64]:
+            del self.cache[chunk]
 
 
 class PieceDecoder:
@@ -400,36 +495,32 @@ def piece_encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = PieceEncoder(PieceModel(sent.value))
         for series in batches:
-            yield pd.DataFrame([encoder.encode(t or "") for t in series], columns=["ids", "borders"], dtype=object)
+            yield pd.DataFrame(encoder.encode([t or "" for t in series]), columns=["ids", "borders"], dtype=object)
 
     free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns)) + "pieces"
     return docs.withColumn(free, encode(F.col(text_col))).withColumns({ids_col: F.col(free)["ids"], borders_col: F.col(free)["borders"]}).drop(free)
 
 
-def piece_decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """rows with text_col: the text of ids_col (as piece_encode writes it). Null ids give an empty text."""
+def piece_decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded", listed_col: str | None = None) -> DataFrame:
+    """rows with text_col: the text of ids_col (as piece_encode writes it), and with listed_col: the ids in decimal, joined by commas.
+
+    Null ids give empty texts. Columns with these names are replaced, all others stay.
+    """
     spark = rows.sparkSession
     with open(model_path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("decoded string, listed string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = PieceModel(sent.value)
         for series in batches:
             out = []
             for raw in series:
-                machine, ids = PieceDecoder(model), np.frombuffer(raw or b"", "<u4")
-                out.append("".join([machine.feed(ids[k : k + 4096].tolist()) for k in range(0, len(ids), 4096)]) + machine.close())
-            yield pd.Series(out, dtype=object)
-
-    return rows.withColumn(text_col, decode(F.col(ids_col)))
-
-
-def listed(ids: Column) -> Column:
-    """Ids (as piece_encode writes them) in decimal, joined by commas; null for null."""
-
-    @F.pandas_udf("string")
-    def join(series: pd.Series) -> pd.Series:
-        return pd.Series([None if raw is None else ",".join(map(str, np.frombuffer(raw, "<u4").tolist())) for raw in series], dtype=object)
-
-    return join(ids)
+                machine, ids = PieceDecoder(model), np.frombuffer(raw or b"", "<u4").tolist()
+                text = "".join([machine.feed(ids[k : k + 4096]) for k in range(0, len(ids), 4096)]) + machine.close()
+                out.append((text, ",".join(map(str, ids)) if listed_col else None))
+            yield pd.DataFrame(out, columns=["decoded", "listed"], dtype=object)
+
+    free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in rows.columns)) + "pieces"
+    told = {text_col: F.col(free)["decoded"]} | ({listed_col: F.col(free)["listed"]} if listed_col else {})
+    return rows.withColumn(free, decode(F.col(ids_col))).withColumns(told).drop(free)

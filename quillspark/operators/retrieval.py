@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import contains_any, keywords, tokenize
-from quillspark.operators.stages import numbered
+from quillspark.operators.stages import materialised, numbered
 
 RRF_K, BM25_K1, BM25_B, IDF_FLOOR = 60, 1.5, 0.75, 0.25
 # Rewordings for every query, and more for those that ask who, what, how or where.
@@ -47,19 +47,26 @@ def vector_search(points: DataFrame, query: Sequence[float], k: int = 5, thresho
     return scored.drop(vector_col).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings (id, term, tf, dl), terms (term, df, idf) and one row of statistics (n_docs, avgdl, n_terms, avg_idf).
+def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings (id, term, tf, dl), terms (term, df, idf) and statistics (n_docs, avgdl, n_terms, avg_idf).
 
-    idf is that of Okapi BM25; a negative one becomes a quarter of the mean idf over all terms.
+    idf is that of Okapi BM25; a negative one becomes a quarter of the mean idf over all terms. With columns `by`, such as
+    a collection, each of their values is a corpus of its own with one row of statistics. Texts are split once: each has a
+    posting of the empty term, which counts the texts and their lengths, and postings are kept for what is made of them.
     """
-    words = docs.select(F.col(id_col).alias("id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    postings = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    size = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))
-    raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    stats = raw.agg(F.max("n_docs").alias("n_docs"), F.max("avgdl").alias("avgdl"), F.count(F.lit(1)).alias("n_terms"), F.avg("raw").alias("avg_idf"))
-    terms = raw.select("term", "df", "raw").crossJoin(F.broadcast(stats.select("avg_idf")))
-    return postings, terms.select("term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf")), stats
+    words = docs.select(F.col(id_col).alias("id"), *by, tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    rows = words.select("id", *by, F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    counted = materialised(rows.groupBy("id", *by, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    postings = counted.filter("term <> ''")
+    size = counted.filter("term = ''").groupBy(*by).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))
+    df = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in by]  # one row a corpus
+    near = df.alias("d").join(F.broadcast(size).alias("s"), same) if by else df.alias("d").crossJoin(F.broadcast(size).alias("s"))
+    raw = materialised(near.select("d.*", "n_docs", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    stats = raw.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), F.max("avgdl").alias("avgdl"), F.count(F.lit(1)).alias("n_terms"), F.avg("raw").alias("avg_idf"))
+    mean = F.broadcast(stats.select(*by, "avg_idf")).alias("s")
+    terms = raw.alias("d").join(mean, same) if by else raw.alias("d").crossJoin(mean)
+    return postings, terms.select(*[f"d.{c}" for c in by], "term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf")), stats
 
 
 def save_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
@@ -182,25 +189,6 @@ def search_collection(mode: str, points: DataFrame, index: tuple[DataFrame, Data
     return hits.select("key", SCORE_KEYS[mode])
 
 
-def search(
-    points: DataFrame, contents: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], query: str, vector: Sequence[float], mode: str = "semantic", k: int = 5, threshold: float | None = None, alpha: float = 0.5, scorer: Callable[[Column], Column] | None = None, top: int | None = None, parents: DataFrame | None = None, id_col: str = "vec_id"
-) -> DataFrame:
-    """The whole search: hits in the mode, reranked by scorer (the best `top`) or cut to k, and expanded to their parents.
-
-    contents: key, content, parent_id. Returns id, parent_id, content, score (of the reranker or the mode), child_count
-    and avg_score, the mean over what is returned.
-    """
-    hits = search_collection(mode, points, index, query, vector, k, threshold, alpha, id_col)
-    hits = hits.withColumnRenamed(SCORE_KEYS.get(mode, "score"), "score").withColumnRenamed("key", "id")
-    hits = contents.withColumnRenamed("key", "id").join(F.broadcast(hits), "id")  # k rows
-    hits = rerank(hits, scorer, top or k)
-    hits = hits.withColumn("score", F.col("rerank_score")) if scorer is not None else hits
-    hits = hits.withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), *([F.desc("original_score")] if scorer is not None else []), "id")))
-    found = expand_parents(hits, parents) if parents is not None else hits.withColumn("child_count", F.lit(1).cast("long"))
-    mean = F.round(F.avg(F.coalesce("score", F.lit(0.0))).over(W.partitionBy()), 6)
-    return found.select("id", "parent_id", "content", "score", "child_count", mean.alias("avg_score"))
-
-
 def keyword_search(points: DataFrame, text_col: str, query_text: str, query: Sequence[float], k: int = 5, threshold: float = 0.3, id_col: str = "vec_id") -> DataFrame:
     """3k vector hits at the ladder's floor, of these the ones that hold a keyword of the query, the best k."""
     hits = vector_search(points, query, 3 * k, threshold, id_col=id_col)

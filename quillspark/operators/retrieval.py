@@ -56,7 +56,11 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     words = docs.select(F.col(id_col).alias("id"), *by, tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     rows = words.select("id", *by, F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
-    counted = materialised(rows.groupBy("id", *by, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    return index_of(materialised(rows.groupBy("id", *by, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))), by)
+
+
+def index_of(counted: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """bm25_index from counted words (id, term, tf, dl), with a row of the empty term per text."""
     postings = counted.filter("term <> ''")
     size = counted.filter("term = ''").groupBy(*by).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))
     df = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import chunking as K
+from quillspark.operators import ingestion as N
 from quillspark.operators import sync as S
+from quillspark.operators.stages import shared_folder
 from quillspark.queries import query, table
 from quillspark.sources import parsers as P
 from quillspark.sources import sections as X
@@ -197,3 +201,88 @@ def event_windows(spark, sf_dir):
 def json_tolerant(spark, sf_dir):
     rows = spark.createDataFrame([(1, '{"ciudad": "Barcelona"}'), (2, 'Here:\n```json\n{"ciudad": "Madrid"}\n```'), (3, "ciudad: Lima\npersona: Juan")], "id long, t string")
     return rows.select("id", P.tolerant_map(F.col("t")).alias("found"))
+
+
+_STORES: dict[tuple[str, str], tuple[N.Store, list[dict[str, int]]]] = {}
+
+
+def _files(spark, sf_dir, version):
+    """Documents as files: paragraphs, JSON, broken JSON, a format without a loader, and empty ones. The second version lacks
+    some, has others changed, and some of the broken ones mended."""
+    text = F.coalesce("text", F.lit(""))
+    if version == 2:
+        text = F.when(F.col("doc_id") % 10 == 0, F.concat(text, F.lit("!"))).otherwise(text)
+    kind = F.col("doc_id") % 6
+    broken = (kind == 3) & ((F.col("doc_id") % 30 != 3) | F.lit(version == 1))
+    content = F.when(kind == 5, "").when(broken, F.concat(F.lit("{"), text)).when(kind.isin(2, 3), F.to_json(F.struct(text.alias("text")))).otherwise(text)
+    if version == 2:
+        content = F.when((kind == 5) & (F.col("doc_id") % 10 == 5), "filled").otherwise(content)
+    path = F.concat(F.lit("d/"), "doc_id", F.when(kind.isin(2, 3), ".json").when(kind == 4, ".bin").otherwise(".txt"))
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"), "doc_id")
+    return (rows.filter("doc_id % 7 <> 0") if version == 2 else rows).drop("doc_id")
+
+
+def _ingested(spark, sf_dir):
+    """A store after two runs, and their tallies; made by the session's first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = N.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+        windows = lambda rows: K.fixed_chunks(rows, 1000, 200, "id", "text")
+        _STORES[key] = (store, [N.ingest(_files(spark, sf_dir, v), store, v, chunk=windows) for v in (1, 2)])
+    return _STORES[key]
+
+
+_INGESTED = r"""t AS (SELECT doc_id, v, doc_id % 6 AS kind, coalesce(text, '') || CASE WHEN v = 2 AND doc_id % 10 = 0 THEN '!' ELSE '' END AS text FROM documents, (VALUES (1), (2)) AS x(v) WHERE v = 1 OR doc_id % 7 <> 0),
+ c AS (SELECT *, kind = 3 AND (v = 1 OR doc_id % 30 <> 3) AS broken, CASE WHEN kind = 5 THEN CASE WHEN v = 2 AND doc_id % 10 = 5 THEN 'filled' ELSE '' END ELSE text END AS body, 'd/' || doc_id || CASE WHEN kind IN (2, 3) THEN '.json' WHEN kind = 4 THEN '.bin' ELSE '.txt' END AS path FROM t),
+ p AS (SELECT path, v, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS x FROM (SELECT path, v, string_split(body, chr(10) || chr(10)) AS a FROM c WHERE kind NOT IN (2, 3, 4))),
+ q AS (SELECT path, v, i, regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '') AS b FROM p),
+ s AS (SELECT path, v, CASE WHEN contains(b, chr(10)) AND length(string_split(b, chr(10))[1]) < 100 THEN string_split(b, chr(10))[1] ELSE 'Paragraph ' || (i + 1) END AS title,
+        CASE WHEN contains(b, chr(10)) AND length(string_split(b, chr(10))[1]) < 100 THEN regexp_replace(substr(b, length(string_split(b, chr(10))[1]) + 2), '^\s+', '') ELSE b END AS content FROM q WHERE b <> ''
+       UNION ALL SELECT path, v, substr(body, 1, 50) || '...', body FROM c WHERE kind NOT IN (2, 3, 4) AND NOT EXISTS (SELECT 1 FROM q WHERE q.path = c.path AND q.v = c.v AND q.b <> '')
+       UNION ALL SELECT path, v, 'text', text FROM c WHERE kind IN (2, 3) AND NOT broken),
+ n AS (SELECT path, v, count(*) AS n_sections, sum(greatest(1, ceil((length(title) + 2 + length(content) - 200) / 800.0)))::BIGINT AS n_chunks, sum(length(content)) AS chars FROM s WHERE content <> '' GROUP BY ALL),
+ e AS (SELECT c.*, CASE WHEN kind = 4 THEN 'no loader for: bin' WHEN trim(body) = '' AND NOT broken AND kind NOT IN (2, 3) THEN 'no text' WHEN broken THEN 'no valid JSON' WHEN n_chunks IS NULL THEN 'no sections' END AS error,
+       coalesce(n_sections, 0) AS n_sections, coalesce(n_chunks, 0) AS n_chunks FROM c LEFT JOIN n USING (path, v)),
+ one AS (SELECT path, v AS version, 'new' AS action, CASE WHEN error IS NULL THEN 'completed' ELSE 'error' END AS status, error, n_sections, n_chunks, text FROM e WHERE v = 1),
+ two AS (SELECT e.path, e.v AS version, CASE WHEN one.status = 'completed' THEN CASE WHEN one.text = e.text THEN 'unchanged' ELSE 'modified' END ELSE 'new' END AS action, CASE WHEN e.error IS NULL THEN 'completed' ELSE 'error' END AS status, e.error,
+         e.n_sections, e.n_chunks FROM e JOIN one USING (path) WHERE e.v = 2),
+ every AS (SELECT * EXCLUDE (text) FROM one UNION ALL SELECT * FROM two UNION ALL SELECT path, 2, 'deleted', 'deleted', NULL, 0, 0 FROM one WHERE status = 'completed' AND path NOT IN (SELECT path FROM two))"""
+
+
+@query(f"WITH {_INGESTED} SELECT * FROM every WHERE action <> 'unchanged'")
+def ingest_ledger(spark, sf_dir):
+    """How each file ended in two runs: broken files are rows with their error, all others land."""
+    return _ingested(spark, sf_dir)[0].read("ledger").select("path", "version", "action", "status", "error", "n_sections", "n_chunks")
+
+
+@query(
+    f"""WITH {_INGESTED} SELECT version, count(*) FILTER (status = 'completed' AND action IN ('new', 'modified')) AS processed, count(*) FILTER (status = 'completed' AND action = 'new') AS added,
+        count(*) FILTER (status = 'completed' AND action = 'modified') AS updated, count(*) FILTER (action = 'deleted') AS deleted, count(*) FILTER (action = 'unchanged') AS skipped, count(*) FILTER (status = 'error') AS errors FROM every GROUP BY version"""
+)
+def ingest_tally(spark, sf_dir):
+    """What the two runs observed of themselves."""
+    return spark.createDataFrame([{"version": k + 1} | t for k, t in enumerate(_ingested(spark, sf_dir)[1])])
+
+
+_CURRENT = """now AS (SELECT path, max(version) AS v FROM every WHERE status <> 'error' GROUP BY path HAVING arg_max(status, version) = 'completed')"""
+
+
+@query(f"WITH {_INGESTED}, {_CURRENT} SELECT path, n_sections, n_chunks, chars::BIGINT AS chars FROM n JOIN (SELECT path, max(version) FILTER (action <> 'unchanged') AS v FROM every JOIN now USING (path) WHERE status = 'completed' GROUP BY path) USING (path, v)")
+def ingest_points(spark, sf_dir):
+    """The current points by path, with the characters of their sections (overlaps of chunks counted once)."""
+    points = _ingested(spark, sf_dir)[0].points()
+    title = F.length("section") + 2
+    last = points.groupBy("path", "place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("c"), F.first(title).alias("t"))
+    return last.groupBy("path").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n").alias("n_chunks"), F.sum(F.col("c") - 200 * (F.col("n") - 1) - F.col("t")).alias("chars"))
+
+
+@query(f"WITH {_INGESTED}, {_CURRENT} SELECT sum(n_chunks)::BIGINT AS n_docs, 1 AS generation, count(*) AS files FROM every JOIN now USING (path) WHERE status = 'completed' AND action <> 'unchanged' AND version = v - CASE WHEN EXISTS (SELECT 1 FROM every x WHERE x.path = every.path AND x.version = now.v AND x.action = 'unchanged') THEN 1 ELSE 0 END")
+def ingest_compacted(spark, sf_dir):
+    """The store after compaction into a folder of its own: chunks in the index made of its saved word counts, and files."""
+    store = _ingested(spark, sf_dir)[0]
+    copy = N.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for name in N.TABLES:
+        copy.write(name, store.read(name), 0)
+    generation = copy.compact()
+    stats = copy.index()[2].select("n_docs", F.lit(generation).alias("generation"))
+    return stats.crossJoin(copy.read("ledger").filter("status = 'completed'").agg(F.count(F.lit(1)).alias("files")))

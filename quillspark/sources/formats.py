@@ -126,7 +126,7 @@ def sniffed(head: Column, delimiters: Sequence[str] = DELIMITERS) -> Column:
     Quoted fields are left out of the count.
     """
     lines = F.filter(F.slice(F.split(F.regexp_replace(head, r'"(?:[^"]|"")*"', ""), r"\r?\n"), 1, 20), lambda x: x != "")
-    full = F.when(F.size(lines) > 1, F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
+    full = F.when(F.size(lines) > 2, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)  # the last one may be cut
 
     def even(d: str) -> Column:
         counts = F.transform(full, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))

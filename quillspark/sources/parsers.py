@@ -1,13 +1,11 @@
-"""Formats without a columnar form: HTML trees, SQL scripts, nested JSON and zipped office files, as array UDFs."""
+"""Zipped office files as array UDFs, and tolerant maps as a column function."""
 
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -36,120 +34,8 @@ def parsed(docs: DataFrame, parse: Callable[[object], list[Section]], key: str =
     return rows.select(key, "place", "s.title", "s.content", "s.level")
 
 
-class _Html(HTMLParser):
-    SKIP = frozenset("script style nav footer aside".split())
-    TEXT = frozenset("p div li td th".split())
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.sections: list[list] = [["Introduction", [], 0]]
-        self.skip, self.heading, self.parts = 0, 0, []
-
-    def _flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts = []
-        if text and self.heading:
-            self.sections.append([text, [], self.heading])
-        elif text:
-            self.sections[-1][1].append(text)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skip += 1
-        elif tag in self.TEXT or re.fullmatch("h[1-6]", tag):
-            self._flush()
-            self.heading = int(tag[1]) if tag[0] == "h" else 0
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag in self.TEXT or re.fullmatch("h[1-6]", tag):
-            self._flush()
-            self.heading = 0
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
-
-
-def html_sections(html: str) -> list[Section]:
-    """Headings start sections; text of paragraphs, list items, blocks and cells fills them, each text once."""
-    body = re.search(r"(?is)<main\b.*?</main>|<article\b.*?</article>|<body\b.*", html)
-    p = _Html()
-    p.feed(body[0] if body else html)
-    p.close()
-    p._flush()
-    return [(t, "\n".join(c), n) for t, c, n in p.sections if c]
-
-
-_BLOCK = re.compile(r"^\s*CREATE(?:\s+OR\s+REPLACE)?\s+(PACKAGE\s+BODY|PACKAGE|FUNCTION|PROCEDURE|TYPE|TRIGGER|MATERIALIZED\s+VIEW|VIEW|SEQUENCE|TABLE|INDEX)\s+([\w.]+)", re.I | re.M)
-
-
-def sql_sections(script: str) -> list[Section]:
-    """CREATE blocks up to the first semicolon that ends a line, and plain statements between them."""
-    out: list[Section] = []
-
-    def plain(text: str) -> None:
-        for part in re.split(r";\s*\n*", text):
-            part = part.strip()
-            if part:
-                first = part.split("\n")[0].strip()
-                out.append((first if len(first) < 100 else f"SQL_Statement_{len(out) + 1}", part + ";", 2))
-
-    rest = script.strip()
-    while m := _BLOCK.search(rest):
-        plain(rest[: m.start()])
-        end = re.search(r";\s*(?:/\*|--|\n|$)", rest[m.end() :])
-        stop = m.end() + end.start() + 1 if end else len(rest)
-        out.append((f"{re.sub(r'\s+', '_', m[1].upper())}: {m[2]}", rest[m.start() : stop].strip(), 1))
-        rest = rest[stop:].strip()
-    plain(rest)
-    return out
-
-
-def json_text(value: object, depth: int = 0, limit: int = 5) -> str:
-    """Nested values as indented lines, cut below a depth."""
-    pad = "  " * depth
-    if depth > limit:
-        return f"{pad}[Max depth reached]"
-    if not isinstance(value, (dict, list)):
-        return f"{pad}{value}"
-    lines = []
-    for k, v in value.items() if isinstance(value, dict) else ((f"[{i}]", v) for i, v in enumerate(value)):
-        lines += [f"{pad}{k}:", json_text(v, depth + 1, limit)] if isinstance(v, (dict, list)) else [f"{pad}{k}: {v}"]
-    return "\n".join(lines)
-
-
-def json_sections(text: str) -> list[Section]:
-    """One section per item of a list or line of JSON lines, or per top key of an object."""
-    try:
-        data = json.loads(text)
-    except ValueError:
-        data = [json.loads(line) for line in text.splitlines() if line.strip()]
-    if isinstance(data, dict):
-        return [(str(k), json_text(v), 1) for k, v in data.items()]
-    out = []
-    for i, item in enumerate(data if isinstance(data, list) else [data]):
-        named = next((f"{k}: {item[k]}" for k in ("title", "name", "id", "key") if k in item), None) if isinstance(item, dict) else None
-        first = f"{next(iter(item))}: {next(iter(item.values()))}" if isinstance(item, dict) and item else None
-        out.append((named or first or f"Item {i + 1}", json_text(item), 1))
-    return out
-
-
-def parse_tolerant(text: str) -> dict[str, str]:
-    """A flat map from JSON, from the first {...} in prose, or from `key: value` lines."""
-    for part in (text, *re.findall(r"(?s)\{.*\}", text)[:1]):
-        try:
-            data = json.loads(part)
-        except ValueError:
-            continue
-        if isinstance(data, dict):
-            return {str(k): v if isinstance(v, str) else json.dumps(v) for k, v in data.items()}
-    return {k.strip().strip("\"'-* "): v.strip().strip("\"',") for k, v in (line.split(":", 1) for line in text.splitlines() if ":" in line) if k.strip()}
-
-
 def tolerant_map(text: Column) -> Column:
-    """parse_tolerant over a column: JSON itself and the first {...} by from_json, `key: value` lines by splitting."""
+    """A flat map from JSON, from the first {...} in prose, or from `key: value` lines."""
     whole = F.from_json(text, "map<string,string>")
     inner = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), "map<string,string>")
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.contains(x, F.lit(":")))

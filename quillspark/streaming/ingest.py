@@ -1,61 +1,97 @@
-"""Incremental ingestion as a stream of files: each micro-batch runs the batch sync and rewrites ledger and index."""
+"""Streams: files that arrive are ingested, generation streams are kept one per conversation, events are counted in windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quillspark.operators.sync import classify
-from quillspark.sources.sections import decoded, loader_of
+from quillspark.operators.ingestion import Store, ingest
+from quillspark.sources.sections import loader_of
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, root: str) -> DataFrame:
-    """path and content of files as they appear below root; hidden ones and unknown formats are left out."""
+    """path, content, time and size of files as they appear below root; hidden ones and unknown formats are left out."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     visible = ~F.col("path").rlike(r"/\.[^/]") & loader_of(F.col("path")).isNotNull()
-    return files.filter(visible).select("path", decoded(F.col("content")).alias("content"))
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        found = spark.read.parquet(path)
-        return found if found.columns else spark.createDataFrame([], schema)
-    except Exception as e:  # the first batch has no table to read yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return files.filter(visible).select("path", "content", F.col("modificationTime").alias("modified"), "length")
 
 
-def sync_stream(files: DataFrame, build: Callable[[DataFrame], DataFrame], store: str, checkpoint: str):
-    """Start the sync: every batch appends a version of the index for changed paths, and the ledger of their hashes.
+def sync_stream(files: DataFrame, root: str, store: Store, checkpoint: str, tallies: list[dict[str, int]] | None = None, **options):
+    """Start the sync: every batch of files that arrived is one run of ingest, and what is no longer below root is deleted.
 
-    A version is written under the batch's number, so a batch that runs again after a failure replaces what it wrote.
+    A run is written under the batch's number, so a batch that runs again after a failure replaces what it wrote. A stream
+    of files names each path once; files written anew are found by ingestion.sync_folder, which may run between batches.
     """
 
     def body(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        ledger = latest(spark, store)
-        seen = ledger.join(batch.select("path"), "path", "left_semi")
-        changes = classify(batch, seen).filter("status in ('new', 'modified')")
-        fresh = batch.join(changes.select("path", "hash"), "path")
-        fresh.select("path", "hash", F.lit(number).cast("long").alias("version")).write.mode("overwrite").parquet(f"{store}/ledger/batch={number}")
-        build(fresh.select("path", "content")).withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{store}/index/batch={number}")
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")  # names only
+        told = ingest(batch, Store(spark, store.path), number + 1, listing=listing, **options)
+        if tallies is not None:
+            tallies.append(told)
 
     return files.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, store: str) -> DataFrame:
-    """path and hash of the newest version of each path."""
-    rows = _read(spark, f"{store}/ledger", "path string, hash string, version long")
-    return rows.groupBy("path").agg(F.max_by("hash", "version").alias("hash"), F.max("version").alias("version"))
+class NewestStream(StatefulProcessor):
+    """State per key: the newest stream, and a timer for its end. Older ones are replaced, late ones refused.
 
+    Rows: key, stream, at. Emits key, stream, at and status: live when a stream becomes the newest, replaced when a newer
+    one takes its place (or it came too late to be the newest), expired when `seconds` of event time have passed since it began.
+    """
 
-def current_index(spark: SparkSession, store: str) -> DataFrame:
-    """Rows of the index that belong to the newest version of their path."""
-    rows = spark.read.parquet(f"{store}/index").drop("batch")
-    return rows.join(latest(spark, store).select("path", "version"), ["path", "version"], "left_semi")
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "stream string, at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = None
+        if self.newest.exists():
+            stream, at = self.newest.get()
+            held = (pd.Timestamp(at), stream)
+        out = []
+        for batch in rows:
+            for stream, at in sorted(zip(batch["stream"], batch["at"], strict=True), key=lambda r: (r[1], r[0])):
+                new = (pd.Timestamp(at), stream)
+                if held is None or new > held:
+                    if held is not None:
+                        out.append((*key, held[1], held[0], "replaced"))
+                    held = new
+                    out.append((*key, new[1], new[0], "live"))
+                elif new != held:
+                    out.append((*key, new[1], new[0], "replaced"))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held is not None:
+            self.newest.update((held[1], held[0].to_pydatetime()))
+            self.handle.registerTimer(int(held[0].tz_localize("UTC").timestamp() * 1000) + self.seconds * 1000)
+        yield pd.DataFrame(out, columns=["key", "stream", "at", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        stream, at = self.newest.get()
+        self.newest.clear()
+        yield pd.DataFrame([(*key, stream, pd.Timestamp(at), "expired")], columns=["key", "stream", "at", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def newest_streams(rows: DataFrame, key: str, stream: str, at: str, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
+    """Changes of the live streams, one per key: key, stream, at, status, by NewestStream on the watermark of `at`.
+
+    The state of a key is one row, and goes when its stream expires. The session's state store must be RocksDB (STATE_STORE).
+    """
+    named = rows.select(F.col(key).cast("string").alias("key"), F.col(stream).cast("string").alias("stream"), F.col(at).alias("at")).withWatermark("at", late)
+    return named.groupBy("key").transformWithStateInPandas(NewestStream(seconds), "key string, stream string, at timestamp, status string", "Append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

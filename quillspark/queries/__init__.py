@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quillspark.queries import context, conversation, graph, ingest, relational, retrieval, text  # noqa: E402, F401
+from quillspark.queries import context, conversation, graph, ingest, notes, relational, retrieval, text  # noqa: E402, F401

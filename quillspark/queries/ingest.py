@@ -52,12 +52,6 @@ def markdown_sections(spark, sf_dir):
     return X.markdown_sections(spark.createDataFrame(_NOTES, "path string, content string"))
 
 
-@query("SELECT * FROM (VALUES ('a.md', 'T', 'x,y'), ('b.md', NULL, NULL), ('c.md', NULL, NULL)) AS v(path, title, tags)")
-def front_matter(spark, sf_dir):
-    m = X.front_matter(F.col("content"))
-    return spark.createDataFrame(_NOTES, "path string, content string").select("path", m["title"].alias("title"), m["tags"].alias("tags"))
-
-
 @query("SELECT * FROM (VALUES ('One', NULL, NULL, NULL), ('GET list', 'GET', '/api/{id}', 'main')) AS v(title, http_method, endpoint, context)")
 def section_api(spark, sf_dir):
     found = X.markdown_sections(spark.createDataFrame(_NOTES[:1], "path string, content string")).filter("level > 0")

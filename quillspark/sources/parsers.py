@@ -140,4 +140,3 @@ def docx_sections(raw: bytes) -> list[Section]:
     return out
 
 
-PARSERS: dict[str, Callable] = {"html": html_sections, "sql": sql_sections, "json": json_sections, "excel": xlsx_sections, "powerpoint": pptx_sections, "word": docx_sections}

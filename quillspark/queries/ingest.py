@@ -11,6 +11,7 @@ from quillspark.operators import ingestion as N
 from quillspark.operators import sync as S
 from quillspark.operators.stages import shared_folder
 from quillspark.queries import query, table
+from quillspark.sources import formats as Y
 from quillspark.sources import parsers as P
 from quillspark.sources import sections as X
 from quillspark.streaming.ingest import windowed_counts
@@ -44,18 +45,31 @@ def line_sections(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(F.length("content")).alias("chars"))
 
 
-_NOTES = [("a.md", "---\ntitle: \"T\"\ntags:\n  - x\n  - y\n---\nintro\n# One\nbody `#t`\n\n## GET list\nContexto: main `/api/{id}`\n### empty\n"), ("b.md", "plain"), ("c.md", "")]
+_NOTE = """CASE p_partkey % 3 WHEN 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || 'intro ' || p_name || chr(10) || '# One ' || p_brand || chr(10) || 'body `#t`' || chr(10) || chr(10) || '## put ' || p_name || chr(10) || 'Contexto: main `/api/{id}` ' || p_type || chr(10) || '### empty' || chr(10)
+ WHEN 1 THEN 'plain ' || p_name ELSE '' END"""
 
 
-@query("""SELECT * FROM (VALUES ('a.md', 0, 'Introduction', 'intro', 0), ('a.md', 1, 'One', 'body `#t`', 1), ('a.md', 2, 'GET list', 'Contexto: main `/api/{id}`', 2), ('b.md', 0, 'Document Content', 'plain', 0), ('c.md', 0, 'General', '', 1)) AS v(path, place, title, content, level)""")
+def _notes(spark, sf_dir):
+    """A note per part: with front matter and headings, plain, or empty."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_NOTE.replace("chr(10)", "char(10)")).alias("content"))
+
+
+@query(
+    rf"""WITH l AS (SELECT p_partkey, generate_subscripts(a, 1) AS n, unnest(a) AS line FROM (SELECT p_partkey, string_split(regexp_replace({_NOTE}, '(?s)\A---\n.*?\n---\n?', ''), chr(10)) AS a FROM part)),
+        h AS (SELECT *, regexp_matches(line, '^\s*(#{{1,6}})\s+(.+)$') AS h FROM l), p AS (SELECT *, sum(h::int) OVER (PARTITION BY p_partkey ORDER BY n ROWS UNBOUNDED PRECEDING) AS place FROM h),
+        g AS (SELECT p_partkey, place::int AS place, max(line) FILTER (h) AS head, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT h), ''), '^\s+', ''), '\s+$', '') AS content FROM p GROUP BY ALL),
+        t AS (SELECT *, max(place) OVER (PARTITION BY p_partkey) AS most FROM g WHERE content <> '')
+        SELECT p_partkey, place, CASE WHEN most = 0 THEN 'Document Content' WHEN head IS NULL THEN 'Introduction' ELSE trim(regexp_extract(head, '^\s*(#{{1,6}})\s+(.+)$', 2)) END AS title, content, coalesce(length(regexp_extract(head, '^\s*(#{{1,6}})', 1)), 0)::int AS level FROM t
+        UNION ALL SELECT p_partkey, 0, 'General', {_NOTE}, 1 FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM t)"""
+)
 def markdown_sections(spark, sf_dir):
-    return X.markdown_sections(spark.createDataFrame(_NOTES, "path string, content string"))
+    return X.markdown_sections(_notes(spark, sf_dir), "p_partkey")
 
 
-@query("SELECT * FROM (VALUES ('One', NULL, NULL, NULL), ('GET list', 'GET', '/api/{id}', 'main')) AS v(title, http_method, endpoint, context)")
+@query("SELECT p_partkey, 'PUT' AS http_method, '/api/{id}' AS endpoint, 'main' AS context FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL FROM part WHERE p_partkey % 3 = 0")
 def section_api(spark, sf_dir):
-    found = X.markdown_sections(spark.createDataFrame(_NOTES[:1], "path string, content string")).filter("level > 0")
-    return found.select("title", *[c.alias(n) for n, c in X.section_api(F.col("title"), F.col("content")).items()])
+    found = X.markdown_sections(_notes(spark, sf_dir), "p_partkey").filter("level > 0 and title <> 'General'")
+    return found.select("p_partkey", *[c.alias(n) for n, c in X.section_api(F.col("title"), F.col("content")).items()])
 
 
 @query(
@@ -74,29 +88,68 @@ def html_title_lang(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.html_title(h).alias("title"), X.html_lang(h).alias("lang"))
 
 
-@query()
+def _html_sql() -> str:
+    """The rule of html_sections, step by step."""
+    x = r"coalesce(nullif(regexp_extract(html, '(?is)<main\b.*</main>'), ''), nullif(regexp_extract(html, '(?is)<article\b.*</article>'), ''), nullif(regexp_extract(html, '(?is)<body\b.*'), ''), html)"
+    steps = [("(?s)<!--.*?-->", "''"), *[(rf"(?is)<{t}\b.*?</{t}\s*>", "''") for t in ("script", "style", "nav", "footer", "aside")], (r"[\s\x00-\x1f]+", "' '")]
+    for k in range(1, 7):
+        steps += [(rf"(?i)<h{k}\b[^>]*>", f"chr(10) || chr(1) || '{k}'"), (rf"(?i)</h{k}\s*>", "chr(10)")]
+    steps += [(r"(?i)</?(?:p|div|li|td|th|tr|br|ul|ol|table|section|article|main|body|html|head|header|title)\b[^>]*>", "chr(10)"), ("<[A-Za-z/!][^>]*>", "''")]
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, '{pattern}', {new}, 'g')"
+    for name, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{name}', {char})"
+    bare = r"regexp_replace(regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '')"
+    return rf"""WITH a AS (SELECT page_id, string_split({x}, chr(10)) AS a FROM pages), l AS (SELECT page_id, generate_subscripts(a, 1) AS n, {bare.format("unnest(a)")} AS line FROM a),
+        k AS (SELECT *, starts_with(line, chr(1)) AS h FROM l WHERE line <> '' AND NOT regexp_matches(line, '^\x01[1-6]$')),
+        p AS (SELECT *, sum(h::int) OVER (PARTITION BY page_id ORDER BY n ROWS UNBOUNDED PRECEDING)::int AS place FROM k),
+        g AS (SELECT page_id, place, max(line) FILTER (h) AS head, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT h), '') AS content FROM p GROUP BY ALL)
+        SELECT page_id, place, CASE WHEN head IS NULL THEN 'Introduction' ELSE {bare.format("substr(head, 3)")} END AS title, md5(content) AS content_md5, coalesce(substr(head, 2, 1)::int, 0) AS level FROM g WHERE content <> ''"""
+
+
+@query(_html_sql())
 def html_sections(spark, sf_dir):
-    return P.parsed(table(spark, sf_dir, "pages"), P.html_sections, "page_id", "html")
+    found = Y.html_sections(table(spark, sf_dir, "pages"), "page_id", "html")
+    return found.select("page_id", "place", "title", F.md5("content").alias("content_md5"), "level")
 
 
-_CODE = [("a.py", "class A:\n    def m(self):\n        pass\ndef f():\n    pass\n"), ("B.java", "class B { public int go(int a) { } }"), ("c.js", "function x() {}")]
+_SCRIPTS = ["'class A' || p_partkey || ':' || chr(10) || '    def m(self):' || chr(10) || 'def f' || p_size || '():' || chr(10) || '    pass' || chr(10)", "'class B' || p_partkey || ' { public int go' || p_size || '(int a) { } }'", "'public class C' || p_partkey || ' { private void Run' || p_size || '() { } }'", "'function x' || p_partkey || '() {}'"]
+_SOURCE = f"CASE p_partkey % 4 WHEN 0 THEN {_SCRIPTS[0]} WHEN 1 THEN {_SCRIPTS[1]} WHEN 2 THEN {_SCRIPTS[2]} ELSE {_SCRIPTS[3]} END"
+_SOURCE_PATH = "'src/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.java' WHEN 2 THEN '.cs' ELSE '.js' END"
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'Class: A', 1), ('a.py', 'Function: f', 2), ('B.java', 'Class: B', 1), ('B.java', 'Function: go', 2), ('c.js', 'Full File', 0)) AS v(path, title, level)")
+@query(
+    rf"""WITH c AS (SELECT {_SOURCE_PATH} AS path, p_partkey % 4 AS k, {_SOURCE} AS content FROM part),
+        f AS (SELECT path, 'Class: ' || unnest(regexp_extract_all(content, CASE k WHEN 0 THEN '(?m)^class\s+(\w+)' ELSE '\bclass\s+(\w+)' END, 1)) AS title, 1 AS level FROM c WHERE k < 3
+          UNION ALL SELECT path, 'Function: ' || unnest(CASE k WHEN 0 THEN regexp_extract_all(content, '(?m)^def\s+(\w+)', 1) ELSE regexp_extract_all(content, '\b(?:public|private|protected)?\s+\w+\s+(\w+)\s*\(', 1) END), 2 FROM c WHERE k < 3)
+        SELECT * FROM f UNION ALL SELECT path, 'Full File', 0 FROM c WHERE path NOT IN (SELECT path FROM f)"""
+)
 def code_sections(spark, sf_dir):
-    return X.code_sections(spark.createDataFrame(_CODE, "path string, content string")).select("path", "title", "level")
+    """Sources written out of parts, in Python, Java, C# and JavaScript."""
+    part = table(spark, sf_dir, "part").select(F.expr(_SOURCE_PATH).alias("path"), F.expr(_SOURCE.replace("chr(10)", "char(10)")).alias("content"))
+    return X.code_sections(part).select("path", "title", "level")
 
 
-@query()
+_FIVE = ["0 AS place, 'SELECT ' || p_size AS title, 'SELECT ' || p_size || ';' AS content, 2 AS level", "1, 'PACKAGE_BODY: pkg.b' || p_partkey, 'CREATE or REPLACE PACKAGE  BODY pkg.b' || p_partkey || ' AS x;', 1", "2, 'UPDATE t SET a = ' || p_size, 'UPDATE t SET a = ' || p_size || ';', 2", "3, '-- ' || p_name, '-- ' || p_name || ';', 2", "4, 'TABLE: t' || p_partkey, 'create table t' || p_partkey || ' (a int, b int);', 1"]
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey, {x} FROM part" for x in _FIVE))
 def sql_sections(spark, sf_dir):
-    script = "SELECT 1;\nCREATE OR REPLACE PACKAGE BODY pkg.b AS x;\nUPDATE t SET a = 1;\nCREATE TABLE t2 (a int);\n"
-    return P.parsed(spark.createDataFrame([("a.sql", script)], "path string, content string"), P.sql_sections)
+    """A script per part: a statement, blocks, a comment and lower case."""
+    name = F.col("p_partkey").cast("string")
+    script = F.concat(F.lit("SELECT "), "p_size", F.lit(";\nCREATE or REPLACE PACKAGE  BODY pkg.b"), name, F.lit(" AS x;\nUPDATE t SET a = "), "p_size", F.lit("; -- "), "p_name", F.lit("\ncreate table t"), name, F.lit(" (a int, b int);\n"))
+    return Y.sql_sections(table(spark, sf_dir, "part").select("p_partkey", script.alias("content")), "p_partkey")
 
 
-@query()
+@query(
+    """SELECT event_id, 0 AS place, CASE event_id % 3 WHEN 0 THEN 'k' ELSE 'k: ' || (props->>'$.k') END AS title, CASE event_id % 3 WHEN 0 THEN props->>'$.k' ELSE 'k: ' || (props->>'$.k') END AS content, 1 AS level FROM events
+       UNION ALL SELECT event_id, 1, CASE event_id % 3 WHEN 1 THEN 'id: n' ELSE 'k: ' || (props->>'$.k') END, CASE event_id % 3 WHEN 1 THEN 'x:' || chr(10) || '  k: ' || (props->>'$.k') || chr(10) || 'id: n' ELSE 'k: ' || (props->>'$.k') END, 1 FROM events WHERE event_id % 3 > 0"""
+)
 def json_sections(spark, sf_dir):
-    rows = [("a.json", '[{"name": "n", "x": {"y": [1, 2]}}, {"z": 1}, 5]'), ("b.jsonl", '{"id": 1}\n{"id": 2}'), ("c.json", '{"k": {"a": 1}, "l": 2}')]
-    return P.parsed(spark.createDataFrame(rows, "path string, content string"), P.json_sections)
+    """Properties of events as one object, as a list with an object around them, and as JSON lines."""
+    p = F.col("props")
+    content = F.when(F.col("event_id") % 3 == 0, p).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), p, F.lit(', {"x": '), p, F.lit(', "id": "n"}]'))).otherwise(F.concat(p, F.lit("\n"), p))
+    return Y.json_sections(table(spark, sf_dir, "events").select("event_id", content.alias("content")), "event_id")
 
 
 @query("SELECT event_id, 'k: ' || (props->>'$.k') AS title FROM events")
@@ -105,22 +158,39 @@ def json_titles(spark, sf_dir):
     return X.json_titles(rows).select("event_id", "title")
 
 
-@query("SELECT * FROM (VALUES ('a.MD', 'markdown'), ('b/c.docx', 'word'), ('d.jsonl', 'json'), ('e.pks', 'sql'), ('f.go', 'code'), ('g.bin', NULL)) AS v(path, loader)")
+_ENDS = "CASE p_partkey % 8 WHEN 0 THEN '.MD' WHEN 1 THEN '.docx' WHEN 2 THEN '.jsonl' WHEN 3 THEN '.pks' WHEN 4 THEN '.go' WHEN 5 THEN '.bin' WHEN 6 THEN '.tar.gz' ELSE '' END"
+
+
+@query(f"SELECT p_partkey, p_name || {_ENDS} AS path, CASE p_partkey % 8 WHEN 0 THEN 'markdown' WHEN 1 THEN 'word' WHEN 2 THEN 'json' WHEN 3 THEN 'sql' WHEN 4 THEN 'code' END AS loader FROM part")
 def loader_dispatch(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in ("a.MD", "b/c.docx", "d.jsonl", "e.pks", "f.go", "g.bin")], "path string").select("path", X.loader_of(F.col("path")).alias("loader"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(f"p_name || {_ENDS}").alias("path"))
+    return rows.withColumn("loader", X.loader_of(F.col("path")))
 
 
-@query("SELECT * FROM (VALUES ('a/b.md'), ('a/c.txt')) AS v(path)")
+_TREE = "CASE p_partkey % 6 WHEN 0 THEN 'a/c' || p_partkey || '.txt' WHEN 1 THEN 'a/.git/x' || p_partkey || '.md' WHEN 2 THEN '.h' || p_partkey || '.md' WHEN 3 THEN 'a/b' || p_partkey || '.md' WHEN 4 THEN 'a/d' || p_partkey || '.bin' ELSE 'z' || p_partkey || '.md' END"
+
+
+@query(rf"SELECT path FROM (SELECT {_TREE} AS path FROM part) WHERE starts_with(path, 'a/') AND NOT regexp_matches(path, '(^|/)\.') AND regexp_matches(path, '\.(txt|md)$')")
 def document_discovery(spark, sf_dir):
-    return X.discovered(spark.createDataFrame([(p,) for p in ("a/c.txt", "a/.git/x.md", ".h.md", "a/b.md", "a/d.bin", "z.md")], "path string"), "^a/")
+    return X.discovered(table(spark, sf_dir, "part").select(F.expr(_TREE).alias("path")), "^a/")
 
 
-_PDF = "1. Start\nbody one\nALL CAPS LINE\nmore text here, long enough\n1.2. Deeper\nend"
+_PAGE = "'1. Start ' || p_brand || chr(10) || 'body one ' || p_name || ' and so on.' || chr(10) || 'ALL CAPS LINE' || chr(10) || 'more text here, long enough' || chr(10) || '1.2. Deeper ' || p_size || chr(10) || 'end'"
 
 
-@query("SELECT * FROM (VALUES (1, '1. Start', 1), (2, 'ALL CAPS LINE', 1), (3, '1.2. Deeper', 2)) AS v(place, title, level)")
+@query(
+    rf"""WITH l AS (SELECT p_partkey, generate_subscripts(a, 1) AS n, trim(unnest(a)) AS line FROM (SELECT p_partkey, string_split({_PAGE}, chr(10)) AS a FROM part)),
+        x AS (SELECT *, lead(line) OVER (PARTITION BY p_partkey ORDER BY n) AS nxt FROM l),
+        k AS (SELECT *, regexp_matches(line, '^\d+(\.\d+)*\.\s+.+$') AS num, line = upper(line) AND lower(line) <> line AND len(regexp_split_to_array(line, '\s+')) >= 2 AND length(line) < 100 AS up,
+              length(line) < 80 AND line <> '' AND NOT regexp_matches(line, '[.,;:]$') AND length(nxt) > 1.5 * length(line) AND NOT regexp_matches(line, '^[-•*]') AND regexp_matches(line, '^\p{{Lu}}') AS short FROM x),
+        p AS (SELECT *, coalesce(num OR up OR short, false) AS h, sum(coalesce(num OR up OR short, false)::int) OVER (PARTITION BY p_partkey ORDER BY n ROWS UNBOUNDED PRECEDING)::int AS place FROM k)
+        SELECT p_partkey, place, coalesce(max(line) FILTER (h), 'Introduction') AS title, coalesce(max(CASE WHEN num THEN length(regexp_extract(line, '^(\d+(\.\d+)*)\.', 1)) - length(replace(regexp_extract(line, '^(\d+(\.\d+)*)\.', 1), '.', '')) + 1 WHEN up THEN 1 ELSE 2 END) FILTER (h), 0)::int AS level
+        FROM p GROUP BY p_partkey, place HAVING count(*) FILTER (NOT h AND line <> '') > 0"""
+)
 def pdf_headings(spark, sf_dir):
-    return X.pdf_sections(spark.createDataFrame([("p", _PDF)], "path string, content string")).select("place", "title", "level")
+    """Text of a page per part: numbered and upper-case headings, and lines that are none."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PAGE.replace("chr(10)", "char(10)")).alias("content"))
+    return X.pdf_sections(rows, "p_partkey").select("p_partkey", "place", "title", "level")
 
 
 @query(
@@ -191,10 +261,14 @@ def event_windows(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"))
 
 
-@query()
+@query("SELECT p_partkey, 'ciudad=' || p_name || CASE WHEN p_partkey % 3 = 2 THEN '|persona=' || p_brand ELSE '' END AS found FROM part")
 def json_tolerant(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '{"ciudad": "Barcelona"}'), (2, 'Here:\n```json\n{"ciudad": "Madrid"}\n```'), (3, "ciudad: Lima\npersona: Juan")], "id long, t string")
-    return rows.select("id", P.tolerant_map(F.col("t")).alias("found"))
+    """Answers as JSON, as JSON in prose, and as lines."""
+    k, name = F.col("p_partkey") % 3, F.col("p_name")
+    whole = F.concat(F.lit('{"ciudad": "'), name, F.lit('"}'))
+    answer = F.when(k == 0, whole).when(k == 1, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```"))).otherwise(F.concat(F.lit("ciudad: "), name, F.lit("\n- persona: '"), "p_brand", F.lit("',")))
+    found = P.tolerant_map(answer)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.transform(F.map_entries(found), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("found"))
 
 
 _STORES: dict[tuple[str, str], tuple[N.Store, list[dict[str, int]]]] = {}

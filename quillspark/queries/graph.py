@@ -1,4 +1,4 @@
-"""Graph queries: notes written inline, and the links from suppliers to parts in lineitem."""
+"""Graph queries: notes written out of parts, and the links from suppliers to parts in lineitem."""
 
 from __future__ import annotations
 
@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 from quillspark.operators import graph as G
 from quillspark.queries import query, table
 
-NOTES = [
-    ("a", "# A\n[[b]] and [[c|see]] #tag1 `#no` ![[img.png]]"),
-    ("b", "[[a]] [[d#part]] [[d#part|al]] #tag1 #tag-2"),
-    ("c", "[[a]] [[missing]] [[see]]"),
-    ("d", "no links ```#code [[x]]```"),
-    ("e", "[[a]] [[b]] [[c]] [[d]]"),
-    ("f", "[[a]]"), ("g", "[[a]]"), ("h", "[[a]]"),
-]
+_NOTE = """'# N' || p_partkey || chr(10) || '[[n' || p_size || ']] and [[n' || (p_partkey % 17 + 1) || '#part|al' || p_partkey % 7 || ']] [[ al' || p_size % 9 || ' ]] ![[img' || p_partkey % 3 || '.png]] #tag' || p_partkey % 5 || ' `#no` ```#code [[n' || (p_partkey % 5 + 1) || ']]``` #x-1'"""
 
 
-def _notes(spark):
-    return spark.createDataFrame(NOTES, "note string, content string")
+def _notes(spark, sf_dir):
+    """A note per part with links to other parts, by name, by alias and broken, embedded images, tags and code."""
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("n"), "p_partkey").alias("note"), F.expr(_NOTE.replace("chr(10)", "char(10)")).alias("content"))
 
 
 def _edges(spark, sf_dir):
@@ -33,15 +27,26 @@ _DEGREES = """i AS (SELECT dst AS note, count(*) AS n_in FROM e GROUP BY 1), o A
    WHEN coalesce(n_in, 0) + coalesce(n_out, 0) < 3 THEN 'atomic' ELSE 'bridge' END AS note_type FROM i FULL JOIN o USING (note))"""
 
 
-@query("SELECT * FROM (VALUES ('a', 'b,c,img.png', 'tag1', 'img.png'), ('b', 'a,d', 'part,tag-2,tag1', ''), ('c', 'a,missing,see', '', ''), ('d', 'x', '', ''), ('e', 'a,b,c,d', '', ''), ('f', 'a', '', ''), ('g', 'a', '', ''), ('h', 'a', '', '')) AS v(note, links, tags, embeds)")
+_LINKS = r"""c AS (SELECT 'n' || p_partkey AS note, NOTE AS content FROM part), l AS (SELECT DISTINCT note, trim(unnest(regexp_extract_all(content, '\[\[([^\]|#]+)(?:[#|][^\]]+)?\]\]', 1))) AS link FROM c)""".replace("NOTE", _NOTE)
+
+
+@query(
+    rf"""WITH {_LINKS}, b AS (SELECT note, content, regexp_replace(regexp_replace(content, '(?s)```.*?```', '', 'g'), '`[^`]+`', '', 'g') AS bare FROM c),
+        t AS (SELECT DISTINCT note, unnest(regexp_extract_all(bare, '#([\p{{L}}\p{{N}}_-]+)', 1)) AS tag FROM b), e AS (SELECT DISTINCT note, unnest(regexp_extract_all(content, '!\[\[([^\]]+)\]\]', 1)) AS embed FROM b)
+        SELECT note, (SELECT string_agg(link, ',' ORDER BY link) FROM l WHERE l.note = c.note) AS links, (SELECT string_agg(tag, ',' ORDER BY tag) FROM t WHERE t.note = c.note) AS tags, (SELECT string_agg(embed, ',' ORDER BY embed) FROM e WHERE e.note = c.note) AS embeds FROM c"""
+)
 def wikilinks(spark, sf_dir):
     t = F.col("content")
-    return _notes(spark).select("note", F.array_join(G.wikilinks(t), ",").alias("links"), F.array_join(G.tags(t), ",").alias("tags"), F.array_join(G.embeds(t), ",").alias("embeds"))
+    return _notes(spark, sf_dir).select("note", F.array_join(G.wikilinks(t), ",").alias("links"), F.array_join(G.tags(t), ",").alias("tags"), F.array_join(G.embeds(t), ",").alias("embeds"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'b', false), ('a', 'c', false), ('a', 'img.png', true), ('b', 'a', false), ('b', 'd', false), ('c', 'a', false), ('c', 'missing', true), ('c', 'c', false), ('d', 'x', true), ('e', 'a', false), ('e', 'b', false), ('e', 'c', false), ('e', 'd', false), ('f', 'a', false), ('g', 'a', false), ('h', 'a', false)) AS v(src, dst, broken)")
+@query(
+    rf"""WITH {_LINKS}, p AS (SELECT unnest(regexp_extract_all(content, '\[\[([^\]|]+)\|([^\]]+)\]\]', 1)) AS target, unnest(regexp_extract_all(content, '\[\[([^\]|]+)\|([^\]]+)\]\]', 2)) AS alias FROM c),
+        a AS (SELECT trim(alias) AS link, min(regexp_replace(trim(target), '#.*$', '')) AS target FROM p GROUP BY 1), x AS (SELECT DISTINCT note AS src, coalesce(target, link) AS dst FROM l LEFT JOIN a USING (link))
+        SELECT src, dst, dst NOT IN (SELECT note FROM c) AS broken FROM x"""
+)
 def note_graph(spark, sf_dir):
-    return G.note_edges(_notes(spark))
+    return G.note_edges(_notes(spark, sf_dir))
 
 
 @query(f"WITH {_EDGES}, {_DEGREES} SELECT * FROM d")
@@ -130,19 +135,28 @@ def walk_hub_first(spark, sf_dir):
     return G.hub_first_search(_sizes(spark, sf_dir), spark.createDataFrame([("a", "n140"), ("b", "n3")], "root string, note string"))
 
 
-INTENTS = [
-    ("¿Qué es ServerGroups?", False, False, "bridge"), ("¿Qué aplicaciones usan JBoss?", False, False, "atomic"), ("Explica la arquitectura completa", True, False, "hub"),
-    ("nothing to see", False, False, "bridge"), ("muestra el diagrama y las dependencias", False, True, "index"), ("detalles de la clase Foo", False, False, "bridge"),
-]
+_QUESTION = """CASE p_partkey % 7 WHEN 0 THEN '¿Qué es ' || p_name || '?' WHEN 1 THEN '¿Qué aplicaciones usan ' || p_name || '?' WHEN 2 THEN 'Explica la arquitectura completa de ' || p_brand WHEN 3 THEN 'nothing to see in ' || p_type
+ WHEN 4 THEN 'muestra el diagrama y las dependencias de ' || p_name WHEN 5 THEN 'detalles de la clase ' || upper(p_name) ELSE 'Todo sobre ' || p_name || ', con nombres de servicios y overview' END"""
+_STANDING = "p_size % 4 = 0 AS is_hub, p_size % 4 = 1 AS is_index, CASE p_size % 4 WHEN 0 THEN 'hub' WHEN 1 THEN 'index' WHEN 2 THEN 'atomic' ELSE 'bridge' END AS note_type"
 
 
-@query(
-    """SELECT * FROM (VALUES ('¿Qué es ServerGroups?', 'up', 0.4, 3, 8, 'general'), ('¿Qué aplicaciones usan JBoss?', 'down', 0.4, 2, 12, 'specific'), ('Explica la arquitectura completa', 'up', 1.0, 2, 8, 'general'),
-       ('nothing to see', 'bidirectional', 0.3, 2, 15, 'exhaustive'), ('muestra el diagrama y las dependencias', 'bidirectional', 1.0, 2, 15, 'exhaustive'), ('detalles de la clase Foo', 'down', 0.6, 3, 10, 'specific')) AS v(q, direction, confidence, max_depth, max_nodes, priority)"""
-)
+def _intent_sql() -> str:
+    """The rule of query_intent. Words of the patterns begin and end with plain letters, so that borders are the same in both engines."""
+    hit = lambda p: f"regexp_matches(lower(q), '(?i){p}')::int"
+    up, down, both = (" + ".join(map(hit, group)) for group in (G.CONTEXT, G.DETAIL, G.EXHAUSTIVE))
+    return f"""WITH x AS (SELECT p_partkey, {_QUESTION} AS q, {_STANDING} FROM part), h AS (SELECT *, {hit(G.SPECIFIC)} AS exact, {hit(G.GENERAL)} AS broad FROM x),
+        s AS (SELECT *, 2 * ({up}) + (broad > exact)::int + (NOT is_hub AND note_type = 'atomic')::int AS up, 2 * ({down}) + (exact > broad)::int + is_hub::int AS down, 3 * ({both}) + (NOT is_hub AND note_type <> 'atomic' AND is_index)::int AS wide FROM h),
+        d AS (SELECT *, greatest(up, down, wide) AS most, CASE WHEN greatest(up, down, wide) = 0 THEN 'bidirectional' WHEN up = greatest(up, down, wide) THEN 'up' WHEN down = greatest(up, down, wide) THEN 'down' ELSE 'bidirectional' END AS direction,
+          CASE WHEN greatest(up, down, wide) = 0 THEN 0.3 ELSE least(greatest(up, down, wide) / 5.0, 1.0) END::DOUBLE AS confidence FROM s)
+        SELECT p_partkey, direction, confidence, CASE WHEN direction = 'up' THEN CASE WHEN confidence > 0.7 THEN 2 ELSE 3 END WHEN direction = 'down' AND exact > broad THEN 3 ELSE 2 END AS max_depth,
+        CASE WHEN direction = 'up' THEN 8 WHEN direction = 'down' THEN CASE WHEN exact > broad THEN 10 ELSE 12 END ELSE 15 END AS max_nodes, CASE direction WHEN 'up' THEN 'general' WHEN 'down' THEN 'specific' ELSE 'exhaustive' END AS priority FROM d"""
+
+
+@query(_intent_sql())
 def intent(spark, sf_dir):
-    rows = spark.createDataFrame(INTENTS, "q string, is_hub boolean, is_index boolean, note_type string")
-    return rows.select("q", *[c.alias(n) for n, c in G.query_intent(F.col("q"), F.col("is_hub"), F.col("is_index"), F.col("note_type")).items()])
+    """Questions about parts, asked from notes of every standing."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_QUESTION} AS q", *_STANDING.replace(", p_size", "|p_size").replace(", CASE", "|CASE").split("|"))
+    return rows.select("p_partkey", *[c.alias(n) for n, c in G.query_intent(F.col("q"), F.col("is_hub"), F.col("is_index"), F.col("note_type")).items()])
 
 
 @query(f"WITH {_EDGES}, {_DEGREES} SELECT note, round(n_in + n_out * 0.3, 6) AS general, round(10.0 / (n_in + n_out + 1), 6) AS specific, round(10.0 / (abs(n_in + n_out - 5) + 1), 6) AS exhaustive FROM d")

@@ -106,20 +106,22 @@ def first_n_per_category(spark, sf_dir):
     return rows.groupBy("c_mktsegment").agg(F.array_join(names, ", ").alias("first_names"))
 
 
-_OLD = [("a", "gemma3", "reasoning", True), ("a", "r1", "chat", False), ("a", "old", "chat", False), ("b", "r1", "reasoning", False)]
-_NEW = [("a", "gemma3", "chat"), ("a", "r1", "reasoning"), ("b", "r1", "chat"), ("c", "new", "chat")]
+_OLD = "SELECT p_brand AS provider, p_partkey AS model_name, CASE p_size % 3 WHEN 0 THEN 'reasoning' WHEN 1 THEN 'chat' ELSE 'embedding' END AS model_type, p_size % 5 = 0 AS is_custom FROM part WHERE p_partkey % 4 <> 0"
+_NEW = "SELECT p_brand AS provider, p_partkey AS model_name, CASE p_size % 2 WHEN 0 THEN 'reasoning' ELSE 'chat' END AS model_type FROM part WHERE p_partkey % 7 <> 0"
 
 
 @query(
-    """WITH o AS (SELECT * FROM (VALUES ('a','gemma3','reasoning',true), ('a','r1','chat',false), ('a','old','chat',false), ('b','r1','reasoning',false)) AS v(provider, model_name, old, is_custom)),
-       n AS (SELECT * FROM (VALUES ('a','gemma3','chat'), ('a','r1','reasoning'), ('b','r1','chat'), ('c','new','chat')) AS v(provider, model_name, new))
+    f"""WITH o AS (SELECT provider, model_name, model_type AS old, is_custom FROM ({_OLD})), n AS (SELECT provider, model_name, model_type AS new FROM ({_NEW}))
        SELECT provider, model_name, CASE WHEN old IS NULL THEN new WHEN NOT is_custom AND old = 'chat' AND new = 'reasoning' THEN 'reasoning' ELSE old END AS model_type,
        coalesce(is_custom, false) AS is_custom, CASE WHEN old IS NULL THEN 'insert' WHEN NOT is_custom AND old = 'chat' AND new = 'reasoning' THEN 'update' ELSE 'keep' END AS action
        FROM o FULL JOIN n USING (provider, model_name)"""
 )
 def catalog_sync(spark, sf_dir):
-    old = spark.createDataFrame(_OLD, "provider string, model_name string, model_type string, is_custom boolean")
-    return S.sync_catalog(old, spark.createDataFrame(_NEW, "provider string, model_name string, model_type string"))
+    """A catalogue and a new listing of it, both written out of parts: each lacks some of the other's."""
+    part = table(spark, sf_dir, "part")
+    kind, new = "case p_size % 3 when 0 then 'reasoning' when 1 then 'chat' else 'embedding' end as model_type", "case p_size % 2 when 0 then 'reasoning' else 'chat' end as model_type"
+    old = part.filter("p_partkey % 4 <> 0").selectExpr("p_brand as provider", "p_partkey as model_name", kind, "p_size % 5 = 0 as is_custom")
+    return S.sync_catalog(old, part.filter("p_partkey % 7 <> 0").selectExpr("p_brand as provider", "p_partkey as model_name", new))
 
 
 @query("SELECT count(*) AS models, count_if(p_size > 40) AS large, count_if(p_retailprice > 1000) AS costly, count_if(p_type LIKE '%STEEL%') AS steel, count_if(p_brand = 'Brand#11') AS brand_11, count_if(p_size <= 5) AS small FROM part")
@@ -128,10 +130,16 @@ def catalog_summary(spark, sf_dir):
     return table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("models"), *[F.count_if(F.expr(t)).alias(n) for n, t in tests.items()])
 
 
-@query("SELECT 'customer (Copy 2)' AS name")
+_COPIES = "CASE WHEN p_size = 1 THEN p_brand || ' (Copy)' WHEN p_size % 2 = 0 THEN p_brand || ' (Copy ' || p_size || ')' ELSE p_brand END"
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT {_COPIES} AS name FROM part), w AS (SELECT n, 'Brand#11' || CASE n WHEN 1 THEN ' (Copy)' ELSE ' (Copy ' || n || ')' END AS name FROM range(1, 1000) AS r(n))
+        SELECT name FROM w WHERE name NOT IN (SELECT name FROM t) ORDER BY n LIMIT 1"""
+)
 def copy_name(spark, sf_dir):
-    taken = spark.createDataFrame([("customer",), ("customer (Copy)",), ("customer (Copy 3)",)], "name string")
-    return R.copy_name("customer", taken, "name")
+    """The next free name of a copy, where parts have taken some names."""
+    return R.copy_name("Brand#11", table(spark, sf_dir, "part").select(F.expr(_COPIES).alias("name")), "name")
 
 
 _TOOL = """SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -1,4 +1,4 @@
-"""Text functions over documents and over small inline inputs."""
+"""Text functions over documents and over texts written out of rows of other given tables."""
 
 from __future__ import annotations
 
@@ -91,19 +91,22 @@ def hash_ids(spark, sf_dir):
 
 
 _CODE = [
-    (1, "a.py", "import os\n# note\ndef f(x):\n    if x:\n        return 1\n\nclass A:\n    pass"),
-    (2, "b.sql", "SELECT * FROM t;\n-- all\nDELETE FROM t"),
-    (3, "c.js", "// x\nvar a = 1;\nfunction go() { for (;;) { if (a == 1) { while (1) {} } } }"),
+    (1, "a.py", "import os\n# note @\ndef f(x):\n    if x:\n        return 1\n\nclass A:\n    pass"),
+    (2, "b.sql", "SELECT * FROM t;\n-- all @\nDELETE FROM t"),
+    (3, "c.js", "// x @\nvar a = 1;\nfunction go() { for (;;) { if (a == 1) { while (1) {} } } }"),
     (4, "d.java", "public class D {\n  private int f(int a) { try { switch (a) { case 1: } } catch (E e) {} }\n}"),
-    (5, "e.txt", "select x from y\nbegin\nend;"),
+    (5, "e.txt", "select x from y\n\tbegin @\nend;"),
     (6, "f", "const a = (b: string) => b"),
-    (7, "g.md", "plain words"),
+    (7, "g.md", "plain words @"),
     (8, "h.plsql", "PROCEDURE p IS\nFUNCTION q\n/* c */"),
 ]
 
 
-def _code_rows(spark):
-    return spark.createDataFrame(_CODE, "id long, name string, code string")
+def _code_rows(spark, sf_dir):
+    """A source per part, of eight kinds, with the part's name in it."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey"), "p_name", (F.col("p_partkey") % 8 + 1).alias("id"))
+    rows = part.join(F.broadcast(spark.createDataFrame(_CODE, "id long, name string, code string")), "id")  # eight rows
+    return rows.select(F.col("p_partkey").alias("id"), "name", F.replace("code", F.lit("@"), F.col("p_name")).alias("code"))
 
 
 def _values(rows):
@@ -113,7 +116,8 @@ def _values(rows):
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
-_CODE_SQL = f"""WITH c AS (SELECT *, regexp_extract(lower(name), '\\.([^./]+)$', 1) AS ext, lower(code) AS low FROM (VALUES {_values(_CODE)}) AS v(id, name, code)),
+_CODE_SQL = f"""WITH t AS (SELECT p_partkey AS id, name, replace(code, '@', p_name) AS code FROM part JOIN (VALUES {_values(_CODE)}) AS v(k, name, code) ON p_partkey % 8 + 1 = k),
+ c AS (SELECT *, regexp_extract(lower(name), '\\.([^./]+)$', 1) AS ext, lower(code) AS low FROM t),
  l AS (SELECT *, CASE WHEN ext = 'py' THEN 'python' WHEN ext IN ('js', 'jsx') THEN 'javascript' WHEN ext IN ('ts', 'tsx') THEN 'typescript' WHEN ext = 'java' THEN 'java'
    WHEN ext = 'sql' THEN 'sql' WHEN ext = 'plsql' THEN 'plsql'
    WHEN regexp_matches(code, 'function|const |let |var |=>|import |export ') THEN CASE WHEN regexp_matches(code, 'interface |: string|: number') THEN 'typescript' ELSE 'javascript' END
@@ -124,11 +128,11 @@ _CODE_SQL = f"""WITH c AS (SELECT *, regexp_extract(lower(name), '\\.([^./]+)$',
 
 @query(_CODE_SQL + " SELECT id, language FROM l")
 def code_language(spark, sf_dir):
-    rows = _code_rows(spark)
+    rows = _code_rows(spark, sf_dir)
     return rows.select("id", T.code_language(F.col("code"), T.extension(F.col("name"))).alias("language"))
 
 
-@query(
+_METRICS_SQL = (
     _CODE_SQL
     + r""" SELECT id, language, len(lines) AS total_lines, len(list_filter(lines, lambda x: x <> '' AND NOT regexp_matches(x, '^(//|#)'))) AS code_lines,
       len(list_filter(lines, lambda x: regexp_matches(x, CASE WHEN language IN ('javascript', 'typescript', 'java') THEN '^(//|/\*|\*)' WHEN language = 'python' THEN '^#'
@@ -140,63 +144,81 @@ def code_language(spark, sf_dir):
       CASE WHEN n < 5 THEN 'low' WHEN n < 15 THEN 'medium' ELSE 'high' END AS complexity
       FROM (SELECT *, len(regexp_extract_all(code, '(?i)\b(if|for|while|switch|case|try|catch)\b')) + len(regexp_extract_all(code, '\b&&\b')) + len(regexp_extract_all(code, '\b\|\|\b')) AS n FROM l)"""
 )
+
+
+@query(_METRICS_SQL)
 def code_metrics(spark, sf_dir):
-    rows = _code_rows(spark).withColumn("language", T.code_language(F.col("code"), T.extension(F.col("name"))))
+    rows = _code_rows(spark, sf_dir).withColumn("language", T.code_language(F.col("code"), T.extension(F.col("name"))))
     m = T.code_metrics(F.col("code"), F.col("language"))
     return rows.select("id", "language", *[c.alias(n) for n, c in m.items()], T.complexity(F.col("code")).alias("complexity"))
 
 
-@query()
+@query(
+    f"""WITH m AS ({_METRICS_SQL}), t AS (SELECT p_partkey AS id, replace(code, '@', p_name) AS code FROM part JOIN (VALUES {_values(_CODE)}) AS v(k, name, code) ON p_partkey % 8 + 1 = k)
+        SELECT id, language, list_filter([CASE WHEN complexity = 'high' THEN 'Split complex functions into several small ones' END, CASE WHEN comment_lines / greatest(code_lines, 1) < 0.1 THEN 'Explain the code with more comments' END,
+          CASE WHEN functions = 0 AND code_lines > 20 THEN 'Group the code into functions' END, CASE WHEN language IN ('javascript', 'typescript') AND contains(code, 'var ') THEN 'Declare variables with const or let instead of var' END,
+          CASE WHEN language IN ('javascript', 'typescript') AND (contains(code, '== ') OR contains(code, '!= ')) THEN 'Compare with === and !==' END, CASE WHEN language = 'python' AND contains(code, chr(9)) THEN 'Indent with spaces, not tabs' END,
+          CASE WHEN language IN ('sql', 'plsql') AND contains(upper(code), 'SELECT *') THEN 'Name the columns instead of SELECT *' END], lambda x: x IS NOT NULL) AS suggestions FROM m JOIN t USING (id)"""
+)
 def code_suggestions(spark, sf_dir):
-    rows = _code_rows(spark).withColumn("language", T.code_language(F.col("code"), T.extension(F.col("name"))))
+    rows = _code_rows(spark, sf_dir).withColumn("language", T.code_language(F.col("code"), T.extension(F.col("name"))))
     found = T.suggestions(F.col("code"), F.col("language"), T.code_metrics(F.col("code"), F.col("language")), T.complexity(F.col("code")))
     return rows.select("id", "language", found.alias("suggestions"))
 
 
-_PATHS = ["a.md", "b.docx", "c.PY", "d.sql", "e", "f.tar.gz"]
+_KIND_PATH = "p_name || CASE p_partkey % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.docx' WHEN 2 THEN '.PY' WHEN 3 THEN '.sql' WHEN 4 THEN '' WHEN 5 THEN '.tar.gz' ELSE '.plsql' END"
 
 
 @query(
-    f"""SELECT path, CASE WHEN e IN ('md', 'markdown') THEN 'markdown' WHEN e IN ('docx', 'doc') THEN 'word' WHEN e IN ('py', 'js', 'ts', 'java') THEN 'code'
-        WHEN e IN ('sql', 'plsql') THEN 'sql' ELSE 'default' END AS kind FROM (SELECT path, regexp_extract(lower(path), '\\.([^./]+)$', 1) AS e FROM (VALUES {_values([(p,) for p in _PATHS])}) AS v(path))"""
+    f"""SELECT p_partkey, CASE WHEN e IN ('md', 'markdown') THEN 'markdown' WHEN e IN ('docx', 'doc') THEN 'word' WHEN e IN ('py', 'js', 'ts', 'java') THEN 'code'
+        WHEN e IN ('sql', 'plsql') THEN 'sql' ELSE 'default' END AS kind FROM (SELECT p_partkey, regexp_extract(lower({_KIND_PATH}), '\\.([^./]+)$', 1) AS e FROM part)"""
 )
 def document_type(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", T.document_type(F.col("path")).alias("kind"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.document_type(F.expr(_KIND_PATH)).alias("kind"))
+
+
+def _allowed_sql() -> str:
+    kinds = {0: "markdown", 1: "code", 2: "sql", 3: "default"}
+    return " ".join(f"WHEN {n} THEN {list(T.CORE_KEYS + T.TYPE_KEYS[kind])}" for n, kind in kinds.items())
 
 
 @query(
-    """SELECT path, string_agg(k || '=' || substr(v, 1, 500), ',' ORDER BY k) AS kept FROM (VALUES ('a.md', 'section', 'x'), ('a.md', 'breadcrumb', 'b'), ('b.py', 'language', 'py'), ('b.py', 'file', 'f'), ('c.bin', 'created_at', 't')) AS t(path, k, v) GROUP BY path"""
+    f"""WITH e AS (SELECT doc_id, unnest(['section', 'color', 'breadcrumb', 'language', 'doc_author', 'file', 'created_at', 'schema', 'heading_level']) AS k, unnest([coalesce(text, ''), 'red', source, coalesce(lang, ''), 'z', 'f', 't', 's', '2']) AS v FROM documents),
+        a AS (SELECT doc_id, k || '=' || substr(v, 1, 500) AS x FROM e WHERE list_contains(CASE doc_id % 4 {_allowed_sql()} END, k)) SELECT doc_id, md5(string_agg(x, ',' ORDER BY x)) AS kept FROM a GROUP BY doc_id"""
 )
 def metadata_policy(spark, sf_dir):
-    rows = spark.createDataFrame(
-        [("a.md", {"section": "x", "color": "red", "breadcrumb": "b"}), ("b.py", {"language": "py", "doc_author": "z", "file": "f"}), ("c.bin", {"created_at": "t", "schema": "s"})], "path string, meta map<string,string>"
-    )
-    kept = T.truncate_metadata(T.allowed_metadata(F.col("meta"), T.allowed_keys(T.document_type(F.col("path")))))
-    return rows.select("path", F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("kept"))
+    """Metadata of documents taken for notes, code, SQL and others: keys that their type has no use for go, long values are cut."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("doc_id", F.element_at(F.array(*map(F.lit, (".md", ".py", ".sql", ".bin"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
+    values = {"section": text, "color": F.lit("red"), "breadcrumb": F.col("source"), "language": lang, "doc_author": F.lit("z"), "file": F.lit("f"), "created_at": F.lit("t"), "schema": F.lit("s"), "heading_level": F.lit("2")}
+    meta = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    kept = T.truncate_metadata(T.allowed_metadata(meta, T.allowed_keys(T.document_type(path))))
+    return docs.select("doc_id", F.md5(F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")).alias("kept"))
 
 
-_THINK = [(1, "<think>first</think>answer"), (2, "plain"), (3, "a<think>x\ny</think>b<THINK> z </THINK>c"), (4, "<think>open")]
+_ANSWER = "CASE turn % 4 WHEN 0 THEN '<think> ' || role || ' </think>' || text WHEN 1 THEN text WHEN 2 THEN 'a<think>x' || chr(10) || text || '</think>b<THINK> z </THINK>c ' || role ELSE '<think>open ' || text END"
 
 
 @query(
-    f"""SELECT id, array_to_string(list_transform(regexp_extract_all(t, '(?is)<think>(.*?)</think>', 1), lambda x: trim(x)), chr(10)) AS thinking,
-        trim(regexp_replace(t, '(?is)<think>.*?</think>', '', 'g')) AS content FROM (VALUES {_values(_THINK)}) AS v(id, t)"""
+    f"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(t, '(?is)<think>(.*?)</think>', 1), lambda x: trim(x)), chr(10)) AS thinking,
+        trim(regexp_replace(t, '(?is)<think>.*?</think>', '', 'g')) AS content FROM (SELECT conv_id, turn, {_ANSWER} AS t FROM conversations)"""
 )
 def think_tags(spark, sf_dir):
-    rows = spark.createDataFrame(_THINK, "id long, t string")
-    return rows.select("id", *[c.alias(n) for n, c in T.think_parts(F.col("t")).items()])
+    """Messages as answers with one, no, two or an open think tag."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ANSWER.replace("chr(10)", "char(10)")).alias("t"))
+    return rows.select("conv_id", "turn", *[c.alias(n) for n, c in T.think_parts(F.col("t")).items()])
 
 
-_TEMPLATES = [(1, "https://x/{{city}}?q={{ city }}&k={{key}}"), (2, "none"), (3, "{{a}}{{b}}{{a}}")]
+_TAGGED = "CASE p_partkey % 3 WHEN 0 THEN 'https://x/{{' || p_name || '}}?q={{ ' || p_name || ' }}&k={{key}}' WHEN 1 THEN 'none ' || p_name ELSE '{{a}}{{' || p_brand || '}}{{a}}' END"
 
 
 @query(
-    f"""WITH x AS (SELECT id, generate_subscripts(g, 1) AS i, trim(unnest(g)) AS tag FROM (SELECT id, regexp_extract_all(t, '\\{{\\{{([^}}]+)\\}}\\}}', 1) AS g FROM (VALUES {_values(_TEMPLATES)}) AS v(id, t)))
-        SELECT id, string_agg(tag, ',' ORDER BY i) AS tags FROM (SELECT id, tag, min(i) AS i FROM x GROUP BY ALL) GROUP BY id UNION ALL SELECT 2, ''"""
+    f"""WITH x AS (SELECT p_partkey, generate_subscripts(g, 1) AS i, trim(unnest(g)) AS tag FROM (SELECT p_partkey, regexp_extract_all({_TAGGED}, '\\{{\\{{([^}}]+)\\}}\\}}', 1) AS g FROM part))
+        SELECT p.p_partkey, coalesce((SELECT string_agg(tag, ',' ORDER BY i) FROM (SELECT p_partkey, tag, min(i) AS i FROM x GROUP BY ALL) t WHERE t.p_partkey = p.p_partkey), '') AS tags FROM part p"""
 )
 def template_tags(spark, sf_dir):
-    rows = spark.createDataFrame(_TEMPLATES, "id long, t string")
-    return rows.select("id", F.array_join(T.template_tags(F.col("t")), ",").alias("tags"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.template_tags(F.expr(_TAGGED)), ",").alias("tags"))
 
 
 @query("SELECT conv_id, turn, replace(replace('{{role}} said {{text}} at {{level}}', '{{level}}', '0.5'), '{{role}}', 'X') AS filled FROM conversations")
@@ -210,40 +232,38 @@ def token_cost(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(cost, 9).alias("cost"))
 
 
-_DATES = [(1, "D:20240131235959Z"), (2, "D:2024"), (3, "20231201000102")]
-
-
-@query(
-    f"""SELECT id, CASE WHEN length(d) >= 14 THEN substr(d, 1, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) || 'T' || substr(d, 9, 2) || ':' || substr(d, 11, 2) || ':' || substr(d, 13, 2) END AS iso
-        FROM (SELECT id, regexp_replace(t, '^D:', '') AS d FROM (VALUES {_values(_DATES)}) AS v(id, t))"""
-)
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS iso FROM orders")
 def pdf_dates(spark, sf_dir):
-    return spark.createDataFrame(_DATES, "id long, t string").select("id", T.pdf_date(F.col("t")).alias("iso"))
+    """Dates of orders as PDF files write them: whole, without the prefix, and cut after the month."""
+    stamp = F.date_format("o_orderdate", "yyyyMMddHHmmss")
+    k = F.col("o_orderkey") % 3
+    date = F.when(k == 0, F.concat(F.lit("D:"), stamp, F.lit("Z"))).when(k == 1, stamp).otherwise(F.concat(F.lit("D:"), F.substring(stamp, 1, 6)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(date).alias("iso"))
 
 
-@query()
+@query("SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand || ' link [Code Block] ' || p_size || chr(10) || 'end ' || p_name AS plain FROM part")
 def markdown_strip(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "**bold** *italic* `code` [link](url) ```block```"), (2, "__a__ _b_\r\nc")], "id long, t string")
-    return rows.select("id", T.strip_markdown(F.col("t")).alias("plain"))
+    text = F.concat(F.lit("**"), "p_name", F.lit("** *"), "p_type", F.lit("* `"), "p_brand", F.lit("` ```x\ny``` [link](u) __"), "p_size", F.lit("__\r\n_end_ "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", T.strip_markdown(text).alias("plain"))
 
 
-_URLS = [(1, "http://example.com/a"), (2, "https://localhost:80/x"), (3, "ftp://e.org"), (4, "HTTPS://127.0.0.1"), (5, "https://e.org:8080/?q=1")]
+_URL = "CASE c_custkey % 5 WHEN 0 THEN 'http://' || lower(c_mktsegment) || '.com/' || c_name WHEN 1 THEN 'https://localhost:80/' || c_custkey WHEN 2 THEN 'ftp://e.org/' || c_custkey WHEN 3 THEN 'HTTPS://127.0.0.1' ELSE 'https://e' || c_custkey || '.org:8080/?q=1' END"
 
 
 @query(
-    f"""SELECT id, regexp_matches(lower(u), '^https?://') AND h <> '' AND h NOT IN ('localhost', '127.0.0.1') AS ok
-        FROM (SELECT id, u, lower(regexp_extract(u, '^[a-zA-Z]+://([^/:?#]*)', 1)) AS h FROM (VALUES {_values(_URLS)}) AS v(id, u))"""
+    f"""SELECT c_custkey, regexp_matches(lower(u), '^https?://') AND h <> '' AND h NOT IN ('localhost', '127.0.0.1') AS ok
+        FROM (SELECT c_custkey, u, lower(regexp_extract(u, '^[a-zA-Z]+://([^/:?#]*)', 1)) AS h FROM (SELECT c_custkey, {_URL} AS u FROM customer))"""
 )
 def url_check(spark, sf_dir):
-    return spark.createDataFrame(_URLS, "id long, u string").select("id", T.url_allowed(F.col("u")).alias("ok"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.url_allowed(F.expr(_URL)).alias("ok"))
 
 
-_MODELS = [(1, None, "m1"), (2, "m1", "m1"), (3, "m1", "m2"), (4, "m1", None)]
+_BEFORE, _AFTER = "CASE WHEN p_partkey % 4 > 0 THEN p_brand END", "CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'Brand#' || p_size END"
 
 
-@query(f"SELECT id, CASE WHEN a <> b THEN 'embedding model is ' || a || ' and cannot become ' || b END AS refused FROM (VALUES {_values(_MODELS)}) AS v(id, a, b)")
+@query(f"SELECT p_partkey, CASE WHEN a <> b THEN 'embedding model is ' || a || ' and cannot become ' || b END AS refused FROM (SELECT p_partkey, {_BEFORE} AS a, {_AFTER} AS b FROM part)")
 def embedding_model_change(spark, sf_dir):
-    return spark.createDataFrame(_MODELS, "id long, a string, b string").select("id", T.model_change(F.col("a"), F.col("b")).alias("refused"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.model_change(F.expr(_BEFORE), F.expr(_AFTER)).alias("refused"))
 
 
 @query("SELECT c_custkey, CASE WHEN length(c_name) < 100 AND 800 > 500 THEN 500 ELSE 800 END AS max_tokens, substr(c_name, 1, 50) || '...' AS title FROM customer")

@@ -243,7 +243,7 @@ def pdf_dates(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand || ' link [Code Block] ' || p_size || chr(10) || 'end ' || p_name AS plain FROM part")
 def markdown_strip(spark, sf_dir):
-    text = F.concat(F.lit("**"), "p_name", F.lit("** *"), "p_type", F.lit("* `"), "p_brand", F.lit("` ```x\ny``` [link](u) __"), "p_size", F.lit("__\r\n_end_ "), "p_name")
+    text = F.concat(F.lit("**"), "p_name", F.lit("** *"), "p_type", F.lit("* `"), "p_brand", F.lit("` [link](u) ```x\ny``` __"), "p_size", F.lit("__\r\n_end_ "), "p_name")
     return table(spark, sf_dir, "part").select("p_partkey", T.strip_markdown(text).alias("plain"))
 
 

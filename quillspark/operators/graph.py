@@ -49,7 +49,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     """note, n_in, n_out and note_type: hub over 5 in, index over 10 out, atomic under 3 links, else bridge."""
     out = edges.groupBy(F.col("src").alias("note")).agg(F.count(F.lit(1)).alias("n_out"))
     into = edges.groupBy(F.col("dst").alias("note")).agg(F.count(F.lit(1)).alias("n_in"))
-    both = out.join(into, "note", "full").select("note", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
+    return _classed(out.join(into, "note", "full"))
+
+
+def _classed(both: DataFrame) -> DataFrame:
+    both = both.select("note", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
     kind = F.when(F.col("n_in") > 5, "hub").when(F.col("n_out") > 10, "index").when(F.col("n_in") + F.col("n_out") < 3, "atomic").otherwise("bridge")
     return both.withColumn("note_type", kind)
 
@@ -63,30 +67,54 @@ def priority_score(priority: str, n_in: Column, n_out: Column) -> Column:
     return 10.0 / (F.abs(n_in + n_out - 5) + 1)
 
 
+def _small(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows (materialised) as the broadcast side of a join if they are few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def _neighbours(edges: DataFrame, layer: DataFrame, seen: DataFrame, direction: str) -> DataFrame:
+    """root, note, parent: what the edges of a layer's notes lead to and the root has not seen; the parent visited first claims it.
+
+    Only edges of the layer are looked at: a layer of few notes is broadcast to a scan of the edges.
+    """
+    front = layer.select("root", F.col("note").alias("a"), F.col("visit").alias("parent"))
+    ends = {"down": [("src", "dst")], "up": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
+    front, found = _small(front), None
+    for near, far in ends:
+        part = edges.select(F.col(near).alias("a"), F.col(far).alias("note")).filter("a <> note").join(front, "a").select("root", "note", "parent")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("root", "note").agg(F.min("parent").alias("parent"))
+    return found.join(_small(seen.select("root", "note")), ["root", "note"], "left_anti")
+
+
+def _standing(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """degrees of the notes of found; of few notes their own edges are counted, and no others."""
+    names = materialised(found.select("note").distinct())
+    few = _small(names)
+    own = [edges.join(few.withColumnRenamed("note", end), end, "left_semi") for end in ("src", "dst")]
+    out = own[0].groupBy(F.col("src").alias("note")).agg(F.count(F.lit(1)).alias("n_out"))
+    into = own[1].groupBy(F.col("dst").alias("note")).agg(F.count(F.lit(1)).alias("n_in"))
+    return _classed(out.join(into, "note", "full"))
+
+
 def layered_search(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_nodes: int = 15, direction: str = "both", order: Sequence[Column] | None = None) -> DataFrame:
-    """root, note, depth, visit: breadth-first search from each root, one join per layer.
+    """root, note, depth, visit: breadth-first search from each root, a few joins per layer.
 
     roots: root, note. Inside a layer the parents go in order of their visit and each one's neighbours in `order`
     (columns of degrees and note; by default hubs, then indexes, then names); the first parent claims a note. Each root
-    stops at max_nodes notes, itself included. A layer is a few joins, computed once; nothing is collected.
+    stops at max_nodes notes, itself included. A layer is computed once, from the edges of the layer before; the degrees
+    of its notes are counted, and no others; nothing is collected.
     """
-    info = degrees(edges)
-    down = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    up = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    near = {"both": down.unionByName(up), "down": down, "up": up}[direction].filter("a <> b").distinct()
-    near = materialised(near.join(info.withColumnRenamed("note", "b"), "b", "left").withColumnRenamed("b", "note"))
+    edges = materialised(edges.select("src", "dst"))
     order = order or [F.desc(F.col("note_type") == "hub"), F.desc(F.col("note_type") == "index"), F.col("note")]
-    seen = roots.select("root", "note", F.lit(0).alias("depth"), F.lit(1).alias("visit"))
-    layer = seen
+    seen = layer = materialised(roots.select("root", "note", F.lit(0).alias("depth"), F.lit(1).alias("visit")))
     for depth in range(1, max_depth + 1):
-        found = layer.select("root", F.col("note").alias("a"), F.col("visit").alias("parent_visit")).join(near, "a")
-        found = found.join(seen.select("root", "note"), ["root", "note"], "left_anti")
-        # the parent visited first claims the note; its neighbours then follow by priority
-        found = found.withColumn("_rn", F.row_number().over(W.partitionBy("root", "note").orderBy("parent_visit"))).filter("_rn = 1")
+        found = materialised(_neighbours(edges, layer, seen, direction))
+        ranked = found.join(_standing(edges, found), "note")
         count = seen.groupBy("root").agg(F.max("visit").alias("_base"))
-        place = F.row_number().over(W.partitionBy("root").orderBy("parent_visit", *order))
-        layer = found.withColumn("_place", place).filter(F.col("_place") <= max_nodes).join(count, "root").withColumn("visit", F.col("_base") + F.col("_place")).filter(F.col("visit") <= max_nodes)
-        layer = materialised(layer.select("root", "note", F.lit(depth).alias("depth"), F.col("visit").cast("int").alias("visit")))
+        place = F.row_number().over(W.partitionBy("root").orderBy("parent", *order))
+        ranked = ranked.withColumn("_place", place).filter(F.col("_place") <= max_nodes).join(count, "root").withColumn("visit", F.col("_base") + F.col("_place")).filter(F.col("visit") <= max_nodes)
+        layer = materialised(ranked.select("root", "note", F.lit(depth).alias("depth"), F.col("visit").cast("int").alias("visit")))
         seen = seen.unionByName(layer)
     return seen
 
@@ -97,10 +125,11 @@ def upward_search(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_no
     A parent that meets one of the three biggest hubs, not yet visited, takes this one alone. Parents go in order of
     their visit and the first claims a note; a root has at most max_nodes of them, so its hubs are dealt out in one array.
     """
-    info = degrees(edges)
+    edges = materialised(edges.select("src", "dst"))
+    info = materialised(degrees(edges))
     big = info.filter("note_type = 'hub'").orderBy(F.desc("n_in"), "note").limit(3).select("note", F.lit(True).alias("big"))
     near = edges.filter("src <> dst").select(F.col("dst").alias("a"), F.col("src").alias("note")).distinct()
-    near = materialised(near.join(info.select("note", "n_in"), "note").join(F.broadcast(big), "note", "left"))
+    near = materialised(near.join(info.select("note", "n_in"), "note").join(F.broadcast(big), "note", "left"))  # three rows
     none = F.array().cast("array<struct<parent:int,note:string>>")
 
     def deal(taken: Column, one: Column) -> Column:
@@ -138,12 +167,27 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str, max_depth: int, max
 
 
 def nearest_hubs(edges: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFrame:
-    """root, hub: the nearest hub upwards (itself included), else the biggest of the graph; no row without any hub."""
-    hubs = degrees(edges).filter("note_type = 'hub'").select("note", "n_in")
-    above = layered_search(edges, roots, max_depth, 2_000_000_000, "up", [F.col("note")]).join(hubs.select("note"), "note", "left_semi")
-    nearest = above.groupBy("root").agg(F.min_by("note", F.struct("depth", "visit")).alias("_near"))
-    biggest = hubs.agg(F.max_by("note", F.struct("n_in", (-F.xxhash64("note")).alias("h"))).alias("_big"))  # one row
-    return roots.select("root").join(nearest, "root", "left").crossJoin(F.broadcast(biggest)).select("root", F.coalesce("_near", "_big").alias("hub")).filter("hub is not null")
+    """root, hub: the nearest hub upwards (itself included), else the biggest of the graph; no row without any hub.
+
+    Each root stops at its first layer with a hub; of several hubs there the one met first counts, and of the biggest
+    ones of the graph the first by name.
+    """
+    edges = materialised(edges.select("src", "dst"))
+    hubs = materialised(edges.groupBy(F.col("dst").alias("note")).agg(F.count(F.lit(1)).alias("n_in")).filter("n_in > 5"))
+    seen = layer = materialised(roots.select("root", "note", F.lit(1).cast("long").alias("visit")))
+    nearest = None
+    for depth in range(max_depth + 1):
+        if depth:
+            found = _neighbours(edges, layer, seen, "up")
+            layer = materialised(found.select("root", "note", F.row_number().over(W.partitionBy("root").orderBy("parent", "note")).cast("long").alias("visit")))
+            seen = seen.unionByName(layer)
+        met = materialised(layer.join(hubs.select("note"), "note", "left_semi").groupBy("root").agg(F.min_by("note", "visit").alias("_near")))
+        nearest = met if nearest is None else nearest.unionByName(met)
+        layer = materialised(layer.join(met.select("root"), "root", "left_anti"))
+        if layer.isEmpty():
+            break
+    biggest = hubs.orderBy(F.desc("n_in"), "note").limit(1).select(F.col("note").alias("_big"))  # one row
+    return roots.select("root").join(nearest, "root", "left").join(F.broadcast(biggest), F.lit(True), "left").select("root", F.coalesce("_near", "_big").alias("hub")).filter("hub is not null")
 
 
 def hub_first_search(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_nodes: int = 15) -> DataFrame:

@@ -41,13 +41,19 @@ def decoded(content: Column) -> Column:
 
 
 def text_sections(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """Paragraphs between blank lines. A first line under 100 characters titles a paragraph of several lines."""
-    parts = docs.select(key, text, F.posexplode(F.split(text, "\n\n")).alias("place", "raw")).withColumn("body", strip(F.col("raw"))).filter("body <> ''")
+    """Paragraphs between blank lines. A first line under 100 characters titles a paragraph of several lines.
+
+    A text without paragraphs is one section as it stands, titled by its beginning. Each text is split once.
+    """
+    bodies = F.filter(F.transform(F.split(text, "\n\n"), lambda x, i: F.struct(i.alias("place"), strip(x).alias("body"))), lambda p: p["body"] != "")
+    none = F.array(F.struct(F.lit(0).alias("place"), F.lit(None).cast("string").alias("body")))
+    rows = docs.select(key, text, bodies.alias("_parts"))
+    rows = rows.select(key, text, F.explode(F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(none)).alias("p")).select(key, text, "p.place", "p.body")
     first, rest = F.split("body", "\n")[0], F.regexp_replace("body", r"^[^\n]*\n?", "")
     titled = F.contains("body", F.lit("\n")) & (F.length(first) < 100)
-    found = parts.select(key, "place", F.when(titled, first).otherwise(F.concat(F.lit("Paragraph "), F.col("place") + 1)).alias("title"), F.when(titled, strip(rest)).otherwise(F.col("body")).alias("content"), F.lit(1).alias("level"))
-    empty = docs.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("place"), F.concat(F.substring(text, 1, 50), F.lit("...")).alias("title"), F.col(text).alias("content"), F.lit(1).alias("level"))
-    return found.unionByName(empty)
+    empty = F.col("body").isNull()
+    title = F.when(empty, F.concat(F.substring(text, 1, 50), F.lit("..."))).when(titled, first).otherwise(F.concat(F.lit("Paragraph "), F.col("place") + 1))
+    return rows.select(key, "place", title.alias("title"), F.when(empty, F.col(text)).when(titled, strip(rest)).otherwise(F.col("body")).alias("content"), F.lit(1).alias("level"))
 
 
 def _by_heading(lines: DataFrame, key: str, heading: Column, title: Column, level: Column, intro: str) -> DataFrame:
@@ -66,15 +72,25 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 def markdown_sections(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """Sections from one heading to the next; what stands before the first is the Introduction, level 0.
 
-    Front matter is left out, sections without content are too; a text without headings is `Document Content`.
+    Front matter is left out, sections without content are too; a text without headings is `Document Content`, and one
+    with headings only, or without anything, is one section `General` as it stands. Each text is split once.
     """
-    bare = docs.withColumn(text, F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", ""))
     mark = r"^\s*(#{1,6})\s+(.+)$"
-    found = _by_heading(lines_of(bare, key, text), key, F.col("line").rlike(mark), F.trim(F.regexp_extract("line", mark, 2)), F.length(F.regexp_extract("line", mark, 1)), "Introduction")
-    headed = found.groupBy(key).agg(F.max("place").alias("_most"))
-    out = found.join(headed, key).withColumn("title", F.when(F.col("_most") == 0, "Document Content").otherwise(F.col("title"))).drop("_most")
-    none = docs.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("place"), F.lit("General").alias("title"), F.col(text).alias("content"), F.lit(1).alias("level"))
-    return out.unionByName(none)
+    bare = F.split(F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", ""), "\n")
+    rows = docs.select(key, text, bare.alias("_lines"))
+    full = F.coalesce(F.exists("_lines", lambda x: ~x.rlike(mark) & (strip(x) != "")), F.lit(False))
+    rows = rows.select(key, full.alias("_full"), F.posexplode(F.when(full, F.col("_lines")).otherwise(F.array(F.col(text)))).alias("n", "line"))
+    w = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    marked = rows.withColumn("_h", F.col("_full") & F.col("line").rlike(mark)).withColumn("place", F.sum(F.col("_h").cast("int")).over(w))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("n", "line")))), lambda x: x["line"]), "\n")
+    head = F.max(F.when(F.col("_h"), F.col("line")))
+    own = F.when(F.first("_full"), strip(body)).otherwise(F.first("line"))
+    out = marked.groupBy(key, "place").agg(head.alias("_head"), F.first("_full").alias("_full"), own.alias("content")).filter("not _full or content <> ''")
+    # the rows of a key lie together already
+    out = out.withColumn("_most", F.max("place").over(W.partitionBy(key)))
+    title = F.when(~F.col("_full"), "General").when(F.col("_most") == 0, "Document Content").when(F.col("_head").isNull(), "Introduction").otherwise(F.trim(F.regexp_extract("_head", mark, 2)))
+    level = F.when(~F.col("_full"), 1).otherwise(F.coalesce(F.length(F.regexp_extract("_head", mark, 1)), F.lit(0)))
+    return out.select(key, "place", title.alias("title"), "content", level.alias("level"))
 
 
 def front_matter(text: Column) -> Column:
@@ -132,18 +148,19 @@ def code_sections(docs: DataFrame, key: str = "path", text: str = "content") ->
     # What opens a class and a function.
     classes = {"py": r"(?m)^class\s+(\w+)", "java": r"\bclass\s+(\w+)", "cs": r"\bclass\s+(\w+)"}
     functions = {"py": r"(?m)^def\s+(\w+)", "java": r"\b(?:public|private|protected)?\s+\w+\s+(\w+)\s*\(", "cs": r"\b(?:public|private|protected)?\s+\w+\s+(\w+)\s*\("}
-    rows = docs.withColumn("_e", extension(F.col(key)))
-    parts = []
-    for kind, level, patterns in (("Class", 1, classes), ("Function", 2, functions)):
-        for ext, p in patterns.items():
-            names, bodies = F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.regexp_extract_all(text, F.lit(p), F.lit(0))
-            got = rows.filter(F.col("_e") == ext).select(key, F.posexplode(F.arrays_zip(names.alias("t"), bodies.alias("c"))).alias("place", "x"))
-            parts.append(got.select(key, (F.col("place") + 10000 * (level - 1)).alias("place"), F.concat(F.lit(f"{kind}: "), F.col("x.t")).alias("title"), F.col("x.c").alias("content"), F.lit(level).alias("level")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    whole = docs.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("place"), F.lit("Full File").alias("title"), F.col(text).alias("content"), F.lit(0).alias("level"))
-    return found.unionByName(whole)
+    ext, kind = extension(F.col(key)), "array<struct<place:int,title:string,content:string,level:int>>"
+
+    def found(label: str, level: int, patterns: dict[str, str]) -> Column:
+        out = F.array().cast(kind)
+        for e, p in patterns.items():
+            pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("c"))
+            own = F.transform(pairs, lambda x, i: F.struct((i + 10000 * (level - 1)).alias("place"), F.concat(F.lit(f"{label}: "), x["t"]).alias("title"), x["c"].alias("content"), F.lit(level).alias("level")))
+            out = F.when(ext == e, own.cast(kind)).otherwise(out)
+        return out
+
+    whole = F.array(F.struct(F.lit(0).alias("place"), F.lit("Full File").alias("title"), F.col(text).alias("content"), F.lit(0).alias("level"))).cast(kind)
+    rows = docs.select(key, text, F.concat(found("Class", 1, classes), found("Function", 2, functions)).alias("_s"))
+    return rows.select(key, F.explode(F.when(F.size("_s") > 0, F.col("_s")).otherwise(whole)).alias("s")).select(key, "s.*")
 
 
 def html_title(html: Column) -> Column:

@@ -44,6 +44,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bitmap_bits(n: int, least: int = 1 << 15, most: int = 1 << 27) -> int:
+    """Bits of a bitmap for n keys: some eight each, so that it lets one in eight others pass, and no more than can be broadcast."""
+    return max(least, min(most, 1 << (8 * max(n, 1) - 1).bit_length()))
+
+
 def hash_filter(keys: DataFrame, key: Column, bits: int = 1 << 22) -> DataFrame:
     """A bitmap of fixed size over hashed keys: at most bits / 32768 rows of 1024 words of 32 bits, for any number of keys.
 

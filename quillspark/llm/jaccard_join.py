@@ -18,11 +18,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks_of, cut, hash_filter, maybe_in, mixed, packed, short_batches, span_hashes, word_bounds
+from quillspark.llm.common import bitmap_bits, blocks_of, cut, hash_filter, maybe_in, mixed, packed, short_batches, span_hashes, word_bounds
 from quillspark.llm.components import connected_components
 
 _SKETCH = 1 << 22  # buckets of a task's sketch of frequent shingles
-_SHARED = 1 << 25  # bits of the map of shared shingles
 _FAR = -1  # the region of documents that are near no pivot
 
 
@@ -263,7 +262,8 @@ def _rest_of(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Texts travel, once for each end of a pair; sets are made where both meet."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    near = maybe_in(texts, F.col("id"), cut(hash_filter(wanted, F.col("id"))), "_near").filter("_near").select("id", "text")
+    bits = bitmap_bits(2 * pairs.count())  # pairs are cut
+    near = maybe_in(texts, F.col("id"), cut(hash_filter(wanted, F.col("id"), bits)), "_near", bits).filter("_near").select("id", "text")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: tuple[int, np.ndarray] = (0, np.zeros(0, np.uint64))
@@ -340,6 +340,8 @@ def jaccard_components(
             yield pd.DataFrame(out, columns=["id", "n", "map", "links", "regions", "tokens"])
 
     heads = cut(texts.mapInPandas(heads_of, "id long, n long, map binary, links array<int>, regions array<int>, tokens array<long>"))
+    shared_values.destroy()  # heads lie in the checkpoint folder: nothing needs the tree again
+    tree.flat = tree.owner = tree.sketch = None
     # pivots that some document links with are connected: at most pivots ** 2 pairs, and so a label for every pivot
     ties = _Forest(len(tree.ids))
     for a, b in heads.filter("size(links) > 1").select(F.get("links", F.lit(0)).alias("a"), F.explode("links").alias("b")).filter("a <> b").distinct().collect():
@@ -354,7 +356,8 @@ def jaccard_components(
     posted = posted.select("id", "core", F.when(F.col("region") == _FAR, F.col("token")).otherwise(F.xxhash64("region", "token")).alias("token"))
     # shingles of two documents of a region or more; a bitmap keeps most of the others from a second shuffle
     shared = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"))
-    open_ = maybe_in(posted, F.col("token"), hash_filter(shared, F.col("token"), _SHARED), "_open", _SHARED).filter("_open").select("token", "id", "core")
+    bits = bitmap_bits(shared.count())
+    open_ = maybe_in(posted, F.col("token"), hash_filter(shared, F.col("token"), bits), "_open", bits).filter("_open").select("token", "id", "core")
     tokens = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"), F.max("id").alias("last"), F.min("core").alias("low"), F.max("core").alias("high"))
     open_tokens = tokens.filter("m > 1 and not (low >= 0 and low = high)")
     groups = cut(open_tokens.groupBy("m", "x", "first", "last").agg(F.min("token").alias("group")))

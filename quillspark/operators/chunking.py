@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,11 @@ def boundary_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_co
     return rows.select(id_col, F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "content"))
 
 
+def part_titles(title: Column, index: Column, total: Column) -> Column:
+    """A section's title for its chunk: with the part's number if the section was split."""
+    return F.when(total > 1, F.concat(title, F.lit(" (parte "), (index + 1).cast("string"), F.lit(")"))).otherwise(title)
+
+
 def embedding_text(title, content, context, related, note_type):
     """Context, links of the note, its class, title and content, each once, a blank line between them."""
     links = F.when(F.size(related) > 0, F.concat(F.lit("[Relacionado con: "), F.array_join(F.slice(related, 1, 5), ", "), F.lit("]")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +58,14 @@ def unindexed(messages: DataFrame, indexed: DataFrame, keys: list[str]) -> DataF
     return messages.join(indexed.select(keys).distinct(), keys, "left_anti")
 
 
+def index_messages(messages: DataFrame, indexed: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The index after the messages that it lacks: what build makes of those is added, all other rows stay as they are.
+
+    build gives rows with the columns of indexed. Run again on the same messages it adds nothing.
+    """
+    return indexed.unionByName(build(unindexed(messages, indexed, keys)).select(indexed.columns))
+
+
 def latest_streams(streams: DataFrame, key: str, stamp: str, now: Column, seconds: int = 300) -> DataFrame:
     """One live stream per key, the newest; those older than `seconds` have expired."""
     newest = streams.groupBy(key).agg(F.max_by(F.struct(*streams.columns), F.col(stamp)).alias("s")).select("s.*")

@@ -39,3 +39,17 @@ def sync_catalog(existing: DataFrame, found: DataFrame) -> DataFrame:
     kind = F.when(F.col("old").isNull(), F.col("new")).when(rises, "reasoning").otherwise(F.col("old"))
     action = F.when(F.col("old").isNull(), "insert").when(rises, "update").otherwise("keep")
     return both.select("provider", "model_name", kind.alias("model_type"), F.coalesce("is_custom", F.lit(False)).alias("is_custom"), action.alias("action"))
+
+
+def sync_templates(existing: DataFrame, found: DataFrame, key: str = "tool_type", owned: tuple[str, ...] = ("is_active",)) -> DataFrame:
+    """Upsert by key: found rows replace existing ones but for the columns in owned, new ones are active; the rest stays.
+
+    Adds action: insert, update or keep. A key that is found more than once counts by its greatest row.
+    """
+    columns = [c for c in found.columns if c != key]
+    new = found.groupBy(key).agg(F.max(F.struct(*columns)).alias("_new"))
+    both = existing.select(key, F.struct(*[c for c in existing.columns if c != key]).alias("_old")).join(new, key, "full")
+    taken = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in columns]
+    kept = [F.coalesce(F.col(f"_old.{c}"), F.lit(True)).alias(c) for c in owned]
+    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNotNull(), "update").otherwise("keep")
+    return both.select(key, *taken, *kept, action.alias("action"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import inspect
+import json
+import pkgutil
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -135,19 +138,27 @@ def configured_tool(name: str, config: Mapping[str, Any], explicit: tuple[Parame
     return Tool(name, run, config.get("description", ""), "custom", parameters)
 
 
-def check_select(sql: str) -> str:
-    """sql if it is one SELECT, WITH or VALUES statement; comments and quoted text are looked through, not at."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"", " ", sql, flags=re.S).strip().rstrip(";").strip()
-    if ";" in bare:
-        raise ValueError("one statement only")
-    if not re.match(r"(?i)(select|with|values)\b|\(\s*select\b", bare) or re.search(r"(?i)\b(insert|update|delete|merge|drop|create|alter|truncate)\s+(into|from|table|view|database|or)\b", bare):
-        raise ValueError("only SELECT statements run here")
+def check_select(spark: SparkSession, sql: str) -> str:
+    """sql if Spark's parser takes it for one query: no command, no statement that writes, no script, at any depth."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise ValueError(f"no single SQL statement: {str(e).splitlines()[0]}") from None
+    loader = plan.getClass().getClassLoader()
+    refused = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{name}") for name in ("Command", "ParsedStatement", "ScriptTransformation")]
+    open_ = [plan]
+    while open_:
+        node = open_.pop()
+        if any(kind.isInstance(node) for kind in refused):
+            raise ValueError("only SELECT statements run here")
+        for below in (node.children(), node.innerChildren(), node.subqueries()):
+            open_ += [x for x in (below.apply(i) for i in range(below.size())) if loader.loadClass("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(x)]
     return sql.strip().rstrip(";")
 
 
 def run_sql(spark: SparkSession, sql: str, values: Mapping[str, Any] | None = None, tables: Mapping[str, DataFrame] | None = None, fetch_size: int = 100) -> DataFrame:
     """A SELECT with named values over the session's tables and those given; fetch_size 0 or less returns all rows."""
-    statement = check_select(sql)
+    statement = check_select(spark, sql)
     before: dict[str, DataFrame | None] = {}
     try:
         for name, df in (tables or {}).items():
@@ -158,3 +169,28 @@ def run_sql(spark: SparkSession, sql: str, values: Mapping[str, Any] | None = No
         for name, df in before.items():
             spark.catalog.dropTempView(name) if df is None else df.createOrReplaceTempView(name)
     return out.limit(fetch_size) if fetch_size > 0 else out
+
+
+def discover(package: str) -> dict[str, Tool]:
+    """Tools that the modules of a package define, by name; a name that occurs again keeps the first, in order of modules."""
+    root = importlib.import_module(package)
+    found: dict[str, Tool] = {}
+    for info in sorted(pkgutil.iter_modules(root.__path__, f"{root.__name__}."), key=lambda m: m.name):
+        if not info.ispkg:
+            for _, value in sorted(vars(importlib.import_module(info.name)).items()):
+                if isinstance(value, Tool):
+                    found.setdefault(value.name, value)
+    return found
+
+
+_EXAMPLES = {"string": None, "integer": 100, "number": 100, "boolean": True, "object": {}, "array": []}
+
+
+def tool_rows(spark: SparkSession, tools: Iterable[Tool]) -> DataFrame:
+    """tool_type, name, description, config_schema and example (JSON) of tools, as rows for sync.sync_templates."""
+    rows = []
+    for tool in tools:
+        props = {p.name: {"type": p.type, "description": p.description, "required": p.required, "default": p.default, "enum": list(p.enum)} for p in tool.parameters}
+        shown = {p.name: p.default if p.default is not None else f"example_{p.name}" if p.type == "string" else _EXAMPLES[p.type] for p in tool.parameters}
+        rows.append((tool.name.lower(), tool.name, tool.description, json.dumps({"type": "object", "properties": props}), json.dumps(shown)))
+    return spark.createDataFrame(rows, "tool_type string, name string, description string, config_schema string, example string")

@@ -83,6 +83,16 @@ def unindexed_messages(spark, sf_dir):
     return C.unindexed(rows, rows.filter("turn % 2 = 0 and conv_id % 3 = 0"), ["conv_id", "turn"]).select("conv_id", "turn")
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND conv_id % 3 = 0 THEN 'old' ELSE md5(role || ':' || text) END AS entry FROM conversations")
+def message_index(spark, sf_dir):
+    """The index of messages after a run over all of them: what was there stays, what was missing is added, and once more nothing."""
+    rows = table(spark, sf_dir, "conversations")
+    indexed = rows.filter("turn % 2 = 0 and conv_id % 3 = 0").select("conv_id", "turn", F.lit("old").alias("entry"))
+    build = lambda new: new.withColumn("entry", F.md5(F.concat_ws(":", "role", "text")))
+    once = C.index_messages(rows, indexed, ["conv_id", "turn"], build)
+    return C.index_messages(rows, once, ["conv_id", "turn"], build)
+
+
 @query("SELECT conv_id, sum(length(text)) AS total_chars, max(length(text)) AS longest, sum(length(text)) // 3 AS tokens FROM conversations GROUP BY conv_id")
 def message_sizes(spark, sf_dir):
     n = F.length("text")

@@ -107,6 +107,25 @@ def _html_sql() -> str:
         SELECT page_id, place, CASE WHEN head IS NULL THEN 'Introduction' ELSE {bare.format("substr(head, 3)")} END AS title, md5(content) AS content_md5, coalesce(substr(head, 2, 1)::int, 0) AS level FROM g WHERE content <> ''"""
 
 
+_Q = "' || chr(39) || '"
+_HEAD = f"""'<meta name="description" content="page ' || page_id || '"><META content={_Q}a, b{_Q} property=keywords ><meta property="og:title" content="' || url || '"/><meta name="author"><meta name="description" content="last ' || page_id || '">'"""
+
+
+def _meta_sql() -> str:
+    """The last tag of each name that has a content, in either kind of quotes."""
+    part = rf"""nullif(coalesce(nullif(regexp_extract(t, '(?i)\bcontent\s*=\s*"([^"]*)"', 1), ''), regexp_extract(t, '(?i)\bcontent\s*=\s*{_Q}([^{_Q}]*){_Q}', 1)), '')"""
+    pick = rf"""(SELECT {part} FROM (SELECT list_filter(tags, lambda x: regexp_matches(x, '(?i)\b(?:name|property)\s*=\s*["{_Q}]?NAME["{_Q}\s/>]') AND regexp_matches(x, '(?i)\bcontent\s*=\s*(?:"[^"]+"|{_Q}[^{_Q}]+{_Q})'))[-1] AS t))"""
+    columns = ", ".join(f"{pick.replace('NAME', n)} AS {n.replace(':', '_')}" for n in X.META)
+    return rf"WITH p AS (SELECT page_id, regexp_extract_all(h, '(?is)<meta\b[^>]*>') AS tags FROM (SELECT page_id, {_HEAD} || html AS h FROM pages)) SELECT page_id, {columns} FROM p"
+
+
+@query(_meta_sql())
+def html_meta(spark, sf_dir):
+    """Pages with some more meta tags in front: repeated, without content, in either order of attributes and quotes."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(f"{_HEAD} || html".replace("chr(", "char(")).alias("h"))
+    return rows.select("page_id", *[c.alias(n) for n, c in X.html_meta(F.col("h")).items()])
+
+
 @query(_html_sql())
 def html_sections(spark, sf_dir):
     found = Y.html_sections(table(spark, sf_dir, "pages"), "page_id", "html")
@@ -200,14 +219,33 @@ def fixed_chunks(spark, sf_dir):
     return K.fixed_chunks(_docs(spark, sf_dir))
 
 
-@query()
+def _boundary_sql(size: int, overlap: int) -> str:
+    """One window after the other: each ends after the last mark in its second half, or is cut."""
+    def last(mark: str) -> str:
+        return f"CASE WHEN contains(w, {mark}) THEN length(w) - length(list_last(string_split(w, {mark}))) - length({mark}) ELSE -1 END"
+
+    strip = r"regexp_replace(regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '')"
+    step = f"""SELECT doc_id, text, least(length(text), CASE WHEN s + {size} >= length(text) THEN length(text) WHEN a > {size / 2} THEN greatest(s + 1, s + a + 2 - {overlap}) WHEN b > {size / 2} THEN greatest(s + 1, s + b + 2 - {overlap})
+        WHEN c > {size / 2} THEN greatest(s + 1, s + c + 1 - {overlap}) ELSE greatest(s + 1, s + {size} - {overlap}) END) AS s,
+        CASE WHEN s + {size} >= length(text) THEN substr(text, s + 1) WHEN a > {size / 2} THEN substr(text, s + 1, a) WHEN b > {size / 2} THEN substr(text, s + 1, b + 1) WHEN c > {size / 2} THEN substr(text, s + 1, c) ELSE w END AS piece, n + 1 AS n
+        FROM (SELECT *, {last("chr(10) || chr(10)")} AS a, {last("'. '")} AS b, {last("' '")} AS c FROM (SELECT doc_id, text, s, n, substr(text, s + 1, {size}) AS w FROM r WHERE s < length(text)))"""
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, text, 0::BIGINT AS s, NULL::VARCHAR AS piece, 0 AS n FROM documents WHERE text IS NOT NULL UNION ALL {step}),
+        p AS (SELECT doc_id, n, {strip.format("piece")} AS content FROM r WHERE n > 0), k AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM p WHERE content <> '')
+        SELECT doc_id, i::int AS chunk_index, total::int AS total_chunks, md5(content) AS content_md5, CASE WHEN total > 1 THEN 'T (parte ' || (i + 1) || ')' ELSE 'T' END AS title FROM k"""
+
+
+def _titled(chunks):
+    return chunks.select("doc_id", "chunk_index", "total_chunks", F.md5("content").alias("content_md5"), K.part_titles(F.lit("T"), F.col("chunk_index"), F.col("total_chunks")).alias("title"))
+
+
+@query(_boundary_sql(1000, 200))
 def boundary_chunks(spark, sf_dir):
-    return K.boundary_chunks(_docs(spark, sf_dir))
+    return _titled(K.boundary_chunks(_docs(spark, sf_dir)))
 
 
-@query()
+@query(_boundary_sql(2000, 0))
 def sync_chunks(spark, sf_dir):
-    return K.boundary_chunks(_docs(spark, sf_dir), 2000, 0)
+    return _titled(K.boundary_chunks(_docs(spark, sf_dir), 2000, 0))
 
 
 @query("SELECT doc_id, md5('[Relacionado con: a, b]' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '[Concepto central]' || chr(10) || chr(10) ELSE '' END || source || chr(10) || chr(10) || text) AS m FROM documents")

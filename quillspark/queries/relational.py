@@ -124,6 +124,18 @@ def catalog_sync(spark, sf_dir):
     return S.sync_catalog(old, part.filter("p_partkey % 7 <> 0").selectExpr("p_brand as provider", "p_partkey as model_name", new))
 
 
+@query(
+    """WITH o AS (SELECT 'tool' || n_nationkey AS tool_type, n_name AS name, 'old' AS description, n_nationkey % 3 > 0 AS is_active FROM nation WHERE n_nationkey % 4 > 0), f AS (SELECT 'tool' || s_nationkey AS tool_type, max(s_name) AS name, 'new' AS description FROM supplier WHERE s_nationkey % 5 > 0 GROUP BY s_nationkey)
+       SELECT tool_type, CASE WHEN f.name IS NULL THEN o.name ELSE f.name END AS name, CASE WHEN f.name IS NULL THEN o.description ELSE f.description END AS description, coalesce(is_active, true) AS is_active,
+       CASE WHEN o.name IS NULL THEN 'insert' WHEN f.name IS NOT NULL THEN 'update' ELSE 'keep' END AS action FROM o FULL JOIN f USING (tool_type)"""
+)
+def template_sync(spark, sf_dir):
+    """Templates of tools, some found again (one per supplier of a nation), some new, some no longer found."""
+    old = table(spark, sf_dir, "nation").filter("n_nationkey % 4 > 0").select(F.concat(F.lit("tool"), "n_nationkey").alias("tool_type"), F.col("n_name").alias("name"), F.lit("old").alias("description"), (F.col("n_nationkey") % 3 > 0).alias("is_active"))
+    found = table(spark, sf_dir, "supplier").filter("s_nationkey % 5 > 0").select(F.concat(F.lit("tool"), "s_nationkey").alias("tool_type"), F.col("s_name").alias("name"), F.lit("new").alias("description"))
+    return S.sync_templates(old, found)
+
+
 @query("SELECT count(*) AS models, count_if(p_size > 40) AS large, count_if(p_retailprice > 1000) AS costly, count_if(p_type LIKE '%STEEL%') AS steel, count_if(p_brand = 'Brand#11') AS brand_11, count_if(p_size <= 5) AS small FROM part")
 def catalog_summary(spark, sf_dir):
     tests = {"large": "p_size > 40", "costly": "p_retailprice > 1000", "steel": "p_type like '%STEEL%'", "brand_11": "p_brand = 'Brand#11'", "small": "p_size <= 5"}

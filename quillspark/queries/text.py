@@ -52,6 +52,13 @@ def content_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in T.content_flags(F.col("text")).items()])
 
 
+@query("SELECT p_partkey, p_name || ' | ' || p_brand || chr(10) || ' | x | ' || p_size AS cleaned, p_brand AS model FROM part")
+def table_clean(spark, sf_dir):
+    """Tables written with stray blanks and empty lines, and names of models with tags."""
+    text = F.concat(F.lit("  "), "p_name", F.lit("|"), "p_brand", F.lit("  \n\n   \n| x   |"), "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.trim(T.clean_table(text)).alias("cleaned"), T.base_model(F.concat("p_brand", F.lit(":"), "p_size", F.lit(":x"))).alias("model"))
+
+
 def _hits(words):
     return " + ".join(f"contains(lower(text), ' {w} ')::int" for w in words)
 

@@ -171,6 +171,23 @@ def html_lang(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1), F.lit(""))
 
 
+# The meta tags that count.
+META = ("description", "keywords", "author", "og:title", "og:description")
+
+
+def html_meta(html: Column) -> dict[str, Column]:
+    """Contents of a page's meta tags by name or property, og: as og_; null if absent or empty, the last of several."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+
+    def of(name: str) -> Column:
+        named, filled = rf"(?i)\b(?:name|property)\s*=\s*[\"']?{name}[\"'\s/>]", r"(?i)\bcontent\s*=\s*(?:\"[^\"]+\"|'[^']+')"
+        last = F.try_element_at(F.filter(tags, lambda t: t.rlike(named) & t.rlike(filled)), F.lit(-1))
+        double, single = (F.regexp_extract(last, rf"(?i)\bcontent\s*=\s*{q}([^{q}]*){q}", 1) for q in ('"', "'"))
+        return F.coalesce(F.nullif(double, F.lit("")), F.nullif(single, F.lit("")))
+
+    return {name.replace(":", "_"): of(name) for name in META}
+
+
 def discovered(files: DataFrame, pattern: str | None = None) -> DataFrame:
     """Visible supported files in order of path."""
     out = files.filter(~F.col("path").rlike(r"(^|/)\.") & loader_of(F.col("path")).isNotNull())

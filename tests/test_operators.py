@@ -46,10 +46,37 @@ def test_registry(spark):
     assert r.get("t") is None
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE t", "SELECT 1; SELECT 2", "insert into t values (1)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"])
-def test_sql_guard_refuses(sql):
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "DROP TABLE t", "SELECT 1; SELECT 2", "insert into t values (1)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "FROM t INSERT INTO u SELECT *", "SET x = 1", "EXPLAIN SELECT 1", "CREATE TABLE t AS SELECT 1", "",
+        "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM t", "BEGIN SELECT 1; END", "/* SELECT */ DELETE FROM t", "MERGE INTO t USING u ON t.a = u.a WHEN MATCHED THEN DELETE",
+    ],
+)
+def test_sql_guard_refuses(spark, sql):
     with pytest.raises(ValueError):
-        P.check_select(sql)
+        P.check_select(spark, sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT 'x' AS update FROM nation", "(select 1)", "VALUES (1), (2)", "WITH a AS (SELECT 1 AS drop) SELECT * FROM a -- insert into t", "SELECT 1 UNION ALL SELECT 2;", "SELECT (SELECT max(create) FROM table_or_view) AS delete"])
+def test_sql_guard_takes_queries(spark, sql):
+    assert P.check_select(spark, sql) == sql.rstrip(";")
+
+
+def test_tool_discovery_and_rows(spark, tmp_path, monkeypatch):
+    package = tmp_path / "mytools"
+    package.mkdir()
+    (package / "__init__.py").write_text("")
+    (package / "b.py").write_text("from quillspark.plans.registry import Parameter, Tool\nlate = Tool('Late', None)\nsame = Tool('Early', None, 'second')\n")
+    (package / "a.py").write_text("from quillspark.plans.registry import Parameter, Tool\nearly = Tool('Early', None, 'first', 'x', (Parameter('n', 'integer'), Parameter('q'), Parameter('m', default='d')))\nother = 3\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    found = P.discover("mytools")
+    assert sorted(found) == ["Early", "Late"] and found["Early"].description == "first"
+    rows = {r["tool_type"]: r for r in P.tool_rows(spark, found.values()).collect()}
+    assert json.loads(rows["early"]["example"]) == {"n": 100, "q": "example_q", "m": "d"}
+    assert json.loads(rows["early"]["config_schema"])["properties"]["n"]["required"] is True and json.loads(rows["late"]["example"]) == {}
+    first = S.sync_templates(P.tool_rows(spark, []).withColumn("is_active", F.lit(True)), P.tool_rows(spark, found.values()))
+    assert {r["action"] for r in first.collect()} == {"insert"}
 
 
 def test_sql_guard_allows(spark):

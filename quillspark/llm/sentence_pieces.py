@@ -11,11 +11,11 @@ import heapq
 import re
 import struct
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +65,9 @@ class CharacterMap:
         firsts = [b for b in range(256) if self._child(self._offset(0), b) is not None] if n else []
         # characters whose first byte begins a key; all others stand for themselves
         self.starts = firsts
-        ascii_ = "".join(regex.escape(chr(b)) for b in firsts if 0 < b < 128)
+        ascii_ = "".join(re.escape(chr(b)) for b in firsts if 0 < b < 128)
         wide = [f"{chr(lo)}-{chr(hi)}" for b in firsts if b >= 0xC2 for lo, hi in [self._range(b)]]
-        self.touched = regex.compile(f"[{ascii_}{''.join(wide)}]") if ascii_ or wide else None
+        self.touched = re.compile(f"[{ascii_}{''.join(wide)}]") if ascii_ or wide else None
 
     @staticmethod
     def _range(lead: int) -> tuple[int, int]:
@@ -234,6 +234,7 @@ class PieceModel:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         spoken = {_CONTROL: "", _UNKNOWN: self.unknown_text, _BYTE: None}
+        self.numerals = list(map(str, range(len(self.pieces))))
         self.texts = [spoken.get(k, p.replace(SPACE, " ")) for p, k in zip(self.pieces, self.kinds, strict=True)]  # None: a byte
         self.prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
         self.suffix = bool(trainer.get(24, 0))
@@ -249,18 +250,26 @@ class PieceModel:
 
 
 class Merges:
-    """The vocabulary's merges as arrays, for the pieces of many words at once: a step makes the best merge of every word."""
+    """The vocabulary's merges as arrays, for the pieces of many words at once: a step makes the best merge of every word.
+
+    Merges are numbered from the best score on, so that the least number of a word is its next merge. Pieces that share a
+    score have no such order among themselves; words that hold one of them are merged one by one.
+    """
 
     def __init__(self, model: PieceModel, longest: int = 48):
         self.model, self.longest = model, longest
         scores = model.scores
         symbols = list(dict.fromkeys([*scores, *(c for p in scores for c in p)]))
         number = {p: k for k, p in enumerate(symbols)}
-        rank = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
-        found = sorted((number[p[:k]] * len(symbols) + number[p[k:]], rank[x], number[p]) for p, x in scores.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
-        pairs = np.array(found, np.int64).reshape(-1, 3)
-        self.n, self.keys = len(symbols), pairs[:, 0]
-        self.rank, self.to = np.append(pairs[:, 1], 1 << 30).astype(np.int32), np.append(pairs[:, 2], -1).astype(np.int32)
+        found = [(-x, number[p], number[p[:k]] * len(symbols) + number[p[k:]]) for p, x in scores.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        by_score = np.array([f[1:] for f in sorted(found)], np.int64).reshape(-1, 2)
+        order = np.argsort(by_score[:, 1], kind="stable")
+        self.n, self.none = len(symbols), len(by_score)
+        self.keys, self.place = by_score[order, 1], order.astype(np.int32)
+        self.to = np.append(by_score[:, 0], -1).astype(np.int32)
+        times = Counter(x for p, x in scores.items() if len(p) > 1)
+        tied = sorted(p for p, x in scores.items() if len(p) > 1 and times[x] > 1)
+        self.tied = re.compile("|".join(map(re.escape, tied))) if tied else None
         self.of_char = np.full(0x110000, -1, np.int32)
         for c, k in number.items():
             if len(c) == 1:
@@ -269,39 +278,39 @@ class Merges:
         self.value = np.array([model.ids[p] | len(p) << 32 if p in model.ids else 0 for p in symbols], np.uint64)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Place of the merge of symbols a and b, the last place for none; no symbol is -1."""
-        if not len(self.keys):
-            return np.zeros(a.shape, np.int64)
+        """Number of the merge of symbols a and b, `none` if there is none; no symbol is -1."""
+        if not self.none:
+            return np.zeros(a.shape, np.int32)
         key = a.astype(np.int64) * self.n + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), at, len(self.keys))
+        at = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.place[at], np.int32(self.none))
 
     def _merged(self, symbols: np.ndarray) -> np.ndarray:
-        """Rows of symbols, -1 behind the last, with all merges made: of equal ones the leftmost goes first."""
-        out, left = symbols, np.arange(len(symbols))
+        """Rows of symbols, -1 behind the last, with all merges made."""
+        out, left = symbols.copy(), np.arange(len(symbols))
         width = symbols.shape[1]
         pairs = self._pair(symbols[:, :-1], symbols[:, 1:])
-        columns = np.arange(width)
+        columns = np.arange(width - 1)
         while len(left) and width > 1:
-            rank = self.rank[pairs]
-            at = rank.argmin(1)
+            at = pairs.argmin(1)
             rows = np.arange(len(left))
-            open_ = rank[rows, at] < 1 << 30
+            merge = pairs[rows, at]
+            open_ = merge < self.none
             if not open_.all():
                 out[left[~open_]] = symbols[~open_]
-                left, symbols, pairs, at = left[open_], symbols[open_], pairs[open_], at[open_]
+                left, symbols, pairs, at, merge = left[open_], symbols[open_], pairs[open_], at[open_], merge[open_]
                 rows = rows[: len(left)]
             if not len(left):
                 break
-            new = self.to[pairs[rows, at]]
-            symbols = np.take_along_axis(symbols, np.minimum(columns + (columns > at[:, None]), width - 1), 1)
+            new = self.to[merge]
+            symbols[:, :-1] = np.where(columns > at[:, None], symbols[:, 1:], symbols[:, :-1])
             symbols[:, -1] = -1
             symbols[rows, at] = new
-            pairs = np.take_along_axis(pairs, np.minimum(columns[:-1] + (columns[:-1] >= at[:, None]), width - 2), 1)
-            pairs[:, -1] = len(self.keys)
-            after = np.where(at + 1 < width, symbols[rows, np.minimum(at + 1, width - 1)], -1)
-            inner = at < width - 1
-            pairs[rows[inner], at[inner]] = self._pair(new[inner], after[inner])
+            pairs[:, :-1] = np.where(columns[:-1] >= at[:, None], pairs[:, 1:], pairs[:, :-1])
+            pairs[:, -1] = self.none
+            # the pairs on both sides of what was merged
+            ahead = at < width - 1
+            pairs[rows[ahead], at[ahead]] = self._pair(new[ahead], symbols[rows[ahead], at[ahead] + 1])
             behind = at > 0
             pairs[rows[behind], at[behind] - 1] = self._pair(symbols[rows[behind], at[behind] - 1], new[behind])
         return out
@@ -310,11 +319,13 @@ class Merges:
         """Of each word its pieces: 64 bits each, the id and, in the upper half, how many characters it takes."""
         out: list[bytes | None] = [None] * len(words)
         lengths = np.array(list(map(len, words)), np.int64)
+        if self.tied:
+            lengths[[i for i, w in enumerate(words) if self.tied.search(w)]] = self.longest + 1
         low = 0
-        for high in (4, 8, 16, self.longest):
+        for high in (2, 4, 6, 8, 10, 13, 18, 28, self.longest):
             which = np.flatnonzero((lengths > low) & (lengths <= high))
-            for k in range(0, len(which), 1 << 14):
-                own = which[k : k + (1 << 14)]
+            for k in range(0, len(which), 1 << 13):
+                own = which[k : k + (1 << 13)]
                 points = np.frombuffer("".join([words[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
                 inside = np.arange(high) < lengths[own][:, None]
                 symbols = np.full((len(own), high), -1, np.int32)
@@ -369,24 +380,24 @@ class Merges:
 class PieceEncoder:
     """Turns texts into ids and the borders of their pieces in source bytes; a bounded cache holds what stands between blanks."""
 
-    def __init__(self, model: PieceModel, cache_size: int = 200_000):
+    def __init__(self, model: PieceModel, cache_size: int = 500_000):
         self.model, self.merges = model, Merges(model)
         joined = sorted({c for p in model.scores if len(p) > 1 for c in p} - {" "})
-        inside = f"[{''.join(map(regex.escape, joined))}]" if joined else r"(?!)"
+        inside = f"[{''.join(map(re.escape, joined))}]" if joined else r"(?!)"
         # no piece crosses from these on: characters that only stand alone, and a blank after anything but blanks
         crossed = any(" " in p.lstrip(" ") for p in model.scores)
-        self.words = regex.compile(f"(?:{inside}| )+|." if crossed else f" +{inside}*|{inside}+|.", regex.DOTALL)
+        self.words = re.compile(f"(?:{inside}| )+|." if crossed else f" +{inside}*|{inside}+|.", re.DOTALL)
         self.chunks = self.words if crossed else re.compile(" *[^ ]+| +")
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
 
     def _learn(self, chunks: list[str]) -> None:
         """Pieces of chunks that the cache lacks; their words are merged all at once."""
-        split = [self.words.findall(c) for c in chunks]
-        known = dict.fromkeys(w for own in split for w in own)
-        known.update(zip(known, self.merges.pieces(list(known)), strict=True))
-        for chunk, own in zip(chunks, split, strict=True):
-            self.cache[chunk] = known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own])
+        split = list(map(self.words.findall, chunks))
+        words = list(set().union(*split))
+        known = dict(zip(words, self.merges.pieces(words), strict=True))
+        of = known.__getitem__
+        self.cache.update(zip(chunks, [of(own[0]) if len(own) == 1 else b"".join(map(of, own)) for own in split], strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text its ids, and borders: source bytes where the pieces begin and, last, where they end (64 bits each; none without pieces)."""
@@ -404,13 +415,15 @@ class PieceEncoder:
         return [(b"".join(ids), b"".join(borders)) for ids, borders in out]
 
     def _flush(self, held: list[tuple[int, list[str], np.ndarray]], out: list[tuple[list[bytes], list[bytes]]]) -> None:
-        new = {c for _, chunks, _ in held for c in chunks if c not in self.cache}
+        every = set().union(*(chunks for _, chunks, _ in held))
+        new = every.difference(self.cache)
         if len(self.cache) + len(new) > self.cache_size and self.cache:
             self.cache.clear()
-            new = {c for _, chunks, _ in held for c in chunks}
+            new = every
         self._learn(list(new))
+        known = self.cache.__getitem__
         for k, chunks, places in held:
-            found = np.frombuffer(b"".join([self.cache[c] for c in chunks]), np.uint64)
+            found = np.frombuffer(b"".join(map(known, chunks)), np.uint64)
             own, ends = (found & np.uint64(0xFFFFFFFF)).astype("<u4"), np.cumsum((found >> np.uint64(32)).astype(np.int64))
             ids, borders = out[k]
             if not self.model.fallback:
@@ -518,7 +531,7 @@ def piece_decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_co
             for raw in series:
                 machine, ids = PieceDecoder(model), np.frombuffer(raw or b"", "<u4").tolist()
                 text = "".join([machine.feed(ids[k : k + 4096]) for k in range(0, len(ids), 4096)]) + machine.close()
-                out.append((text, ",".join(map(str, ids)) if listed_col else None))
+                out.append((text, ",".join(map(model.numerals.__getitem__, ids)) if listed_col else None))
             yield pd.DataFrame(out, columns=["decoded", "listed"], dtype=object)
 
     free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in rows.columns)) + "pieces"

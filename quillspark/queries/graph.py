@@ -125,12 +125,38 @@ def walk_up(spark, sf_dir):
     return G.walk(_sizes(spark, sf_dir), spark.createDataFrame([("a", "n18"), ("b", "n40")], "root string, note string"), "up", 3, 8)
 
 
-@query()
+_SIZES = """e AS (SELECT DISTINCT src, dst FROM (SELECT 'n' || p_partkey AS src, 'n' || p_size AS dst FROM part UNION ALL SELECT 'n' || p_partkey, 'n' || (p_partkey % 17 + 1) FROM part) WHERE src <> dst)"""
+
+
+def _layers_sql(name: str, roots: str, pairs: str, order: str, depth: int, nodes: int | None) -> str:
+    """Common table expressions of a search in layers from `roots` (root, note) over `pairs` (a, b); its rows are in {name}{depth}."""
+    out = [f"{name}k0 AS (SELECT root, note, 0 AS depth, 1 AS visit FROM ({roots}))", f"{name}0 AS (SELECT * FROM {name}k0)"]
+    for d in range(1, depth + 1):
+        out.append(f"{name}c{d} AS (SELECT k.root, b AS note, min(k.visit) AS pv FROM {name}k{d - 1} k JOIN ({pairs}) ON a = k.note WHERE NOT EXISTS (SELECT 1 FROM {name}{d - 1} s WHERE s.root = k.root AND s.note = b) GROUP BY ALL)")
+        keep = f" WHERE visit <= {nodes}" if nodes else ""
+        out.append(f"{name}k{d} AS (SELECT * FROM (SELECT c.root, note, {d} AS depth, (SELECT max(visit) FROM {name}{d - 1} s WHERE s.root = c.root) + row_number() OVER (PARTITION BY c.root ORDER BY pv, {order}) AS visit FROM {name}c{d} c JOIN d USING (note)){keep})")
+        out.append(f"{name}{d} AS (SELECT * FROM {name}{d - 1} UNION ALL SELECT * FROM {name}k{d})")
+    return ", ".join(out)
+
+
+_DOWN_ROOTS = "SELECT * FROM (VALUES ('a', 'n18'), ('b', 'n140')) AS v(root, note)"
+_BOTH = "SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e"
+
+
+@query(f"""WITH {_SIZES}, {_DEGREES}, {_layers_sql("w", _DOWN_ROOTS, "SELECT src AS a, dst AS b FROM e", "10.0 / (abs(n_in + n_out - 5) + 1) DESC, note", 3, 12)} SELECT * FROM w3""")
 def walk_down(spark, sf_dir):
     return G.walk(_sizes(spark, sf_dir), spark.createDataFrame([("a", "n18"), ("b", "n140")], "root string, note string"), "down", 3, 12)
 
 
-@query()
+_HUB_ROOTS = "SELECT * FROM (VALUES ('a', 'n140'), ('b', 'n3')) AS v(root, note)"
+
+
+@query(
+    f"""WITH {_SIZES}, {_DEGREES}, {_layers_sql("u", _HUB_ROOTS, "SELECT dst AS a, src AS b FROM e", "note", 3, None)},
+        h AS (SELECT r.root, coalesce((SELECT arg_min(note, depth * 1000000000 + visit) FROM u3 JOIN d USING (note) WHERE u3.root = r.root AND n_in > 5), (SELECT note FROM d WHERE n_in > 5 ORDER BY n_in DESC, note LIMIT 1)) AS note FROM ({_HUB_ROOTS}) r),
+        {_layers_sql("w", "SELECT root, note FROM h WHERE note IS NOT NULL", _BOTH, "(note_type = 'hub') DESC, (note_type = 'index') DESC, note", 1, 15)}
+        SELECT root, note, 0 AS depth, 1 AS visit FROM ({_HUB_ROOTS}) UNION ALL SELECT w.root, w.note, w.depth + 1, w.visit + 1 FROM w1 w WHERE NOT EXISTS (SELECT 1 FROM ({_HUB_ROOTS}) r WHERE r.root = w.root AND r.note = w.note)"""
+)
 def walk_hub_first(spark, sf_dir):
     return G.hub_first_search(_sizes(spark, sf_dir), spark.createDataFrame([("a", "n140"), ("b", "n3")], "root string, note string"))
 

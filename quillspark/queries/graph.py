@@ -153,7 +153,7 @@ _HUB_ROOTS = "SELECT * FROM (VALUES ('a', 'n140'), ('b', 'n3')) AS v(root, note)
 
 @query(
     f"""WITH {_SIZES}, {_DEGREES}, {_layers_sql("u", _HUB_ROOTS, "SELECT dst AS a, src AS b FROM e", "note", 3, None)},
-        h AS (SELECT r.root, coalesce((SELECT arg_min(note, depth * 1000000000 + visit) FROM u3 JOIN d USING (note) WHERE u3.root = r.root AND n_in > 5), (SELECT note FROM d WHERE n_in > 5 ORDER BY n_in DESC, note LIMIT 1)) AS note FROM ({_HUB_ROOTS}) r),
+        h AS (SELECT r.root, coalesce((SELECT arg_min(note, depth::BIGINT * 1000000000 + visit) FROM u3 JOIN d USING (note) WHERE u3.root = r.root AND n_in > 5), (SELECT note FROM d WHERE n_in > 5 ORDER BY n_in DESC, note LIMIT 1)) AS note FROM ({_HUB_ROOTS}) r),
         {_layers_sql("w", "SELECT root, note FROM h WHERE note IS NOT NULL", _BOTH, "(note_type = 'hub') DESC, (note_type = 'index') DESC, note", 1, 15)}
         SELECT root, note, 0 AS depth, 1 AS visit FROM ({_HUB_ROOTS}) UNION ALL SELECT w.root, w.note, w.depth + 1, w.visit + 1 FROM w1 w WHERE NOT EXISTS (SELECT 1 FROM ({_HUB_ROOTS}) r WHERE r.root = w.root AND r.note = w.note)"""
 )

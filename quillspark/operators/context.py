@@ -146,10 +146,37 @@ def tools_of_mode(physical: DataFrame, custom: DataFrame, mode: str, kind: str =
     return built.join(mine.select(kind).distinct(), kind, "left_anti").unionByName(mine)
 
 
-def inferred_type(model: Column, names: Sequence[tuple[str, Sequence[str]]], default: str = "chat") -> Column:
+# Parts of names that tell a model's type, in order, and what it can do.
+MODEL_NAMES = (
+    ("embedding", ("embed", "embedding", "bge", "e5", "gte", "instructor", "mxbai")),
+    ("vision", ("vision", "llava", "bakllava", "minicpm-v")),
+    ("multimodal", ("multimodal", "llava", "cogvlm", "fuyu")),
+)
+REASONING_NAMES = ("deepseek-r1", "r1", "reasoner", "cot", "qwq")
+THINKING_NAMES = ("gemma3", "qwen3", "qwen2.5", "thinking")
+TOOL_NAMES = ("llama3", "mistral", "mixtral", "gemma2", "qwen", "command")
+
+
+def _any_part(low: Column, parts: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
+
+
+def model_traits(model: Column) -> dict[str, Column]:
+    """model_type, supports_tools and supports_thinking by name; a chat model whose name speaks of reasoning is of that type."""
+    low, kind = F.lower(model), inferred_type(model)
+    chat = kind == "chat"
+    reasons = chat & _any_part(low, REASONING_NAMES)
+    return {
+        "model_type": F.when(reasons, "reasoning").otherwise(kind),
+        "supports_tools": chat & _any_part(low, TOOL_NAMES),
+        "supports_thinking": reasons | chat & _any_part(low, THINKING_NAMES),
+    }
+
+
+def inferred_type(model: Column, names: Sequence[tuple[str, Sequence[str]]] = MODEL_NAMES, default: str = "chat") -> Column:
     """The type of the first entry of which any part occurs in the lower-cased model name."""
     low = F.lower(model)
-    tests = [(kind, reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])) for kind, parts in names]
+    tests = [(kind, _any_part(low, parts)) for kind, parts in names]
     out = F.lit(default)
     for kind, test in reversed(tests):
         out = F.when(test, kind).otherwise(out)

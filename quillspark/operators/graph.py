@@ -45,6 +45,16 @@ def note_edges(notes: DataFrame, note: str = "note", text: str = "content") -> D
     return out.join(known, "dst", "left").select("src", "dst", F.col("_known").isNull().alias("broken"))
 
 
+def missing_notes(edges: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """note, links, path: notes that are linked to but were not scanned (note_edges), how often, and their first file in the vault.
+
+    files lists the vault's notes by path; a note without a file has a null path.
+    """
+    wanted = edges.filter("broken").groupBy(F.col("dst").alias("note")).agg(F.count(F.lit(1)).alias("links"))
+    named = files.filter(F.col(path).endswith(".md")).select(F.regexp_extract(path, r"([^/]+)\.md$", 1).alias("note"), F.col(path).alias("path"))
+    return wanted.join(named.groupBy("note").agg(F.min("path").alias("path")), "note", "left")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """note, n_in, n_out and note_type: hub over 5 in, index over 10 out, atomic under 3 links, else bridge."""
     out = edges.groupBy(F.col("src").alias("note")).agg(F.count(F.lit(1)).alias("n_out"))

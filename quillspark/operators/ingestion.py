@@ -64,6 +64,13 @@ class Store:
         newest = self.read("ledger").groupBy("path").agg(F.max_by(F.struct("status", "error", "version"), "version").alias("r"))
         return newest.select("path", "r.*").filter("status = 'error'").drop("status")
 
+    def statuses(self, files: DataFrame) -> DataFrame:
+        """path, status, n_chunks, error of files (path, hash): pending until a run has seen this hash, then how that run ended."""
+        newest = self.read("ledger").groupBy("path").agg(F.max_by(F.struct("status", "hash", "n_chunks", "error"), "version").alias("r")).select("path", "r.*")
+        both = files.select("path", F.col("hash").alias("now")).join(newest, "path", "left")
+        seen = F.coalesce(F.col("hash") == F.col("now"), F.lit(False)) & (F.col("status") != "deleted")
+        return both.select("path", F.when(seen, F.col("status")).otherwise("pending").alias("status"), F.when(seen, F.col("n_chunks")).alias("n_chunks"), F.when(seen, F.col("error")).alias("error"))
+
     def _current(self, table: str) -> DataFrame:
         return self.read(table).join(self.ledger().select("path", "version"), ["path", "version"], "left_semi")
 

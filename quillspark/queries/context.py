@@ -140,6 +140,22 @@ def model_types(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
 
 
+_MODEL = "CASE p_partkey % 9 WHEN 0 THEN 'BGE-' || p_size WHEN 1 THEN 'llava:' || p_size WHEN 2 THEN 'CogVLM-' || p_name WHEN 3 THEN 'DeepSeek-R1:' || p_size WHEN 4 THEN 'Qwen3-thinking' WHEN 5 THEN 'mistral ' || p_size WHEN 6 THEN 'qwen2.5-coder' WHEN 7 THEN 'nomic-Embed-text' ELSE p_name END"
+
+
+def _named(column: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")"
+
+
+@query(
+    f"""WITH m AS (SELECT p_partkey, lower({_MODEL}) AS low FROM part), k AS (SELECT *, CASE {" ".join(f"WHEN {_named('low', parts)} THEN '{kind}'" for kind, parts in C.MODEL_NAMES)} ELSE 'chat' END AS kind FROM m)
+        SELECT p_partkey, CASE WHEN kind = 'chat' AND {_named("low", C.REASONING_NAMES)} THEN 'reasoning' ELSE kind END AS model_type, kind = 'chat' AND {_named("low", C.TOOL_NAMES)} AS supports_tools,
+        kind = 'chat' AND ({_named("low", C.REASONING_NAMES)} OR {_named("low", C.THINKING_NAMES)}) AS supports_thinking FROM k"""
+)
+def model_traits(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in C.model_traits(F.expr(_MODEL)).items()])
+
+
 @query("SELECT p_partkey, p_type, p_brand FROM part WHERE p_brand = 'Brand#11'")
 def capability_filter(spark, sf_dir):
     from quillspark.operators.relational import optional_filters

@@ -83,6 +83,18 @@ def unindexed_messages(spark, sf_dir):
     return C.unindexed(rows, rows.filter("turn % 2 = 0 and conv_id % 3 = 0"), ["conv_id", "turn"]).select("conv_id", "turn")
 
 
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations), t AS (SELECT conv_id, max(role) FILTER (rn = 1) AS last, max(role) FILTER (rn = 2) AS before, max(turn) FILTER (rn = 1) AS turn FROM r GROUP BY 1),
+       g AS (SELECT conv_id, turn FROM t WHERE last = 'assistant' AND before = 'user') SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) NOT IN (SELECT conv_id, turn FROM g)"""
+)
+def active_messages(spark, sf_dir):
+    """The rows that are left active when every conversation asks its last answer anew."""
+    rows = table(spark, sf_dir, "conversations")
+    gone = C.regenerate(rows).select("conv_id", F.col("deactivate_turn").alias("turn"), F.lit(True).alias("gone"))
+    marked = rows.join(gone, ["conv_id", "turn"], "left").withColumn("is_active", F.col("gone").isNull())
+    return marked.filter("is_active").select("conv_id", "turn", "role")
+
+
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND conv_id % 3 = 0 THEN 'old' ELSE md5(role || ':' || text) END AS entry FROM conversations")
 def message_index(spark, sf_dir):
     """The index of messages after a run over all of them: what was there stays, what was missing is added, and once more nothing."""

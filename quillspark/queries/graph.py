@@ -49,6 +49,18 @@ def note_graph(spark, sf_dir):
     return G.note_edges(_notes(spark, sf_dir))
 
 
+@query(
+    rf"""WITH {_LINKS}, p AS (SELECT unnest(regexp_extract_all(content, '\[\[([^\]|]+)\|([^\]]+)\]\]', 1)) AS target, unnest(regexp_extract_all(content, '\[\[([^\]|]+)\|([^\]]+)\]\]', 2)) AS alias FROM c),
+        a AS (SELECT trim(alias) AS link, min(regexp_replace(trim(target), '#.*$', '')) AS target FROM p GROUP BY 1), x AS (SELECT DISTINCT note AS src, coalesce(target, link) AS dst FROM l LEFT JOIN a USING (link)),
+        f AS (SELECT 'img' || n_nationkey || '.png' AS note, 'v' || n_regionkey || '/img' || n_nationkey || '.png.md' AS path FROM nation)
+        SELECT dst AS note, count(*) AS links, (SELECT min(path) FROM f WHERE f.note = dst) AS path FROM x WHERE dst NOT IN (SELECT note FROM c) GROUP BY dst"""
+)
+def missing_notes(spark, sf_dir):
+    """What the notes of parts link to without it being a note, and the file that a listing has for it."""
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("v"), "n_regionkey", F.lit("/img"), "n_nationkey", F.lit(".png.md")).alias("path"))
+    return G.missing_notes(G.note_edges(_notes(spark, sf_dir)), files)
+
+
 @query(f"WITH {_EDGES}, {_DEGREES} SELECT * FROM d")
 def degree_classes(spark, sf_dir):
     return G.degrees(_edges(spark, sf_dir))

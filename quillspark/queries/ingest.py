@@ -212,6 +212,12 @@ def pdf_headings(spark, sf_dir):
     return X.pdf_sections(rows, "p_partkey").select("p_partkey", "place", "title", "level")
 
 
+@query("SELECT conv_id, md5(string_agg('[PÁGINA ' || turn || ']' || chr(10) || t || chr(10), chr(10) ORDER BY turn)) AS content_md5 FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM conversations) WHERE t <> '' GROUP BY conv_id")
+def pdf_pages(spark, sf_dir):
+    """Messages as pages of one document per conversation."""
+    return X.page_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.md5("content").alias("content_md5"))
+
+
 @query(
     """SELECT doc_id, i AS chunk_index, n AS total_chunks, substr(text, (i * 800 + 1)::int, 1000) AS content FROM (SELECT doc_id, text, greatest(1, ceil((length(text) - 200) / 800.0))::int AS n FROM documents WHERE length(text) > 0), unnest(range(0, n)) AS u(i)"""
 )
@@ -370,6 +376,19 @@ def ingest_tally(spark, sf_dir):
     return spark.createDataFrame([{"version": k + 1} | t for k, t in enumerate(_ingested(spark, sf_dir)[1])])
 
 
+@query(
+    f"""WITH {_INGESTED}, z AS (SELECT path, arg_max(status, version) AS status, arg_max(n_chunks, version) AS n_chunks, arg_max(coalesce(error, ''), version) AS error FROM every WHERE action <> 'unchanged' GROUP BY path)
+        SELECT c.path, CASE WHEN z.status = 'deleted' OR doc_id % 4 = 0 OR doc_id % 7 = 0 THEN 'pending' ELSE z.status END AS status, CASE WHEN z.status <> 'deleted' AND doc_id % 4 > 0 AND doc_id % 7 > 0 THEN z.n_chunks END AS n_chunks,
+        CASE WHEN z.status = 'error' AND doc_id % 4 > 0 AND doc_id % 7 > 0 THEN nullif(z.error, '') END AS error FROM c JOIN z USING (path) WHERE (v = 2 OR doc_id % 7 = 0)"""
+)
+def ingest_status(spark, sf_dir):
+    """Files after both runs, of which every fourth has changed once more and every seventh is back in another form."""
+    files = _files(spark, sf_dir, 2).unionByName(_files(spark, sf_dir, 1).join(_files(spark, sf_dir, 2), "path", "left_anti").withColumn("content", F.concat("content", F.lit("?"))))
+    changed = F.regexp_extract("path", r"(\d+)", 1).cast("long") % 4 == 0
+    files = files.select("path", F.sha2(F.when(changed, F.concat("content", F.lit(" more"))).otherwise(F.col("content")), 256).alias("hash"))
+    return _ingested(spark, sf_dir)[0].statuses(files)
+
+
 _CURRENT = """now AS (SELECT path, max(version) AS v FROM every WHERE status <> 'error' GROUP BY path HAVING arg_max(status, version) = 'completed')"""
 
 

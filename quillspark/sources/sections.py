@@ -109,9 +109,20 @@ def section_api(title: Column, content: Column) -> dict[str, Column]:
     return {"http_method": F.nullif(verb, F.lit("")), "endpoint": F.nullif(F.regexp_extract(content, r"`(/[\w\-/{}]+)`", 1), F.lit("")), "context": F.nullif(F.regexp_extract(content, r"Contexto:\s*(\w+)", 1), F.lit(""))}
 
 
+PAGE_MARK = "[PÁGINA "
+
+
+def page_text(pages: DataFrame, key: str = "path", page: str = "page", text: str = "text") -> DataFrame:
+    """key, content: the pages of each document in order, each under a marker with its number; blank ones are left out."""
+    own = strip(F.col(text))
+    part = F.concat(F.lit(PAGE_MARK), F.col(page).cast("string"), F.lit("]\n"), own, F.lit("\n"))
+    parts = pages.filter(own != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), part.alias("t")))).alias("x"))
+    return parts.select(key, F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("content"))
+
+
 def pdf_sections(pages: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """Lines of extracted page text into sections: numbered, upper-case and short stand-alone lines are headings."""
-    lines = lines_of(pages, key, text).withColumn("_next", F.lead("line").over(W.partitionBy(key).orderBy("n")))
+    """Lines of extracted page text into sections: numbered, upper-case and short stand-alone lines are headings, markers of pages go."""
+    lines = lines_of(pages, key, text).filter(~F.trim("line").startswith(PAGE_MARK)).withColumn("_next", F.lead("line").over(W.partitionBy(key).orderBy("n")))
     line = F.trim("line")
     numbered = line.rlike(r"^\d+(\.\d+)*\.\s+.+$")
     upper = (line == F.upper(line)) & (F.lower(line) != line) & (F.size(F.split(line, r"\s+")) >= 2) & (F.length(line) < 100)

@@ -196,8 +196,12 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str, disclo
     texts = different_texts(docs, text_col)
     total = F.lit(float(max(1, docs.select(F.xxhash64(text_col).alias("key")).distinct().count())))
     seen = cut(mentions.groupBy("entity", "pooled", "context").agg(F.first("terms").alias("terms")))
-    often = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = seen.select("entity", "pooled", F.explode("terms").alias("term")).groupBy("entity", "pooled", "term").agg(F.count(F.lit(1)).alias("n_both")).join(often, "entity")
+    often = cut(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    pairs = seen.select("entity", "pooled", F.explode("terms").alias("term")).groupBy("entity", "pooled", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    # entities with more than a thousandth of all contexts, fewer than a thousand, meet most of the vocabulary: they are broadcast
+    most = F.lit((often.agg(F.sum("n_entity")).first()[0] or 0) / 1000)
+    hot = F.broadcast(often.filter(F.col("n_entity") > most))
+    pairs = pairs.join(hot, "entity").unionByName(pairs.join(hot, "entity", "left_anti").join(often.filter(F.col("n_entity") <= most), "entity"))
 
     def reveals(n_term):
         content = F.log2(total / F.col("n_entity"))

@@ -1,9 +1,11 @@
 """BPE against the tokenizers library, language ID by held-out accuracy, personal data and pages by hand and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import pytest
@@ -103,6 +105,43 @@ def test_language_id_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def grams_by_force(text, buckets=1 << 15):
+    """Buckets of all 1-, 2- and 3-grams of a text's lower-cased letters, with one blank for anything else."""
+    mask, out = (1 << 64) - 1, []
+    chars = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip(" ") + " "
+    for n in (1, 2, 3):
+        for i in range(len(chars) - n + 1):
+            x = n
+            for c in chars[i : i + n]:
+                x = (x * 0x100000001B3 + ord(c)) & mask
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+            out.append((x ^ x >> 31) % buckets)
+    return out
+
+
+def test_language_query_matches_plain_bayes(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts, docs = {}, Counter()
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["text"] is not None and r["lang"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(grams_by_force(r["text"]))
+            docs[r["lang"]] += 1
+    totals = {x: sum(own.values()) for x, own in counts.items()}
+    got = {r["doc_id"]: r for r in queries.op5_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        mine, text = got[r["doc_id"]], r["text"] or ""
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not any(map(str.isalpha, text)):
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0)
+            continue
+        grams = Counter(grams_by_force(text))
+        like = {x: math.log(docs[x] / sum(docs.values())) + sum(k * math.log((own[g] + 0.5) / (totals[x] + 0.5 * (1 << 15))) for g, k in grams.items()) for x, own in counts.items()}
+        best = max(sorted(like), key=like.get)
+        assert mine["lang_pred"] == best and abs(mine["score"] - 1 / sum(math.exp(v - like[best]) for v in like.values())) < 1e-3
+
+
 def test_language_id_small(spark):
     model = train_language_model(spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), (None, "en"), ("x", None)], "text string, lang string"))
     assert model.langs == ["de", "en"]

@@ -217,3 +217,37 @@ def test_awkward_tables(spark, name):
     else:
         assert got.count() == len(rows)
     assert f(docs.filter("false")).count() == 0
+
+
+AWKWARD = [
+    (1, "the cat sat on the mat with the dog and the hat", "en", "a"), (1, "the cat sat on the mat with the dog and the hat", "en", "a"), (2, None, "en", None), (3, "", None, "b"), (None, "the dog has no number at all in the house", "en", "a"),
+    (None, None, None, None), (4, "the long " * 20_000, "en", "b"), (5, "THE tie of the two rows here", "en", "a"), (6, "the tie of the two rows here", "en", "a"), (7, "12 34 !", "en", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("awkward"))
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in AWKWARD], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 1, 0), (5, 0, 0), (None, 1, 1), (99, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    ids = lambda df: sorted(map(str, (r["doc_id"] for r in df.collect())))
+    found = {name: stage(spark, docs, awkward) for name, stage in corpus_pipeline.STAGES}
+    assert all(found[n].columns == docs.columns for n in list(found)[:-1])
+    # a text without letters has no language; rows that share an id and a text stay as often as they came, and equal texts of other ids go
+    assert ids(found["language_id"]) == sorted(["1", "1", "4", "5", "6", "None"])
+    assert ids(found["exact_dedup"]) == sorted(["1", "1", "3", "4", "6", "7", "None", "None"])
+    assert set(ids(found["jaccard_join"])) == {"1", "2", "3", "4", "5", "7", "None"}
+    assert set(ids(found["mixing"])) == {str(r[0]) for r in AWKWARD}
+    tokens = found["bpe"].collect()
+    assert len(tokens) == len(AWKWARD) and all(4 * r["n_tokens"] == len(r["ids"]) for r in tokens) and {r["n_tokens"] for r in tokens if r["doc_id"] in (2, 3)} == {0}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_on_no_rows(spark, awkward, name):
+    none = spark.read.parquet(f"{awkward}/documents.parquet").filter("false")
+    assert dict(corpus_pipeline.STAGES)[name](spark, none, awkward).count() == 0

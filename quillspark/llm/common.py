@@ -108,7 +108,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mixed((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(40))
 
 
-def blocks_of(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks_of(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` characters each; a longer text gets a range of its own."""
     first = total = 0
     for i, t in enumerate(texts):

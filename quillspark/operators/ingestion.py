@@ -59,6 +59,10 @@ class Store:
         newest = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), "version").alias("r"))
         return newest.select("path", "r.*").filter("status = 'completed'")
 
+    def totals(self) -> DataFrame:
+        """One row: files, sections and vectors that are current."""
+        return self.ledger().agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n_sections"), F.lit(0)).alias("sections"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("vectors"))
+
     def failures(self) -> DataFrame:
         """Paths whose newest row is an error, with that error."""
         newest = self.read("ledger").groupBy("path").agg(F.max_by(F.struct("status", "error", "version"), "version").alias("r"))

@@ -57,6 +57,11 @@ def merge_json(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
 
 
+def tallies(rows: DataFrame, tests: Mapping[str, Column], total: str = "total") -> DataFrame:
+    """One row: how many rows there are, and for how many each test holds."""
+    return rows.agg(F.count(F.lit(1)).alias(total), *[F.count_if(test).alias(name) for name, test in tests.items()])
+
+
 def copy_name(name: str, taken: DataFrame, name_col: str) -> DataFrame:
     """The first free name of the form `name (Copy)`, `name (Copy 2)`, ..."""
     spark = taken.sparkSession

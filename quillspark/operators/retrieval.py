@@ -47,6 +47,16 @@ def vector_search(points: DataFrame, query: Sequence[float], k: int = 5, thresho
     return scored.drop(vector_col).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def best_per_collection(points: DataFrame, query: Sequence[float], per: int, k: int, collection_col: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The `per` points of each collection most like query, with score and their place r, of these the k best; ties by id.
+
+    A task keeps its own best of each collection before anything is shuffled.
+    """
+    scored = points.withColumn("score", F.round(cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query])), 6)).drop(vector_col)
+    place = F.row_number().over(W.partitionBy(collection_col).orderBy(F.desc("score"), id_col))
+    return scored.withColumn("r", place).filter(F.col("r") <= per).orderBy(F.desc("score"), id_col).limit(k)
+
+
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings (id, term, tf, dl), terms (term, df, idf) and statistics (n_docs, avgdl, n_terms, avg_idf).
 

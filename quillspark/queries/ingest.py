@@ -401,6 +401,11 @@ def ingest_points(spark, sf_dir):
     return last.groupBy("path").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n").alias("n_chunks"), F.sum(F.col("c") - 200 * (F.col("n") - 1) - F.col("t")).alias("chars"))
 
 
+@query(f"WITH {_INGESTED}, {_CURRENT} SELECT count(*) AS files, sum(n_sections)::BIGINT AS sections, sum(n_chunks)::BIGINT AS vectors FROM n JOIN (SELECT path, max(version) FILTER (action <> 'unchanged') AS v FROM every JOIN now USING (path) WHERE status = 'completed' GROUP BY path) USING (path, v)")
+def ingest_totals(spark, sf_dir):
+    return _ingested(spark, sf_dir)[0].totals()
+
+
 @query(f"WITH {_INGESTED}, {_CURRENT} SELECT sum(n_chunks)::BIGINT AS n_docs, 1 AS generation, count(*) AS files FROM every JOIN now USING (path) WHERE status = 'completed' AND action <> 'unchanged' AND version = v - CASE WHEN EXISTS (SELECT 1 FROM every x WHERE x.path = every.path AND x.version = now.v AND x.action = 'unchanged') THEN 1 ELSE 0 END")
 def ingest_compacted(spark, sf_dir):
     """The store after compaction into a folder of its own: chunks in the index made of its saved word counts, and files."""

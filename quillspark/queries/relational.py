@@ -139,7 +139,7 @@ def template_sync(spark, sf_dir):
 @query("SELECT count(*) AS models, count_if(p_size > 40) AS large, count_if(p_retailprice > 1000) AS costly, count_if(p_type LIKE '%STEEL%') AS steel, count_if(p_brand = 'Brand#11') AS brand_11, count_if(p_size <= 5) AS small FROM part")
 def catalog_summary(spark, sf_dir):
     tests = {"large": "p_size > 40", "costly": "p_retailprice > 1000", "steel": "p_type like '%STEEL%'", "brand_11": "p_brand = 'Brand#11'", "small": "p_size <= 5"}
-    return table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("models"), *[F.count_if(F.expr(t)).alias(n) for n, t in tests.items()])
+    return R.tallies(table(spark, sf_dir, "part"), {n: F.expr(t) for n, t in tests.items()}, "models")
 
 
 _COPIES = "CASE WHEN p_size = 1 THEN p_brand || ' (Copy)' WHEN p_size % 2 = 0 THEN p_brand || ' (Copy ' || p_size || ')' ELSE p_brand END"

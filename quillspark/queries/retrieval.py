@@ -207,7 +207,7 @@ def _search_sql(mode, asked, vectors, threshold, k, wordings=(), keep="true", re
  ans AS ({main} UNION ALL SELECT rung, strategy, n, collection, place, r, score, id FROM near WHERE r <= n),
  f AS (SELECT * FROM ans WHERE rung = (SELECT min(rung) FROM ans) AND (strategy IN (1, 4) OR place = (SELECT min(place) FROM ans WHERE rung = (SELECT min(rung) FROM ans)))),
  p AS (SELECT f.*, d.* EXCLUDE (id, place, collection, x), CASE WHEN lower(author) NOT IN ('', 'autor', 'author') AND length(author) > 3 THEN 0
-   WHEN len([z FOR z IN {words} IF contains(lower(content), z)]) > 0 OR regexp_matches(lower(content), '[a-z]+\s+[a-z]+|\d{{2,}}/\d{{2}}/\d{{4}}|\b[a-z]{{4,}}\b') THEN 1 ELSE 2 END AS prio FROM f JOIN d USING (id)),
+   WHEN len([z FOR z IN {words} IF contains(lower(content), z)]) > 0 OR regexp_matches(lower(content), '[a-z]+\s+[a-z]+|\d{{2,}}/\d{{2}}/\d{{4}}|(^|[^\p{{L}}\p{{N}}_])[a-z]{{4,}}($|[^\p{{L}}\p{{N}}_])') THEN 1 ELSE 2 END AS prio FROM f JOIN d USING (id)),
  o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN strategy > 1 THEN -value END, prio, place, rank, id) AS pos FROM p),
  top AS (SELECT *, row_number() OVER (ORDER BY score DESC, pos) AS spot FROM (SELECT *, {final} AS score FROM o WHERE strategy = 1 OR pos <= {k} ORDER BY score DESC, pos LIMIT {top})),
  rows AS ({rows})
@@ -327,10 +327,7 @@ def search_windowed(spark, sf_dir):
         SELECT vec_id, label, score, r FROM k WHERE r <= 3 ORDER BY score DESC, vec_id LIMIT 12"""
 )
 def multi_collection_topk(spark, sf_dir):
-    v = first_vector(spark, sf_dir)
-    scored = table(spark, sf_dir, "embeddings").withColumn("score", F.round(R.cosine(F.col("embedding"), F.array(*map(F.lit, v))), 6)).drop("embedding")
-    r = F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("r", r).filter("r <= 3").orderBy(F.desc("score"), "vec_id").limit(12)
+    return R.best_per_collection(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 3, 12, "label")
 
 
 @query(
@@ -343,6 +340,19 @@ def priority_merge(spark, sf_dir):
     return R.merge_by_quality(rows, good, F.col("quality").isNotNull()).select("id", "priority", "rank")
 
 
+@query(
+    r"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Autor' WHEN doc_id % 3 = 1 THEN source END AS author, CASE WHEN doc_id % 5 = 0 THEN '1 2 ' || doc_id WHEN doc_id % 5 = 1 THEN 'x' || doc_id ELSE coalesce(text, '') END AS content FROM documents)
+       SELECT doc_id AS id, CASE WHEN lower(coalesce(author, '')) NOT IN ('', 'autor', 'author') AND length(author) > 3 AND NOT regexp_matches(author, '^\s*$') THEN 0
+         WHEN contains(lower(content), 'tion') OR regexp_matches(lower(content), '[a-z]+\s+[a-z]+|\d{2,}/\d{2}/\d{4}|(^|[^\p{L}\p{N}_])[a-z]{4,}($|[^\p{L}\p{N}_])') THEN 1 ELSE 2 END AS priority FROM p"""
+)
+def content_priority(spark, sf_dir):
+    """Documents by what is known of them: an author's name, else a text that says something, else neither."""
+    k = F.col("doc_id")
+    author = F.when(k % 3 == 0, "Autor").when(k % 3 == 1, F.col("source"))
+    content = F.when(k % 5 == 0, F.concat(F.lit("1 2 "), k)).when(k % 5 == 1, F.concat(F.lit("x"), k)).otherwise(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select(k.alias("id"), S.priority(author, content, F.lit("the tion of")).alias("priority"))
+
+
 _KW = "['tion', 'the', 'andre', 'zzz']"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,6 +27,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, computed once into a compressed table below the shared folder, or at path: for rows that are many or long."""
+    path = path or f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str, within: list[Column] | None = None) -> DataFrame:
     """rows with a column of numbers from 1 in the given order: sorted by range, counted by part, and shifted.
 

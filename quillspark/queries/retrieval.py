@@ -29,7 +29,7 @@ def saved_index(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SAVED:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        R.save_index(R.bm25_index(table(spark, sf_dir, "documents")), path)
+        R.bm25_index(table(spark, sf_dir, "documents"), path=path)
         _SAVED[key] = path
     return R.load_index(spark, _SAVED[key])
 
@@ -162,7 +162,7 @@ def _chunk_index(spark, sf_dir, chunks):
     key = (spark.sparkContext.applicationId, f"{sf_dir} by collection")
     if key not in _SAVED:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        R.save_index(R.bm25_index(chunks, "id", "content", by=("collection",)), path)
+        R.bm25_index(chunks, "id", "content", by=("collection",), path=path)
         _SAVED[key] = path
     return R.load_index(spark, _SAVED[key])
 

@@ -237,3 +237,19 @@ def test_numbering_needs_no_single_task(spark):
     rows = spark.range(0, 1000, 1, 7).selectExpr("id * 37 % 1000 as x")
     got = {r["x"]: r["n"] for r in numbered(rows, [F.col("x")], "n").collect()}
     assert got == {x: x + 1 for x in range(1000)}
+
+
+def test_words_are_counted_inside_their_row(spark):
+    from quillspark.functions.text import tokenize, word_counts
+
+    rows = spark.createDataFrame([(1, "b a bé A b"), (2, ""), (3, None), (4, "x")], "id int, text string")
+    got = rows.select("id", word_counts(tokenize(F.coalesce("text", F.lit("")))).alias("t")).orderBy("id").collect()
+    assert [[tuple(p) for p in r["t"]] for r in got] == [[("a", 2), ("b", 2), ("bé", 1)], [], [], [("x", 1)]]
+
+
+def test_an_index_moves_no_text_and_no_posting(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "apple tree"), (2, ""), (3, None), (4, "tree tree sky sea")], "doc_id long, text string")
+    texts, terms, stats = R.bm25_index(docs, path=str(tmp_path))
+    assert texts.count() == 4 and sorted(map(tuple, R.postings(texts).select("id", "term", "tf", "dl").collect()))[0] == (1, "apple", 1, 2)
+    assert "Exchange" not in R.postings(texts)._jdf.queryExecution().toString() and [tuple(r) for r in stats.select("n_docs", "avgdl", "n_terms").collect()] == [(4, 1.5, 4)]
+    assert {r["term"]: r["df"] for r in terms.collect()} == {"apple": 1, "tree": 2, "sky": 1, "sea": 1}

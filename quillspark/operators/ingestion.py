@@ -12,18 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import extension, tokenize
+from quillspark.functions.text import extension, tokenize, word_counts
 from quillspark.operators.chunking import boundary_chunks
 from quillspark.operators.retrieval import index_of
-from quillspark.operators.stages import materialised
+from quillspark.operators.stages import saved
 from quillspark.sources.formats import TEXT_PLANS, sections_of, valid_json
 from quillspark.sources.sections import decoded, loader_of
 
 TABLES = {
     "points": "id string, path string, place int, chunk_index int, section string, level int, content string, embedding_text string, embedding array<double>, version long",
-    "words": "id string, term string, tf long, dl int, path string, version long",
+    "words": "id string, dl int, terms array<struct<term:string,tf:long>>, path string, version long",
     "ledger": "path string, status string, action string, hash string, modified timestamp, length long, n_sections long, n_chunks long, error string, version long",
 }
+#: Up to so many keys are broadcast; more are hashed beside a shuffle of what they are kept from. Neither sorts a text.
+BROADCAST_ROWS = 500_000
 #: Files above this size are refused.
 MAX_BYTES = 50 << 20
 
@@ -50,7 +52,7 @@ class Store:
     def write(self, table: str, rows: DataFrame, batch: int, generation: int | None = None) -> str:
         path = f"{self.path}/generation={self.generation() if generation is None else generation}/{table}/batch={batch}"
         columns = [f.split()[0] for f in TABLES[table].split(", ")]
-        rows.select(*columns).write.mode("overwrite").parquet(path)
+        saved(rows.select(*columns), path)
         return path
 
     def ledger(self) -> DataFrame:
@@ -75,15 +77,29 @@ class Store:
         seen = F.coalesce(F.col("hash") == F.col("now"), F.lit(False)) & (F.col("status") != "deleted")
         return both.select("path", F.when(seen, F.col("status")).otherwise("pending").alias("status"), F.when(seen, F.col("n_chunks")).alias("n_chunks"), F.when(seen, F.col("error")).alias("error"))
 
-    def _current(self, table: str) -> DataFrame:
-        return self.read(table).join(self.ledger().select("path", "version"), ["path", "version"], "left_semi")
+    def _current(self, table: str, *columns: str | Column) -> DataFrame:
+        rows = self.read(table).select("path", "version", *(columns or [c.split()[0] for c in TABLES[table].split(", ") if c.split()[0] not in ("path", "version")]))
+        runs = [r["version"] for r in self.read("ledger").select("version").distinct().collect()]  # a run that failed has no ledger
+        rows, old = rows.filter(F.col("version").isin(runs)), self._superseded()
+        n = old.count()
+        if n == 0:
+            return rows
+        return rows.join(F.broadcast(old) if n <= BROADCAST_ROWS else old.hint("shuffle_hash"), ["path", "version"], "left_anti")
+
+    def _superseded(self) -> DataFrame:
+        """path and version of what landed once and was updated or deleted since."""
+        rows = self.read("ledger").filter("status <> 'error'")
+        landed = F.collect_set(F.when(F.col("status") == "completed", F.col("version")))
+        each = rows.groupBy("path").agg(F.max("version").alias("newest"), landed.alias("landed"))
+        return saved(each.select("path", F.explode(F.filter("landed", lambda v: v < F.col("newest"))).alias("version")))
 
-    def points(self) -> DataFrame:
-        return self._current("points")
+    def points(self, *columns: str | Column) -> DataFrame:
+        """The current points; with columns, path, version and these, which are made before anything is shuffled."""
+        return self._current("points", *columns)
 
     def index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The BM25 index over the current points, from their saved word counts; no text is split again."""
-        return index_of(materialised(self._current("words").select("id", "term", "tf", "dl")))
+        return index_of(saved(self._current("words", "id", "dl", "terms").drop("path", "version")))
 
     def compact(self) -> int:
         """Write what is current, and the errors that still stand, as a new generation; returns its number.
@@ -130,7 +146,8 @@ def ingest(
     occurs more than once is ingested once, by its greatest hash; no files with no listing delete everything that is there.
 
     The source is read once: what has changed is cut into the checkpoint folder, points are written, and words and counts are made of
-    the written points. embed makes a vector of a text (column to column); chunk cuts sections (id, text) into chunks.
+    the written points. embed makes a vector of a text (column to column); chunk cuts sections (id, text) into chunks and
+    hands id on, which is what is known of the section. Texts are shuffled only to meet a ledger that has rows, and not sorted.
     """
     files = files.filter("path is not null")
     text = decoded(F.col("content")) if dict(files.dtypes)["content"] == "binary" else F.coalesce("content", F.lit(""))
@@ -138,28 +155,33 @@ def ingest(
     modified = F.col("modified") if "modified" in files.columns else F.lit(None).cast("timestamp")
     seen = files.select("path", text.alias("content"), F.coalesce(size, F.lit(0)).cast("long").alias("length"), modified.alias("modified"))
     seen = seen.withColumns({"loader": loader_of(F.col("path")), "hash": F.sha2("content", 256)})
-    ledger = materialised(store.ledger().select("path", F.col("hash").alias("old")))
-    both = seen.join(ledger, "path", "left")
+    ledger = saved(store.ledger().select("path", F.col("hash").alias("old")))
+    both = seen.withColumn("old", F.lit(None).cast("string")) if ledger.isEmpty() else seen.join(ledger.hint("shuffle_hash"), "path", "left")
     action = F.when(F.col("old").isNull(), "new").when(F.col("old") != F.col("hash"), "modified").otherwise("unchanged")
     both = both.withColumn("action", action)
     changed = F.col("action") != "unchanged"
     error = F.when(changed, refusal(F.col("path"), F.col("loader"), F.col("length"), F.col("content"), max_bytes))
     work = both.withColumn("error", error).withColumn("content", F.when(changed & F.col("error").isNull(), F.col("content")))
-    last = F.max_by(F.struct("content", "length", "modified", "loader", "hash", "action", "error"), "hash").alias("r")
-    work = materialised(work.groupBy("path").agg(last).select("path", "r.*"))
-
-    sections = sections_of(work.filter("content is not null")).withColumn("id", F.concat_ws("#", "path", "place"))
+    columns = ("content", "length", "modified", "loader", "hash", "action", "error")
+    work = saved(work.select("path", *columns))
+    repeated = work.groupBy("path").count().filter("count > 1").select("path")
+    if not repeated.isEmpty():  # only their rows are grouped
+        repeated = saved(repeated)
+        one = work.join(repeated, "path", "left_semi").groupBy("path").agg(F.max_by(F.struct(*columns), "hash").alias("r")).select("path", "r.*")
+        work = saved(work.join(repeated.hint("shuffle_hash"), "path", "left_anti").unionByName(one))
+
+    sections = sections_of(work.filter("content is not null")).filter("content <> ''")
     cut = chunk or (lambda rows: boundary_chunks(rows, 1000, 200, "id", "text"))
-    chunks = cut(sections.filter("content <> ''").select("id", F.concat_ws("\n\n", "title", "content").alias("text"))).select("id", "chunk_index", F.col("content").alias("piece"))
-    rows = sections.join(chunks, "id").withColumnRenamed("title", "section").withColumn("embedding_text", F.concat_ws("\n\n", "section", "piece"))
+    known = F.struct("path", "place", F.col("title").alias("section"), "level").alias("id")
+    chunks = cut(sections.select(known, F.concat_ws("\n\n", "title", "content").alias("text"))).select("id.*", "chunk_index", F.col("content").alias("piece"))
+    rows = chunks.withColumn("embedding_text", F.concat_ws("\n\n", "section", "piece"))
     vector = embed(F.col("embedding_text")) if embed else F.lit(None)
     points = rows.select(
-        F.md5(F.concat_ws("#", "id", "chunk_index")).alias("id"), "path", "place", "chunk_index", "section", "level", F.col("piece").alias("content"), "embedding_text", vector.cast("array<double>").alias("embedding"), F.lit(batch).cast("long").alias("version")
+        F.md5(F.concat_ws("#", "path", "place", "chunk_index")).alias("id"), "path", "place", "chunk_index", "section", "level", F.col("piece").alias("content"), "embedding_text", vector.cast("array<double>").alias("embedding"), F.lit(batch).cast("long").alias("version")
     )
     written = store.spark.read.parquet(store.write("points", points, batch))
-    words = written.select("id", "path", "version", tokenize(F.col("content")).alias("words")).withColumn("dl", F.size("words"))
-    counted = words.select("id", "path", "version", "dl", F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
-    store.write("words", counted.groupBy("id", "path", "version", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), batch)
+    words = written.select("id", "path", "version", tokenize(F.col("content")).alias("words"))
+    store.write("words", words.select("id", "path", "version", F.size("words").alias("dl"), word_counts(F.col("words")).alias("terms")), batch)
 
     counts = written.groupBy("path").agg(F.count_distinct("place").alias("n_sections"), F.count(F.lit(1)).alias("n_chunks"))
     done = work.drop("content", "loader").join(counts, "path", "left").na.fill(0, ["n_sections", "n_chunks"])

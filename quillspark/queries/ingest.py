@@ -395,9 +395,8 @@ _CURRENT = """now AS (SELECT path, max(version) AS v FROM every WHERE status <>
 @query(f"WITH {_INGESTED}, {_CURRENT} SELECT path, n_sections, n_chunks, chars::BIGINT AS chars FROM n JOIN (SELECT path, max(version) FILTER (action <> 'unchanged') AS v FROM every JOIN now USING (path) WHERE status = 'completed' GROUP BY path) USING (path, v)")
 def ingest_points(spark, sf_dir):
     """The current points by path, with the characters of their sections (overlaps of chunks counted once)."""
-    points = _ingested(spark, sf_dir)[0].points()
-    title = F.length("section") + 2
-    last = points.groupBy("path", "place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("c"), F.first(title).alias("t"))
+    points = _ingested(spark, sf_dir)[0].points("place", F.length("content").alias("chars"), (F.length("section") + 2).alias("title"))
+    last = points.groupBy("path", "place").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("c"), F.first("title").alias("t"))
     return last.groupBy("path").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n").alias("n_chunks"), F.sum(F.col("c") - 200 * (F.col("n") - 1) - F.col("t")).alias("chars"))
 
 

@@ -154,3 +154,25 @@ def test_csv_dialects(spark, tmp_path):
     assert len(found) == 4
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         X.read_csv(spark, str(tmp_path / "none"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_current_rows_are_neither_sorted_nor_matched_without_need(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([("a.txt", "red apple"), ("b.txt", "green pear"), ("c.txt", "blue sky")], "path string, content string")
+    store = N.Store(spark, str(tmp_path))
+    N.ingest(files, store, 1)
+    assert "Join" not in _plan(store.points()) and "Join" not in _plan(store._current("words"))
+    again = files.filter("path <> 'c.txt'").withColumn("content", F.when(F.col("path") == "a.txt", "red plum").otherwise(F.col("content")))
+    N.ingest(again, store, 2)
+    store.write("points", store.read("points").filter("version = 2").withColumn("version", F.lit(3).cast("long")), 3)  # a run that failed before its ledger
+    want = [("a.txt", 2), ("b.txt", 1)]
+    for few in (10, 0):
+        monkeypatch.setattr(N, "BROADCAST_ROWS", few)
+        points = store.points()
+        assert "SortMergeJoin" not in _plan(points) and sorted(map(tuple, points.select("path", "version").collect())) == want
+    store.compact()
+    assert "Join" not in _plan(store.points()) and sorted(map(tuple, store.points("place").select("path", "version").collect())) == want
+    assert store.index()[2].first()["n_docs"] == 2

@@ -149,20 +149,23 @@ _COLLECTIONS = ["c0", "c1", "c2"]
 _UNHEARD = "zzzz qqqq"
 
 
-def _chunk_rows(spark, sf_dir):
+def _chunk_rows(spark, sf_dir, vectors=True):
     """Documents as chunks of three collections: their source is the file and the parent, some sections repeat, some authors say nothing."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").withColumn("embedding", F.lit(None).cast("array<double>"))
+    if vectors:
+        docs = docs.drop("embedding").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     section = F.when(F.col("doc_id") % 7 < 5, F.concat(F.lit("part "), F.col("doc_id") % 40)).otherwise("")
     file = F.when(F.col("doc_id") % 7 < 6, F.col("source")).otherwise("")
     author = F.when(F.col("doc_id") % 4 == 0, "Autor").otherwise(F.col("source"))
     return docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("c"), F.col("doc_id") % 3).alias("collection"), "embedding", file.alias("file"), section.alias("section"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("parent_id"), author.alias("author"), "lang", (F.col("doc_id") / 10).cast("int").alias("chunk_index"))
 
 
-def _chunk_index(spark, sf_dir, chunks):
+def _chunk_index(spark, sf_dir):
+    """The index by collection, from the documents alone: texts are not joined to vectors for it."""
     key = (spark.sparkContext.applicationId, f"{sf_dir} by collection")
     if key not in _SAVED:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        R.bm25_index(chunks, "id", "content", by=("collection",), path=path)
+        R.bm25_index(_chunk_rows(spark, sf_dir, vectors=False), "id", "content", by=("collection",), path=path)
         _SAVED[key] = path
     return R.load_index(spark, _SAVED[key])
 
@@ -227,7 +230,7 @@ def search_end_to_end(spark, sf_dir):
     """Hybrid search over three collections, reranking by shared words, and the sources of the documents as parents."""
     chunks = _chunk_rows(spark, sf_dir)
     parents = chunks.select("parent_id").distinct().withColumn("parent_content", F.concat(F.lit("all of "), "parent_id"))
-    return _told(S.search(chunks, _chunk_index(spark, sf_dir, chunks), ASKED, [first_vector(spark, sf_dir)], _COLLECTIONS, "hybrid", 10, 0.2, scorer=R.overlap_score(ASKED), top=8, parents=parents))
+    return _told(S.search(chunks, _chunk_index(spark, sf_dir), ASKED, [first_vector(spark, sf_dir)], _COLLECTIONS, "hybrid", 10, 0.2, scorer=R.overlap_score(ASKED), top=8, parents=parents))
 
 
 @query(
@@ -259,7 +262,7 @@ _EACH = "SELECT vec_id AS variant, embedding::DOUBLE[] AS y FROM embeddings WHER
 def search_strategies(spark, sf_dir):
     """Three searches of which each falls through to another strategy; the first strategy answers search_end_to_end."""
     chunks = _chunk_rows(spark, sf_dir)
-    index = _chunk_index(spark, sf_dir, chunks)
+    index = _chunk_index(spark, sf_dir)
     some = table(spark, sf_dir, "embeddings").filter("vec_id <= 8").orderBy("vec_id").select("embedding").collect()  # query vectors
     v = [r["embedding"] for r in some]
     found = {

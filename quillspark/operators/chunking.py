@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.stages import short_batches
+
 
 def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, chunk_index, total_chunks, content: a window of `size` characters every size - overlap."""
@@ -46,6 +48,8 @@ def boundary_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_co
     if not 0 <= overlap < size / 2:
         raise ValueError("overlap must be at least 0 and under half of size")
 
+    short_batches(docs.sparkSession)  # texts and their pieces are in a worker's memory a batch at a time
+
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:

@@ -34,6 +34,12 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand Python workers few texts at a time; the setting holds for the session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str, within: list[Column] | None = None) -> DataFrame:
     """rows with a column of numbers from 1 in the given order: sorted by range, counted by part, and shifted.
 

@@ -120,35 +120,40 @@ def full_content(paths: Column, sections: Column) -> Column:
 
 
 def _quoted(text: Column) -> Column:
-    whole = F.to_json(F.array(text))
-    return F.substr(whole, F.lit(2), F.length(whole) - 2)
+    return _let(F.to_json(F.array(text)), lambda whole: F.substr(whole, F.lit(2), F.length(whole) - 2))
 
 
 def truncated_json(value: Column, depth: int = 3, chars: int = MAX_CHARS, items: int = MAX_ITEMS, entries: int = MAX_ENTRIES) -> Column:
     """A JSON value with its strings cut to `chars`, its lists to `items` and its objects to `entries`, in their order, at every level.
 
     What lies deeper than `depth` levels becomes a string, cut as well, so that the plan stays small. Null for what is no JSON.
+    A level is read once: its parts carry their text and their typed value down, and nothing is parsed again per part.
     """
 
-    def child(raw: Column, kind: Column, left: int) -> Column:
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        below = cut(raw, left - 1) if left > 0 else _quoted(F.substring(raw, 1, chars))
-        return F.when(kind == "STRING", _quoted(F.substring(raw, 1, chars))).when(nested, below).otherwise(F.coalesce(raw, F.lit("null")))
-
-    def cut(raw: Column, left: int) -> Column:
-        typed = F.try_parse_json(raw)
-        texts, kinds = F.from_json(raw, "map<string,string>"), typed.try_cast("map<string,variant>")
-        keys = F.slice(F.json_object_keys(raw), 1, entries)
-        pairs = F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), child(F.try_element_at(texts, k), F.schema_of_variant(F.try_element_at(kinds, k)), left)))
-        values, types = F.slice(F.from_json(raw, "array<string>"), 1, items), typed.try_cast("array<variant>")
-        listed = F.transform(values, lambda v, i: child(v, F.schema_of_variant(F.get(types, i)), left))
-        of_object = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-        of_list = F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
-        return F.when(raw.rlike(r"^\s*\{"), of_object).when(raw.rlike(r"^\s*\["), of_list)
-
-    parsed = F.try_parse_json(value)
-    plain = F.when(F.schema_of_variant(parsed) == "STRING", _quoted(F.substring(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0], 1, chars))).otherwise(F.trim(value))
-    return F.when(parsed.isNotNull(), F.coalesce(cut(value, depth), plain))
+    def part(label: Column, raw: Column, typed: Column) -> Column:
+        return F.struct(label.alias("label"), raw.alias("raw"), typed.alias("typed"), F.schema_of_variant(typed).alias("kind"))
+
+    def child(p: Column, left: int) -> Column:
+        nested = p["kind"].startswith("OBJECT") | p["kind"].startswith("ARRAY")
+        below = cut(p, left - 1) if left > 0 else _quoted(F.substring(p["raw"], 1, chars))
+        return F.when(p["kind"] == "STRING", _quoted(F.substring(p["raw"], 1, chars))).when(nested, below).otherwise(F.coalesce(p["raw"], F.lit("null")))
+
+    def cut(p: Column, left: int) -> Column:
+        texts = F.slice(F.map_entries(F.from_json(p["raw"], "map<string,string>")), 1, entries)
+        of_object = _let(p["typed"].try_cast("map<string,variant>"), lambda types: F.transform(texts, lambda e: part(F.concat(_quoted(e["key"]), F.lit(":")), e["value"], F.try_element_at(types, e["key"]))))
+        values = F.slice(F.from_json(p["raw"], "array<string>"), 1, items)
+        of_list = _let(p["typed"].try_cast("array<variant>"), lambda types: F.transform(values, lambda v, i: part(F.lit(""), v, F.get(types, i))))
+        is_object = p["kind"].startswith("OBJECT")
+        inside = F.array_join(F.transform(F.when(is_object, of_object).otherwise(of_list), lambda c: F.concat(c["label"], child(c, left))), ",")
+        return F.concat(F.when(is_object, F.lit("{")).otherwise(F.lit("[")), inside, F.when(is_object, F.lit("}")).otherwise(F.lit("]")))
+
+    def whole(p: Column) -> Column:
+        nested = p["kind"].startswith("OBJECT") | p["kind"].startswith("ARRAY")
+        text = _quoted(F.substring(F.from_json(F.concat(F.lit("["), p["raw"], F.lit("]")), "array<string>")[0], 1, chars))
+        plain = F.when(p["kind"] == "STRING", text).otherwise(F.trim(p["raw"]))
+        return F.when(p["typed"].isNotNull(), F.coalesce(F.when(nested, cut(p, depth)), plain))
+
+    return _let(value, lambda raw: _let(F.try_parse_json(raw), lambda typed: _let(part(F.lit(""), raw, typed), whole)))
 
 
 def aliases(config: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,15 @@ MAX_CHARS, MAX_ITEMS, MAX_ENTRIES = 500, 5, 10
 PRIORITY_FIELDS = ("tabla", "id", "name", "title", "code", "identifier", "table")
 SECONDARY_FIELDS = ("owner", "tipo", "type", "categoria", "category", "sistema", "system", "status", "version")
 
-_STATE = "struct<stack:array<struct<indent:int,path:string,n:int>>,found:array<struct<key:string,value:string>>>"
+# Lines of front matter, as Java's patterns read them: blanks are ASCII, and a line's last character may end it.
+_CHAR, _END = r"[^\n\r\x85\u2028\u2029]", r"(?=[\r\x85\u2028\u2029]?\Z)"
+_EMPTY = re.compile(rf"\s*(?:#{_CHAR}*)?{_END}", re.ASCII)
+_ITEM = re.compile(rf"\s*-(?:\s+|{_END})", re.ASCII)
+_KEYED = re.compile(rf"[^:#\s\"'\[{{][^:]*:(?:\s|{_END})", re.ASCII)
+_LISTED = re.compile(rf"\[{_CHAR}*\]{_END}")
+_QUOTED = re.compile(rf"(?:\"{_CHAR}*\"|'{_CHAR}*'){_END}")
+_BREAK = re.compile(r"\r?\n")
+_COMMENT = re.compile(rf"\s+#{_CHAR}*{_END}", re.ASCII)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,59 +34,68 @@ def front_matter_body(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
 
 
-def _scalar(value: Column) -> Column:
+def _scalar(value: str) -> str:
     """A scalar without its quotes, or without the comment behind it."""
-    quoted = F.regexp_extract(value, r"""^(?:"(.*)"|'(.*)')$""", 0) != ""
-    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(F.trim(F.regexp_replace(value, r"\s+#.*$", "")))
+    return value[1 : len(value) - 1] if _QUOTED.match(value) else _COMMENT.sub("", value).strip(" ")
+
+
+def _paths_of(body: str) -> dict[str, str]:
+    """Paths and scalars of one front matter. Open keys lie on a stack as [indentation, path, items so far]."""
+    found: dict[str, str] = {}
+    stack: list[list] = []
+
+    def add(path: str, value: str) -> None:
+        """One value, or one per item of a list in brackets; none for nothing."""
+        if _LISTED.match(value):
+            items = [x for x in (x.strip(" ") for x in value[1 : len(value) - 1].split(",")) if x]
+            pairs = [(f"{path}[{i}]", _scalar(x)) for i, x in enumerate(items)]
+        else:
+            pairs = [(path, _scalar(value))] if value else []
+        for key, scalar in pairs:
+            found.pop(key, None)  # the last of equal paths wins, and stands where it is
+            found[key] = scalar
+
+    for line in _BREAK.split(body):
+        if _EMPTY.match(line):
+            continue
+        indent, dash = len(line) - len(line.lstrip(" ")), _ITEM.match(line)
+        # an item's key may stand at the item's own indentation; other lines close what is as deep as they
+        while stack and (stack[-1][0] > indent or stack[-1][0] == indent and not dash):
+            stack.pop()
+        text = (line[dash.end() :] if dash else line).strip(" ")
+        place = stack[-1][1] if stack else ""
+        if dash:
+            place += f"[{stack[-1][2] if stack else 0}]"
+            if stack:
+                stack[-1][2] += 1
+        if not _KEYED.match(text):
+            if dash:
+                add(place, text)
+            continue
+        key, _, value = text.partition(":")
+        path, value = f"{place}.{key.strip(' ')}" if place else key.strip(" "), value.strip(" ")
+        # below an item its further keys stand two deeper than its dash
+        if dash:
+            stack.append([indent + 1, place, 0])
+        if value == "":
+            stack.append([indent + 2 if dash else indent, path, 0])
+        add(path, value)
+    return found
 
 
 def front_matter_paths(text: Column) -> Column:
     """The front matter as a map from paths to scalars: `a.b` for nested keys, `l[0]` for items of a list.
 
-    A fold over its lines keeps a stack of open keys by their indentation. Lists may stand at their key's own indentation, be written
+    Its lines are read in order with a stack of open keys by their indentation. Lists may stand at their key's own indentation, be written
     in brackets, or hold maps; comments and empty lines count for nothing, the last of equal paths wins, and a key without anything below it is left out.
+    Only the front matter reaches Python, where a line is read once; a fold in SQL copies all that it has found for every line.
     """
-    empty = F.lit(None).cast(_STATE)
-    start = F.coalesce(empty, F.struct(F.array().cast("array<struct<indent:int,path:string,n:int>>").alias("stack"), F.array().cast("array<struct<key:string,value:string>>").alias("found")))
-    lines = F.filter(F.split(front_matter_body(text), r"\r?\n"), lambda x: ~x.rlike(r"^\s*(#.*)?$"))
-
-    def pair(path: Column, value: Column) -> Column:
-        """Entries of a value: one, or one per item of a list in brackets; none for nothing."""
-        inner = F.filter(F.transform(F.split(F.substr(value, F.lit(2), F.length(value) - 2), ","), lambda x: F.trim(x)), lambda x: x != "")
-        listed = F.transform(inner, lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("key"), _scalar(x).alias("value")))
-        one = F.array(F.struct(path.alias("key"), _scalar(value).alias("value")))
-        none = F.array().cast("array<struct<key:string,value:string>>")
-        return F.when(value == "", none).when(value.rlike(r"^\[.*\]$"), listed).otherwise(one)
-
-    frame = lambda indent, path: F.array(F.struct(indent.cast("int").alias("indent"), path.alias("path"), F.lit(0).alias("n")))
-    no_frame = F.array().cast("array<struct<indent:int,path:string,n:int>>")
-
-    def step(state: Column, line: Column) -> Column:
-        indent = F.length(line) - F.length(F.ltrim(line))
-        item = line.rlike(r"^\s*-(\s|$)")
-        # an item's key may stand at the item's own indentation; other lines close what is as deep as they
-        stack = F.filter(state["stack"], lambda s: (s["indent"] < indent) | item & (s["indent"] == indent))
-        return _let(F.struct(stack.alias("stack"), indent.alias("indent"), item.alias("item"), F.trim(F.regexp_replace(line, r"^\s*-(\s+|$)", "")).alias("text")), lambda x: read(state, x))
-
-    def read(state: Column, x: Column) -> Column:
-        top = F.try_element_at(x["stack"], F.greatest(F.size(x["stack"]), F.lit(1)))
-        outer = F.coalesce(top["path"], F.lit(""))
-        place = F.when(x["item"], F.concat(outer, F.lit("["), F.coalesce(top["n"], F.lit(0)).cast("string"), F.lit("]"))).otherwise(outer)
-        raised = F.array(F.struct(top["indent"].alias("indent"), top["path"].alias("path"), (top["n"] + 1).alias("n")))
-        counted = F.when(x["item"] & (F.size(x["stack"]) > 0), F.concat(F.slice(x["stack"], F.lit(1), F.size(x["stack"]) - 1), raised)).otherwise(x["stack"])
-        keyed = x["text"].rlike(r"^[^:#\s\"'\[{][^:]*:(\s|$)")
-        own = F.struct(x["item"].alias("item"), x["indent"].alias("indent"), x["text"].alias("text"), place.alias("place"), counted.alias("stack"), keyed.alias("keyed"), F.trim(F.substring_index(x["text"], ":", 1)).alias("key"), F.trim(F.regexp_replace(x["text"], r"^[^:]*:", "")).alias("value"))
-        return _let(own, lambda y: write(state, y))
-
-    def write(state: Column, y: Column) -> Column:
-        path = F.when(y["place"] == "", y["key"]).otherwise(F.concat(y["place"], F.lit("."), y["key"]))
-        # below an item its further keys stand two deeper than its dash
-        opened = F.when(y["item"] & y["keyed"], frame(y["indent"] + 1, y["place"])).otherwise(no_frame)
-        deeper = F.when(y["keyed"] & (y["value"] == ""), frame(F.when(y["item"], y["indent"] + 2).otherwise(y["indent"]), path)).otherwise(no_frame)
-        new = F.when(y["keyed"], pair(path, y["value"])).when(y["item"], pair(y["place"], y["text"])).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-        return F.struct(F.concat(y["stack"], opened, deeper).alias("stack"), F.concat(state["found"], new).alias("found"))
 
-    return _let(F.aggregate(lines, start, step, lambda s: s["found"]), lambda found: F.map_from_entries(_last_of_each(found)))
+    @F.pandas_udf("map<string,string>")
+    def paths(bodies: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else _paths_of(b) for b in bodies], dtype=object)
+
+    return paths(front_matter_body(text))
 
 
 def _last_of_each(pairs: Column) -> Column:

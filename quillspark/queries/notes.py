@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 from quillspark.functions import metadata as M
 from quillspark.operators import graph as G
 from quillspark.operators import notes as O
-from quillspark.operators.stages import shared_folder
+from quillspark.operators.stages import shared_folder, short_batches
 from quillspark.queries import query, table
 from quillspark.queries.graph import _BFS, _edges
 from quillspark.sources import formats as X
 
 
-def _front(spark, sf_dir):
+def _dealt(spark, sf_dir):
+    """Parts dealt over all cores by their key: many rows may lie in one group of a file, which one task reads."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition("p_partkey")
+
+
+def _front(part):
     """A note per part with nested front matter, lists and a text with tags."""
-    part = table(spark, sf_dir, "part")
     lines = [
         F.lit("---"), F.concat(F.lit('title: "'), "p_name", F.lit('"')), F.concat(F.lit("size: "), "p_size", F.lit("  # pieces")), F.lit("tags:"), F.concat(F.lit("  - '"), "p_brand", F.lit("'")), F.concat(F.lit("  - "), "p_type"), F.lit("owner:"),
         F.concat(F.lit("  name: N"), F.col("p_partkey") % 7), F.lit("  deep:"), F.concat(F.lit("    k: "), "p_partkey"), F.lit("parts:"), F.concat(F.lit("- a: "), "p_size"), F.lit("  b: x"), F.concat(F.lit("status: [on, s"), F.col("p_size") % 3, F.lit("]")), F.lit("empty:"), F.lit("---"),
@@ -35,18 +39,19 @@ def _entries(m):
        'status[0]=on', 'status[1]=s' || p_size % 3]), '|') AS paths, 'doc_size=' || p_size || '|doc_title=' || p_name AS section_fields, 'fm_size=' || p_size || '|fm_title=' || p_name AS document_fields FROM part"""
 )
 def front_matter(spark, sf_dir):
-    rows = _front(spark, sf_dir).withColumn("m", M.front_matter_paths(F.col("note")))
+    short_batches(spark)
+    rows = _front(_dealt(spark, sf_dir)).withColumn("m", M.front_matter_paths(F.col("note")))
     return rows.select("p_partkey", _entries(F.col("m")).alias("paths"), _entries(M.promoted(F.col("m"), "doc_")).alias("section_fields"), _entries(M.promoted(F.col("m"), "fm_")).alias("document_fields"))
 
 
 @query("SELECT p_partkey, 'The ' || p_name AS title, 't' || p_partkey % 5 || ',x,c' || coalesce(nullif(',' || array_to_string(regexp_extract_all(p_brand, '#([A-Za-z0-9_-]+)', 1), ','), ','), '') AS tags FROM part")
 def note_titles(spark, sf_dir):
-    return _front(spark, sf_dir).select("p_partkey", M.document_title(F.col("note")).alias("title"), F.array_join(F.filter(M.inline_tags(F.regexp_replace("note", r"(?s)\A---.*?\n---\n", "")), lambda t: t != ""), ",").alias("tags"))
+    return _front(table(spark, sf_dir, "part")).select("p_partkey", M.document_title(F.col("note")).alias("title"), F.array_join(F.filter(M.inline_tags(F.regexp_replace("note", r"(?s)\A---.*?\n---\n", "")), lambda t: t != ""), ",").alias("tags"))
 
 
 @query("SELECT p_partkey, md5('**Title**: ' || p_name || chr(10) || chr(10) || '# One' || chr(10) || p_brand || chr(10) || chr(10) || '### Two' || chr(10) || p_type) AS content_md5 FROM part")
 def note_content(spark, sf_dir):
-    rows = _front(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey")
+    rows = _front(table(spark, sf_dir, "part")).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey")
     section = lambda title, text, level: F.struct(F.lit(title).alias("title"), F.col(text).alias("content"), F.lit(level).alias("level"))
     return rows.select("p_partkey", F.md5(M.full_content(M.front_matter_paths(F.col("note")), F.array(section("One", "p_brand", 0), section("Two", "p_type", 3)))).alias("content_md5"))
 

@@ -27,7 +27,7 @@ def _front(part):
         F.concat(F.lit("  name: N"), F.col("p_partkey") % 7), F.lit("  deep:"), F.concat(F.lit("    k: "), "p_partkey"), F.lit("parts:"), F.concat(F.lit("- a: "), "p_size"), F.lit("  b: x"), F.concat(F.lit("status: [on, s"), F.col("p_size") % 3, F.lit("]")), F.lit("empty:"), F.lit("---"),
         F.concat(F.lit("intro #t"), F.col("p_partkey") % 5), F.concat(F.lit("# The "), "p_name", F.lit(" #x")), F.concat(F.lit("body `#c` "), "p_brand"),
     ]
-    return part.select("p_partkey", "p_name", "p_size", F.array_join(F.array(*lines), "\n").alias("note"))
+    return part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.array_join(F.array(*lines), "\n").alias("note"))
 
 
 def _entries(m):
@@ -51,7 +51,8 @@ def note_titles(spark, sf_dir):
 
 @query("SELECT p_partkey, md5('**Title**: ' || p_name || chr(10) || chr(10) || '# One' || chr(10) || p_brand || chr(10) || chr(10) || '### Two' || chr(10) || p_type) AS content_md5 FROM part")
 def note_content(spark, sf_dir):
-    rows = _front(table(spark, sf_dir, "part")).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey")
+    short_batches(spark)
+    rows = _front(_dealt(spark, sf_dir))
     section = lambda title, text, level: F.struct(F.lit(title).alias("title"), F.col(text).alias("content"), F.lit(level).alias("level"))
     return rows.select("p_partkey", F.md5(M.full_content(M.front_matter_paths(F.col("note")), F.array(section("One", "p_brand", 0), section("Two", "p_type", 3)))).alias("content_md5"))
 
